@@ -14,19 +14,20 @@ STOP_WORDS = (
     "el", "los", "las", "y", "del", "se", "por", "con", "no", "una", "su", "para", "al", "lo", "como", "es",
 )
 
-#: (rule, what it measures, a document fails when the measure is ... , threshold). All measures are columns of ``measured``.
-RULES: tuple[tuple[str, str, str, float], ...] = (
-    ("few_words", "n_words", "<", 20),
-    ("repeat_words", "100 * n_repeat_words / n_words", ">", 30),
-    ("symbols", "n_symbols / n_words", ">", 0.5),
-    ("short_words", "word_chars / n_words", "<", 2),
-    ("long_words", "word_chars / n_words", ">", 20),
-    ("dup_lines", "n_dup_lines / n_lines", ">", 0.5),
-    ("bullets", "n_pipes / n_words", ">", 0.2),
-    ("shouting", "n_upper / word_chars", ">", 0.5),
-    ("exclaims", "n_exclaims / n_words", ">", 0.5),
-    ("stop_words", "n_stop_words / n_words", "<", 0.01),
-    ("stutter", "n_stutter / n_words", ">", 0.5),
+#: (rule, measure, what it is divided by, a document fails when the ratio is ..., threshold); measures are columns of
+#: ``measured``. A ratio over nothing passes.
+RULES: tuple[tuple[str, str, str | None, str, float], ...] = (
+    ("few_words", "n_words", None, "<", 20),
+    ("repeat_words", "n_repeat_words", "n_words", ">", 0.3),
+    ("symbols", "n_symbols", "n_words", ">", 0.5),
+    ("short_words", "word_chars", "n_words", "<", 2),
+    ("long_words", "word_chars", "n_words", ">", 20),
+    ("dup_lines", "n_dup_lines", "n_lines", ">", 0.5),
+    ("bullets", "n_pipes", "n_words", ">", 0.2),
+    ("shouting", "n_upper", "word_chars", ">", 0.5),
+    ("exclaims", "n_exclaims", "n_words", ">", 0.5),
+    ("stop_words", "n_stop_words", "n_words", "<", 0.01),
+    ("stutter", "n_stutter", "n_words", ">", 0.5),
 )
 
 
@@ -63,9 +64,12 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def failing(rules=RULES) -> dict[str, Column]:
-    """One boolean column for each rule: whether the document fails it; a measure over nothing (null) passes."""
-    test = {"<": lambda m, t: m < t, ">": lambda m, t: m > t}
-    return {f"fails_{name}": F.coalesce(test[sign](F.expr(what), F.lit(t)), F.lit(False)) for name, what, sign, t in rules}
+    """One boolean column for each rule: whether the document fails it."""
+    out = {}
+    for name, what, over, sign, t in rules:
+        ratio = F.try_divide(F.col(what), F.col(over)) if over else F.col(what)
+        out[f"fails_{name}"] = F.coalesce(ratio < t if sign == "<" else ratio > t, F.lit(False))
+    return out
 
 
 def apply_rules(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
@@ -92,7 +96,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rules_sql() -> str:
-    tests = ", ".join(f"CASE WHEN n_words > 0 AND {what.replace(' / ', '::DOUBLE / nullif(')}{')' if ' / ' in what else ''} {sign} {t} THEN '{name}' END" if " / " in what else f"CASE WHEN {what} {sign} {t} THEN '{name}' END" for name, what, sign, t in RULES)
+    tests = ", ".join(f"CASE WHEN {what}{f'::DOUBLE / nullif({over}, 0)' if over else ''} {sign} {t} THEN '{name}' END" for name, what, over, sign, t in RULES)
     return f"list_filter([{tests}], lambda x: x IS NOT NULL)"
 
 
