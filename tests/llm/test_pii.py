@@ -1,0 +1,67 @@
+import hashlib
+import re
+
+import pytest
+from hypothesis import HealthCheck, given, settings, strategies as st
+
+from memlake.llm.pii import spans
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(d):
+    return sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def brute(text):
+    out = []
+    for kind, rx in BASE.items():
+        for m in re.finditer(rx, text or "", re.A):
+            d = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(p) > 255 for p in m[0].split(".")) or kind == "card" and not (13 <= len(d) <= 19 and luhn(d)) or kind == "phone" and not 9 <= len(d) <= 15:
+                continue
+            out.append((kind, m.start(), m.end()))
+    return out
+
+
+def found(spark, texts):
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, spans string")
+    rows = {r["doc_id"]: r["spans"] for r in spans(df).collect()}
+    return [[(s["kind"], s["start"], s["end"]) for s in rows[i]] for i in range(len(texts))]
+
+
+def base(all_spans):
+    return [s for s in all_spans if s[0] in BASE]
+
+
+def test_cases(spark):
+    texts = [
+        None, "", "no data", "é mail a.b@c-d.org, x@y", "a@b.co_foo@c.org a@@b.c", "1.2.3.4.5.6.7.8 300.1.1.1 001.002.003.0004 0000.0.0.0 1.2.3", "4111 1111 1111 1111 4111-1111-1111-1112",
+        "+1 (743) 555-3824 +12 +1234567890123456 ++49 30 123456", "😀 10.0.0.1 é 10.0.0.2", "a" * 30000 + "@b.c " + "9" * 30000 + " " + "1." * 5000, "0" * 16, "+1" + "2-" * 9000 + " x",
+    ]
+    got = found(spark, texts)
+    for t, g in zip(texts, got):
+        assert base(g) == brute(t), (t or "")[:60]
+
+
+def test_added_kinds_and_scores(spark):
+    texts = ["pay to IBAN DE89 3704 0044 0532 0130 00 now", "IBAN DE89 3704 0044 0532 0130 01", "my ssn 123-45-6789", "part 123-45-6789", 'token = "2321bac4d15ec8f90433955bf9d3cf61da5bdd1e"']
+    got = [[s[0] for s in g if s[0] not in BASE] for g in found(spark, texts)]
+    assert got == [["iban"], [], ["ssn"], [], ["secret"]]
+
+
+def test_empty_table(spark):
+    df = spark.createDataFrame([], "doc_id long, text string")
+    assert spans(df).count() == 0
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.text(alphabet="a1+@. -()é9_0\n", max_size=60), min_size=40, max_size=60))
+def test_random_texts(spark, texts):
+    for t, g in zip(texts, found(spark, texts)):
+        assert base(g) == brute(t), repr(t)
