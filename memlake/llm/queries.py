@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from memlake.llm.bpe import op4_byte_bpe
 from memlake.llm.licenses import op2_license_scan
 from memlake.llm.mixing import op5_source_mix
 from memlake.llm.pii import op3_personal_data
@@ -10,6 +11,7 @@ from memlake.llm.quality import OP10_SQL, op10_quality_rules
 QUERIES = {
     "op2_license_scan": op2_license_scan,
     "op3_personal_data": op3_personal_data,
+    "op4_byte_bpe": op4_byte_bpe,
     "op5_source_mix": op5_source_mix,
     "op10_quality_rules": op10_quality_rules,
 }
