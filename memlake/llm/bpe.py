@@ -8,7 +8,7 @@ import hashlib
 from array import array
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 from memlake.llm.common import small_batches
 
@@ -310,9 +310,8 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
                     c.append(v)
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, t) for c, t in zip(columns, added)]], names=[*batch.schema.names, *named])
 
-    schema = docs.schema
-    for name in named:
-        schema = schema.add(name, "long" if name == "n_tokens" else "array<int>" if name == "ids" else "string")
+    kinds = {"n_tokens": T.LongType(), "ids": T.ArrayType(T.IntegerType())}
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, kinds.get(n, T.StringType())) for n in named]])
     return docs.mapInArrow(run, schema)
 
 
@@ -328,7 +327,7 @@ def decode(tokens: DataFrame, path: str | None = None, pattern: str | None = Non
             texts = [own.decode(array("I", v.as_py() or []).tobytes()) for v in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "text"])
 
-    return tokens.mapInArrow(run, tokens.schema.add("text", "string"))
+    return tokens.mapInArrow(run, T.StructType([*tokens.schema.fields, T.StructField("text", T.StringType())]))
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
