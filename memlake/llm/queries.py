@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 from memlake.llm.bpe import op4_byte_bpe
+from memlake.llm.chat import op6_chat_format
 from memlake.llm.licenses import op2_license_scan
 from memlake.llm.mixing import op5_source_mix
 from memlake.llm.pii import op3_personal_data
 from memlake.llm.quality import OP10_SQL, op10_quality_rules
+from memlake.llm.search import OP1_SQL, op1_exact_top_k
 
 QUERIES = {
+    "op1_exact_top_k": op1_exact_top_k,
     "op2_license_scan": op2_license_scan,
     "op3_personal_data": op3_personal_data,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_source_mix": op5_source_mix,
+    "op6_chat_format": op6_chat_format,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES = {
+    "op1_exact_top_k": OP1_SQL,
     "op10_quality_rules": OP10_SQL,
 }
