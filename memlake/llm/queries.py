@@ -5,7 +5,9 @@ from __future__ import annotations
 from memlake.llm.bpe import op4_byte_bpe
 from memlake.llm.chat import op6_chat_format
 from memlake.llm.licenses import op2_license_scan
+from memlake.llm.line_dedup import op9_line_dedup
 from memlake.llm.mixing import op5_source_mix
+from memlake.llm.ngram_join import op8_ngram_join
 from memlake.llm.pii import op3_personal_data
 from memlake.llm.quality import OP10_SQL, op10_quality_rules
 from memlake.llm.search import OP1_SQL, op1_exact_top_k
@@ -17,6 +19,8 @@ QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_source_mix": op5_source_mix,
     "op6_chat_format": op6_chat_format,
+    "op8_ngram_join": op8_ngram_join,
+    "op9_line_dedup": op9_line_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES = {
