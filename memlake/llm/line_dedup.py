@@ -10,6 +10,8 @@ from memlake.llm.common import stored
 LINE = r"[^\n.,;:!?]+[\n.,;:!?\x20]*+|[\n.,;:!?]+"
 #: A chunk ends where the rolling hash over two lines is 0 modulo this.
 MEAN_LINES = 3
+#: Lines on each side of a removed chunk that are compared as well.
+AROUND = 6
 #: Chunks of fewer lines or signs stay, however often they repeat.
 LEAST_LINES, LEAST_CHARS = 2, 40
 
@@ -38,8 +40,8 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     plus n_lines, removed_lines and removed_chars.
 
     Chunks are matched by hash over the whole corpus; only chunks whose hash is found again travel with their bytes,
-    which are compared with those of the first place. Lines next to a removed chunk go as well while they equal those
-    next to the first place, so that a passage goes whole. Nothing of a hot chunk is gathered: its first place is a
+    which are compared with those of the first place. Up to ``AROUND`` lines next to a removed chunk go as well while
+    they equal those next to the first place, so that a passage goes whole. Nothing of a hot chunk is gathered: its first place is a
     grouped minimum, its places an equi-join that adaptive execution splits. Documents of equal key and text are one
     document and cleaned alike; a null key comes first; null text stays null with 0 lines; an empty table gives an
     empty table. Result columns that ``docs`` has already are replaced.
@@ -58,9 +60,7 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     w = wanted.select(F.col("__d").alias("__wd"), F.col("__k").alias("__wk"), F.col("__x").alias("__wt"), "__r")
     held = docs.repartition("__d").join(w, (docs["__d"] == w["__wd"]) & docs["__k"].eqNullSafe(w["__wk"]) & (docs["__t"] == w["__wt"]), "left").drop("__wd", "__wk", "__wt")
     found = chunked(held.where(F.col("__r").isNotNull()), text)
-    around = lambda c, step: F.get("__c", c["i"] + step)
-    lines = lambda c: F.when(c.isNotNull(), F.slice("__b", c["first"], c["last"] - c["first"] + 1)).otherwise(F.array().cast("array<string>"))
-    told = F.transform("__r", lambda r: _place(r, F.get("__c", r["i"]), around, lines))
+    told = F.transform("__r", lambda r: _place(r, F.get("__c", r["i"])))
     found = found.select("__d", "__k", "__t", F.explode(told).alias("p")).select("__d", "__k", "__t", "p.*")
     at = F.struct(F.col("__k").isNotNull().alias("known"), F.col("__k").alias("k"), F.col("__t").alias("t"), F.col("i").alias("i"))
     first = found.groupBy("h", "body").agg(F.min(F.struct(at.alias("at"), F.col("before").alias("b"), F.col("after").alias("a"))).alias("o"), F.count(F.lit(1)).alias("n"))
@@ -81,10 +81,11 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     return out.select(*[c for c in docs.columns if not c.startswith("__")], *own)
 
 
-def _place(r: Column, c: Column, around, lines) -> Column:
+def _place(r: Column, c: Column) -> Column:
+    start = F.greatest(c["first"] - AROUND, F.lit(1))
     return F.struct(
         r["h"].alias("h"), r["i"].alias("i"), c["first"].cast("long").alias("first"), c["last"].cast("long").alias("last"), _body(c["first"], c["last"]).alias("body"),
-        lines(around(r, -1)).alias("before"), lines(around(r, 1)).alias("after"),
+        F.slice("__b", start, c["first"] - start).alias("before"), F.slice("__b", c["last"] + 1, F.lit(AROUND)).alias("after"),
     )
 
 

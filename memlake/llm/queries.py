@@ -11,6 +11,7 @@ from memlake.llm.ngram_join import op8_ngram_join
 from memlake.llm.pii import op3_personal_data
 from memlake.llm.quality import OP10_SQL, op10_quality_rules
 from memlake.llm.search import OP1_SQL, op1_exact_top_k
+from memlake.llm.toxicity import op7_toxicity
 
 QUERIES = {
     "op1_exact_top_k": op1_exact_top_k,
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_source_mix": op5_source_mix,
     "op6_chat_format": op6_chat_format,
+    "op7_toxicity": op7_toxicity,
     "op8_ngram_join": op8_ngram_join,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality_rules": op10_quality_rules,
