@@ -286,14 +286,15 @@ def _vocabulary(path: str | None, pattern: str | None) -> tuple[str, str]:
     return path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
 
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, text: str = "text", digest: bool = False) -> DataFrame:
-    """``docs`` with ``ids`` (array of int) in place of a column of that name, or with ``digest`` the columns n_tokens,
-    ids_sha256 and decoded_sha256 of a round trip. Null text counts as empty and has no tokens; special tokens are
+def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, text: str = "text", digest: bool = False, ids: bool | None = None) -> DataFrame:
+    """``docs`` with ``ids`` (array of int) in place of a column of that name, and with ``digest`` the columns n_tokens,
+    ids_sha256 and decoded_sha256 of a round trip (then ``ids`` only on demand). Null text counts as empty and has no tokens; special tokens are
     ordinary text; every row gets its own result. ``path`` names a file of ranks that every executor has."""
     small_batches(docs.sparkSession)
-    named = ("n_tokens", "ids_sha256", "decoded_sha256") if digest else ("ids",)
+    ids = not digest if ids is None else ids
+    named = ("n_tokens", "ids_sha256", "decoded_sha256") * digest + ("ids",) * ids
     docs = docs.drop(*[c for c in docs.columns if c in named])
-    added = [pa.int64(), pa.string(), pa.string()] if digest else [pa.list_(pa.int32())]
+    added = [pa.int64(), pa.string(), pa.string()] * digest + [pa.list_(pa.int32())] * ids
     at = docs.columns.index(text)
 
     def run(batches):
@@ -302,10 +303,11 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
             columns = [[] for _ in named]
             for t in batch.column(at):
                 packed = own.encode(t.as_py() or "")
+                row = ()
                 if digest:
                     row = (len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(own.decode(packed).encode()).hexdigest())
-                else:
-                    row = (array("i", packed),)
+                if ids:
+                    row += (array("i", packed),)
                 for c, v in zip(columns, row):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, t) for c, t in zip(columns, added)]], names=[*batch.schema.names, *named])

@@ -38,6 +38,13 @@ def delete_stored(spark: SparkSession, df: DataFrame) -> None:
             jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def where_late(df: DataFrame, condition: str) -> DataFrame:
+    """``df.where(condition)`` evaluated above the projections that make its columns. Pushed below them, a condition
+    over columns derived in many steps would repeat all of those steps once for every use."""
+    row = F.monotonically_increasing_id()
+    return df.withColumn("__row", row).where(F.expr(condition) & (F.col("__row") >= 0)).drop("__row")
+
+
 def words_of(text) -> F.Column:
     """Array of the white-space words of a text; empty for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
