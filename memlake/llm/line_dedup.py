@@ -40,7 +40,7 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     plus n_lines, removed_lines and removed_chars.
 
     Chunks are matched by hash over the whole corpus; only chunks whose hash is found again travel with their bytes,
-    which are compared with those of the first place. Up to ``AROUND`` lines next to a removed chunk go as well while
+    which are compared with those of the hash's first place. Up to ``AROUND`` lines next to a removed chunk go as well while
     they equal those next to the first place, so that a passage goes whole. Nothing of a hot chunk is gathered: its first place is a
     grouped minimum, its places an equi-join that adaptive execution splits. Documents of equal key and text are one
     document and cleaned alike; a null key comes first; null text stays null with 0 lines; an empty table gives an
@@ -53,8 +53,10 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     long = lambda c: (c["last"] - c["first"] + 1 >= LEAST_LINES) & (F.length(_body(c["first"], c["last"])) >= LEAST_CHARS)
     places = cut.select("__k", "__t", F.explode(F.transform(F.filter("__c", long), lambda c: F.struct(c["i"].alias("i"), F.xxhash64(_body(c["first"], c["last"])).alias("h")))).alias("c")).select("__k", "__t", "c.i", "c.h")
     places = stored(places, "line-chunks")
-    again = places.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    wanted = places.join(again, "h").groupBy("__k", "__t").agg(F.collect_set(F.struct("i", "h")).alias("__r"))
+    at = F.struct(F.col("__k").isNotNull().alias("known"), F.col("__k").alias("k"), F.col("__t").alias("t"), F.col("i").alias("i"))
+    again = places.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("o")).where("n > 1").select("h", "o")
+    mark = F.struct("i", "h", (F.xxhash64(at) == F.xxhash64("o")).alias("f"))
+    wanted = places.join(again, "h").groupBy("__k", "__t").agg(F.collect_set(mark).alias("__r"))
     wanted = stored(wanted.withColumn("__d", F.xxhash64("__k", "__t")).select("__d", "__k", F.col("__t").alias("__x"), "__r"), "line-wanted")
     docs = docs.withColumn("__d", F.xxhash64("__k", "__t"))
     w = wanted.select(F.col("__d").alias("__wd"), F.col("__k").alias("__wk"), F.col("__x").alias("__wt"), "__r")
@@ -62,11 +64,8 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     found = chunked(held.where(F.col("__r").isNotNull()), text)
     told = F.transform("__r", lambda r: _place(r, F.get("__c", r["i"])))
     found = found.select("__d", "__k", "__t", F.explode(told).alias("p")).select("__d", "__k", "__t", "p.*")
-    at = F.struct(F.col("__k").isNotNull().alias("known"), F.col("__k").alias("k"), F.col("__t").alias("t"), F.col("i").alias("i"))
-    first = found.groupBy("h", "body").agg(F.min(F.struct(at.alias("at"), F.col("before").alias("b"), F.col("after").alias("a"))).alias("o"), F.count(F.lit(1)).alias("n"))
-    first = first.where("n > 1").select(F.col("h").alias("__fh"), F.col("body").alias("__fb"), "o")
-    here = F.xxhash64(at) != F.xxhash64("o.at")
-    gone = found.join(first, (found["h"] == first["__fh"]) & (found["body"] == first["__fb"])).where(here)
+    first = found.where("f").select(F.col("h").alias("__fh"), F.col("body").alias("__fb"), F.struct(F.col("before").alias("b"), F.col("after").alias("a")).alias("o")).dropDuplicates(["__fh"])
+    gone = found.where("not f").join(first, (found["h"] == first["__fh"]) & (found["body"] == first["__fb"]))
     run = lambda a, b: F.coalesce(F.array_position(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), False) - 1, F.lit(-1).cast("long"))
     length = lambda a, b: F.when(run(a, b) >= 0, run(a, b)).otherwise(F.least(F.size(a), F.size(b)).cast("long"))
     back, forth = length(F.reverse("before"), F.reverse(F.col("o.b"))), length(F.col("after"), F.col("o.a"))
@@ -82,10 +81,14 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
 
 
 def _place(r: Column, c: Column) -> Column:
+    """A chunk with its bytes; the lines before and after it only where they are not of a chunk that repeats itself, or
+    where it is a first place, with whose lines others are compared."""
     start = F.greatest(c["first"] - AROUND, F.lit(1))
+    edge = lambda step: r["f"] | ~F.exists("__r", lambda x: x["i"] == r["i"] + step)
     return F.struct(
-        r["h"].alias("h"), r["i"].alias("i"), c["first"].cast("long").alias("first"), c["last"].cast("long").alias("last"), _body(c["first"], c["last"]).alias("body"),
-        F.slice("__b", start, c["first"] - start).alias("before"), F.slice("__b", c["last"] + 1, F.lit(AROUND)).alias("after"),
+        r["h"].alias("h"), r["f"].alias("f"), c["first"].cast("long").alias("first"), c["last"].cast("long").alias("last"), _body(c["first"], c["last"]).alias("body"),
+        F.when(edge(-1), F.slice("__b", start, c["first"] - start)).otherwise(F.array().cast("array<string>")).alias("before"),
+        F.when(edge(1), F.slice("__b", c["last"] + 1, F.lit(AROUND))).otherwise(F.array().cast("array<string>")).alias("after"),
     )
 
 
