@@ -1,0 +1,45 @@
+"""Structured Streaming versions of the incremental loops: session logs, access counters, rate audit, mutations."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from memlake.operators.parse import session_turns
+
+
+def tail(spark: SparkSession, folder: str, pattern: str = "*.jsonl") -> DataFrame:
+    """Lines of log files as they appear. The file source reads a file once: logs must be rolled, not appended to."""
+    df = spark.readStream.format("text").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
+    return df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("offset"), F.col("value").alias("line"))
+
+
+def ingest(spark: SparkSession, folder: str, store: str, checkpoint: str):
+    """Append the turns of new files to a table; each micro-batch is parsed like a batch read."""
+    def save(batch: DataFrame, epoch: int) -> None:
+        lines = batch.withColumn("line_no", F.monotonically_increasing_id()).select("path", "line_no", "line")
+        session_turns(lines).withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(store)
+
+    return tail(spark, folder).writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def access_counts(events: DataFrame) -> DataFrame:
+    """Running (entry_id, access_count, last_accessed) of an event stream, in update mode."""
+    return events.groupBy("entry_id").agg(F.count(F.lit(1)).alias("access_count"), F.max("ts").alias("last_accessed"))
+
+
+def repeated_access(events: DataFrame, least: int = 3) -> DataFrame:
+    """Entries retrieved often enough to be promoted."""
+    return access_counts(events).where(F.col("access_count") >= least)
+
+
+def rate_windows(events: DataFrame, limit: int, late: str = "10 minutes") -> DataFrame:
+    """Calls by key and hour, and whether they stayed within the limit; hours close when the watermark passes them."""
+    if events.isStreaming:
+        events = events.withWatermark("ts", late)
+    w = events.groupBy(F.window("ts", "1 hour"), "key").agg(F.count(F.lit(1)).alias("calls"))
+    return w.select(F.col("window.start").alias("hour"), "key", "calls", (F.col("calls") <= limit).alias("allowed"))
+
+
+def once(mutations: DataFrame, keep: str = "72 hours") -> DataFrame:
+    """Each mutation id once within the time that results are kept."""
+    return mutations.withWatermark("ts", keep).dropDuplicatesWithinWatermark(["mutation_id"])
