@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from memlake.llm.common import small_batches
+from memlake.llm.common import small_batches, stored
 
 #: Hashed features; labelled rows that the fit uses at most; grades beyond 0; a document is toxic from this severity on.
 FEATURES, SAMPLE, GRADES, TOXIC = 1 << 18, 20_000, 3, 0.5
@@ -66,19 +66,23 @@ class CumulativeLink:
         return float(_sigmoid(self.weights[at] @ value - self.thresholds).sum())
 
 
+def informative(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """Which features toxic documents have more often than clean ones, by a log likelihood ratio of at least
+    ``EVIDENCE``, from the documents of each kind that have them."""
+    present, docs = np.stack([clean, toxic]).astype(float), np.array([[max(1, n_clean)], [max(1, n_toxic)]], float)
+    rate, own = present.sum(axis=0) / docs.sum(), present / docs
+    part = lambda seen, p: seen * np.log(np.maximum(p, 1e-12))
+    ratio = 2 * (part(present, own) + part(docs - present, 1 - own) - part(present, rate) - part(docs - present, 1 - rate)).sum(axis=0)
+    return (ratio >= EVIDENCE) & (own[1] > own[0])
+
+
 def grades_of(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, grades: int = GRADES) -> tuple[np.ndarray, np.ndarray]:
-    """Ordered grades from 0 / 1 labels, and the features used: those in toxic documents more often than in clean ones,
-    by a log likelihood ratio of at least ``EVIDENCE``. A toxic document's grade is 1 plus the tercile, among toxic
-    documents, of its total of such features."""
+    """Ordered grades from 0 / 1 labels, and the features used. A toxic document's grade is 1 plus the tercile, among
+    toxic documents, of its total of informative features."""
     present = np.zeros((2, FEATURES))
     for (at, _), y in zip(rows, toxic):
         present[int(y), at] += 1
-    docs = np.array([[max(1, int((toxic == y).sum()))] for y in (0, 1)], float)
-    rate = present.sum(axis=0) / docs.sum()
-    part = lambda seen, p: seen * np.log(np.maximum(p, 1e-12)) + 0.0
-    own = present / docs
-    ratio = 2 * (part(present, own) + part(docs - present, 1 - own) - part(present, rate) - part(docs - present, 1 - rate)).sum(axis=0)
-    use = (ratio >= EVIDENCE) & (own[1] > own[0])
+    use = informative(present[1], present[0], int((toxic == 1).sum()), int((toxic == 0).sum()))
     load = np.array([value[use[at]].sum() for at, value in rows])
     edges = np.quantile(load[toxic == 1], np.arange(1, grades) / grades) if (toxic == 1).any() else np.zeros(grades - 1)
     return np.where(toxic == 1, 1 + np.searchsorted(edges, load, "right"), 0), use
@@ -129,8 +133,10 @@ def _ordered(raw: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, grades: int = GRADES) -> CumulativeLink:
     """Fit on at most ``sample`` labelled rows (the first by a hash of the key), toxic and clean rows half each where
-    there are enough. The driver holds their sparse features and nothing else of the corpus. Labels that are null, or
-    of documents without a row, are left out; without toxic labels no document is toxic."""
+    there are enough. Spark counts the documents of each feature; the driver holds those counts for features in three
+    documents or more, then the informative features of the sample, and nothing else of the corpus. Labels that are
+    null, or of documents without a row, are left out; without toxic labels no document is toxic."""
+    small_batches(docs.sparkSession)
     known = labels.where("toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
     order = F.xxhash64("doc_id", F.lit(7))
     half = sample // 2
@@ -139,15 +145,28 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, grades: int
     def told(batches):
         for batch in batches:
             found = [features(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([f[0].tolist() for f in found], pa.list_(pa.int32())), pa.array([f[1].tolist() for f in found], pa.list_(pa.float64()))], names=["toxic", "at", "value"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float64()))], names=["toxic", "at", "value"])
 
-    rows = docs.select("doc_id", "text").join(picked, "doc_id").select("text", "toxic").mapInArrow(told, "toxic int, at array<int>, value array<double>").toArrow()
-    at = [np.array(x, np.int32) for x in rows.column("at").to_pylist()]
-    value = [np.array(x) for x in rows.column("value").to_pylist()]
-    toxic = np.array(rows.column("toxic").to_pylist(), int)
-    if not (toxic == 1).any():
+    rows = stored(docs.select("doc_id", "text").join(picked, "doc_id").select("text", "toxic").mapInArrow(told, "toxic int, at array<int>, value array<double>"), "toxic-features")
+    n = rows.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
+    if not n[0]:
         return CumulativeLink(np.zeros(FEATURES), np.full(grades, 40.0))
-    return fit(list(zip(at, value)), toxic, grades)
+    seen = rows.select("toxic", F.explode("at").alias("f")).groupBy("f").agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") == 0).alias("c")).where("t + c >= 3").toArrow()
+    present = np.zeros((2, FEATURES))
+    present[:, seen.column("f").to_numpy()] = [seen.column("c").to_numpy(), seen.column("t").to_numpy()]
+    use = docs.sparkSession.sparkContext.broadcast(np.flatnonzero(informative(present[1], present[0], n[0], n[1])))
+
+    def kept(batches):
+        mask = np.zeros(FEATURES, bool)
+        mask[use.value] = True
+        for batch in batches:
+            both = [(np.array(a, np.int32), np.array(v)) for a, v in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            both = [(a[mask[a]], v[mask[a]]) for a, v in both]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a for a, _ in both], pa.list_(pa.int32())), pa.array([v for _, v in both], pa.list_(pa.float64()))], names=["toxic", "at", "value"])
+
+    small = rows.mapInArrow(kept, "toxic int, at array<int>, value array<double>").toArrow()
+    each = [(np.array(a, np.int32), np.array(v, float)) for a, v in zip(small.column("at").to_pylist(), small.column("value").to_pylist())]
+    return fit(each, small.column("toxic").to_numpy().astype(int), grades)
 
 
 def score(docs: DataFrame, model: CumulativeLink, text: str = "text") -> DataFrame:
