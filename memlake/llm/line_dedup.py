@@ -37,46 +37,51 @@ def _body(first: Column, last: Column) -> Column:
 
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` with each repeated chunk cut out of ``text`` but at its first place, by key and then place in the text;
-    plus n_lines, removed_lines and removed_chars.
+    plus removed_lines and removed_chars.
 
     Chunks are matched by hash over the whole corpus; only chunks whose hash is found again travel with their bytes,
     which are compared with those of the hash's first place. Up to ``AROUND`` lines next to a removed chunk go as well while
     they equal those next to the first place, so that a passage goes whole. Nothing of a hot chunk is gathered: its first place is a
     grouped minimum, its places an equi-join that adaptive execution splits. Documents of equal key and text are one
-    document and cleaned alike; a null key comes first; null text stays null with 0 lines; an empty table gives an
+    document and cleaned alike; a null key comes first; null text stays null; an empty table gives an
     empty table. Result columns that ``docs`` has already are replaced.
     """
-    own = ["n_lines", "removed_lines", "removed_chars"]
+    own = ["removed_lines", "removed_chars"]
     docs = docs.drop(*[c for c in own if c in docs.columns])
     docs = docs.withColumns({"__k": F.col(key), "__t": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
     cut = chunked(docs, text)
     long = lambda c: (c["last"] - c["first"] + 1 >= LEAST_LINES) & (F.length(_body(c["first"], c["last"])) >= LEAST_CHARS)
     places = cut.select("__k", "__t", F.explode(F.transform(F.filter("__c", long), lambda c: F.struct(c["i"].alias("i"), F.xxhash64(_body(c["first"], c["last"])).alias("h")))).alias("c")).select("__k", "__t", "c.i", "c.h")
     places = stored(places, "line-chunks")
+    again = places.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    twice = stored(places.join(again, "h"), "line-repeats")
     at = F.struct(F.col("__k").isNotNull().alias("known"), F.col("__k").alias("k"), F.col("__t").alias("t"), F.col("i").alias("i"))
-    again = places.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("o")).where("n > 1").select("h", "o")
     mark = F.struct("i", "h", (F.xxhash64(at) == F.xxhash64("o")).alias("f"))
-    wanted = places.join(again, "h").groupBy("__k", "__t").agg(F.collect_set(mark).alias("__r"))
+    wanted = twice.join(twice.groupBy("h").agg(F.min(at).alias("o")), "h").groupBy("__k", "__t").agg(F.collect_set(mark).alias("__r"))
     wanted = stored(wanted.withColumn("__d", F.xxhash64("__k", "__t")).select("__d", "__k", F.col("__t").alias("__x"), "__r"), "line-wanted")
     docs = docs.withColumn("__d", F.xxhash64("__k", "__t"))
     w = wanted.select(F.col("__d").alias("__wd"), F.col("__k").alias("__wk"), F.col("__x").alias("__wt"), "__r")
     held = docs.repartition("__d").join(w, (docs["__d"] == w["__wd"]) & docs["__k"].eqNullSafe(w["__wk"]) & (docs["__t"] == w["__wt"]), "left").drop("__wd", "__wk", "__wt")
-    found = chunked(held.where(F.col("__r").isNotNull()), text)
-    told = F.transform("__r", lambda r: _place(r, F.get("__c", r["i"])))
-    found = found.select("__d", "__k", "__t", F.explode(told).alias("p")).select("__d", "__k", "__t", "p.*")
-    first = found.where("f").select(F.col("h").alias("__fh"), F.col("body").alias("__fb"), F.struct(F.col("before").alias("b"), F.col("after").alias("a")).alias("o")).dropDuplicates(["__fh"])
-    gone = found.where("not f").join(first, (found["h"] == first["__fh"]) & (found["body"] == first["__fb"]))
+
+    def found(firsts: bool) -> DataFrame:
+        some = F.filter("__r", lambda r: r["f"] == firsts)
+        rows = chunked(held.where(F.size(some) > 0), text)
+        told = F.transform(some, lambda r: _place(r, F.get("__c", r["i"])))
+        return rows.select("__d", "__k", "__t", F.explode(told).alias("p")).select("__d", "__k", "__t", "p.*")
+
+    first = found(True).select(F.col("h").alias("__fh"), F.col("body").alias("__fb"), F.struct(F.col("before").alias("b"), F.col("after").alias("a")).alias("o")).dropDuplicates(["__fh"])
+    gone = found(False).join(first, (F.col("h") == F.col("__fh")) & (F.col("body") == F.col("__fb")))
     run = lambda a, b: F.coalesce(F.array_position(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), False) - 1, F.lit(-1).cast("long"))
     length = lambda a, b: F.when(run(a, b) >= 0, run(a, b)).otherwise(F.least(F.size(a), F.size(b)).cast("long"))
     back, forth = length(F.reverse("before"), F.reverse(F.col("o.b"))), length(F.col("after"), F.col("o.a"))
     gone = gone.select("__d", "__k", "__t", F.struct((F.col("first") - back).alias("first"), (F.col("last") + forth).alias("last")).alias("s"))
     gone = gone.groupBy("__d", "__k", "__t").agg(F.array_sort(F.collect_set("s")).alias("__s")).select(F.col("__d").alias("__gd"), F.col("__k").alias("__gk"), F.col("__t").alias("__gt"), "__s")
     out = held.join(gone, (held["__d"] == gone["__gd"]) & held["__k"].eqNullSafe(gone["__gk"]) & (held["__t"] == gone["__gt"]), "left")
-    out = out.withColumn("__l", _lines(F.col(text)))
-    kept = F.when(F.col("__s").isNull(), F.col("__l")).otherwise(F.filter("__l", lambda x, i: ~F.exists("__s", lambda s: (s["first"] <= i + 1) & (s["last"] >= i + 1))))
-    out = out.withColumn("__o", kept)
+    out = out.withColumn("__l", F.when(F.col("__s").isNotNull(), _lines(F.col(text))))
+    out = out.withColumn("__o", F.filter("__l", lambda x, i: ~F.exists("__s", lambda s: (s["first"] <= i + 1) & (s["last"] >= i + 1))))
     clean = F.when(F.col("__s").isNull(), F.col(text)).otherwise(F.array_join("__o", ""))
-    out = out.withColumns({"n_lines": F.size("__l").cast("long"), "removed_lines": (F.size("__l") - F.size("__o")).cast("long"), "removed_chars": F.coalesce(F.length(text) - F.length(clean), F.lit(0)).cast("long"), text: clean})
+    lost = F.when(F.col("__s").isNotNull(), F.size("__l") - F.size("__o")).otherwise(0)
+    out = out.withColumns({"removed_lines": lost.cast("long"), "removed_chars": F.when(F.col("__s").isNotNull(), F.length(text) - F.length(clean)).otherwise(0).cast("long"), text: clean})
     return out.select(*[c for c in docs.columns if not c.startswith("__")], *own)
 
 

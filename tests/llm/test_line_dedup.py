@@ -18,7 +18,7 @@ def test_passages_go_but_for_the_first(spark):
             text = text + " " + passage if rng.random() < 0.5 else prose(rng, 5) + "\n" + passage + "\n" + text
             with_it.append(i)
         rows.append((i, text, "x"))
-    got = {r["doc_id"]: r for r in dedup(spark.createDataFrame(rows, "doc_id long, text string, n_lines string")).collect()}
+    got = {r["doc_id"]: r for r in dedup(spark.createDataFrame(rows, "doc_id long, text string, removed_lines string")).collect()}
     words = len(passage.split())
     for i, text, _ in rows:
         lost = len(text.split()) - len(got[i]["text"].split())
