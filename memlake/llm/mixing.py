@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from memlake.llm.common import SPACE, WORD, stored
+from memlake.llm.common import SPACE, WORD, stored, words_of
 
 #: Weights that the sources take in turn, in code point order.
 WEIGHTS = (3, 1, 2)
@@ -101,10 +101,13 @@ def mix(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP,
     return docs.drop(*[c for c in docs.columns if c.startswith("__")])
 
 
+def _count(text: F.Column) -> F.Column:
+    return F.size(words_of(text)).cast("long")
+
+
 def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size): words of every whole text, 0 for null; counted by removing all but one sign a word."""
-    count = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), SPACE), "")).cast("long")
-    return docs.select("doc_id", "source", count.alias("size"))
+    """(doc_id, source, size): words of every whole text, 0 for null."""
+    return docs.select("doc_id", "source", _count(F.col("text")).alias("size"))
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,23 +117,22 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def taken_texts(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: a row for each pass over a document that takes any of its words, its text cut to the
-    words taken in that pass (with the white space that follows them), its other columns as they were."""
+    words taken in that pass (with the white space that follows them), its other columns as they were. Rows of equal
+    key, source and size are told apart by rank: their takings differ by their place in the stream only."""
     key = ["doc_id", "source", "size"]
-    sized = stored(sizes(docs).withColumn("__k", F.lit(0)).drop("__k"), "mix-sizes")
-    return _cut(docs, mix(sized, **options).select(*key, "picks").withColumn("__n", F.row_number().over(W.partitionBy(*key).orderBy("picks"))), key)
-
-
-def _cut(docs: DataFrame, picks: DataFrame, key: list[str]) -> DataFrame:
-    n = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), SPACE), "")).cast("long")
-    rows = docs.withColumn("size", n).withColumn("__n", F.row_number().over(W.partitionBy(*key).orderBy("text")))
-    on = rows["__n"] == picks["__n"]
-    for c in key:
-        on = on & rows[c].eqNullSafe(picks[c])
-    df = rows.join(picks, on).select(*[rows[c] for c in docs.columns], picks["picks"])
+    sized = stored(sizes(docs), "mix-sizes")
+    n = F.row_number().over(W.partitionBy(*key).orderBy("picks"))
+    picks = mix(sized, **options).select(*key, F.col("picks").alias("__picks"), n.alias("__m")).where(F.size("__picks") > 0)
+    rows = docs.withColumn("__size", _count(F.col("text")))
+    rows = rows.withColumn("__n", F.row_number().over(W.partitionBy("doc_id", "source", "__size").orderBy("text")))
+    on = rows["__n"] == picks["__m"]
+    for a, b in (("doc_id", "doc_id"), ("source", "source"), ("__size", "size")):
+        on = on & rows[a].eqNullSafe(picks[b])
+    df = rows.join(picks, on).select(*[rows[c] for c in docs.columns], picks["__picks"])
     df = df.withColumn("__w", F.regexp_extract_all("text", F.lit(f"{WORD}(?:{SPACE})?"), F.lit(0)))
-    passes = F.sequence(F.lit(1), F.greatest(F.lit(1), F.coalesce(F.array_max(F.transform("picks", lambda p: p["times"])), F.lit(0)).cast("int")))
-    df = df.where(F.size("picks") > 0).withColumn("__pass", F.explode(passes))
-    kept = F.filter("picks", lambda p: p["times"] >= F.col("__pass"))
+    passes = F.sequence(F.lit(1), F.greatest(F.lit(1), F.array_max(F.transform("__picks", lambda p: p["times"])).cast("int")))
+    df = df.withColumn("__pass", F.explode(passes))
+    kept = F.filter("__picks", lambda p: p["times"] >= F.col("__pass"))
     text = F.array_join(F.flatten(F.transform(kept, lambda p: F.slice("__w", (p["first"] + 1).cast("int"), (p["end"] - p["first"]).cast("int")))), "")
     df = df.withColumn("text", text)
     if "n_chars" in docs.columns:
