@@ -175,3 +175,14 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     hostile = spark.createDataFrame(HOSTILE, "conv_id long, turn long, role string, text string")
     return digests(from_turns(turns.unionByName(hostile)))
+
+
+OP6_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+p AS (SELECT *, CASE role WHEN 'user' THEN 'INST' WHEN 'assistant' THEN 'OUT' WHEN 'system' THEN 'SYS' ELSE 'TURN' END AS name,
+  regexp_replace(text, '(\\*)(</?s>|\[/?(?:INST|OUT|SYS|TURN)\])', '\1\1\\\2', 'g') AS body FROM t),
+f AS (SELECT *, '<s>[' || name || '] ' || CASE WHEN name = 'TURN' THEN length(role) || ':' || role || ':' ELSE '' END || body || ' [/' || name || ']</s>' || chr(10) AS piece FROM p)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(piece))::BIGINT AS formatted_chars FROM f GROUP BY conv_id
+"""

@@ -138,3 +138,35 @@ def taken_texts(docs: DataFrame, **options) -> DataFrame:
     if "n_chars" in docs.columns:
         df = df.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return df.select(*docs.columns)
+
+
+def _hash_sql(*values: str) -> str:
+    return f"('0x' || substr(md5({' || chr(124) || '.join(values)} || '|{SEED}'), 1, 15))::BIGINT"
+
+
+OP5_SQL = f"""
+WITH z AS (SELECT row_number() OVER () AS rid, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
+s0 AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS docs FROM z GROUP BY source),
+s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM s0),
+s2 AS (SELECT *, [3, 1, 2][((sid - 1) % 3 + 1)::INTEGER] AS w, {float(CAP)}::DOUBLE * source_size AS cap FROM s1),
+s3 AS (SELECT *, source_size::DOUBLE / w AS o, ({SHARE}::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY source_size::DOUBLE / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(w) OVER (ORDER BY source_size::DOUBLE / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s2),
+s4 AS (SELECT *, first_value(level) OVER (ORDER BY cap <= level * w, o) AS lam FROM s3),
+s5 AS (SELECT source, source_size, docs, sid, CASE WHEN cap <= level * w THEN cap ELSE lam * w END AS target FROM s4),
+s6 AS (SELECT *, coalesce(greatest(1, least({BLOCK}, floor(min(CASE WHEN target > 0 THEN target END) OVER () / 100))), 1)::BIGINT AS unit, sum(target) OVER () AS total FROM s5),
+s7 AS (SELECT *, floor(total / unit + 0.5)::BIGINT AS house FROM s6),
+q1 AS (SELECT sid, house, target / (2 * k + 1) AS q FROM (SELECT *, unnest(range(0, floor(target / unit)::BIGINT + 8)) AS k FROM s7 WHERE target > 0)),
+q2 AS (SELECT sid, row_number() OVER (ORDER BY q DESC, sid) AS r, house FROM q1),
+g AS (SELECT s7.*, coalesce(n, 0) AS blocks, ceil(docs / {SHARD_DOCS}.0)::BIGINT AS shards FROM s7 LEFT JOIN (SELECT sid, count(*) AS n FROM q2 WHERE r <= house GROUP BY sid) USING (sid)),
+d0 AS (SELECT z.*, g.sid, g.source_size, g.target, g.unit, g.blocks, g.shards, {_hash_sql("coalesce(doc_id::VARCHAR, '~')", "size::VARCHAR")} AS h FROM z JOIN g ON z.source IS NOT DISTINCT FROM g.source),
+d1 AS (SELECT *, h % shards AS shard FROM d0),
+d2 AS (SELECT *, sum(size) OVER (PARTITION BY sid, shard ORDER BY h, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS b, sum(size) OVER (PARTITION BY sid, shard)::BIGINT AS v FROM d1),
+t0 AS (SELECT sid, shard, any_value(v) AS v, any_value(blocks) AS blocks, any_value(unit) AS unit, sum(any_value(v)) OVER (PARTITION BY sid) AS vs FROM d2 WHERE size > 0 GROUP BY sid, shard),
+t1 AS (SELECT sid, shard, blocks, v / (2 * k + 1) AS q FROM (SELECT *, unnest(range(0, floor(v * blocks / vs)::BIGINT + 8)) AS k FROM t0)),
+t2 AS (SELECT sid, shard, blocks, row_number() OVER (PARTITION BY sid ORDER BY q DESC, shard) AS r FROM t1),
+t3 AS (SELECT t0.sid, t0.shard, ceil(v::DOUBLE / unit)::BIGINT AS m, coalesce(n, 0) AS seats, {_hash_sql("t0.sid::VARCHAR", "t0.shard::VARCHAR")} AS o FROM t0 LEFT JOIN (SELECT sid, shard, count(*) AS n FROM t2 WHERE r <= blocks GROUP BY 1, 2) USING (sid, shard)),
+t4 AS (SELECT *, least(seats, {CAP} * m) AS q, {list(STEPS)}[(o % {len(STEPS)} + 1)::INTEGER]::BIGINT AS step FROM t3),
+p AS (SELECT rid, sum(greatest(0, least((j + 1) * v // m, b) - greatest(j * v // m, b - size)) * (q // m + CASE WHEN (step * j + o % m) % m < q % m THEN 1 ELSE 0 END)) AS taken
+  FROM (SELECT rid, b, v, size, m, q, o, step, unnest(range(greatest(0, (b - size) * m // v - 1), least(m, b * m // v + 2))) AS j FROM d2 JOIN t4 USING (sid, shard) WHERE size > 0) GROUP BY rid)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM d2 LEFT JOIN p USING (rid)
+"""

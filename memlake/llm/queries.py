@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from memlake.llm.bpe import op4_byte_bpe
-from memlake.llm.chat import op6_chat_format
+from memlake.llm.chat import OP6_SQL, op6_chat_format
 from memlake.llm.licenses import op2_license_scan
 from memlake.llm.line_dedup import op9_line_dedup
-from memlake.llm.mixing import op5_source_mix
-from memlake.llm.ngram_join import op8_ngram_join
+from memlake.llm.mixing import OP5_SQL, op5_source_mix
+from memlake.llm.ngram_join import OP8_SQL, op8_ngram_join
 from memlake.llm.pii import op3_personal_data
 from memlake.llm.quality import OP10_SQL, op10_quality_rules
 from memlake.llm.search import OP1_SQL, op1_exact_top_k
@@ -27,5 +27,8 @@ QUERIES = {
 }
 ORACLES = {
     "op1_exact_top_k": OP1_SQL,
+    "op5_source_mix": OP5_SQL,
+    "op6_chat_format": OP6_SQL,
+    "op8_ngram_join": OP8_SQL,
     "op10_quality_rules": OP10_SQL,
 }
