@@ -69,4 +69,4 @@ def extract(prompts: DataFrame, extractor: Callable[[str], str], parallel: int =
         for f in frames:
             yield f.assign(answer=[one(p) for p in f["prompt"]])
 
-    return prompts.repartition(parallel).mapInPandas(run, "conv_id long, prompt string, answer string")
+    return prompts.repartition(parallel).mapInPandas(run, "conv_id long, prompt string, answer string".replace("conv_id long", f"conv_id {prompts.schema['conv_id'].dataType.simpleString()}"))

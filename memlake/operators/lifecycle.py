@@ -83,18 +83,24 @@ def restored(entries: DataFrame, archive: DataFrame, ids: DataFrame, keep_contex
     return entries.join(last, "entry_id", "left_anti").unionByName(back.select(*entries.columns))
 
 
+def _live(entries: DataFrame) -> DataFrame:
+    """Entries that an index may hold: not archived, and of topics not deprecated."""
+    return entries.where(~F.coalesce("archived", F.lit(False)) & ~((F.col("entry_type") == "knowledge") & F.coalesce(F.col("state") == "deprecated", F.lit(False))))
+
+
 def ranked(entries: DataFrame) -> DataFrame:
-    """Live entries with their place by type: tier, salience, last change, id. Deprecated topics stay out."""
-    live = entries.where(~F.coalesce("archived", F.lit(False)) & ~((F.col("entry_type") == "knowledge") & F.coalesce(F.col("state") == "deprecated", F.lit(False))))
+    """Live entries with their place by type: tier, salience, last change, id."""
     order = W.partitionBy("entry_type").orderBy("tier", F.col("salience").desc(), F.col("updated_at").desc_nulls_last(), "entry_id")
-    return live.withColumn("place", F.row_number().over(order))
+    return _live(entries).withColumn("place", F.row_number().over(order))
 
 
 def thin_index(entries: DataFrame, topics: int = P.TOPIC_CAP, projects: int = P.PROJECT_CAP) -> DataFrame:
-    """The first topics and projects, summaries cut to 80. A cap on the window's rank keeps each task to its best rows
-    before the shuffle."""
-    cap = F.when(F.col("entry_type") == "project", projects).otherwise(topics)
-    df = ranked(entries).where(F.col("place") <= cap)
+    """The first topics and projects, summaries cut to 80. Each kind is a sorted limit, of which every task keeps its
+    own best rows only; places are then given to those few."""
+    live = _live(entries)
+    order = ["tier", F.col("salience").desc(), F.col("updated_at").desc_nulls_last(), "entry_id"]
+    best = live.where("entry_type <> 'project'").orderBy(*order).limit(topics).unionByName(live.where("entry_type = 'project'").orderBy(*order).limit(projects))
+    df = best.withColumn("place", F.row_number().over(W.partitionBy("entry_type").orderBy(*order)))
     state = F.when(F.col("state").isin("active", "contested", "stale"), F.col("state")).otherwise("active")
     return df.select("entry_id", "entry_type", "place", "tier", "salience", shortened(F.col("narrative"), 80).alias("summary"), state.alias("state"), "label")
 
@@ -108,17 +114,21 @@ def patched_index(index: DataFrame, changed: DataFrame, topics: int = P.TOPIC_CA
     return both.withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.when(F.col("entry_type") == "project", projects).otherwise(topics)).select(*index.columns)
 
 
-def budgeted(index: DataFrame, budget: int, floor: int = 100, keep: float = 0.8, steps: int = 80) -> DataFrame:
+def budgeted(index: DataFrame, budget: int, floor: int = 100, keep: float = 0.8) -> DataFrame:
     """The longest head of ranked rows (place, tokens) whose length is in n, 0.8 n, 0.64 n, ... (down to ``floor``) and
-    fits the budget; plus over_budget where not even the last does. Sizes are a fixed sequence, so one running sum
-    and one aggregate find it."""
-    total = index.agg(F.count(F.lit(1)).alias("n"))
-    seq = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.array(F.col("n").cast("long")), lambda a, _: F.when(F.element_at(a, -1) > floor, F.array_append(a, F.floor(F.element_at(a, -1) * keep).cast("long"))).otherwise(a))
-    sizes = total.select(F.explode(seq).alias("size"))
-    sums = index.select("place", F.sum("tokens").over(W.orderBy("place").rowsBetween(W.unboundedPreceding, 0)).alias("used"))
-    fits = sizes.join(sums, F.col("size") == F.col("place"), "left").select("size", F.coalesce("used", F.lit(0)).alias("used"))
-    pick = fits.agg(F.coalesce(F.max(F.when(F.col("used") <= budget, F.col("size"))), F.min("size")).alias("size"), (F.coalesce(F.max(F.when(F.col("used") <= budget, 1)), F.lit(0)) == 0).alias("over_budget"))
-    return index.crossJoin(F.broadcast(pick)).where(F.col("place") <= F.col("size")).drop("size")
+    fits the budget; plus over_budget where not even the last does. The lengths are a short sequence known from n, so
+    one grouped sum by the next length above each place tells them all."""
+    sizes = [index.count()]
+    while sizes[-1] > floor:
+        sizes.append(int(sizes[-1] * keep))
+    step = F.array_min(F.filter(F.array(*[F.lit(s).cast("long") for s in sizes]), lambda s: s >= F.col("place")))
+    parts = {r["size"]: r["used"] for r in index.groupBy(step.alias("size")).agg(F.sum("tokens").alias("used")).collect()}
+    used, fits = 0, []
+    for size in sorted(sizes):
+        used += parts.get(size) or 0
+        if used <= budget:
+            fits.append(size)
+    return index.where(F.col("place") <= max(fits, default=min(sizes))).withColumn("over_budget", F.lit(not fits))
 
 
 def recent_evolutions(evolutions: DataFrame, now, days: int = 30, most: int = 10) -> DataFrame:

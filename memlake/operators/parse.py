@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from memlake.plans.tables import stored
+
 FENCED = r"(?s)```(\w*)\n(.*?)```"
 
 
@@ -36,7 +38,6 @@ def primary_path(nodes: DataFrame, depth: int = 64) -> DataFrame:
 
     Paths double each round: after r rounds a node knows its ancestors 2^r up, so a chain of any length takes its
     logarithm in joins. ``depth`` bounds the rounds at 2^depth nodes."""
-    spark = nodes.sparkSession
     df = edges(nodes)
     child = F.row_number().over(W.partitionBy("conv_id", "parent_id").orderBy("ord", "id"))
     known = df.select("conv_id", F.col("id").alias("parent_id"), F.lit(1).alias("here")).distinct()
@@ -46,7 +47,8 @@ def primary_path(nodes: DataFrame, depth: int = 64) -> DataFrame:
         if up.where("top is not null").isEmpty():
             break
         above = up.select("conv_id", F.col("id").alias("top"), F.col("top").alias("next"), F.col("path").alias("p"), F.col("nths").alias("n"))
-        up = up.join(above, ["conv_id", "top"], "left").select("conv_id", "id", F.col("next").alias("top"), F.coalesce(F.concat("p", "path"), F.col("path")).alias("path"), F.coalesce(F.concat("n", "nths"), F.col("nths")).alias("nths"), "is_root", "created_at").checkpoint()
+        up = up.join(above, ["conv_id", "top"], "left").select("conv_id", "id", F.col("next").alias("top"), F.coalesce(F.concat("p", "path"), F.col("path")).alias("path"), F.coalesce(F.concat("n", "nths"), F.col("nths")).alias("nths"), "is_root", "created_at")
+        up = stored(up, "paths")
     roots = df.where("is_root").select("conv_id", F.col("id").alias("root_id"))
     inner = df.select("conv_id", F.col("parent_id").alias("id")).distinct()
     leaves = up.join(inner, ["conv_id", "id"], "left_anti").join(roots, "conv_id").where(F.col("path")[0] == F.col("root_id"))

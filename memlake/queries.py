@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from memlake import policy as P
 from memlake.functions import scoring as S
 from memlake.operators import filters, lifecycle, mail, merge, mutate, parse, replay, search, upkeep
+from memlake.plans.tables import numbered
 from memlake.streaming import rate_windows
 
 NOW = "2024-01-31 00:00:00"
@@ -125,9 +126,10 @@ def reconsolidate_promotions(spark, sf_dir):
 @query(f"""WITH RECURSIVE {ENTRIES_SQL}, s AS (SELECT entry_id, round(length(narrative) / 4.0)::BIGINT AS tokens, row_number() OVER (ORDER BY tier, salience DESC, entry_id) AS place FROM entries WHERE NOT archived),
 n AS (SELECT count(*)::BIGINT AS size FROM s UNION ALL SELECT floor(size * 0.8)::BIGINT FROM n WHERE size > 100), u AS (SELECT place, sum(tokens) OVER (ORDER BY place) AS used FROM s),
 f AS (SELECT n.size, coalesce(u.used, 0) AS used FROM n LEFT JOIN u ON n.size = u.place), p AS (SELECT coalesce(max(size) FILTER (used <= 200000), min(size)) AS size, count(*) FILTER (used <= 200000) = 0 AS over_budget FROM f)
-SELECT place::INTEGER AS place, entry_id, tokens, over_budget FROM s, p WHERE place <= size""")
+SELECT place::BIGINT AS place, entry_id, tokens, over_budget FROM s, p WHERE place <= size""")
 def index_budget_trim(spark, sf_dir):
-    e = entries(spark, sf_dir).where("not archived").withColumn("place", F.row_number().over(W.orderBy("tier", F.col("salience").desc(), "entry_id"))).withColumn("tokens", parse.token_estimate(F.col("narrative")))
+    e = entries(spark, sf_dir).where("not archived").select("entry_id", "tier", "salience", parse.token_estimate(F.col("narrative")).alias("tokens"))
+    e = numbered(e, [F.col("tier"), F.col("salience").desc(), F.col("entry_id")])
     return lifecycle.budgeted(e.select("place", "entry_id", "tokens"), 200_000)
 
 

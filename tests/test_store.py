@@ -215,3 +215,26 @@ def test_budget_sequence(spark):
     assert lifecycle.budgeted(df, 5200).count() == 512
     last = lifecycle.budgeted(df, 5)
     assert last.first()["over_budget"] and 0 < last.count() <= 100
+
+
+def test_numbered_is_one_sequence(spark):
+    from memlake.plans.tables import numbered
+
+    df = spark.range(500).select(F.pmod(F.xxhash64("id"), F.lit(97)).alias("k"), "id").repartition(7)
+    got = [r["place"] for r in numbered(df, [F.col("k").desc(), F.col("id")]).orderBy(F.col("k").desc(), "id").collect()]
+    assert got == list(range(1, 501))
+
+
+def test_distill_run(spark):
+    from memlake.plans import distill
+
+    nodes = spark.createDataFrame([("c1", "a", None, 0, "human", "I decided to use spark ```x```", "1"), ("c1", "b", "a", 1, "assistant", "good", "2"), ("c2", "a", None, 0, "human", "hi", "1")], "conv_id string, id string, parent_id string, ord int, role string, text string, created_at string")
+    kind = "entry_id string, label string, repos array<string>, embedding array<double>, view string, confidence string, state string, insights array<struct<insight:string,snippet:string>>, sources array<string>, evolution array<struct<delta:string,trigger:string,from_view:string,to_view:string>>, positions array<string>"
+    store_ = spark.createDataFrame([], kind)
+
+    def to_entries(answers):
+        return answers.select(F.concat(F.lit("ke_"), F.col("conv_id")).alias("entry_id"), F.col("answer").alias("label"), F.array().cast("array<string>").alias("repos"), F.array(F.lit(1.0)).alias("embedding"), F.col("answer").alias("view"), F.lit("high").alias("confidence"), F.lit("active").alias("state"), F.array().cast("array<struct<insight:string,snippet:string>>").alias("insights"), F.array("conv_id").alias("sources"), F.array().cast("array<struct<delta:string,trigger:string,from_view:string,to_view:string>>").alias("evolution"), F.array().cast("array<string>").alias("positions"))
+
+    out = distill.run(nodes, spark.createDataFrame([], "conv_id string"), store_, lambda p: "spark use", to_entries, NOW)
+    assert [r["entry_id"] for r in out["entries"].collect()] == ["ke_c1"]
+    assert (out["report"].first()["parsed"], out["report"].first()["kept"], out["report"].first()["create"]) == (2, 1, 1)
