@@ -2,42 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from memlake.plans.tables import clear_stored, delete_stored, shared_dir, stored
+
+__all__ = ["clear_stored", "connected_components", "delete_stored", "shared_dir", "small_batches", "stored", "where_late", "words_of"]
+
 #: A word of the white-space family: what stands between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="spark-checkpoint-")
-        shared_dir.own = found
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: a cut in the lineage that outlives executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/memlake/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def delete_stored(spark: SparkSession, df: DataFrame) -> None:
-    """Delete a table that ``stored`` wrote, once nothing reads it any more."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/memlake/" in path:
-            jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-            jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
-
-
 def where_late(df: DataFrame, condition: str) -> DataFrame:
     """``df.where(condition)`` evaluated above the projections that make its columns. Pushed below them, a condition
     over columns derived in many steps would repeat all of those steps once for every use."""
@@ -75,7 +50,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("s")).select("s.*").where("u <> v").distinct()
         new = stored(small, "cc")
         state = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        delete_stored(e.sparkSession, e)
+        delete_stored(e)
         e = new
         if state == before:
             break
