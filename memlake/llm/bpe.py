@@ -94,7 +94,7 @@ class Transducer:
         key = (left + 1) * self.size + right
         found = self.joins.get(key)
         if found is None:
-            if len(self.joins) > 4 * MEMO:
+            if len(self.joins) > MEMO:
                 self.joins.clear()
             found, b, _ = self.edges(right)
             if found and left >= 0:
