@@ -57,26 +57,29 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     twice = stored(places.join(again, "h"), "line-repeats")
     at = F.struct(F.col("__k").isNotNull().alias("known"), F.col("__k").alias("k"), F.col("__t").alias("t"), F.col("i").alias("i"))
     mark = F.struct("i", "h", (F.xxhash64(at) == F.xxhash64("o")).alias("f"))
-    wanted = twice.join(twice.groupBy("h").agg(F.min(at).alias("o")), "h").groupBy("__k", "__t").agg(F.collect_set(mark).alias("__r"))
-    wanted = stored(wanted.withColumn("__d", F.xxhash64("__k", "__t")).select("__d", "__k", F.col("__t").alias("__x"), "__r"), "line-wanted")
-    docs = docs.withColumn("__d", F.xxhash64("__k", "__t"))
-    w = wanted.select(F.col("__d").alias("__wd"), F.col("__k").alias("__wk"), F.col("__x").alias("__wt"), "__r")
-    held = docs.repartition("__d").join(w, (docs["__d"] == w["__wd"]) & docs["__k"].eqNullSafe(w["__wk"]) & (docs["__t"] == w["__wt"]), "left").drop("__wd", "__wk", "__wt")
+    doc = F.struct(F.col("__k").alias("k"), F.col("__t").alias("t"))  # equal where both parts are equal or null
+    wanted = twice.join(twice.groupBy("h").agg(F.min(at).alias("o")), "h").groupBy(doc.alias("__w")).agg(F.collect_set(mark).alias("__r"))
+    wanted = stored(wanted, "line-wanted")
+    docs = docs.withColumn("__d", doc)
+    held = docs.repartition("__d").join(wanted, F.col("__d") == F.col("__w"), "left").drop("__w")
+    others = [c for c in docs.columns if not c.startswith("__") and c != text]
 
     def found(firsts: bool) -> DataFrame:
         some = F.filter("__r", lambda r: r["f"] == firsts)
-        rows = chunked(held.where(F.size(some) > 0), text)
+        # Always true; it asks for the columns that the result needs, so that one shuffle of the texts serves all uses.
+        same = F.xxhash64(*others, F.size("__r")) >= F.lit(-(2**63))
+        rows = chunked(held.where((F.size(some) > 0) & same), text)
         told = F.transform(some, lambda r: _place(r, F.get("__c", r["i"])))
-        return rows.select("__d", "__k", "__t", F.explode(told).alias("p")).select("__d", "__k", "__t", "p.*")
+        return rows.select("__d", F.explode(told).alias("p")).select("__d", "p.*")
 
     first = found(True).select(F.col("h").alias("__fh"), F.col("body").alias("__fb"), F.struct(F.col("before").alias("b"), F.col("after").alias("a")).alias("o")).dropDuplicates(["__fh"])
     gone = found(False).join(first, (F.col("h") == F.col("__fh")) & (F.col("body") == F.col("__fb")))
     run = lambda a, b: F.coalesce(F.array_position(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), False) - 1, F.lit(-1).cast("long"))
     length = lambda a, b: F.when(run(a, b) >= 0, run(a, b)).otherwise(F.least(F.size(a), F.size(b)).cast("long"))
     back, forth = length(F.reverse("before"), F.reverse(F.col("o.b"))), length(F.col("after"), F.col("o.a"))
-    gone = gone.select("__d", "__k", "__t", F.struct((F.col("first") - back).alias("first"), (F.col("last") + forth).alias("last")).alias("s"))
-    gone = gone.groupBy("__d", "__k", "__t").agg(F.array_sort(F.collect_set("s")).alias("__s")).select(F.col("__d").alias("__gd"), F.col("__k").alias("__gk"), F.col("__t").alias("__gt"), "__s")
-    out = held.join(gone, (held["__d"] == gone["__gd"]) & held["__k"].eqNullSafe(gone["__gk"]) & (held["__t"] == gone["__gt"]), "left")
+    gone = gone.select("__d", F.struct((F.col("first") - back).alias("first"), (F.col("last") + forth).alias("last")).alias("s"))
+    gone = gone.groupBy(F.col("__d").alias("__g")).agg(F.array_sort(F.collect_set("s")).alias("__s"))
+    out = held.join(gone, F.col("__d") == F.col("__g"), "left")
     out = out.withColumn("__l", F.when(F.col("__s").isNotNull(), _lines(F.col(text))))
     out = out.withColumn("__o", F.filter("__l", lambda x, i: ~F.exists("__s", lambda s: (s["first"] <= i + 1) & (s["last"] >= i + 1))))
     clean = F.when(F.col("__s").isNull(), F.col(text)).otherwise(F.array_join("__o", ""))
