@@ -57,11 +57,12 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     twice = stored(places.join(again, "h"), "line-repeats")
     at = F.struct(F.col("__k").isNotNull().alias("known"), F.col("__k").alias("k"), F.col("__t").alias("t"), F.col("i").alias("i"))
     mark = F.struct("i", "h", (F.xxhash64(at) == F.xxhash64("o")).alias("f"))
-    doc = F.struct(F.col("__k").alias("k"), F.col("__t").alias("t"))  # equal where both parts are equal or null
+    # Equal where both parts are equal or null; of one type in both tables, so that joins keep the partitions.
+    doc = F.struct(F.col("__k").alias("k"), F.col("__t").alias("t")).cast(f"struct<k:{docs.schema['__k'].dataType.simpleString()},t:bigint>")
     wanted = twice.join(twice.groupBy("h").agg(F.min(at).alias("o")), "h").groupBy(doc.alias("__w")).agg(F.collect_set(mark).alias("__r"))
     wanted = stored(wanted, "line-wanted")
     docs = docs.withColumn("__d", doc)
-    held = docs.repartition("__d").join(wanted, F.col("__d") == F.col("__w"), "left").drop("__w")
+    held = docs.join(wanted, F.col("__d") == F.col("__w"), "left").drop("__w")
     others = [c for c in docs.columns if not c.startswith("__") and c != text]
 
     def found(firsts: bool) -> DataFrame:
