@@ -29,7 +29,7 @@ META = (
     r"can you|are you able|do you have|what are your capabilities",
     r"as an ai|as a language model|i cannot|i'm unable",
 )
-PROJECT = (r"opus ensemble|trading system|knowledge system|distillation", r"[\p{L}\p{N}_]+\s+(?:project|repo|repository|codebase)")
+PROJECT = (r"[\p{L}\p{N}_]+\s+(?:project|repo|repository|codebase)",)
 REPOSITORY = r"github\.com/[a-z0-9_]+/[a-z0-9_]+|[a-z0-9_-]+/[a-z0-9_-]+\s+(?:repo|repository)"
 AI_WORDS = (r"ai|language model|capabilities|can you",)
 THRESHOLD = 3
@@ -41,9 +41,10 @@ def phrase(words: tuple[str, ...]) -> str:
     return EDGE.replace("WORDS", "|".join(words))
 
 
-def scored(turns: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def scored(turns: DataFrame, threshold: int = THRESHOLD, projects: tuple[str, ...] = ()) -> DataFrame:
     """One row a conversation of (conv_id, turn, role, text): signals, value_score, decision and skip_reason. Kept and
-    skipped conversations both stay. One shuffle by conversation; texts are joined in order of turn."""
+    skipped conversations both stay. One shuffle by conversation; texts are joined in order of turn. ``projects`` are
+    names, in lower case, that count as a reference to a project besides the general pattern."""
     ordered = F.array_sort(F.collect_list(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text"))))
     df = turns.groupBy("conv_id").agg(ordered.alias("m"))
     df = df.select(
@@ -56,7 +57,7 @@ def scored(turns: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     count = lambda role: F.size(F.filter("m", lambda x: x["role"] == role))
     df = df.withColumns({
         "n_messages": F.size("m"), "exchanges": F.least(count("user"), count("assistant")), "has_code": F.col("t").contains("```"), "decided": has("t", DECISION),
-        "learned": has("u", LEARNING), "project": has("t", PROJECT), "repository": F.col("t").rlike(REPOSITORY), "concluded": has("l", CONCLUSION),
+        "learned": has("u", LEARNING), "project": has("t", PROJECT + projects), "repository": F.col("t").rlike(REPOSITORY), "concluded": has("l", CONCLUSION),
         "trouble": has("t", TROUBLE) & ~has("t", DECISION) & ~has("t", CONCLUSION),
         "meta": has("t", META) & (F.regexp_count("t", F.lit(phrase(AI_WORDS))) > 3) & (F.size("m") < 6),
         "abandoned": (F.size("m") >= 3) & F.forall("last", lambda x: F.coalesce(x["role"] == "assistant", F.lit(False))),
