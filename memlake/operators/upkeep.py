@@ -94,3 +94,15 @@ def trimmed_log(log: DataFrame, key: str, most: int) -> DataFrame:
     """The newest ``most`` rows of each key (ts, id)."""
     w = W.partitionBy(key).orderBy(F.col("ts").desc(), F.col("id").desc())
     return log.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= most).drop("__r")
+
+
+def evidence_issues(entries: DataFrame, known: DataFrame) -> DataFrame:
+    """(entry_id, issue) of extracted entries (entry_id, label, insights array<struct<insight, message_ids>>): labels of
+    one word, insights without messages, and messages that ``known`` (message_id) lacks. Entries are kept; only an empty
+    list of insights drops one, which is the caller's filter."""
+    label = entries.where(F.size(F.split(F.trim(F.coalesce("label", F.lit(""))), r"\s+")) < 2).select("entry_id", F.lit("short_label").alias("issue"))
+    each = entries.select("entry_id", F.posexplode("insights").alias("n", "i"))
+    bare = each.where(F.coalesce(F.size("i.message_ids"), F.lit(0)) <= 0).select("entry_id", F.concat(F.lit("insight_without_messages:"), F.col("n").cast("string")).alias("issue"))
+    ids = each.select("entry_id", F.explode("i.message_ids").alias("message_id")).distinct()
+    gone = ids.join(known.select("message_id").distinct(), "message_id", "left_anti").select("entry_id", F.concat(F.lit("unknown_message:"), F.col("message_id")).alias("issue"))
+    return label.unionByName(bare).unionByName(gone)

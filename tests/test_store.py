@@ -238,3 +238,9 @@ def test_distill_run(spark):
     out = distill.run(nodes, spark.createDataFrame([], "conv_id string"), store_, lambda p: "spark use", to_entries, NOW)
     assert [r["entry_id"] for r in out["entries"].collect()] == ["ke_c1"]
     assert (out["report"].first()["parsed"], out["report"].first()["kept"], out["report"].first()["create"]) == (2, 1, 1)
+
+
+def test_evidence(spark):
+    e = spark.createDataFrame([("a", "two words", [("i", ["m1", "m9"])]), ("b", "one", [("i", []), ("j", None)])], "entry_id string, label string, insights array<struct<insight:string,message_ids:array<string>>>")
+    got = sorted(map(tuple, upkeep.evidence_issues(e, spark.createDataFrame([("m1",)], "message_id string")).collect()))
+    assert got == [("a", "unknown_message:m9"), ("b", "insight_without_messages:0"), ("b", "insight_without_messages:1"), ("b", "short_label")]
