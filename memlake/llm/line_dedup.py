@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from memlake.llm.common import stored
+from memlake.llm.common import stored, words_of
 
-#: A line here is a clause: texts often have a whole paragraph between two line feeds. Joined, the lines are the text.
-LINE = r"[^\n.,;:!?]+[\n.,;:!?\x20]*+|[\n.,;:!?]+"
-#: A chunk ends where the rolling hash over two lines is 0 modulo this.
-MEAN_LINES = 3
-#: Lines on each side of a removed chunk that are compared as well.
-AROUND = 6
-#: Chunks of fewer lines or signs stay, however often they repeat.
-LEAST_LINES, LEAST_CHARS = 2, 40
+#: A line here is a word with the white space after it, for a passage may be one clause. Joined, the lines are the text.
+LINE = r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]+[\x20\x09-\x0D]*+|[\x20\x09-\x0D]+"
+#: A chunk begins at the least rolling hash (over three lines) of every so many successive ones: a power of two.
+WINDOW = 32
+#: Lines of a chunk. Any WINDOW + CHUNK - 1 lines hold a whole chunk, whatever stands around them.
+CHUNK = 8
+#: Lines on each side of a removed chunk that are compared as well: as far as the next chunk or the passage's end can be.
+AROUND = WINDOW + CHUNK
 
 
 def _lines(text: Column) -> Column:
@@ -21,27 +21,44 @@ def _lines(text: Column) -> Column:
 
 
 def chunked(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add __l (lines), __b (lines without white space at their ends) and __c, the chunks as (i, first, last) line
-    numbers from 1. A boundary depends on two lines only, so text put in before it moves no later boundary."""
-    df = docs.withColumn("__l", _lines(F.col(text)))
-    df = df.withColumn("__b", F.transform("__l", lambda x: F.trim(F.regexp_replace(x, r"\n", " "))))
+    """Add __b (lines without white space) and __c, the chunks as (i, first, last) line numbers from 1. A chunk's begin
+    depends on fewer than WINDOW lines on each side, so text put in before it moves no later chunk. Within a run of one
+    word no chunk begins but at its head."""
+    df = docs.withColumn("__b", words_of(F.col(text)))
     df = df.withColumn("__h", F.transform("__b", lambda x: F.xxhash64(x)))
-    ends = F.filter(F.transform("__h", lambda h, i: F.when((i == F.size("__h") - 1) | (F.pmod(F.xxhash64(F.get("__h", i - 1), h), F.lit(MEAN_LINES)) == 0), i + 1)), lambda x: x.isNotNull())
-    df = df.withColumn("__e", ends)
-    return df.withColumn("__c", F.transform("__e", lambda e, i: F.struct(i.alias("i"), (F.coalesce(F.get("__e", i - 1), F.lit(0)) + 1).alias("first"), e.alias("last")))).drop("__h", "__e")
+    df = df.withColumn("__h", F.transform("__h", lambda h, i: F.xxhash64(h, F.get("__h", i + 1), F.get("__h", i + 2))))
+    # The hash above the line number, so that a minimum tells its place; null where the hash before is the same.
+    df = df.withColumn("__m", F.transform(F.slice("__h", F.lit(1), F.greatest(F.size("__h") - (CHUNK - 1), F.lit(0))), lambda h, i: F.when((i == 0) | (h != F.get("__h", i - 1)), F.shiftleft(h, 24) + i)))
+    step = 1
+    while step < WINDOW:
+        df = df.withColumn("__m", F.zip_with("__m", F.slice("__m", F.lit(step + 1), F.size("__m")), lambda x, y: F.least(x, y)))
+        step *= 2
+    df = df.withColumn("__e", F.array_sort(F.transform(F.array_compact(F.array_distinct("__m")), lambda x: x.bitwiseAND((1 << 24) - 1).cast("int"))))
+    return df.withColumn("__c", F.transform("__e", lambda e, i: F.struct(i.alias("i"), (e + 1).alias("first"), (e + CHUNK).alias("last")))).drop("__h", "__m", "__e")
 
 
 def _body(first: Column, last: Column) -> Column:
     return F.array_join(F.slice("__b", first, last - first + 1), "\n")
 
 
+def _kept(lines: str, spans: str) -> Column:
+    """The lines outside the sorted spans, put together."""
+    none = F.array().cast("array<struct<first:bigint,size:bigint>>")
+    state = F.struct(F.lit(0).cast("long").alias("end"), none.alias("gaps"))
+    gap = lambda z, first: F.array(F.struct((z["end"] + 1).alias("first"), (first - z["end"] - 1).alias("size")))
+    more = lambda z, first: F.when(first > z["end"] + 1, F.concat(z["gaps"], gap(z, first))).otherwise(z["gaps"])
+    gaps = F.aggregate(spans, state, lambda z, x: F.struct(F.greatest(z["end"], x["last"]).alias("end"), more(z, x["first"]).alias("gaps")), lambda z: more(z, F.size(lines).cast("long") + 1))
+    return F.flatten(F.transform(gaps, lambda g: F.slice(lines, g["first"].cast("int"), g["size"].cast("int"))))
+
+
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` with each repeated chunk cut out of ``text`` but at its first place, by key and then place in the text;
     plus removed_lines and removed_chars.
 
     Chunks are matched by hash over the whole corpus; only chunks whose hash is found again travel with their bytes,
-    which are compared with those of the hash's first place. Up to ``AROUND`` lines next to a removed chunk go as well while
-    they equal those next to the first place, so that a passage goes whole. Nothing of a hot chunk is gathered: its first place is a
+    which are compared with those of the hash's first place. Lines next to a removed chunk go as well while they equal
+    those next to the first place, up to ``AROUND``, further than a next chunk or the passage's end can be, so that a
+    passage goes whole. A passage of WINDOW + CHUNK - 1 words or more always holds a chunk. Nothing of a hot chunk is gathered: its first place is a
     grouped minimum, its places an equi-join that adaptive execution splits. Documents of equal key and text are one
     document and cleaned alike; a null key comes first; null text stays null; an empty table gives an
     empty table. Result columns that ``docs`` has already are replaced.
@@ -50,8 +67,7 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     docs = docs.drop(*[c for c in own if c in docs.columns])
     docs = docs.withColumns({"__k": F.col(key), "__t": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
     cut = chunked(docs, text)
-    long = lambda c: (c["last"] - c["first"] + 1 >= LEAST_LINES) & (F.length(_body(c["first"], c["last"])) >= LEAST_CHARS)
-    places = cut.select("__k", "__t", F.explode(F.transform(F.filter("__c", long), lambda c: F.struct(c["i"].alias("i"), F.xxhash64(_body(c["first"], c["last"])).alias("h")))).alias("c")).select("__k", "__t", "c.i", "c.h")
+    places = cut.select("__k", "__t", F.explode(F.transform("__c", lambda c: F.struct(c["i"].alias("i"), F.xxhash64(_body(c["first"], c["last"])).alias("h")))).alias("c")).select("__k", "__t", "c.i", "c.h")
     places = stored(places, "line-chunks")
     again = places.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     twice = stored(places.join(again, "h"), "line-repeats")
@@ -82,7 +98,7 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     gone = gone.groupBy(F.col("__d").alias("__g")).agg(F.array_sort(F.collect_set("s")).alias("__s"))
     out = held.join(gone, F.col("__d") == F.col("__g"), "left")
     out = out.withColumn("__l", F.when(F.col("__s").isNotNull(), _lines(F.col(text))))
-    out = out.withColumn("__o", F.filter("__l", lambda x, i: ~F.exists("__s", lambda s: (s["first"] <= i + 1) & (s["last"] >= i + 1))))
+    out = out.withColumn("__o", F.when(F.col("__s").isNotNull(), _kept("__l", "__s")))
     clean = F.when(F.col("__s").isNull(), F.col(text)).otherwise(F.array_join("__o", ""))
     lost = F.when(F.col("__s").isNotNull(), F.size("__l") - F.size("__o")).otherwise(0)
     out = out.withColumns({"removed_lines": lost.cast("long"), "removed_chars": F.when(F.col("__s").isNotNull(), F.length(text) - F.length(clean)).otherwise(0).cast("long"), text: clean})
@@ -90,14 +106,14 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
 
 
 def _place(r: Column, c: Column) -> Column:
-    """A chunk with its bytes; the lines before and after it only where they are not of a chunk that repeats itself, or
-    where it is a first place, with whose lines others are compared."""
-    start = F.greatest(c["first"] - AROUND, F.lit(1))
-    edge = lambda step: r["f"] | ~F.exists("__r", lambda x: x["i"] == r["i"] + step)
+    """A chunk with its bytes and the lines around it: up to the next chunk that goes itself, or ``AROUND`` of them. A
+    first place, with whose lines others are compared, has all of those."""
+    goes = lambda step: ~r["f"] & F.exists("__r", lambda x: (x["i"] == r["i"] + step) & ~x["f"])
+    back = F.when(goes(-1), F.greatest(c["first"] - F.get("__c", r["i"] - 1)["last"] - 1, F.lit(0))).otherwise(F.least(c["first"] - 1, F.lit(AROUND)))
+    forth = F.when(goes(1), F.greatest(F.get("__c", r["i"] + 1)["first"] - c["last"] - 1, F.lit(0))).otherwise(F.lit(AROUND))
     return F.struct(
         r["h"].alias("h"), r["f"].alias("f"), c["first"].cast("long").alias("first"), c["last"].cast("long").alias("last"), _body(c["first"], c["last"]).alias("body"),
-        F.when(edge(-1), F.slice("__b", start, c["first"] - start)).otherwise(F.array().cast("array<string>")).alias("before"),
-        F.when(edge(1), F.slice("__b", c["last"] + 1, F.lit(AROUND))).otherwise(F.array().cast("array<string>")).alias("after"),
+        F.slice("__b", c["first"] - back, back).alias("before"), F.slice("__b", c["last"] + 1, forth).alias("after"),
     )
 
 

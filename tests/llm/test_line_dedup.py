@@ -55,3 +55,21 @@ def test_edges(spark):
     got = dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted(rows, key=str)
     assert dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_every_passage_of_over_50_words_goes(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    rows, passages = [], []
+    for clauses in range(1, 21):
+        for _ in range(10):
+            words = [word() for _ in range(rng.randint(51, 120))]
+            for at in rng.sample(range(len(words)), clauses - 1):
+                words[at] += rng.choice(".,;:!?")
+            passages.append(words)
+            for _ in range(3):
+                rows.append((len(rows), " ".join([word() for _ in range(rng.randint(0, 60))] + words + [word() for _ in range(rng.randint(0, 60))])))
+    got = {r["doc_id"]: r["text"] for r in dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        lost = len(text.split()) - len(got[i].split())
+        assert lost == (len(passages[i // 3]) if i % 3 else 0), (i, lost)
