@@ -261,7 +261,8 @@ def conversation_prompts(spark, sf_dir):
 
 
 def _hashes(df: DataFrame) -> DataFrame:
-    said = F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 100).alias("t"))))
+    """A digest of each conversation's whole turns in their order; a turn without text is another than an empty one."""
+    said = F.array_sort(F.collect_list(F.struct("turn", F.coalesce(F.sha2("text", 256), F.lit("")).alias("t"))))
     return df.groupBy("conv_id").agg(F.sha2(F.array_join(F.transform(said, lambda s: s["t"]), "|"), 256).alias("hash"))
 
 

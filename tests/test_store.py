@@ -244,3 +244,15 @@ def test_evidence(spark):
     e = spark.createDataFrame([("a", "two words", [("i", ["m1", "m9"])]), ("b", "one", [("i", []), ("j", None)])], "entry_id string, label string, insights array<struct<insight:string,message_ids:array<string>>>")
     got = sorted(map(tuple, upkeep.evidence_issues(e, spark.createDataFrame([("m1",)], "message_id string")).collect()))
     assert got == [("a", "unknown_message:m9"), ("b", "insight_without_messages:0"), ("b", "insight_without_messages:1"), ("b", "short_label")]
+
+
+def test_change_detection_sees_edits_anywhere_in_a_turn(spark):
+    from memlake.operators import upkeep
+    from memlake.queries import _hashes
+
+    long = "word " * 100
+    rows = [(1, 0, long), (1, 1, "b"), (2, 0, long), (2, 1, None), (3, 0, long), (3, 1, "a|b"), (4, 0, None), (5, 0, "x")]
+    after = [(1, 0, long + "end"), (1, 1, "b"), (2, 0, long), (2, 1, ""), (3, 1, "a|b"), (3, 0, long), (4, 0, None), (6, 0, "x")]
+    make = lambda r: _hashes(spark.createDataFrame(r, "conv_id long, turn int, text string"))
+    got = {r["conv_id"]: r["change"] for r in upkeep.changes(make(rows), make(after)).collect()}
+    assert got == {1: "changed", 2: "changed", 3: "unchanged", 4: "unchanged", 5: "deleted", 6: "new"}
