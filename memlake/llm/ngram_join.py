@@ -294,12 +294,13 @@ class SignatureTree:
             at = np.arange(0, len(lo), FAN)
             self.levels.append((np.bitwise_or.reduceat(b, at, axis=0), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(e, at), np.minimum.reduceat(c0, at), np.maximum.reduceat(c1, at)))
 
-    def possible(self, level: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """May sets below nodes i and j be linked and not be in one component yet? At most as many shingles are common
-        as bits, plus the excess of the side that has less."""
+    def possible(self, level: int, i: np.ndarray, j: np.ndarray, spanning: bool = True) -> np.ndarray:
+        """May sets below nodes i and j be linked and, if ``spanning``, not be in one component yet? At most as many
+        shingles are common as bits, plus the excess of the side that has less."""
         bits, lo, hi, excess, c0, c1 = self.levels[level]
         ok = (100 * hi[i] >= PERCENT * lo[j]) & (100 * hi[j] >= PERCENT * lo[i])
-        ok &= ~((c0[i] == c1[i]) & (c0[j] == c1[j]) & (c0[i] == c0[j]))
+        if spanning:
+            ok &= ~((c0[i] == c1[i]) & (c0[j] == c1[j]) & (c0[i] == c0[j]))
         i, j = i[ok], j[ok]
         common = np.bitwise_count(bits[i] & bits[j]).sum(axis=1, dtype=np.int64) + np.minimum(excess[i], excess[j])
         ok[ok] = (100 + PERCENT) * common >= PERCENT * (lo[i] + lo[j])
@@ -307,6 +308,11 @@ class SignatureTree:
 
     def pairs(self):
         """Pairs of places in the order that no bound rules out, by traversal of the tree against itself."""
+        for i, j in self.pair_arrays():
+            yield from zip(i.tolist(), j.tolist())
+
+    def pair_arrays(self, spanning: bool = True):
+        """The pairs as arrays; without ``spanning`` those within one component too, each once."""
         top = len(self.levels) - 1
         n = len(self.levels[top][1])
         i, j = np.triu_indices(n)
@@ -316,13 +322,13 @@ class SignatureTree:
             if len(i) > FRONTIER:
                 stack.append((level, i[FRONTIER:], j[FRONTIER:]))
                 i, j = i[:FRONTIER], j[:FRONTIER]
-            keep = self.possible(level, i, j)
+            keep = self.possible(level, i, j, spanning)
             i, j = i[keep], j[keep]
             if not len(i):
                 continue
             if level == 0:
                 apart = i < j
-                yield from zip(i[apart].tolist(), j[apart].tolist())
+                yield i[apart], j[apart]
                 continue
             below = len(self.levels[level - 1][1])
             ci = (i[:, None, None] * FAN + np.arange(FAN)[None, :, None] + np.zeros((1, 1, FAN), np.int64)).ravel()
@@ -376,24 +382,73 @@ def spanning_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
+def link_counts(sets: list[np.ndarray], spanning: list[tuple[int, int]], copies: np.ndarray, block: np.ndarray | None = None) -> np.ndarray:
+    """For every set, the copies of all sets that it is linked with, each pair compared exactly; with ``block``, of pairs
+    of different blocks only. No link leads out of a component that the spanning links connect."""
+    out, forest = np.zeros(len(sets), np.int64), Forest(len(sets))
+    for i, j in spanning:
+        a, b = forest.root(i), forest.root(j)
+        forest.up[max(a, b)] = min(a, b)
+    members: dict[int, list[int]] = {}
+    for i in sorted({i for pair in spanning for i in pair}, key=lambda i: (len(sets[i]), i)):
+        members.setdefault(forest.root(i), []).append(i)
+    for of in members.values():
+        at = np.array(of)
+        sizes = np.array([len(sets[i]) for i in of])
+        off = np.cumsum([0, *sizes])
+        names, flat = np.unique(np.concatenate([sets[i] for i in of]), return_inverse=True)
+        own = [flat[x:y] for x, y in zip(off[:-1], off[1:])]
+        mark = np.zeros(len(names), np.int64)
+        tree = SignatureTree([sets[i] for i in of], np.arange(len(of)), np.zeros(len(of), np.int64))
+        for i, j in tree.pair_arrays(spanning=False):
+            if block is not None:
+                apart = block[at[i]] != block[at[j]]
+                i, j = i[apart], j[apart]
+            by = np.argsort(i, kind="stable")
+            i, j = i[by], j[by]
+            for x, y in zip(*(lambda h: (h, [*h[1:], len(i)]))(np.flatnonzero(np.diff(i, prepend=-1)).tolist())):
+                a = i[x]
+                mark[own[a]] = 1
+                # A slice at a time, so that the shingles laid side by side stay few.
+                for z in range(x, y, 1024):
+                    b = j[z : min(y, z + 1024)]
+                    both = np.add.reduceat(mark[np.concatenate([own[k] for k in b])], np.cumsum([0, *sizes[b[:-1]]]))
+                    b = b[100 * both >= PERCENT * (sizes[a] + sizes[b] - both)]
+                    out[at[a]] += copies[at[b]].sum()
+                    out[at[b]] += copies[at[a]]
+                mark[own[a]] = 0
+    return out
+
+
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+
+
 def _linked_groups(batches):
-    """Exact links within groups of rows (group, node, n, shingles) that arrive sorted by group."""
-    now, nodes, sets = None, [], []
+    """Of groups of rows (group, node, n, shingles, copies, block or null) that arrive sorted by group: exact links that
+    connect all that links connect, as (set, set, 0), and (set, set itself, copies of the sets that it is linked with)."""
+    now, nodes, sets, copies, blocks = None, [], [], [], []
 
     def told():
         found = spanning_links(sets)
-        return [pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in found], pa.int64()), pa.array([nodes[j] for _, j in found], pa.int64())], schema=PAIR)] if found else []
+        if found:
+            n = link_counts(sets, found, np.array(copies, np.int64), None if blocks[0] is None else np.array(blocks))
+            some = np.flatnonzero(n)
+            own = np.array(nodes, np.int64)
+            a, b = np.array(found).T
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([own[a], own[some]])), pa.array(np.concatenate([own[b], own[some]])), pa.array(np.concatenate([np.zeros(len(a), np.int64), n[some]]))], schema=LINKS)
 
     for batch in batches:
-        group, node = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        group, node, many, block = (batch.column(i).to_pylist() for i in (0, 1, 4, 5))
         off, flat = batch.column(3).offsets.to_numpy(), batch.column(3).values.to_numpy()
         for r, g in enumerate(group):
             if g != now:
                 yield from told()
-                now, nodes, sets = g, [], []
+                now, nodes, sets, copies, blocks = g, [], [], [], []
             if not nodes or nodes[-1] != node[r]:
                 nodes.append(node[r])
                 sets.append(flat[off[r] : off[r + 1]].copy())
+                copies.append(many[r])
+                blocks.append(block[r])
     yield from told()
 
 
@@ -404,8 +459,8 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     bound) are in another node's; a filter of fixed size tells the second scan which texts to hash again, so texts are
     never shuffled. The nodes left are chained by runs of shingles, whose connected chains hold every
     possible link; each chain, or block pair of a long one, is one group in which signature trees find the links,
-    compared exactly. n_links counts the links found, enough to connect each component; copies are links of their
-    set. Texts without words are linked with nothing and have an empty set. Null keys are rows like others; the
+    compared exactly. n_links counts all other rows that a row is linked with, its set's copies among them; a task
+    tells counts, not pairs. Texts without words are linked with nothing and have an empty set. Null keys are rows like others; the
     component of rows that all have null keys is null.
     """
     spark = docs.sparkSession
@@ -416,7 +471,7 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     rows = stored(rows.mapInArrow(_shared, "key long, node long, n int"), "ngram-rows")
     own = rows.where("n > 0 or n = -1").select(F.col("key").alias("doc_id"), "node", F.greatest("n", F.lit(0)).alias("n"))
     shared = rows.where("n < -1").groupBy("node").agg(F.sum(-1 - F.col("n")).alias("shared"))
-    classes = own.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"))
+    classes = own.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
     needed = F.ceil(F.ceil(F.col("n") * PERCENT / 100) / 16)
     live = classes.join(shared, "node").where(F.col("shared") >= needed).select("doc_id")
     found = live.mapInArrow(_filter_words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
@@ -427,16 +482,19 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     runs = sets.mapInArrow(_runs, "key long, node long, n int").repartition(int(parts), "key").sortWithinPartitions("key", "n", "node")
     chain = stored(runs.mapInArrow(_chains, "a long, b long").distinct(), "ngram-chains")
     group = connected_components(chain)
-    placed = sets.dropDuplicates(["node"]).join(group, "node")
+    placed = sets.dropDuplicates(["node"]).join(group, "node").join(classes.select("node", "copies"), "node")
     load = stored(placed.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks")), "ngram-load")
     placed = placed.join(load, "component")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(block, j).alias("i"), F.greatest(block, j).alias("j"))))
-    placed = placed.select(pairs.alias("p"), "component", "node", "n", "shingles").select(F.xxhash64("component", "p.i", "p.j").alias("group"), "node", "n", "shingles")
-    links = placed.repartition(int(parts), "group").sortWithinPartitions("group", "node").mapInArrow(_linked_groups, "a long, b long")
-    links = stored(links.distinct(), "ngram-links")
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    of = connected_components(links)
+    placed = placed.select(pairs.alias("p"), "component", "node", "n", "shingles", "copies", block.alias("block"))
+    # Of two blocks only pairs of one with the other count; those within a block count in its group with itself.
+    placed = placed.select(F.xxhash64("component", "p.i", "p.j").alias("group"), "node", "n", "shingles", "copies", F.when(F.col("p.i") != F.col("p.j"), F.col("block")).alias("block"))
+    links = placed.repartition(int(parts), "group").sortWithinPartitions("group", "node").mapInArrow(_linked_groups, "a long, b long, n long")
+    links = stored(links, "ngram-links")
+    told = links.where("a = b").select(F.col("a").alias("node"), "n").unionByName(classes.select("node", (F.col("copies") - 1).alias("n")))
+    degree = told.groupBy("node").agg(F.sum("n").alias("n_links"))
+    of = connected_components(links.select("a", "b"))
     own = own.join(of, "node", "left").join(degree, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = own.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = own.join(named.withColumnRenamed("component", "c"), (F.col("component") == F.col("c")) & (F.col("n") > 0), "left")

@@ -103,3 +103,17 @@ def test_sets_do_not_depend_on_batches():
     for t, s in zip(texts, whole):
         assert nj.shingle_sets(pa.array([t], pa.string()))[0].tolist() == s.tolist()
     assert nj.shingle_sets(pa.array(texts, pa.string()).slice(4, 3))[0].tolist() == whole[4].tolist()
+
+
+@pytest.mark.parametrize("most", [3_000_000, 300])
+def test_every_link_is_counted(spark, monkeypatch, most):
+    monkeypatch.setattr(nj, "BLOCK_SHINGLES", most)
+    rng = random.Random(6)
+    base = [str(rng.random()) for _ in range(80)]
+    near = [" ".join(w if k != i else "other" for k, w in enumerate(base)) for i in range(3, 40)]
+    rows = corpus(4) + [(1000 + i, t) for i, t in enumerate(near + near[:5])]
+    sets = [set(s.tolist()) for s in nj.shingle_sets(pa.array([t for _, t in rows], pa.string()))]
+    linked = lambda a, b: bool(a & b) and 100 * len(a & b) >= 75 * len(a | b)
+    want = {d: sum(linked(sets[i], sets[j]) for j in range(len(rows)) if j != i) for i, (d, _) in enumerate(rows)}
+    got = {r["doc_id"]: r["n_links"] for r in nj.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and max(want[1000 + i] for i in range(42)) == 41
