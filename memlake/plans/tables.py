@@ -8,10 +8,17 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 
+#: Whether shuffle files go once a query has run; a stored table needs those of its own write no more.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where none is set (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only in local mode, where none is set (tests). On a
+    cluster executors would not see it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="spark-checkpoint-")
         shared_dir.own = found
     return found.rstrip("/")
@@ -25,7 +32,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: a cut in the lineage that outlives executors."""
     spark = df.sparkSession
     path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_path = path
     return out
