@@ -1,120 +1,193 @@
-"""Line dedup: content-defined chunks of lines; chunks found before anywhere are cut out after byte comparison."""
+"""Line dedup: content-defined chunks of lines; stretches of chunks found before anywhere go after byte comparison."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from memlake.llm.common import stored, words_of
-
-#: A line here is a word with the white space after it, for a passage may be one clause. Joined, the lines are the text.
-LINE = r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]+[\x20\x09-\x0D]*+|[\x20\x09-\x0D]+"
-#: A chunk begins at the least rolling hash (over three lines) of every so many successive ones: a power of two.
-WINDOW = 32
-#: Lines of a chunk. Any WINDOW + CHUNK - 1 lines hold a whole chunk, whatever stands around them.
-CHUNK = 8
-#: Lines on each side of a removed chunk that are compared as well: as far as the next chunk or the passage's end can be.
+from memlake.llm.common import WORD, delete_stored, stored
+
+#: A line ends at a line feed, and at white space after a word that does not end in one of these letters. Such lines
+#: hold about two words, whatever stands before them: a passage may lie within one written line.
+ON = "ehnort"
+LINE_END = rf"(?<=[^\x20\x09-\x0D{ON}])(?=[\x20\x09-\x0D])|(?=\n)"
+#: Where a word ends within a line; each word has the white space before it.
+WORD_END = r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])|(?=\n)"
+#: A chunk of CHUNK lines begins at the least rolling hash (over three lines) of every WINDOW successive ones, so any
+#: WINDOW + CHUNK - 1 lines hold a whole chunk, whatever stands around them.
+WINDOW, CHUNK = 11, 4
+#: Lines compared beyond the last chunk of a stretch: were more than these equal, they would hold one chunk more.
 AROUND = WINDOW + CHUNK
+#: Words of a stretch that goes; shorter ones repeat by chance in a large corpus.
+LEAST = 40
+#: A place within a text and a number of words, in one number that orders by both.
+UNIT = 1 << 31
 
 
 def _lines(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(LINE), F.lit(0))
+    """The lines, each with the white space before it; joined, they are the text."""
+    return F.split(F.coalesce(text, F.lit("")), LINE_END)
 
 
 def chunked(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add __b (lines without white space) and __c, the chunks as (i, first, last) line numbers from 1. A chunk's begin
-    depends on fewer than WINDOW lines on each side, so text put in before it moves no later chunk. Within a run of one
-    word no chunk begins but at its head."""
-    df = docs.withColumn("__b", words_of(F.col(text)))
-    df = df.withColumn("__h", F.transform("__b", lambda x: F.xxhash64(x)))
-    df = df.withColumn("__h", F.transform("__h", lambda h, i: F.xxhash64(h, F.get("__h", i + 1), F.get("__h", i + 2))))
-    # The hash above the line number, so that a minimum tells its place; null where the hash before is the same.
-    df = df.withColumn("__m", F.transform(F.slice("__h", F.lit(1), F.greatest(F.size("__h") - (CHUNK - 1), F.lit(0))), lambda h, i: F.when((i == 0) | (h != F.get("__h", i - 1)), F.shiftleft(h, 24) + i)))
-    step = 1
-    while step < WINDOW:
+    """A row (__k, __t, s, g, h) for each chunk: its first line from 0, the lines to the next chunk (0: none), and a hash.
+    Within a run of one line no chunk begins but at its head."""
+    df = docs.withColumn("__l", _lines(F.col(text))).withColumn("__h", F.transform("__l", lambda x: F.xxhash64(x)))
+    rolling = lambda h, i: F.shiftleft(F.xxhash64(h, F.get("__h", i + 1), F.get("__h", i + 2)), 31) + i
+    starts = F.slice("__h", F.lit(1), F.greatest(F.size("__h") - (CHUNK - 1), F.lit(0)))
+    # The hash above the line number, so that a minimum tells its place; null where the line before is the same.
+    df = df.withColumn("__m", F.transform(starts, lambda h, i: F.when((i == 0) | (h != F.get("__h", i - 1)), rolling(h, i))))
+    wide = 1
+    while wide < WINDOW:
+        step = min(wide, WINDOW - wide)
         df = df.withColumn("__m", F.zip_with("__m", F.slice("__m", F.lit(step + 1), F.size("__m")), lambda x, y: F.least(x, y)))
-        step *= 2
-    df = df.withColumn("__e", F.array_sort(F.transform(F.array_compact(F.array_distinct("__m")), lambda x: x.bitwiseAND((1 << 24) - 1).cast("int"))))
-    return df.withColumn("__c", F.transform("__e", lambda e, i: F.struct(i.alias("i"), (e + 1).alias("first"), (e + CHUNK).alias("last")))).drop("__h", "__m", "__e")
+        wide += step
+    df = df.withColumn("__e", F.array_sort(F.transform(F.array_compact(F.array_distinct("__m")), lambda x: x.bitwiseAND(UNIT - 1).cast("int"))))
+    chunk = lambda s, i: F.struct(s.alias("s"), F.coalesce(F.get("__e", i + 1) - s, F.lit(0)).alias("g"), F.xxhash64(_body(s)).alias("h"))
+    # Of a column by itself, explode would have Spark filter by its size, and work out all of the above for that again.
+    return df.select("__k", "__t", F.explode(F.transform("__e", chunk)).alias("c")).select(F.col("__k").alias("k"), F.col("__t").alias("t"), "c.s", "c.g", "c.h")
+
+
+def _body(s: Column) -> Column:
+    return F.array_join(F.slice("__l", s + 1, F.lit(CHUNK)), "")
+
+
+def _run(a: Column, b: Column) -> Column:
+    """How many leading items of two arrays are equal."""
+    other = F.array_position(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), False)
+    return F.when(other > 0, other.cast("int") - 1).otherwise(F.least(F.size(a), F.size(b)))
 
 
-def _body(first: Column, last: Column) -> Column:
-    return F.array_join(F.slice("__b", first, last - first + 1), "\n")
+def _words(line: Column) -> Column:
+    return F.split(line, WORD_END)
 
 
-def _kept(lines: str, spans: str) -> Column:
-    """The lines outside the sorted spans, put together."""
-    none = F.array().cast("array<struct<first:bigint,size:bigint>>")
-    state = F.struct(F.lit(0).cast("long").alias("end"), none.alias("gaps"))
-    gap = lambda z, first: F.array(F.struct((z["end"] + 1).alias("first"), (first - z["end"] - 1).alias("size")))
-    more = lambda z, first: F.when(first > z["end"] + 1, F.concat(z["gaps"], gap(z, first))).otherwise(z["gaps"])
-    gaps = F.aggregate(spans, state, lambda z, x: F.struct(F.greatest(z["end"], x["last"]).alias("end"), more(z, x["first"]).alias("gaps")), lambda z: more(z, F.size(lines).cast("long") + 1))
-    return F.flatten(F.transform(gaps, lambda g: F.slice(lines, g["first"].cast("int"), g["size"].cast("int"))))
+def _bare(line: Column) -> Column:
+    return F.transform(_words(line), lambda w: F.ltrim(w, F.lit(" \t\n\x0b\x0c\r")))
+
+
+def _reach(df: DataFrame, name: str, least: bool) -> DataFrame:
+    """Each value of an array becomes the least from its place on, or the greatest up to it. Those more than ``AROUND``
+    places away are no less, or no greater: every mark begins a line or more after the one before."""
+    best, by = (F.least if least else F.greatest), 1
+    while by <= AROUND:
+        df = df.withColumn(name, F.transform(name, lambda x, i: best(x, F.get(name, i + by if least else i - by))))
+        by *= 2
+    return df
 
 
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs`` with each repeated chunk cut out of ``text`` but at its first place, by key and then place in the text;
+    """``docs`` with repeated stretches cut out of ``text`` but at their first place, by key and then place in the text;
     plus removed_lines and removed_chars.
 
     Chunks are matched by hash over the whole corpus; only chunks whose hash is found again travel with their bytes,
-    which are compared with those of the hash's first place. Lines next to a removed chunk go as well while they equal
-    those next to the first place, up to ``AROUND``, further than a next chunk or the passage's end can be, so that a
-    passage goes whole. A passage of WINDOW + CHUNK - 1 words or more always holds a chunk. Nothing of a hot chunk is gathered: its first place is a
-    grouped minimum, its places an equi-join that adaptive execution splits. Documents of equal key and text are one
-    document and cleaned alike; a null key comes first; null text stays null; an empty table gives an
-    empty table. Result columns that ``docs`` has already are replaced.
+    from the hash's first place to the others, where they are compared. Between two chunks that follow each other at
+    both places the lines are compared too, and at the ends of such a run lines and then words up to ``AROUND`` lines
+    away, beyond which equal text would hold another chunk. Places that overlap or touch make a stretch; one of
+    ``LEAST`` words or more goes. Bytes are compared with their white space, but for that before a stretch's outermost words.
+
+    Nothing of a hot chunk is gathered: its first place is a grouped minimum, its places an equi-join that adaptive
+    execution splits. A text's work grows with its length. Documents of equal key and text are one document and
+    cleaned alike; a null key comes first; null text stays null; an empty table gives an empty table. Result columns
+    that ``docs`` has already are replaced.
     """
     own = ["removed_lines", "removed_chars"]
     docs = docs.drop(*[c for c in own if c in docs.columns])
     docs = docs.withColumns({"__k": F.col(key), "__t": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
-    cut = chunked(docs, text)
-    places = cut.select("__k", "__t", F.explode(F.transform("__c", lambda c: F.struct(c["i"].alias("i"), F.xxhash64(_body(c["first"], c["last"])).alias("h")))).alias("c")).select("__k", "__t", "c.i", "c.h")
-    places = stored(places, "line-chunks")
-    again = places.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    twice = stored(places.join(again, "h"), "line-repeats")
-    at = F.struct(F.col("__k").isNotNull().alias("known"), F.col("__k").alias("k"), F.col("__t").alias("t"), F.col("i").alias("i"))
-    mark = F.struct("i", "h", (F.xxhash64(at) == F.xxhash64("o")).alias("f"))
-    # Equal where both parts are equal or null; of one type in both tables, so that joins keep the partitions.
-    doc = F.struct(F.col("__k").alias("k"), F.col("__t").alias("t")).cast(f"struct<k:{docs.schema['__k'].dataType.simpleString()},t:bigint>")
-    wanted = twice.join(twice.groupBy("h").agg(F.min(at).alias("o")), "h").groupBy(doc.alias("__w")).agg(F.collect_set(mark).alias("__r"))
-    wanted = stored(wanted, "line-wanted")
-    docs = docs.withColumn("__d", doc)
-    held = docs.join(wanted, F.col("__d") == F.col("__w"), "left").drop("__w")
+    places = stored(chunked(docs, text), "line-chunks")
+    at = F.struct(F.col("k").isNotNull().alias("known"), "k", "t", "s", "g")
+    firsts = places.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("o")).where("n > 1").select("h", "o")
+    twice = places.join(firsts, "h")
+    itself = F.col("k").eqNullSafe(F.col("o.k")) & (F.col("t") == F.col("o.t")) & (F.col("s") == F.col("o.s"))
+    # Equal where both parts are equal or null; of one type in all tables, so that joins keep the partitions.
+    kind = f"struct<k:{docs.schema['__k'].dataType.simpleString()},t:bigint>"
+    doc = lambda k, t: F.struct(F.col(k).alias("k"), F.col(t).alias("t")).cast(kind)
+    marks = twice.groupBy(doc("k", "t").alias("d")).agg(F.array_sort(F.collect_set(F.struct("s", "g", "h", F.when(~itself, F.col("o")).alias("o")))).alias("r"))
+
+    def follows(x: Column, y: Column) -> Column:
+        a, b = x["o"], y["o"]
+        same = a["k"].eqNullSafe(b["k"]) & (a["t"] == b["t"]) & (b["s"] == a["s"] + a["g"])
+        return F.coalesce((y["s"] == x["s"] + x["g"]) & (x["g"] == a["g"]) & same, F.lit(False))
+
+    ends = lambda x, i: F.struct(x["s"], x["g"], x["h"], x["o"], (~follows(F.get("r", i - 1), x)).alias("back"), (~follows(x, F.get("r", i + 1))).alias("forth"))
+    marks = stored(marks.withColumn("r", F.transform("r", ends)), "line-marks")
+    delete_stored(places)
+    away = marks.select("d", F.explode(F.filter("r", lambda x: x["o"].isNotNull())).alias("x"))
+    away = away.select("d", "x.*")
+    # What a first place sends: its bytes, and the lines around them if a run ends there anywhere.
+    sent = marks.select("d", F.explode(F.filter("r", lambda x: x["o"].isNull())).alias("x")).select("d", "x.s", "x.g", "x.h", F.lit(False).alias("back"), F.lit(False).alias("forth"))
+    sent = sent.unionByName(away.where("back or forth").select(doc("o.k", "o.t").alias("d"), F.col("o.s").alias("s"), F.col("o.g").alias("g"), "h", "back", "forth"))
+    sent = sent.groupBy("d", "s", "g", "h").agg(F.max("back").alias("back"), F.max("forth").alias("forth"))
+    sent = sent.groupBy(F.col("d").alias("__w")).agg(F.collect_list(F.struct("s", "g", "h", "back", "forth")).alias("__r"))
+    docs = docs.withColumn("__d", doc("__k", "__t"))
     others = [c for c in docs.columns if not c.startswith("__") and c != text]
-
-    def found(firsts: bool) -> DataFrame:
-        some = F.filter("__r", lambda r: r["f"] == firsts)
-        # Always true; it asks for the columns that the result needs, so that one shuffle of the texts serves all uses.
-        same = F.xxhash64(*others, F.size("__r")) >= F.lit(-(2**63))
-        rows = chunked(held.where((F.size(some) > 0) & same), text)
-        told = F.transform(some, lambda r: _place(r, F.get("__c", r["i"])))
-        return rows.select("__d", F.explode(told).alias("p")).select("__d", "p.*")
-
-    first = found(True).select(F.col("h").alias("__fh"), F.col("body").alias("__fb"), F.struct(F.col("before").alias("b"), F.col("after").alias("a")).alias("o")).dropDuplicates(["__fh"])
-    gone = found(False).join(first, (F.col("h") == F.col("__fh")) & (F.col("body") == F.col("__fb")))
-    run = lambda a, b: F.coalesce(F.array_position(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), False) - 1, F.lit(-1).cast("long"))
-    length = lambda a, b: F.when(run(a, b) >= 0, run(a, b)).otherwise(F.least(F.size(a), F.size(b)).cast("long"))
-    back, forth = length(F.reverse("before"), F.reverse(F.col("o.b"))), length(F.col("after"), F.col("o.a"))
-    gone = gone.select("__d", F.struct((F.col("first") - back).alias("first"), (F.col("last") + forth).alias("last")).alias("s"))
-    gone = gone.groupBy(F.col("__d").alias("__g")).agg(F.array_sort(F.collect_set("s")).alias("__s"))
-    out = held.join(gone, F.col("__d") == F.col("__g"), "left")
-    out = out.withColumn("__l", F.when(F.col("__s").isNotNull(), _lines(F.col(text))))
-    out = out.withColumn("__o", F.when(F.col("__s").isNotNull(), _kept("__l", "__s")))
-    clean = F.when(F.col("__s").isNull(), F.col(text)).otherwise(F.array_join("__o", ""))
-    lost = F.when(F.col("__s").isNotNull(), F.size("__l") - F.size("__o")).otherwise(0)
-    out = out.withColumns({"removed_lines": lost.cast("long"), "removed_chars": F.when(F.col("__s").isNotNull(), F.length(text) - F.length(clean)).otherwise(0).cast("long"), text: clean})
-    return out.select(*[c for c in docs.columns if not c.startswith("__")], *own)
-
-
-def _place(r: Column, c: Column) -> Column:
-    """A chunk with its bytes and the lines around it: up to the next chunk that goes itself, or ``AROUND`` of them. A
-    first place, with whose lines others are compared, has all of those."""
-    goes = lambda step: ~r["f"] & F.exists("__r", lambda x: (x["i"] == r["i"] + step) & ~x["f"])
-    back = F.when(goes(-1), F.greatest(c["first"] - F.get("__c", r["i"] - 1)["last"] - 1, F.lit(0))).otherwise(F.least(c["first"] - 1, F.lit(AROUND)))
-    forth = F.when(goes(1), F.greatest(F.get("__c", r["i"] + 1)["first"] - c["last"] - 1, F.lit(0))).otherwise(F.lit(AROUND))
-    return F.struct(
-        r["h"].alias("h"), r["f"].alias("f"), c["first"].cast("long").alias("first"), c["last"].cast("long").alias("last"), _body(c["first"], c["last"]).alias("body"),
-        F.slice("__b", c["first"] - back, back).alias("before"), F.slice("__b", c["last"] + 1, forth).alias("after"),
+    # Always true; it asks for the columns that the result needs, so that one shuffle of the texts serves both uses.
+    same = F.xxhash64(*others, F.size("__r")) >= F.lit(-(2**63))
+    asked = docs.join(sent, F.col("__d") == F.col("__w")).where(same).withColumn("__l", _lines(F.col(text)))
+    none = F.array().cast("array<string>")
+    told = lambda x: F.struct(
+        x["h"].alias("h"), _body(x["s"]).alias("body"), F.when(x["back"], _before(x["s"])).otherwise(none).alias("before"),
+        F.slice("__l", x["s"] + CHUNK + 1, F.when(x["forth"], F.lit(AROUND)).otherwise(F.greatest(x["g"] - CHUNK, F.lit(0)))).alias("after"),
+    )
+    bodies = asked.select(F.explode(F.transform("__r", told)).alias("p")).select("p.*").dropDuplicates(["h"])
+    got = away.select(F.col("d").alias("__g"), "s", "g", "h", "back", "forth").join(bodies, "h")
+    after = F.when(F.col("forth"), F.col("after")).otherwise(F.slice("after", F.lit(1), F.greatest(F.col("g") - CHUNK, F.lit(0))))
+    got = got.groupBy("__g").agg(F.array_sort(F.collect_list(F.struct("s", "body", F.when(F.col("back"), F.col("before")).alias("before"), after.alias("after")))).alias("__p"))
+    out = docs.join(got, F.col("__d") == F.col("__g"), "left")
+    return _cut(out, text).select(*[c for c in docs.columns if not c.startswith("__")], *own)
+
+
+def _before(s: Column) -> Column:
+    return F.slice("__l", F.greatest(s - AROUND, F.lit(0)) + 1, F.least(s, F.lit(AROUND)))
+
+
+def _cut(out: DataFrame, text: str) -> DataFrame:
+    """Cut from ``text`` what the first places' bytes in __p, sorted by line, say again."""
+    some = F.col("__p").isNotNull()
+    out = out.withColumn("__l", F.when(some, _lines(F.col(text))))
+
+    def span(p: Column, i: Column) -> Column:
+        """(b, e): the first line less the words before it, and the last line plus the words after it, in UNITs; null if
+        the bytes differ. Within a run, the lines before a chunk are those after the one that it follows."""
+        before = F.reverse(F.coalesce(p["before"], F.get("__p", i - 1)["after"]))
+        n = F.least(F.size(before), p["s"])
+        own_before, own_after = F.reverse(F.slice("__l", p["s"] - n + 1, n)), F.slice("__l", p["s"] + CHUNK + 1, F.size(p["after"]))
+        back, forth = _run(before, own_before), _run(p["after"], own_after)
+        part = lambda x, y, turn: F.coalesce(_run(turn(_bare(x)), turn(_bare(y))), F.lit(0))
+        pre = part(F.get(before, back), F.get(own_before, back), F.reverse)
+        post = part(F.get(p["after"], forth), F.get(own_after, forth), lambda a: a)
+        first, last = p["s"].cast("long") - back, p["s"].cast("long") + CHUNK - 1 + forth
+        return F.when(_body(p["s"]) == p["body"], F.struct((first * UNIT - pre).alias("b"), (last * UNIT + post).alias("e")))
+
+    out = out.withColumn("__s", F.array_compact(F.transform("__p", span)))
+    out = out.withColumns({"__b": F.transform("__s", lambda x: x["b"]), "__e": F.transform("__s", lambda x: x["e"])})
+    out = _reach(_reach(out, "__b", True), "__e", False)
+    first, pre = (lambda b: F.floor((b + (UNIT - 1)) / UNIT).cast("int")), (lambda b: F.pmod(-b, F.lit(UNIT)).cast("int"))
+    last, post = (lambda e: F.shiftright(e, 31).cast("int")), (lambda e: e.bitwiseAND(UNIT - 1).cast("int"))
+    opens = F.transform("__b", lambda b, i: F.when((i == 0) | (first(b) > last(F.get("__e", i - 1)) + 1), i))
+    out = out.withColumn("__i", F.filter(opens, lambda i: i.isNotNull()))
+    island = lambda p, j: F.struct(
+        first(F.get("__b", p)).alias("first"), pre(F.get("__b", p)).alias("pre"),
+        last(F.get("__e", F.coalesce(F.get("__i", j + 1), F.size("__e")) - 1)).alias("last"), post(F.get("__e", F.coalesce(F.get("__i", j + 1), F.size("__e")) - 1)).alias("post"),
     )
+    piece = lambda a, b: F.array_join(F.slice("__l", a + 1, F.greatest(b - a, F.lit(0))), "")
+    long = lambda x: F.regexp_count(piece(x["first"], x["last"] + 1), F.lit(WORD)) + x["pre"] + x["post"] >= LEAST
+    out = out.withColumn("__i", F.filter(F.transform("__i", island), long)).withColumn("__cut", F.coalesce(F.size("__i") > 0, F.lit(False)))
+
+    def kept(j: Column) -> Column:
+        """What stands between the stretches j - 1 and j, without the words that go with either."""
+        left, right = F.get("__i", j - 1), F.get("__i", j)
+        whole = piece(F.coalesce(left["last"] + 1, F.lit(0)), F.coalesce(right["first"], F.size("__l")))
+        head, tail = F.coalesce(left["post"], F.lit(0)), F.coalesce(right["pre"], F.lit(0))
+        rest = F.array_join(F.slice(_words(whole), head + 1, F.greatest(F.size(_words(whole)) - head - tail, F.lit(0))), "")
+        return F.when(head + tail > 0, rest).otherwise(whole)
+
+    clean = F.array_join(F.transform(F.sequence(F.lit(0), F.size("__i")), kept), "")
+    out = out.withColumn("__o", F.when(F.col("__cut"), clean).otherwise(F.col(text)))
+    lines = F.aggregate("__i", F.lit(0).cast("long"), lambda a, x: a + x["last"] - x["first"] + 1)
+    return out.withColumns({
+        "removed_lines": F.when(F.col("__cut"), lines).otherwise(0).cast("long"),
+        "removed_chars": F.when(F.col("__cut"), F.length(text) - F.length("__o")).otherwise(0).cast("long"), text: F.col("__o"),
+    })
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,47 +45,84 @@ def _h(*values):
     return _signed(seed)
 
 
+def _cut(pattern, text):
+    parts = re.split(pattern, text)
+    return parts[1:] if len(parts) > 1 and not parts[0] else parts
+
+
+def lines(text):
+    return _cut(ld.LINE_END, text or "")
+
+
+def _words(line):
+    return _cut(ld.WORD_END, line)
+
+
+def chunk_starts(own):
+    """Every place that has the least rolling hash of some window; windows at the end are shorter."""
+    h = [_h(x) for x in own]
+    roll = [None if i and h[i] == h[i - 1] else (_signed((_h(*h[i : i + 3]) << 31) % 2**64) + i, i) for i in range(len(h) - ld.CHUNK + 1)]
+    least = [min((x for x in roll[i : i + ld.WINDOW] if x), default=None) for i in range(len(roll))]
+    return sorted({x[1] for x in least if x})
+
+
 def line_dedup(rows):
-    """[(key, text)] -> texts without chunks that stand at an earlier place."""
-    docs, places = [], defaultdict(list)
-    for k, text in rows:
-        lines = re.findall(ld.LINE, text or "")
-        body = [x.replace("\n", " ").strip(" ") for x in lines]
-        h = [_h(b) for b in body]
-        ends = [i for i in range(len(h)) if i == len(h) - 1 or _h(h[i - 1] if i else None, h[i]) % ld.MEAN_LINES == 0]
-        chunks = list(zip([0, *[e + 1 for e in ends]], ends))
-        docs.append((lines, body, chunks))
-        t = _h(text or "")
-        for i, (a, b) in enumerate(chunks):
-            said = "\n".join(body[a : b + 1])
-            if b - a + 1 >= ld.LEAST_LINES and len(said) >= ld.LEAST_CHARS:
-                places[_h(said)].append((k is not None, k or 0, t, i, len(docs) - 1))
-    cut = defaultdict(set)
-    repeated = {h: sorted(p) for h, p in places.items() if len(p) > 1}
-    own = defaultdict(set)
-    for p in repeated.values():
-        for x in p:
-            own[x[4]].add(x[3])
-    for p in repeated.values():
-        first = p[0]
-        f_lines, f_body, f_chunks = docs[first[4]]
-        fa, fb = f_chunks[first[3]]
-        for x in p[1:]:
-            if x[:4] == first[:4]:
-                continue
-            _, body, chunks = docs[x[4]]
-            a, b = chunks[x[3]]
-            if body[a : b + 1] != f_body[fa : fb + 1]:
+    """[(key, text)] -> texts without stretches that stand at an earlier place."""
+    docs, places = [], defaultdict(set)
+    for n, (k, text) in enumerate(rows):
+        own = lines(text)
+        starts = chunk_starts(own)
+        gap = {s: e - s for s, e in zip(starts, starts[1:])}
+        docs.append((own, {s: _h("".join(own[s : s + ld.CHUNK])) for s in starts}, gap, (k is not None, k or 0, _h(text or ""))))
+        for s, h in docs[n][1].items():
+            places[h].add((*docs[n][3], s, n))
+    first = {h: min(p) for h, p in places.items()}
+    out = []
+    for (own, chunks, gap, doc), (_, text) in zip(docs, rows):
+        away = {s: first[h] for s, h in chunks.items() if first[h][:4] != (*doc, s)}
+        follows = lambda s, e: s in away and e in away and gap.get(s) == e - s and away[s][:3] == away[e][:3] and away[e][3] - away[s][3] == e - s and docs[away[s][4]][2].get(away[s][3]) == e - s
+        before = dict(zip(sorted(chunks)[1:], sorted(chunks)))
+        gone, lead, trail = set(), defaultdict(int), defaultdict(int)  # lines, and words next to them
+        for s, f in away.items():
+            there, o = docs[f[4]][0], f[3]
+            if own[s : s + ld.CHUNK] != there[o : o + ld.CHUNK]:
                 continue
-            back = forth = 0
-            if x[3] - 1 not in own[x[4]]:
-                while back < ld.AROUND and a - back > 0 and fa - back > 0 and body[a - back - 1] == f_body[fa - back - 1]:
-                    back += 1
-            if x[3] + 1 not in own[x[4]]:
-                while forth < ld.AROUND and b + forth + 1 < len(body) and fb + forth + 1 < len(f_body) and body[b + forth + 1] == f_body[fb + forth + 1]:
-                    forth += 1
-            cut[x[4]] |= set(range(a - back, b + forth + 1))
-    return ["".join(line for j, line in enumerate(lines) if j not in cut[i]) if cut[i] else rows[i][1] for i, (lines, _, _) in enumerate(docs)]
+            a, b, c, d = s, s + ld.CHUNK, o, o + ld.CHUNK
+            most = max(d, o + gap[s]) if follows(s, s + gap.get(s, -1)) else min(len(there), d + ld.AROUND)
+            while b < len(own) and d < most and own[b] == there[d]:
+                b, d = b + 1, d + 1
+            if b < len(own) and d < most:
+                lead[b] = max(lead[b], _same(_bare(own[b]), _bare(there[d])))
+            within = s in before and follows(before[s], s)
+            n = max(0, s - before[s] - ld.CHUNK) if within else ld.AROUND
+            low, least = max(0, s - n), max(0, o - n)
+            while a > low and c > least and own[a - 1] == there[c - 1]:
+                a, c = a - 1, c - 1
+            if a > low and c > least:
+                trail[a - 1] = max(trail[a - 1], _same(_bare(own[a - 1])[::-1], _bare(there[c - 1])[::-1]))
+            gone |= set(range(a, b))
+        islands = []
+        for i in sorted(gone):
+            if islands and islands[-1][1] == i:
+                islands[-1][1] = i + 1
+            else:
+                islands.append([i, i + 1])
+        islands = [(a, b) for a, b in islands if len(re.findall(WORD, "".join(own[a:b]))) + trail[a - 1] + lead[b] >= ld.LEAST]
+        kept, at = "", 0
+        for (a, b), head in zip([*islands, (len(own), None)], [0, *[lead[b] for _, b in islands]]):
+            said = _words("".join(own[at:a]))
+            kept += "".join(said[head : max(head, len(said) - (trail[a - 1] if b else 0))])
+            at = b
+        out.append(kept if islands else text)
+    return out
+
+
+def _bare(line):
+    return [w.lstrip(" \t\n\x0b\x0c\r") for w in _words(line)]
+
+
+def _same(x, y):
+    return next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
 
 
 def components(rows):

@@ -1,7 +1,10 @@
 import random
-import re
+import time
 
-from memlake.llm.line_dedup import LINE, dedup
+from pyspark.sql import functions as F
+
+from memlake.llm.line_dedup import _lines, dedup
+from tests.llm import brute
 
 
 def prose(rng, lines):
@@ -43,11 +46,12 @@ def test_repeats_within_one_text(spark):
     assert got["text"].startswith(part[: len(part) // 2]) and len(got["text"]) < 1.35 * len(part)
 
 
-def test_lines_rebuild_the_text():
+def test_lines_rebuild_the_text(spark):
     rng = random.Random(4)
-    for _ in range(300):
-        text = "".join(rng.choice("ab .,\n;!é") for _ in range(rng.randint(0, 60)))
-        assert "".join(re.findall(LINE, text)) == text
+    texts = ["".join(rng.choice("ah .,\n;!é") for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", _lines(F.col("text")).alias("l")).collect()
+    for r in rows:
+        assert "".join(r["l"]) == r["text"] and r["l"] == brute.lines(r["text"])
 
 
 def test_edges(spark):
@@ -73,3 +77,28 @@ def test_every_passage_of_over_50_words_goes(spark):
     for i, text in rows:
         lost = len(text.split()) - len(got[i].split())
         assert lost == (len(passages[i // 3]) if i % 3 else 0), (i, lost)
+
+
+def test_space_is_compared(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(80)]
+    rows = [(1, " ".join(words)), (2, "\n".join(words)), (3, " ".join(words[:60])), (4, "x\n" + " ".join(words[5:]))]
+    got = {r["doc_id"]: r["text"] for r in dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: rows[1][1], 3: "", 4: "x"}
+
+
+def test_short_repeats_stay(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    phrase = " ".join(word() for _ in range(30))
+    rows = [(i, " ".join([word() for _ in range(40)] + [phrase] + [word() for _ in range(40)])) for i in range(20)]
+    got = dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == rows
+
+
+def test_a_very_long_repeated_text(spark):
+    rng = random.Random(8)
+    text = "\n".join(" ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(5)) for _ in range(200_000))
+    began = time.time()
+    got = {r["doc_id"]: r["removed_chars"] for r in dedup(spark.createDataFrame([(1, text), (2, text), (3, "own")], "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: len(text), 3: 0} and time.time() - began < 120
