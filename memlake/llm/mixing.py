@@ -10,6 +10,8 @@ from memlake.llm.common import SPACE, WORD, stored, words_of
 WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2
 BLOCK, SHARD_DOCS, SEED = 64, 4096, 17
+#: A source whose target has fewer blocks than these is settled in smaller blocks of its own, so many of them.
+FEW = 100
 #: Block steps; primes above any number of blocks, so that j -> (step * j + offset) mod m is a permutation.
 STEPS = (2147483647, 2147483629, 2147483587, 2147483579)
 
@@ -62,23 +64,23 @@ def seeded(*cols, seed: int = SEED) -> F.Column:
 
 
 def mix(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, block: int = BLOCK, shard_docs: int = SHARD_DOCS, seed: int = SEED) -> DataFrame:
-    """Mix documents given as (doc_id, source, size): add source_size, target, taken and ``picks``, an array of
-    (first word, end, times) of the document's words that the mix takes.
+    """Mix documents given as (doc_id, source, size) and, if there, ``print``, a hash of the text: add source_size,
+    target, taken and ``picks``, an array of (first word, end, times) of the document's words that the mix takes.
 
     Shards of about ``shard_docs`` documents of one source lie in seeded order as one stream of words, cut into equal
-    blocks of ``block`` words (fewer where the smallest target would get under 100 blocks). Each source's blocks and
-    then each shard's are Sainte-Lague quotas; a shard takes quota div blocks of every block and one more of those
+    blocks of ``block`` words. Each source's blocks and then each shard's are Sainte-Lague quotas; a source whose target
+    is under ``FEW`` blocks has its target dealt in ``FEW`` smaller blocks instead, which changes no other source; a shard takes quota div blocks of every block and one more of those
     that a seeded permutation puts first. A null source is a source; repeated rows are documents of their own; with
     no words at all every target is 0; an empty table gives an empty table. A hot source only has more shards."""
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("__docs"))
     goal = targets(sources, weights, share, cap)
-    unit = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.min(F.when(F.col("target") > 0, F.col("target"))).over(W.partitionBy()) / 100))).cast("long")
-    goal = goal.withColumn("__unit", F.coalesce(unit, F.lit(1).cast("long")))
-    goal = goal.withColumn("__house", F.floor(F.sum("target").over(W.partitionBy()) / F.col("__unit") + 0.5).cast("long"))
+    unit = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.col("target") / FEW))).cast("long")
+    goal = goal.withColumns({"__unit": unit, "__house": F.floor(F.sum("target").over(W.partitionBy()) / block + 0.5).cast("long")})
     goal = goal.withColumns({"id": F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())), "votes": F.col("target")})
-    goal = stored(sainte_lague(goal, "__house").select("source", "source_size", "target", "__unit", F.col("seats").alias("__blocks"), F.ceil(F.col("__docs") / shard_docs).cast("long").alias("__shards"), F.col("id").alias("__sid")), "mix-goal")
+    own = F.when(F.col("__unit") < block, F.floor(F.col("target") / F.col("__unit") + 0.5).cast("long")).otherwise(F.col("seats"))
+    goal = stored(sainte_lague(goal, "__house").select("source", "source_size", "target", "__unit", own.alias("__blocks"), F.ceil(F.col("__docs") / shard_docs).cast("long").alias("__shards"), F.col("id").alias("__sid")), "mix-goal")
     docs = sized.join(goal, sized["source"].eqNullSafe(goal["source"])).drop(goal["source"])
-    docs = docs.withColumn("__h", seeded("doc_id", "size", seed=seed)).withColumn("__shard", F.col("__h") % F.col("__shards"))
+    docs = docs.withColumn("__h", seeded("doc_id", "size", *[c for c in ("print",) if c in sized.columns], seed=seed)).withColumn("__shard", F.col("__h") % F.col("__shards"))
     stream = W.partitionBy("__sid", "__shard")
     at = F.sum("size").over(stream.orderBy("__h", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, 0))
     docs = docs.withColumns({"__b": at, "__v": F.sum("size").over(stream)}).withColumn("__a", F.col("__b") - F.col("size"))
@@ -105,9 +107,14 @@ def _count(text: F.Column) -> F.Column:
     return F.size(words_of(text)).cast("long")
 
 
+def _print(text: F.Column) -> F.Column:
+    return F.substring(F.md5(F.coalesce(text, F.lit(""))), 1, 16)
+
+
 def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size): words of every whole text, 0 for null."""
-    return docs.select("doc_id", "source", _count(F.col("text")).alias("size"))
+    """(doc_id, source, size, print): words of every whole text, 0 for null, and a hash of it, so that documents that
+    share an id, or have none, still spread over shards."""
+    return docs.select("doc_id", "source", _count(F.col("text")).alias("size"), _print(F.col("text")).alias("print"))
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,15 +125,15 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def taken_texts(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: a row for each pass over a document that takes any of its words, its text cut to the
     words taken in that pass (with the white space that follows them), its other columns as they were. Rows of equal
-    key, source and size are told apart by rank: their takings differ by their place in the stream only."""
-    key = ["doc_id", "source", "size"]
+    key, source and text are told apart by rank: their takings differ by their place in the stream only."""
+    key = ["doc_id", "source", "size", "print"]
     sized = stored(sizes(docs), "mix-sizes")
     n = F.row_number().over(W.partitionBy(*key).orderBy("picks"))
     picks = mix(sized, **options).select(*key, F.col("picks").alias("__picks"), n.alias("__m")).where(F.size("__picks") > 0)
-    rows = docs.withColumn("__size", _count(F.col("text")))
-    rows = rows.withColumn("__n", F.row_number().over(W.partitionBy("doc_id", "source", "__size").orderBy("text")))
+    rows = docs.withColumns({"__size": _count(F.col("text")), "__print": _print(F.col("text"))})
+    rows = rows.withColumn("__n", F.row_number().over(W.partitionBy("doc_id", "source", "__size", "__print").orderBy("text")))
     on = rows["__n"] == picks["__m"]
-    for a, b in (("doc_id", "doc_id"), ("source", "source"), ("__size", "size")):
+    for a, b in (("doc_id", "doc_id"), ("source", "source"), ("__size", "size"), ("__print", "print")):
         on = on & rows[a].eqNullSafe(picks[b])
     df = rows.join(picks, on).select(*[rows[c] for c in docs.columns], picks["__picks"])
     df = df.withColumn("__w", F.regexp_extract_all("text", F.lit(f"{WORD}(?:{SPACE})?"), F.lit(0)))
@@ -145,7 +152,7 @@ def _hash_sql(*values: str) -> str:
 
 
 OP5_SQL = f"""
-WITH z AS (SELECT row_number() OVER () AS rid, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
+WITH z AS (SELECT row_number() OVER () AS rid, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, substr(md5(coalesce(text, '')), 1, 16) AS print FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS docs FROM z GROUP BY source),
 s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM s0),
 s2 AS (SELECT *, [3, 1, 2][((sid - 1) % 3 + 1)::INTEGER] AS w, {float(CAP)}::DOUBLE * source_size AS cap FROM s1),
@@ -153,12 +160,12 @@ s3 AS (SELECT *, source_size::DOUBLE / w AS o, ({SHARE}::DOUBLE * sum(source_siz
   / sum(w) OVER (ORDER BY source_size::DOUBLE / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s2),
 s4 AS (SELECT *, first_value(level) OVER (ORDER BY cap <= level * w, o) AS lam FROM s3),
 s5 AS (SELECT source, source_size, docs, sid, CASE WHEN cap <= level * w THEN cap ELSE lam * w END AS target FROM s4),
-s6 AS (SELECT *, coalesce(greatest(1, least({BLOCK}, floor(min(CASE WHEN target > 0 THEN target END) OVER () / 100))), 1)::BIGINT AS unit, sum(target) OVER () AS total FROM s5),
-s7 AS (SELECT *, floor(total / unit + 0.5)::BIGINT AS house FROM s6),
-q1 AS (SELECT sid, house, target / (2 * k + 1) AS q FROM (SELECT *, unnest(range(0, floor(target / unit)::BIGINT + 8)) AS k FROM s7 WHERE target > 0)),
+s6 AS (SELECT *, greatest(1, least({BLOCK}, floor(target / {FEW})))::BIGINT AS unit, sum(target) OVER () AS total FROM s5),
+s7 AS (SELECT *, floor(total / {BLOCK} + 0.5)::BIGINT AS house FROM s6),
+q1 AS (SELECT sid, house, target / (2 * k + 1) AS q FROM (SELECT *, unnest(range(0, floor(target / {BLOCK})::BIGINT + 8)) AS k FROM s7 WHERE target > 0)),
 q2 AS (SELECT sid, row_number() OVER (ORDER BY q DESC, sid) AS r, house FROM q1),
-g AS (SELECT s7.*, coalesce(n, 0) AS blocks, ceil(docs / {SHARD_DOCS}.0)::BIGINT AS shards FROM s7 LEFT JOIN (SELECT sid, count(*) AS n FROM q2 WHERE r <= house GROUP BY sid) USING (sid)),
-d0 AS (SELECT z.*, g.sid, g.source_size, g.target, g.unit, g.blocks, g.shards, {_hash_sql("coalesce(doc_id::VARCHAR, '~')", "size::VARCHAR")} AS h FROM z JOIN g ON z.source IS NOT DISTINCT FROM g.source),
+g AS (SELECT s7.*, CASE WHEN unit < {BLOCK} THEN floor(target / unit + 0.5)::BIGINT ELSE coalesce(n, 0) END AS blocks, ceil(docs / {SHARD_DOCS}.0)::BIGINT AS shards FROM s7 LEFT JOIN (SELECT sid, count(*) AS n FROM q2 WHERE r <= house GROUP BY sid) USING (sid)),
+d0 AS (SELECT z.*, g.sid, g.source_size, g.target, g.unit, g.blocks, g.shards, {_hash_sql("coalesce(doc_id::VARCHAR, '~')", "size::VARCHAR", "print")} AS h FROM z JOIN g ON z.source IS NOT DISTINCT FROM g.source),
 d1 AS (SELECT *, h % shards AS shard FROM d0),
 d2 AS (SELECT *, sum(size) OVER (PARTITION BY sid, shard ORDER BY h, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS b, sum(size) OVER (PARTITION BY sid, shard)::BIGINT AS v FROM d1),
 t0 AS (SELECT sid, shard, any_value(v) AS v, any_value(blocks) AS blocks, any_value(unit) AS unit, sum(any_value(v)) OVER (PARTITION BY sid) AS vs FROM d2 WHERE size > 0 GROUP BY sid, shard),

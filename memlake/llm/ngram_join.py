@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from memlake.llm.common import connected_components, small_batches, stored
 
@@ -111,10 +111,13 @@ def shared_needed(n: int) -> int:
 
 
 TRIPLE = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("n", pa.int32())])
+#: The same with a hash of the text, for rows of documents.
+PREFIX = TRIPLE.append(pa.field("t", pa.int64()))
+PREFIX_DDL = "key long, node long, n int, t long"
 
 
 def _prefixes(batches):
-    """Rows (shingle, set, 0) of every document's prefix, and (doc_id, set, size) or size -1 for the document itself.
+    """Rows (shingle, set, 0) of every document's prefix, and (doc_id, set, size, hash) or size -1 for the document itself.
     A task leaves out prefixes of sets that it has told already."""
     seen: set[int] = set()
     for batch in batches:
@@ -133,8 +136,8 @@ def _prefixes(batches):
                 node.append(np.full(len(p), own, np.int64))
         if key:
             k = np.concatenate(key)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.concatenate(node)), pa.array(np.zeros(len(k), np.int32))], schema=TRIPLE)
-        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(doc_node, pa.int64()), pa.array(doc_size, pa.int32())], schema=TRIPLE)
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.concatenate(node)), pa.array(np.zeros(len(k), np.int32)), pa.nulls(len(k), pa.int64())], schema=PREFIX)
+        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(doc_node, pa.int64()), pa.array(doc_size, pa.int32()), batch.column(2)], schema=PREFIX)
 
 
 def _shared(batches):
@@ -179,14 +182,15 @@ def _shared(batches):
         hit = np.concatenate([hit, np.array(extra, np.int64)]) if extra else hit
         if len(hit):
             u, c = np.unique(hit, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(u), pa.array((-1 - c).astype(np.int32))], schema=TRIPLE)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(u), pa.array((-1 - c).astype(np.int32)), pa.nulls(len(u), pa.int64())], schema=PREFIX)
 
 
 SETS = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("shingles", pa.list_(pa.int64()))])
 
 
-#: Bits of the filter that tells which documents may be live: 4 MB, whatever the input.
-FILTER_BITS = 1 << 25
+#: Bits of the filter that tells which documents may be live, 4 MB, and the bits a document must have; for more
+#: documents a join tells the same.
+FILTER_BITS, BITS_EACH = 1 << 25, 16
 
 
 def _bits(ids: pa.Array) -> np.ndarray:
@@ -452,13 +456,14 @@ def _linked_groups(batches):
     yield from told()
 
 
-def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, n_shingles, component_id, set_id, n_links): one row for each row of ``docs``.
+def components(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(doc_id, t, node, n, component, n_links): one row for each row of ``docs``: a hash of its text, its set's id and
+    size, and the id of a set of its component (its own, if its set has no links).
 
     Texts with equal sets are one node. A node goes on only if enough of its first shingles (in hash order, by a prefix
     bound) are in another node's; a filter of fixed size tells the second scan which texts to hash again, so texts are
-    never shuffled. The nodes left are chained by runs of shingles, whose connected chains hold every
-    possible link; each chain, or block pair of a long one, is one group in which signature trees find the links,
+    not shuffled unless the live ones are too many for it. The nodes left are chained by runs of shingles, whose connected
+    chains hold every possible link; each chain, or block pair of a long one, is one group in which signature trees find the links,
     compared exactly. n_links counts all other rows that a row is linked with, its set's copies among them; a task
     tells counts, not pairs. Texts without words are linked with nothing and have an empty set. Null keys are rows like others; the
     component of rows that all have null keys is null.
@@ -466,19 +471,25 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     parts = spark.conf.get("spark.sql.shuffle.partitions")
-    base = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = base.mapInArrow(_prefixes, "key long, node long, n int").repartition(int(parts), "key").sortWithinPartitions("key", "node")
-    rows = stored(rows.mapInArrow(_shared, "key long, node long, n int"), "ngram-rows")
-    own = rows.where("n > 0 or n = -1").select(F.col("key").alias("doc_id"), "node", F.greatest("n", F.lit(0)).alias("n"))
+    base = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+    rows = base.mapInArrow(_prefixes, PREFIX_DDL).repartition(int(parts), "key").sortWithinPartitions("key", "node")
+    rows = stored(rows.mapInArrow(_shared, PREFIX_DDL), "ngram-rows")
+    own = rows.where("n > 0 or n = -1").select(F.col("key").alias("doc_id"), "t", "node", F.greatest("n", F.lit(0)).alias("n"))
     shared = rows.where("n < -1").groupBy("node").agg(F.sum(-1 - F.col("n")).alias("shared"))
     classes = own.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
     needed = F.ceil(F.ceil(F.col("n") * PERCENT / 100) / 16)
-    live = classes.join(shared, "node").where(F.col("shared") >= needed).select("doc_id")
-    found = live.mapInArrow(_filter_words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    words = np.zeros(FILTER_BITS // 64, np.uint64)
-    words[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
-    sent = spark.sparkContext.broadcast(words)
-    sets = stored(base.mapInArrow(lambda batches: _wanted_sets(batches, sent.value), "node long, n int, shingles array<bigint>"), "ngram-sets")
+    live = stored(classes.join(shared, "node").where(F.col("shared") >= needed).select("doc_id"), "ngram-live")
+    if live.count() * BITS_EACH <= FILTER_BITS:
+        found = live.mapInArrow(_filter_words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+        words = np.zeros(FILTER_BITS // 64, np.uint64)
+        words[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+        sent = spark.sparkContext.broadcast(words)
+        sets = base.mapInArrow(lambda batches: _wanted_sets(batches, sent.value), "node long, n int, shingles array<bigint>")
+    else:
+        known = live.distinct().withColumnRenamed("doc_id", "__k")
+        asked = base.join(known, base["doc_id"].eqNullSafe(known["__k"]), "left_semi")
+        sets = asked.mapInArrow(lambda batches: _wanted_sets(batches, np.full(FILTER_BITS // 64, 2**64 - 1, np.uint64)), "node long, n int, shingles array<bigint>")
+    sets = stored(sets, "ngram-sets")
     runs = sets.mapInArrow(_runs, "key long, node long, n int").repartition(int(parts), "key").sortWithinPartitions("key", "n", "node")
     chain = stored(runs.mapInArrow(_chains, "a long, b long").distinct(), "ngram-chains")
     group = connected_components(chain)
@@ -495,32 +506,44 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     told = links.where("a = b").select(F.col("a").alias("node"), "n").unionByName(classes.select("node", (F.col("copies") - 1).alias("n")))
     degree = told.groupBy("node").agg(F.sum("n").alias("n_links"))
     of = connected_components(links.select("a", "b"))
-    own = own.join(of, "node", "left").join(degree, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    own = own.join(of, "node", "left").join(degree, "node", "left")
+    return own.select("doc_id", "t", "node", "n", F.coalesce("component", "node").alias("component"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(doc_id, n_shingles, component_id, set_id, n_links): one row for each row of ``docs``, from its ``components``."""
+    own = components(docs, text, key)
     named = own.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = own.join(named.withColumnRenamed("component", "c"), (F.col("component") == F.col("c")) & (F.col("n") > 0), "left")
     return out.select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.col("node").alias("set_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.col("node").alias("set_id"), "n_links",
     )
 
 
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs`` without rows whose component has a smaller key. Rows that share a key are one document: of those the
-    one with the least text stays."""
-    found = stored(join(docs, text, key).select("doc_id", "component_id"), "ngram-found")
-    keep = found.groupBy(F.col("doc_id").alias("__k")).agg(F.count(F.lit(1)).alias("__n"), F.bool_or(F.col("component_id").eqNullSafe(F.col("doc_id"))).alias("__first"))
-    keep = stored(keep.where("__first").drop("__first"), "ngram-keep")
-    kept = docs.join(keep, docs[key].eqNullSafe(keep["__k"]))
-    columns = [docs[c] for c in docs.columns]
-    once = kept.where("__n = 1").select(*columns)
-    if keep.where("__n > 1").isEmpty():
+    """One row of each component of ``docs``: of the rows with its smallest key (null keys last) one with the least set
+    id, then text hash. Rows are told apart by key and text, so different texts under one key, or under none, are
+    documents of their own; rows without words all stay. Rows of one key and text, if they stay, leave one."""
+    found = components(docs, text, key).where("n > 0").groupBy("doc_id", "t", "node", "component").agg(F.count(F.lit(1)).alias("rows"))
+    found = stored(found, "ngram-found")
+    rank = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "node", "t")
+    best = found.groupBy("component").agg(F.min(rank).alias("best"), F.sum("rows").alias("rows")).where("rows > 1").select("component", "best")
+    many = found.join(stored(best, "ngram-best"), "component")
+    many = stored(many.select(F.col("doc_id").alias("__k"), F.col("t").alias("__h"), (rank == F.col("best")).alias("__first"), (F.col("rows") > 1).alias("__again")), "ngram-many")
+    hashed = docs.withColumn("__t", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    left = hashed.join(many, hashed[key].cast("long").eqNullSafe(many["__k"]) & (hashed["__t"] == many["__h"]), "left").where("coalesce(__first, true)")
+    once = left.where("not coalesce(__again, false)").select(*docs.columns)
+    if many.where("__first and __again").isEmpty():
         return once
-    many = kept.where("__n > 1").select(*columns).withColumn("__r", F.row_number().over(W.partitionBy(key).orderBy(text)))
-    return once.unionByName(many.where("__r = 1").drop("__r"))
+    # A grouped minimum, so that not even a hot group of equal rows is gathered.
+    row = F.struct(*docs.columns)
+    again = left.where("__again").groupBy("__k", "__h").agg(F.min_by(row, F.to_json(row)).alias("r"))
+    return once.unionByName(again.select("r.*"))
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
+    return join(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 OP8_SQL = r"""
@@ -531,5 +554,5 @@ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.
 l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 75 * (x.n + y.n - o)),
 e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
-SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS c FROM r GROUP BY a) m USING (doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id, coalesce(k.n, 0)::BIGINT AS n_links FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, count(*) AS n FROM e GROUP BY a) k USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS c FROM r GROUP BY a) m USING (doc_id)
 """

@@ -183,23 +183,22 @@ def _seeded(*values):
 def source_mix(rows):
     """[(key, source, text)] with distinct keys -> (key, text) of each pass over a document that takes words of it."""
     words = {k: re.findall(rf"{WORD}[\x20\x09-\x0D]*", text) for k, _, text in rows}
-    by = defaultdict(list)
+    by, text_of = defaultdict(list), {k: text for k, _, text in rows}
     for k, source, _ in rows:
         by[source].append(k)
     size = {s: sum(len(words[k]) for k in ks) for s, ks in by.items()}
     goal = targets(size)
-    unit = max(1, min(mx.BLOCK, math.floor(min(v for v in goal.values() if v > 0) / 100)))
     names = sorted(by, key=lambda s: (s is None, (s or "").encode()))
-    dealt = seats({i + 1: goal[s] for i, s in enumerate(names)}, math.floor(sum(goal.values()) / unit + 0.5))
+    dealt = seats({i + 1: goal[s] for i, s in enumerate(names)}, math.floor(sum(goal.values()) / mx.BLOCK + 0.5))
     out = []
     for i, s in enumerate(names):
-        n = math.ceil(len(by[s]) / mx.SHARD_DOCS)
+        n, unit = math.ceil(len(by[s]) / mx.SHARD_DOCS), max(1, min(mx.BLOCK, math.floor(goal[s] / mx.FEW)))
         shards = defaultdict(list)
         for k in by[s]:
-            h = _seeded(k, len(words[k]))
+            h = _seeded(k, len(words[k]), hashlib.md5(text_of[k].encode()).hexdigest()[:16])
             shards[h % n].append((h, k))
         votes = {j: sum(len(words[k]) for _, k in ks) for j, ks in shards.items()}
-        quota = seats(votes, dealt[i + 1])
+        quota = seats(votes, dealt[i + 1] if unit == mx.BLOCK else math.floor(goal[s] / unit + 0.5))
         for j, ks in shards.items():
             v, m = votes[j], math.ceil(votes[j] / unit)
             q, o = min(quota[j], mx.CAP * m), _seeded(i + 1, j)

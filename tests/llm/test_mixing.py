@@ -80,3 +80,20 @@ def test_nothing_to_mix(spark):
     assert mix(spark.createDataFrame([], kind)).count() == 0
     got = mix(spark.createDataFrame([(1, "a", 0), (2, None, 0)], kind)).collect()
     assert [(r["target"], r["taken"]) for r in got] == [(0.0, 0), (0.0, 0)]
+
+
+def test_a_tiny_source_changes_no_other(spark):
+    rows = [(i, "big", 1000) for i in range(2000)]
+    kind = "doc_id long, source string, size long"
+    alone = mix(spark.createDataFrame(rows, kind)).collect()
+    got = mix(spark.createDataFrame([*rows, (-1, "tiny", 3)], kind)).collect()
+    assert max(len(r["picks"]) for r in got) <= max(len(r["picks"]) for r in alone) <= 18
+    tiny = [r for r in got if r["source"] == "tiny"]
+    assert tiny[0]["taken"] == tiny[0]["target"] > 0
+
+
+def test_documents_without_an_id_spread_over_shards(spark):
+    rows = [(None, f"w{i} x y", "a", "k") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, k string")
+    got = mix(sizes(df), shard_docs=20).collect()
+    assert 0.9 * 1.5 * 1200 <= sum(r["taken"] for r in got) <= 1.1 * 1.5 * 1200

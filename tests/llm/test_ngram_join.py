@@ -117,3 +117,17 @@ def test_every_link_is_counted(spark, monkeypatch, most):
     want = {d: sum(linked(sets[i], sets[j]) for j in range(len(rows)) if j != i) for i, (d, _) in enumerate(rows)}
     got = {r["doc_id"]: r["n_links"] for r in nj.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want and max(want[1000 + i] for i in range(42)) == 41
+
+
+def test_null_and_repeated_keys_lose_no_document(spark):
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(20))
+    rows = [(None, text("a"), 1), (None, text("b"), 1), (7, text("c"), 1), (7, text("d"), 1), (7, text("d"), 2), (9, text("d") + " x", 1), (None, None, 1), (None, None, 2)]
+    got = sorted((str(r["doc_id"]), r["text"] or "") for r in nj.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, k int")).collect())
+    assert got == [("7", text("c")), ("7", text("d")), ("None", ""), ("None", ""), ("None", text("a")), ("None", text("b"))]
+
+
+def test_a_join_takes_over_from_the_filter(spark, monkeypatch):
+    rows = corpus(2)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(nj, "BITS_EACH", 1 << 40)
+    assert sorted(map(tuple, nj.join(df).select("doc_id", "n_shingles", "component_id").collect())) == brute(rows)
