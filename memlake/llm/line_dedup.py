@@ -7,14 +7,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from memlake.llm.common import WORD, delete_stored, stored
 
 #: A line ends at a line feed, and at white space after a word that does not end in one of these letters. Such lines
-#: hold about two words, whatever stands before them: a passage may lie within one written line.
-ON = "ehnort"
+#: hold two or three words, whatever stands before them: a passage may lie within one written line.
+ON = "aehinorst"
 LINE_END = rf"(?<=[^\x20\x09-\x0D{ON}])(?=[\x20\x09-\x0D])|(?=\n)"
 #: Where a word ends within a line; each word has the white space before it.
 WORD_END = r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])|(?=\n)"
-#: A chunk of CHUNK lines begins at the least rolling hash (over three lines) of every WINDOW successive ones, so any
+#: A chunk of CHUNK lines begins at the least rolling hash (over two lines) of every WINDOW successive ones, so any
 #: WINDOW + CHUNK - 1 lines hold a whole chunk, whatever stands around them.
-WINDOW, CHUNK = 11, 4
+WINDOW, CHUNK = 8, 3
 #: Lines compared beyond the last chunk of a stretch: were more than these equal, they would hold one chunk more.
 AROUND = WINDOW + CHUNK
 #: Words of a stretch that goes; shorter ones repeat by chance in a large corpus.
@@ -32,7 +32,7 @@ def chunked(docs: DataFrame, text: str = "text") -> DataFrame:
     """A row (__k, __t, s, g, h) for each chunk: its first line from 0, the lines to the next chunk (0: none), and a hash.
     Within a run of one line no chunk begins but at its head."""
     df = docs.withColumn("__l", _lines(F.col(text))).withColumn("__h", F.transform("__l", lambda x: F.xxhash64(x)))
-    rolling = lambda h, i: F.shiftleft(F.xxhash64(h, F.get("__h", i + 1), F.get("__h", i + 2)), 31) + i
+    rolling = lambda h, i: F.shiftleft(F.xxhash64(h, F.get("__h", i + 1)), 31) + i
     starts = F.slice("__h", F.lit(1), F.greatest(F.size("__h") - (CHUNK - 1), F.lit(0)))
     # The hash above the line number, so that a minimum tells its place; null where the line before is the same.
     df = df.withColumn("__m", F.transform(starts, lambda h, i: F.when((i == 0) | (h != F.get("__h", i - 1)), rolling(h, i))))
@@ -53,8 +53,8 @@ def _body(s: Column) -> Column:
 
 def _run(a: Column, b: Column) -> Column:
     """How many leading items of two arrays are equal."""
-    other = F.array_position(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), False)
-    return F.when(other > 0, other.cast("int") - 1).otherwise(F.least(F.size(a), F.size(b)))
+    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    return (F.array_position(F.concat(same, F.array(F.lit(False))), False) - 1).cast("int")
 
 
 def _words(line: Column) -> Column:
@@ -95,8 +95,12 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     docs = docs.withColumns({"__k": F.col(key), "__t": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
     places = stored(chunked(docs, text), "line-chunks")
     at = F.struct(F.col("k").isNotNull().alias("known"), "k", "t", "s", "g")
-    firsts = places.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("o")).where("n > 1").select("h", "o")
-    twice = places.join(firsts, "h")
+    again = stored(places.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "line-again")
+    # Both tables are stored before they are joined, so that the joins have exchanges of their own and skew is split.
+    found = stored(places.join(again.hint("shuffle_hash"), "h"), "line-found")
+    delete_stored(places)
+    firsts = stored(found.groupBy("h").agg(F.min(at).alias("o")), "line-firsts")
+    twice = found.join(firsts.hint("shuffle_hash"), "h")
     itself = F.col("k").eqNullSafe(F.col("o.k")) & (F.col("t") == F.col("o.t")) & (F.col("s") == F.col("o.s"))
     # Equal where both parts are equal or null; of one type in all tables, so that joins keep the partitions.
     kind = f"struct<k:{docs.schema['__k'].dataType.simpleString()},t:bigint>"
@@ -110,7 +114,8 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
 
     ends = lambda x, i: F.struct(x["s"], x["g"], x["h"], x["o"], (~follows(F.get("r", i - 1), x)).alias("back"), (~follows(x, F.get("r", i + 1))).alias("forth"))
     marks = stored(marks.withColumn("r", F.transform("r", ends)), "line-marks")
-    delete_stored(places)
+    for old in (again, found, firsts):
+        delete_stored(old)
     away = marks.select("d", F.explode(F.filter("r", lambda x: x["o"].isNotNull())).alias("x"))
     away = away.select("d", "x.*")
     # What a first place sends: its bytes, and the lines around them if a run ends there anywhere.
@@ -145,20 +150,31 @@ def _cut(out: DataFrame, text: str) -> DataFrame:
     some = F.col("__p").isNotNull()
     out = out.withColumn("__l", F.when(some, _lines(F.col(text))))
 
-    def span(p: Column, i: Column) -> Column:
-        """(b, e): the first line less the words before it, and the last line plus the words after it, in UNITs; null if
-        the bytes differ. Within a run, the lines before a chunk are those after the one that it follows."""
-        before = F.reverse(F.coalesce(p["before"], F.get("__p", i - 1)["after"]))
+    def around(p: Column, i: Column) -> Column:
+        """The lines at a place, at its ends nearest first. Within a run, those before a chunk are the ones after the
+        chunk that it follows."""
+        before, none = F.coalesce(p["before"], F.get("__p", i - 1)["after"]), F.array().cast("array<string>")
         n = F.least(F.size(before), p["s"])
-        own_before, own_after = F.reverse(F.slice("__l", p["s"] - n + 1, n)), F.slice("__l", p["s"] + CHUNK + 1, F.size(p["after"]))
-        back, forth = _run(before, own_before), _run(p["after"], own_after)
-        part = lambda x, y, turn: F.coalesce(_run(turn(_bare(x)), turn(_bare(y))), F.lit(0))
-        pre = part(F.get(before, back), F.get(own_before, back), F.reverse)
-        post = part(F.get(p["after"], forth), F.get(own_after, forth), lambda a: a)
-        first, last = p["s"].cast("long") - back, p["s"].cast("long") + CHUNK - 1 + forth
-        return F.when(_body(p["s"]) == p["body"], F.struct((first * UNIT - pre).alias("b"), (last * UNIT + post).alias("e")))
-
-    out = out.withColumn("__s", F.array_compact(F.transform("__p", span)))
+        back = F.when(n > 0, F.reverse(F.slice("__l", p["s"] - n + 1, n))).otherwise(none)
+        forth = F.when(F.size(p["after"]) > 0, F.slice("__l", p["s"] + CHUNK + 1, F.size(p["after"]))).otherwise(none)
+        return F.struct(p["s"].alias("s"), F.reverse(before).alias("before"), back.alias("back"), p["after"].alias("after"), forth.alias("forth"), (_body(p["s"]) == p["body"]).alias("same"))
+
+    def ends(p: Column) -> Column:
+        """How many lines are equal on both sides, and the words of those that come next, nearest first."""
+        b, f = _run(p["before"], p["back"]), _run(p["after"], p["forth"])
+        return F.struct(p["s"].alias("s"), b.alias("b"), f.alias("f"), p["before"].alias("before"), p["back"].alias("back"), p["after"].alias("after"), p["forth"].alias("forth"))
+
+    def span(p: Column) -> Column:
+        """(b, e): the first line less the words before it, and the last line plus the words after it, in UNITs."""
+        part = lambda x, y, turn: F.when(x.isNotNull() & y.isNotNull(), _run(turn(_bare(x)), turn(_bare(y)))).otherwise(F.lit(0))
+        pre = part(F.get(p["before"], p["b"]), F.get(p["back"], p["b"]), F.reverse)
+        post = part(F.get(p["after"], p["f"]), F.get(p["forth"], p["f"]), lambda a: a)
+        first, last = p["s"].cast("long") - p["b"], p["s"].cast("long") + CHUNK - 1 + p["f"]
+        return F.struct((first * UNIT - pre).alias("b"), (last * UNIT + post).alias("e"))
+
+    # A step each, so that what one works out is a variable of the next.
+    held = F.filter(F.transform("__p", around), lambda p: p["same"])
+    out = out.withColumn("__s", F.transform(F.transform(held, ends), span))
     out = out.withColumns({"__b": F.transform("__s", lambda x: x["b"]), "__e": F.transform("__s", lambda x: x["e"])})
     out = _reach(_reach(out, "__b", True), "__e", False)
     first, pre = (lambda b: F.floor((b + (UNIT - 1)) / UNIT).cast("int")), (lambda b: F.pmod(-b, F.lit(UNIT)).cast("int"))
@@ -173,15 +189,15 @@ def _cut(out: DataFrame, text: str) -> DataFrame:
     long = lambda x: F.regexp_count(piece(x["first"], x["last"] + 1), F.lit(WORD)) + x["pre"] + x["post"] >= LEAST
     out = out.withColumn("__i", F.filter(F.transform("__i", island), long)).withColumn("__cut", F.coalesce(F.size("__i") > 0, F.lit(False)))
 
-    def kept(j: Column) -> Column:
-        """What stands between the stretches j - 1 and j, without the words that go with either."""
+    def gap(j: Column) -> Column:
+        """What stands between the stretches j - 1 and j, and how many of its words go with either."""
         left, right = F.get("__i", j - 1), F.get("__i", j)
         whole = piece(F.coalesce(left["last"] + 1, F.lit(0)), F.coalesce(right["first"], F.size("__l")))
-        head, tail = F.coalesce(left["post"], F.lit(0)), F.coalesce(right["pre"], F.lit(0))
-        rest = F.array_join(F.slice(_words(whole), head + 1, F.greatest(F.size(_words(whole)) - head - tail, F.lit(0))), "")
-        return F.when(head + tail > 0, rest).otherwise(whole)
+        return F.struct(whole.alias("t"), F.coalesce(left["post"], F.lit(0)).alias("head"), F.coalesce(right["pre"], F.lit(0)).alias("tail"))
 
-    clean = F.array_join(F.transform(F.sequence(F.lit(0), F.size("__i")), kept), "")
+    cut = lambda g: F.struct(g["t"].alias("t"), F.when(g["head"] + g["tail"] > 0, _words(g["t"])).alias("w"), g["head"].alias("head"), g["tail"].alias("tail"))
+    rest = lambda g: F.coalesce(F.array_join(F.slice(g["w"], g["head"] + 1, F.greatest(F.size(g["w"]) - g["head"] - g["tail"], F.lit(0))), ""), g["t"])
+    clean = F.array_join(F.transform(F.transform(F.transform(F.sequence(F.lit(0), F.size("__i")), gap), cut), rest), "")
     out = out.withColumn("__o", F.when(F.col("__cut"), clean).otherwise(F.col(text)))
     lines = F.aggregate("__i", F.lit(0).cast("long"), lambda a, x: a + x["last"] - x["first"] + 1)
     return out.withColumns({

@@ -61,7 +61,7 @@ def _words(line):
 def chunk_starts(own):
     """Every place that has the least rolling hash of some window; windows at the end are shorter."""
     h = [_h(x) for x in own]
-    roll = [None if i and h[i] == h[i - 1] else (_signed((_h(*h[i : i + 3]) << 31) % 2**64) + i, i) for i in range(len(h) - ld.CHUNK + 1)]
+    roll = [None if i and h[i] == h[i - 1] else (_signed((_h(*h[i : i + 2]) << 31) % 2**64) + i, i) for i in range(len(h) - ld.CHUNK + 1)]
     least = [min((x for x in roll[i : i + ld.WINDOW] if x), default=None) for i in range(len(roll))]
     return sorted({x[1] for x in least if x})
 
