@@ -134,20 +134,24 @@ def _ordered(raw: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, grades: int = GRADES) -> CumulativeLink:
     """Fit on at most ``sample`` labelled rows (the first by a hash of the key), toxic and clean rows half each where
     there are enough. Spark counts the documents of each feature; the driver holds those counts for features in three
-    documents or more, then the informative features of the sample, and nothing else of the corpus. Labels that are
-    null, or of documents without a row, are left out; without toxic labels no document is toxic."""
+    documents or more, then the informative features of the sample, and nothing else of the corpus. A document is toxic
+    if any of its labels says so; labels that are null, or of documents without a row, are left out; of rows that share
+    a key the one with the least text counts; without toxic labels no document is toxic. The picked keys, ``sample`` at
+    most, are sent to the scan, so that no other text is shuffled."""
     small_batches(docs.sparkSession)
-    known = labels.where("toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
+    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     order = F.xxhash64("doc_id", F.lit(7))
     half = sample // 2
-    picked = known.where("toxic = 1").orderBy(order).limit(half).unionByName(known.where("toxic = 0").orderBy(order).limit(half))
+    picked = stored(known.where("toxic = 1").orderBy(order).limit(half).unionByName(known.where("toxic = 0").orderBy(order).limit(half)), "toxic-picked")
 
     def told(batches):
         for batch in batches:
             found = [features(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float64()))], names=["toxic", "at", "value"])
 
-    rows = stored(docs.select("doc_id", "text").join(picked, "doc_id").select("text", "toxic").mapInArrow(told, "toxic int, at array<int>, value array<double>"), "toxic-features")
+    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+    rows = stored(texts.select("text", "toxic").mapInArrow(told, "toxic int, at array<int>, value array<double>"), "toxic-features")
     n = rows.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
     if not n[0]:
         return CumulativeLink(np.zeros(FEATURES), np.full(grades, 40.0))
