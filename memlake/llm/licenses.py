@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
+from re import _parser as sre_parser
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: A word: a run of letters, digits and all beyond ASCII; A-Z lowered where words are compared.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Words looked at on each side of a gate word; no signature reaches further.
-REACH = 9
-
 #: (label, title: regex over lower-case words with single spaces, versions: regex or ""). The title is what stands before
 #: the word "license" or in "licensed under the ..."; written by hand, in order of priority.
 FAMILIES: tuple[tuple[str, str, str], ...] = (
     ("agpl", r"(?:gnu )?affero general public|agpl", r"(?:v|version )?[13](?: 0)?"),
-    ("lgpl", r"(?:gnu )?(?:lesser|library) general public|lgpl", r"(?:v|version )?(?:2|2 0|2 1|3|3 0)"),
+    ("lgpl", r"(?:gnu )?(?:lesser|library) general public|lgpl", r"(?:v|version )?(?:2 [01]|3 0|2|3)"),
     ("gpl", r"(?:gnu )?general public|gnu gpl|gpl", r"(?:v|version )?[123](?: 0)?"),
     ("gfdl", r"(?:gnu )?free documentation|gfdl", r"(?:v|version )?1 [123]"),
     ("cc-by-nc-sa", r"(?:cc|creative commons) by nc sa|creative commons attribution non ?commercial share ?alike", r"[1234] [05]"),
@@ -25,7 +24,7 @@ FAMILIES: tuple[tuple[str, str, str], ...] = (
     ("cc-by", r"(?:cc|creative commons) by|creative commons attribution", r"[1234] [05]"),
     ("cc0", r"cc0|creative commons zero|cc zero", r"1 0"),
     ("cc", r"creative commons", r""),
-    ("apache", r"apache(?: software)?|asl|apl", r"(?:v|version )?(?:1 [01]|2|2 0)"),
+    ("apache", r"apache(?: software)?|asl|apl", r"(?:v|version )?(?:1 [01]|2 0|2)"),
     ("mit", r"mit|mit x11|x11 mit|expat", r""),
     ("mit-0", r"mit 0|mit no attribution", r""),
     ("x11", r"x11|x consortium", r""),
@@ -35,7 +34,7 @@ FAMILIES: tuple[tuple[str, str, str], ...] = (
     ("bsd-0", r"bsd zero clause|zero clause bsd|0bsd", r""),
     ("bsd", r"bsd|berkeley software distribution", r""),
     ("isc", r"isc|internet systems consortium|internet software consortium", r""),
-    ("mpl", r"mozilla public|mpl", r"(?:v|version )?(?:1 0|1 1|2|2 0)"),
+    ("mpl", r"mozilla public|mpl", r"(?:v|version )?(?:1 [01]|2 0|2)"),
     ("epl", r"eclipse public|epl", r"(?:v|version )?[12](?: 0)?"),
     ("edl", r"eclipse distribution|edl", r"(?:v|version )?1 0"),
     ("cddl", r"common development and distribution|cddl", r"(?:v|version )?1 [01]"),
@@ -87,39 +86,138 @@ FAMILIES: tuple[tuple[str, str, str], ...] = (
     ("llama", r"llama(?: 2| 3)?(?: community)?", r""),
 )
 
-#: (label, gate word, what stands before it, what stands after it), for signatures that no family makes.
-EXTRA: tuple[tuple[str, str, str, str], ...] = (
-    ("mit", "charge", r"permission is hereby granted free of ", r" to any person"),
+#: (label, gate word, what stands before it, what stands after it): sentences of notices and license texts, by hand, in
+#: order of priority. The gate is a word that other texts seldom have.
+BODIES: tuple[tuple[str, str, str, str], ...] = (
+    ("agpl", "affero", r"under the terms of the gnu ", r" general public license(?: version [13])? as published by the free software foundation"),
+    ("agpl", "remotely", r"all users interacting with it ", r" through a computer network"),
+    ("lgpl", "redistribute", r"this library is free software you can ", r" it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
+    ("gpl", "redistribute", r"this program is free software you can ", r" it and or modify it under the terms of the gnu general public license"),
+    ("gpl", "redistribute", r"free software you can ", r" it and or modify it"),
+    ("gpl", "verbatim", r"everyone is permitted to copy and distribute ", r" copies of this license document but changing it is not allowed"),
+    ("wtfpl", "verbatim", r"everyone is permitted to copy and distribute ", r" or modified copies of this license document"),
+    ("gpl", "merchantability", r"without any warranty without even the implied warranty of ", r" or fitness for a particular purpose"),
+    ("gpl", "option", r"either version [123] of the license or at your ", r" any later version"),
+    ("gfdl", "invariant", r"with no ", r" sections no front cover texts and no back cover texts"),
+    ("boost", "organization", r"permission is hereby granted free of charge to any person or ", r" obtaining a copy of the software and accompanying documentation"),
+    ("mit", "sublicense", r"without limitation the rights to use copy modify merge publish distribute ", r" and or sell copies of the software"),
+    ("mit", "charge", r"permission is hereby granted free of ", r" to any person(?: obtaining a copy of this software and associated documentation files)?"),
+    ("mit", "portions", r"this permission notice shall be included in all copies or substantial ", r" of the software"),
+    ("mit", "noninfringement", r"fitness for a particular purpose and ", r" in no event shall the authors or copyright holders be liable"),
+    ("isc", "hereby", r"permission to use copy modify and or distribute this software for any purpose with or without fee is ", r" granted"),
     ("isc", "copy", r"permission to use ", r" modify and or distribute this software"),
-    ("bsd", "redistribution", r"", r" and use in source and binary forms"),
+    ("isc", "disclaims", r"the (?:software is provided as is and the )?author ", r" all warranties with regard to this software"),
+    ("bsd-4", "advertising", r"all ", r" materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("bsd-3", "endorse", r"(?:contributors|name) may (?:not )?be used to ", r" or promote products derived from this software"),
+    ("bsd-3", "nor", r"neither the name of [^ ]+(?: [^ ]+)?(?: [^ ]+)? ", r" the names of its contributors"),
+    ("bsd", "redistribution", r"", r" and use in source and binary forms(?: with or without modification are permitted)?"),
+    ("bsd", "redistributions", r"", r" (?:of source code must retain|in binary form must reproduce) the above copyright notice"),
+    ("bsd", "governed", r"use of this source code is ", r" by a bsd style license"),
+    ("bsd", "consequential", r"indirect incidental special exemplary or ", r" damages"),
+    ("apache", "applicable", r"unless required by ", r" law or agreed to in writing software distributed under the license"),
+    ("apache", "obtain", r"you may not use this file except in compliance with the license you may ", r" a copy of the license at"),
+    ("apache", "contributor", r"licensed to the apache software foundation asf under one or more ", r" license agreements"),
+    ("apache", "irrevocable", r"perpetual worldwide non exclusive no charge royalty free ", r" (?:copyright|except as stated)"),
+    ("mpl", "subject", r"this source code form is ", r" to the terms of the mozilla public license(?: v 2 0)?"),
+    ("mpl", "subject", r"the contents of this file are ", r" to the mozilla public license(?: version 1 [01])?"),
+    ("mpl", "incompatible", r"this source code form is ", r" with secondary licenses"),
+    ("cddl", "subject", r"the contents of this file are ", r" to the terms of the common development and distribution license"),
+    ("epl", "accompanying", r"this program and the ", r" materials are made available under the terms of the eclipse public license"),
+    ("cc0", "neighboring", r"waived all copyright and related or ", r" rights"),
+    ("cc-by-sa", "remix", r"(?:if you )?", r" transform or build upon the material you must distribute your contributions under the same license"),
+    ("cc", "adapt", r"you are free to share copy and redistribute the material in any medium or format ", r" remix transform and build upon the material"),
+    ("zlib", "plainly", r"altered source versions must be ", r" marked as such"),
+    ("zlib", "misrepresented", r"the origin of this software must not be ", r""),
+    ("unlicense", "unencumbered", r"this is free and ", r" software released into the public domain"),
+    ("unlicense", "dedicate", r"the author or authors of this software ", r" any and all copyright interest in the software to the public domain"),
+    ("ofl", "font", r"this ", r" software is licensed under the sil open font license"),
+    ("openssl", "toolkit", r"developed by the openssl project for use in the openssl ", r""),
+    ("php", "freely", r"this product includes php software ", r" available from"),
+    ("python", "psf", r"", r" hereby grants licensee a nonexclusive royalty free world wide license"),
+    ("elastic", "managed", r"you may not provide the software to third parties as a hosted or ", r" service"),
+    ("busl", "licensor", r"the ", r" may make an additional use grant"),
+    ("sspl", "functionality", r"if you make the ", r" of the program or a modified version available to third parties as a service"),
+    ("artistic", "package", r"the intent of this document is to state the conditions under which a ", r" may be copied"),
+    ("ms-pl", "contributor", r"each ", r" grants you a non exclusive worldwide royalty free (?:copyright|license)"),
+    ("upl", "unmodified", r"larger works? to which the software is contributed by such licensors without (?:restriction|limitation) ", r""),
+    ("ncsa", "endorse", r"neither the names of (?:[^ ]+ ){1,4}nor the names of its contributors may be used to ", r" or promote products derived from this software without specific prior"),
+    ("json", "evil", r"the software shall be used for good not ", r""),
+    ("beerware", "stuff", r"you can do whatever you want with this ", r""),
+    ("curl", "curl", r"copyright (?:[^ ]+ ){0,4}daniel stenberg (?:[^ ]+ ){0,3}", r""),
+    ("vim", "uganda", r"(?:charityware|encouraged to make a donation for needy children in) ", r""),
+    ("public-domain", "disclaims", r"the author ", r" copyright to this source code"),
+)
+
+#: The same for phrases that any license may hold; they come last.
+GENERAL: tuple[tuple[str, str, str, str], ...] = (
     ("public-domain", "domain", r"(?:released|dedicated|placed) (?:to|into|in) the public ", r""),
     ("public-domain", "domain", r"(?:is|are|was) (?:in |into )?(?:the )?public ", r""),
-    ("all-rights-reserved", "reserved", r"all rights ", r""),
+    ("proprietary", "unauthorized", r"", r" copying of (?:this file|this software) via any medium is strictly prohibited"),
     ("proprietary", "confidential", r"", r" and proprietary"),
     ("proprietary", "license", r"(?:proprietary|commercial) ", r""),
-)
+    ("all-rights-reserved", "reserved", r"all rights ", r""),
+)
 
 #: Base phrases and their labels.
 BASE: tuple[tuple[str, str], ...] = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-GATES = ("license", "licence", "licensed", "licenced", "released", "distributed", "available", "terms", "spdx") + tuple(sorted({e[1] for e in EXTRA} - {"license"}))
+GATES = tuple(sorted({"license", "licence", "licensed", "licenced", "released", "distributed", "available", "terms", "spdx"} | {b[1] for b in BODIES + GENERAL}))
 
 #: A text without any of these holds no gate word.
-STEMS = ("licens", "licenc", "released", "distrib", "available", "terms", "spdx", "charge", "copy", "domain", "reserved", "confiden")
-assert all(any(s in g for s in STEMS) for g in GATES)
+STEMS = ("licens", "licenc", "distrib", "releas", *[g for g in GATES if not any(s in g for s in ("licens", "licenc", "distrib", "releas"))])
 
 
 def rules() -> list[tuple[int, str, str, str, str]]:
-    """The ordered signature rules: (priority, label, gate words, regex before the gate, regex after it)."""
-    out = []
+    """The ordered signature rules: (priority, label, gate words, regex before the gate, regex after it). Sentences come
+    before titles, and of alternatives that begin alike the longer stands first."""
+    out = list(BODIES)
     for label, title, version in FAMILIES:
+        title = _longer_first(title)
         v = f"(?: {version})?" if version else ""
         out.append((label, "license|licence", f"(?:the )?(?:{title})(?: {version})? " if version else f"(?:the )?(?:{title}) ", v))
         out.append((label, "licensed|licenced|released|distributed|available", "", f" (?:under|with|by)(?: the)?(?: terms of)?(?: the)? (?:{title})(?: license| licence)?{v}"))
         out.append((label, "spdx", "", f" license identifier (?:{title}){v}(?: only| or later)?"))
         out.append((label, "terms", "", f" (?:and conditions )?of the (?:{title})(?: license| licence)?{v}"))
-    out += [(label, gate, before, after) for label, gate, before, after in EXTRA]
-    return [(i, *r) for i, r in enumerate(out)]
+    return [(i, *r) for i, r in enumerate(out + list(GENERAL))]
+
+
+def _longer_first(title: str) -> str:
+    """The alternatives of a regex, those of more words first."""
+    parts, depth = [""], 0
+    for c in title:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            parts.append("")
+        else:
+            parts[-1] += c
+    return "|".join(sorted(parts, key=lambda p: -longest(p)))
+
+
+def longest(regex: str) -> int:
+    """The most spaces, and so words, that a rule's regex can match."""
+    if not regex:
+        return 0
+
+    def of(node) -> int:
+        total = 0
+        for op, arg in node:
+            name = str(op)
+            if name == "LITERAL":
+                total += arg == 32
+            elif name == "BRANCH":
+                total += max(of(x) for x in arg[1])
+            elif name == "SUBPATTERN":
+                total += of(arg[-1])
+            elif name == "MAX_REPEAT":
+                # A run of letters has no space; whatever else may repeat is bounded.
+                total += of(arg[2]) * (int(arg[1]) if of(arg[2]) else 1)
+        return total
+
+    return of(sre_parser.parse(regex))
+
+
+#: Words looked at before and after a gate word: as many as any signature has there.
+BEFORE, AFTER = (max(longest(r[k]) for r in rules()) for k in (3, 4))
 
 
 def _lowered(w: Column) -> Column:
@@ -137,8 +235,9 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` plus n_words, base places, and ``detections``: an array of (first_word, last_word, label, priority).
 
     The keyword gate is one pass over the text; only documents that pass it are cut into words, and only windows of
-    ``REACH`` words around a gate word meet the rules that name it. A detection that lies within another of the same
-    or better priority is suppressed, as is a worse one that overlaps a better one. Everything is in the row, so there
+    ``BEFORE`` and ``AFTER`` words around a gate word, as long as the longest signature, meet the rules that name it. A
+    detection that lies within another of the same or better priority is suppressed, as is a worse one that overlaps a
+    better one. Everything is in the row, so there
     is no shuffle and repeated rows each get their own result. Null text counts as empty; without words: 0, nulls and
     empty labels. Columns of ``docs`` named like a result are replaced.
     """
@@ -151,11 +250,11 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         gated = gated | low.contains(stem)
     df = df.withColumn("__w", F.when(gated, F.regexp_extract_all("__t", F.lit(WORD), F.lit(0))))
     is_gate = lambda w: _lowered(w).isin(*GATES)
-    df = df.withColumn("__g", F.filter(F.transform("__w", lambda w, i: F.when(F.length(w).between(4, 14) & is_gate(w), i)), lambda i: i.isNotNull()))
+    df = df.withColumn("__g", F.filter(F.transform("__w", lambda w, i: F.when(F.length(w).between(min(map(len, GATES)), max(map(len, GATES))) & is_gate(w), i)), lambda i: i.isNotNull()))
     window = lambda i: F.struct(
         i.alias("i"), _lowered(F.element_at("__w", i + 1)).alias("g"),
-        F.concat(F.lit(" "), _lowered(F.array_join(F.slice("__w", F.greatest(i - REACH, F.lit(0)) + 1, F.least(i, F.lit(REACH))), " ")), F.lit(" ")).alias("b"),
-        F.concat(F.lit(" "), _lowered(F.array_join(F.slice("__w", i + 2, F.lit(REACH)), " ")), F.lit(" ")).alias("a"),
+        F.concat(F.lit(" "), _lowered(F.array_join(F.slice("__w", F.greatest(i - BEFORE, F.lit(0)) + 1, F.least(i, F.lit(BEFORE))), " ")), F.lit(" ")).alias("b"),
+        F.concat(F.lit(" "), _lowered(F.array_join(F.slice("__w", i + 2, F.lit(AFTER)), " ")), F.lit(" ")).alias("a"),
     )
     df = df.withColumn("__x", F.transform("__g", window))
     count = lambda c: F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))  # noqa: E731  words, each with one space
@@ -177,12 +276,14 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
             hits.append(F.when(ok, F.struct(first.cast("long").alias("first_word"), last.cast("long").alias("last_word"), F.lit(label).alias("label"), F.lit(priority).alias("priority"))))
         return F.filter(F.array(*hits), lambda h: h.isNotNull())
 
-    df = df.withColumn("__d", F.array_sort(F.array_distinct(F.flatten(F.transform("__x", found)))))
-    # Sorted by first word; a detection spans few words and few rules share a gate word, so only near ones can meet.
+    df = df.withColumn("__f", F.transform("__x", found))
+    # Detections that meet have gate words that are no further apart; those stand at different words, in order.
+    near = BEFORE + AFTER
     beaten = lambda d, e: (e["priority"] < d["priority"]) & (e["first_word"] <= d["last_word"]) & (e["last_word"] >= d["first_word"])
     within = lambda d, e: (e["first_word"] <= d["first_word"]) & (e["last_word"] >= d["last_word"]) & (e["last_word"] - e["first_word"] > d["last_word"] - d["first_word"]) & (e["priority"] <= d["priority"])
-    near = 128
-    kept = F.filter("__d", lambda d, k: ~F.exists(F.slice("__d", F.greatest(k - near, F.lit(0)) + 1, F.lit(2 * near + 1)), lambda e: beaten(d, e) | within(d, e)))
+    pools = F.transform("__f", lambda own, k: F.struct(own.alias("own"), F.when(F.size(own) > 0, F.flatten(F.slice("__f", F.greatest(k - near, F.lit(0)) + 1, F.lit(2 * near + 1)))).alias("pool")))
+    kept = F.transform(pools, lambda p: F.filter(p["own"], lambda d: ~F.exists(p["pool"], lambda e: beaten(d, e) | within(d, e))))
+    kept = F.array_sort(F.array_distinct(F.flatten(kept)))
     df = df.withColumn("detections", F.coalesce(kept, F.array().cast("array<struct<first_word:bigint,last_word:bigint,label:string,priority:int>>")))
     places = []
     for phrase, label in BASE:
@@ -195,7 +296,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         "base_labels": F.coalesce(F.array_sort(F.array_distinct(F.transform("__p", lambda p: p["label"]))), F.array().cast("array<string>")),
     })
     df = df.withColumn("n_base", F.when(F.col("__p").isNull(), F.lit(0).cast("long")).otherwise(F.col("n_base")))
-    return df.drop("__t", "__w", "__g", "__x", "__d", "__p")
+    return df.drop("__t", "__w", "__g", "__x", "__f", "__p")
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
