@@ -9,9 +9,9 @@ from memlake.llm.common import WORD, delete_stored, stored
 #: A line ends at a line feed, and at white space after a word that does not end in one of these letters. Such lines
 #: hold two or three words, whatever stands before them: a passage may lie within one written line.
 ON = "aehinorst"
-LINE_END = rf"(?<=[^\x20\x09-\x0D{ON}])(?=[\x20\x09-\x0D])|(?=\n)"
+LINE_END = rf"(?=[\x20\x09-\x0D])(?:(?<=[^\x20\x09-\x0D{ON}])|(?=\n))"
 #: Where a word ends within a line; each word has the white space before it.
-WORD_END = r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])|(?=\n)"
+WORD_END = r"(?=[\x20\x09-\x0D])(?:(?<=[^\x20\x09-\x0D])|(?=\n))"
 #: A chunk of CHUNK lines begins at the least rolling hash (over two lines) of every WINDOW successive ones, so any
 #: WINDOW + CHUNK - 1 lines hold a whole chunk, whatever stands around them.
 WINDOW, CHUNK = 8, 3
@@ -28,27 +28,37 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), LINE_END)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once. Columns made one after another would copy the whole row each time."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def chunked(docs: DataFrame, text: str = "text") -> DataFrame:
-    """A row (__k, __t, s, g, h) for each chunk: its first line from 0, the lines to the next chunk (0: none), and a hash.
+    """A row (k, t, s, g, h) for each chunk: its first line from 0, the lines to the next chunk (0: none), and a hash.
     Within a run of one line no chunk begins but at its head."""
-    df = docs.withColumn("__l", _lines(F.col(text))).withColumn("__h", F.transform("__l", lambda x: F.xxhash64(x)))
-    rolling = lambda h, i: F.shiftleft(F.xxhash64(h, F.get("__h", i + 1)), 31) + i
-    starts = F.slice("__h", F.lit(1), F.greatest(F.size("__h") - (CHUNK - 1), F.lit(0)))
-    # The hash above the line number, so that a minimum tells its place; null where the line before is the same.
-    df = df.withColumn("__m", F.transform(starts, lambda h, i: F.when((i == 0) | (h != F.get("__h", i - 1)), rolling(h, i))))
-    wide = 1
-    while wide < WINDOW:
+
+    def marked(h: Column) -> Column:
+        """The rolling hashes above their line numbers, so that a minimum tells its place; null after an equal line."""
+        starts = F.slice(h, F.lit(1), F.greatest(F.size(h) - (CHUNK - 1), F.lit(0)))
+        rolling = lambda x, i: F.shiftleft(F.xxhash64(x, F.get(h, i + 1)), 31) + i
+        return F.transform(starts, lambda x, i: F.when((i == 0) | (x != F.get(h, i - 1)), rolling(x, i)))
+
+    def least(m: Column, wide: int = 1) -> Column:
+        if wide == WINDOW:
+            return F.array_sort(F.transform(F.array_compact(F.array_distinct(m)), lambda x: x.bitwiseAND(UNIT - 1).cast("int")))
         step = min(wide, WINDOW - wide)
-        df = df.withColumn("__m", F.zip_with("__m", F.slice("__m", F.lit(step + 1), F.size("__m")), lambda x, y: F.least(x, y)))
-        wide += step
-    df = df.withColumn("__e", F.array_sort(F.transform(F.array_compact(F.array_distinct("__m")), lambda x: x.bitwiseAND(UNIT - 1).cast("int"))))
-    chunk = lambda s, i: F.struct(s.alias("s"), F.coalesce(F.get("__e", i + 1) - s, F.lit(0)).alias("g"), F.xxhash64(_body(s)).alias("h"))
-    # Of a column by itself, explode would have Spark filter by its size, and work out all of the above for that again.
-    return df.select("__k", "__t", F.explode(F.transform("__e", chunk)).alias("c")).select(F.col("__k").alias("k"), F.col("__t").alias("t"), "c.s", "c.g", "c.h")
+        return _let(F.zip_with(m, F.slice(m, F.lit(step + 1), F.size(m)), lambda x, y: F.least(x, y)), lambda w: least(w, wide + step))
+
+    def chunks(line: Column, e: Column) -> Column:
+        return F.transform(e, lambda s, i: F.struct(s.alias("s"), F.coalesce(F.get(e, i + 1) - s, F.lit(0)).alias("g"), F.xxhash64(_body(line, s)).alias("h")))
+
+    hashes = lambda line: F.transform(line, lambda x: F.xxhash64(x))
+    found = _let(_lines(F.col(text)), lambda line: _let(_let(_let(hashes(line), marked), lambda m: least(m)), lambda e: chunks(line, e)))
+    return docs.select(F.col("__k").alias("k"), F.col("__t").alias("t"), F.explode(found).alias("c")).select("k", "t", "c.*")
 
 
-def _body(s: Column) -> Column:
-    return F.array_join(F.slice("__l", s + 1, F.lit(CHUNK)), "")
+def _body(line: Column, s: Column) -> Column:
+    return F.array_join(F.slice(line, s + 1, F.lit(CHUNK)), "")
 
 
 def _run(a: Column, b: Column) -> Column:
@@ -65,14 +75,13 @@ def _bare(line: Column) -> Column:
     return F.transform(_words(line), lambda w: F.ltrim(w, F.lit(" \t\n\x0b\x0c\r")))
 
 
-def _reach(df: DataFrame, name: str, least: bool) -> DataFrame:
+def _reach(values: Column, least: bool, by: int = 1) -> Column:
     """Each value of an array becomes the least from its place on, or the greatest up to it. Those more than ``AROUND``
     places away are no less, or no greater: every mark begins a line or more after the one before."""
-    best, by = (F.least if least else F.greatest), 1
-    while by <= AROUND:
-        df = df.withColumn(name, F.transform(name, lambda x, i: best(x, F.get(name, i + by if least else i - by))))
-        by *= 2
-    return df
+    if by > AROUND:
+        return values
+    best = F.least if least else F.greatest
+    return _let(values, lambda v: _reach(F.transform(v, lambda x, i: best(x, F.get(v, i + by if least else i - by))), least, 2 * by))
 
 
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -127,13 +136,14 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     others = [c for c in docs.columns if not c.startswith("__") and c != text]
     # Always true; it asks for the columns that the result needs, so that one shuffle of the texts serves both uses.
     same = F.xxhash64(*others, F.size("__r")) >= F.lit(-(2**63))
-    asked = docs.join(sent, F.col("__d") == F.col("__w")).where(same).withColumn("__l", _lines(F.col(text)))
+    asked = docs.join(sent.hint("shuffle_hash"), F.col("__d") == F.col("__w")).where(same)
     none = F.array().cast("array<string>")
-    told = lambda x: F.struct(
-        x["h"].alias("h"), _body(x["s"]).alias("body"), F.when(x["back"], _before(x["s"])).otherwise(none).alias("before"),
-        F.slice("__l", x["s"] + CHUNK + 1, F.when(x["forth"], F.lit(AROUND)).otherwise(F.greatest(x["g"] - CHUNK, F.lit(0)))).alias("after"),
+    told = lambda line, x: F.struct(
+        x["h"].alias("h"), _body(line, x["s"]).alias("body"), F.when(x["back"], _before(line, x["s"])).otherwise(none).alias("before"),
+        F.slice(line, x["s"] + CHUNK + 1, F.when(x["forth"], F.lit(AROUND)).otherwise(F.greatest(x["g"] - CHUNK, F.lit(0)))).alias("after"),
     )
-    bodies = asked.select(F.explode(F.transform("__r", told)).alias("p")).select("p.*").dropDuplicates(["h"])
+    said = _let(_lines(F.col(text)), lambda line: F.transform("__r", lambda x: told(line, x)))
+    bodies = asked.select(F.explode(said).alias("p")).select("p.*").dropDuplicates(["h"])
     got = away.select(F.col("d").alias("__g"), "s", "g", "h", "back", "forth").join(bodies, "h")
     after = F.when(F.col("forth"), F.col("after")).otherwise(F.slice("after", F.lit(1), F.greatest(F.col("g") - CHUNK, F.lit(0))))
     got = got.groupBy("__g").agg(F.array_sort(F.collect_list(F.struct("s", "body", F.when(F.col("back"), F.col("before")).alias("before"), after.alias("after")))).alias("__p"))
@@ -141,69 +151,74 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     return _cut(out, text).select(*[c for c in docs.columns if not c.startswith("__")], *own)
 
 
-def _before(s: Column) -> Column:
-    return F.slice("__l", F.greatest(s - AROUND, F.lit(0)) + 1, F.least(s, F.lit(AROUND)))
+def _before(line: Column, s: Column) -> Column:
+    return F.slice(line, F.greatest(s - AROUND, F.lit(0)) + 1, F.least(s, F.lit(AROUND)))
 
 
 def _cut(out: DataFrame, text: str) -> DataFrame:
     """Cut from ``text`` what the first places' bytes in __p, sorted by line, say again."""
-    some = F.col("__p").isNotNull()
-    out = out.withColumn("__l", F.when(some, _lines(F.col(text))))
+    first, pre = (lambda b: F.floor((b + (UNIT - 1)) / UNIT).cast("int")), (lambda b: F.pmod(-b, F.lit(UNIT)).cast("int"))
+    last, post = (lambda e: F.shiftright(e, 31).cast("int")), (lambda e: e.bitwiseAND(UNIT - 1).cast("int"))
+    piece = lambda line, a, b: F.array_join(F.slice(line, a + 1, F.greatest(b - a, F.lit(0))), "")
 
-    def around(p: Column, i: Column) -> Column:
-        """The lines at a place, at its ends nearest first. Within a run, those before a chunk are the ones after the
-        chunk that it follows."""
-        before, none = F.coalesce(p["before"], F.get("__p", i - 1)["after"]), F.array().cast("array<string>")
+    def around(line: Column, marks: Column, p: Column, i: Column) -> Column:
+        """The lines at a place, nearest first. Within a run, those before a chunk are the ones after the chunk that it
+        follows."""
+        before, none = F.coalesce(p["before"], F.get(marks, i - 1)["after"]), F.array().cast("array<string>")
         n = F.least(F.size(before), p["s"])
-        back = F.when(n > 0, F.reverse(F.slice("__l", p["s"] - n + 1, n))).otherwise(none)
-        forth = F.when(F.size(p["after"]) > 0, F.slice("__l", p["s"] + CHUNK + 1, F.size(p["after"]))).otherwise(none)
-        return F.struct(p["s"].alias("s"), F.reverse(before).alias("before"), back.alias("back"), p["after"].alias("after"), forth.alias("forth"), (_body(p["s"]) == p["body"]).alias("same"))
+        back = F.when(n > 0, F.reverse(F.slice(line, p["s"] - n + 1, n))).otherwise(none)
+        forth = F.when(F.size(p["after"]) > 0, F.slice(line, p["s"] + CHUNK + 1, F.size(p["after"]))).otherwise(none)
+        return F.struct(p["s"].alias("s"), F.reverse(before).alias("before"), back.alias("back"), p["after"].alias("after"), forth.alias("forth"), (_body(line, p["s"]) == p["body"]).alias("same"))
 
     def ends(p: Column) -> Column:
-        """How many lines are equal on both sides, and the words of those that come next, nearest first."""
-        b, f = _run(p["before"], p["back"]), _run(p["after"], p["forth"])
-        return F.struct(p["s"].alias("s"), b.alias("b"), f.alias("f"), p["before"].alias("before"), p["back"].alias("back"), p["after"].alias("after"), p["forth"].alias("forth"))
+        """How many lines are equal on both sides, and the lines that come next."""
+        runs = F.struct(_run(p["before"], p["back"]).alias("b"), _run(p["after"], p["forth"]).alias("f"))
+        return _let(runs, lambda r: F.struct(
+            p["s"].alias("s"), r["b"].alias("b"), r["f"].alias("f"), F.get(p["before"], r["b"]).alias("there_b"), F.get(p["back"], r["b"]).alias("here_b"),
+            F.get(p["after"], r["f"]).alias("there_f"), F.get(p["forth"], r["f"]).alias("here_f"),
+        ))
 
     def span(p: Column) -> Column:
         """(b, e): the first line less the words before it, and the last line plus the words after it, in UNITs."""
         part = lambda x, y, turn: F.when(x.isNotNull() & y.isNotNull(), _run(turn(_bare(x)), turn(_bare(y)))).otherwise(F.lit(0))
-        pre = part(F.get(p["before"], p["b"]), F.get(p["back"], p["b"]), F.reverse)
-        post = part(F.get(p["after"], p["f"]), F.get(p["forth"], p["f"]), lambda a: a)
-        first, last = p["s"].cast("long") - p["b"], p["s"].cast("long") + CHUNK - 1 + p["f"]
-        return F.struct((first * UNIT - pre).alias("b"), (last * UNIT + post).alias("e"))
-
-    # A step each, so that what one works out is a variable of the next.
-    held = F.filter(F.transform("__p", around), lambda p: p["same"])
-    out = out.withColumn("__s", F.transform(F.transform(held, ends), span))
-    out = out.withColumns({"__b": F.transform("__s", lambda x: x["b"]), "__e": F.transform("__s", lambda x: x["e"])})
-    out = _reach(_reach(out, "__b", True), "__e", False)
-    first, pre = (lambda b: F.floor((b + (UNIT - 1)) / UNIT).cast("int")), (lambda b: F.pmod(-b, F.lit(UNIT)).cast("int"))
-    last, post = (lambda e: F.shiftright(e, 31).cast("int")), (lambda e: e.bitwiseAND(UNIT - 1).cast("int"))
-    opens = F.transform("__b", lambda b, i: F.when((i == 0) | (first(b) > last(F.get("__e", i - 1)) + 1), i))
-    out = out.withColumn("__i", F.filter(opens, lambda i: i.isNotNull()))
-    island = lambda p, j: F.struct(
-        first(F.get("__b", p)).alias("first"), pre(F.get("__b", p)).alias("pre"),
-        last(F.get("__e", F.coalesce(F.get("__i", j + 1), F.size("__e")) - 1)).alias("last"), post(F.get("__e", F.coalesce(F.get("__i", j + 1), F.size("__e")) - 1)).alias("post"),
-    )
-    piece = lambda a, b: F.array_join(F.slice("__l", a + 1, F.greatest(b - a, F.lit(0))), "")
-    long = lambda x: F.regexp_count(piece(x["first"], x["last"] + 1), F.lit(WORD)) + x["pre"] + x["post"] >= LEAST
-    out = out.withColumn("__i", F.filter(F.transform("__i", island), long)).withColumn("__cut", F.coalesce(F.size("__i") > 0, F.lit(False)))
-
-    def gap(j: Column) -> Column:
-        """What stands between the stretches j - 1 and j, and how many of its words go with either."""
-        left, right = F.get("__i", j - 1), F.get("__i", j)
-        whole = piece(F.coalesce(left["last"] + 1, F.lit(0)), F.coalesce(right["first"], F.size("__l")))
-        return F.struct(whole.alias("t"), F.coalesce(left["post"], F.lit(0)).alias("head"), F.coalesce(right["pre"], F.lit(0)).alias("tail"))
-
-    cut = lambda g: F.struct(g["t"].alias("t"), F.when(g["head"] + g["tail"] > 0, _words(g["t"])).alias("w"), g["head"].alias("head"), g["tail"].alias("tail"))
-    rest = lambda g: F.coalesce(F.array_join(F.slice(g["w"], g["head"] + 1, F.greatest(F.size(g["w"]) - g["head"] - g["tail"], F.lit(0))), ""), g["t"])
-    clean = F.array_join(F.transform(F.transform(F.transform(F.sequence(F.lit(0), F.size("__i")), gap), cut), rest), "")
-    out = out.withColumn("__o", F.when(F.col("__cut"), clean).otherwise(F.col(text)))
-    lines = F.aggregate("__i", F.lit(0).cast("long"), lambda a, x: a + x["last"] - x["first"] + 1)
-    return out.withColumns({
-        "removed_lines": F.when(F.col("__cut"), lines).otherwise(0).cast("long"),
-        "removed_chars": F.when(F.col("__cut"), F.length(text) - F.length("__o")).otherwise(0).cast("long"), text: F.col("__o"),
-    })
+        top, end = p["s"].cast("long") - p["b"], p["s"].cast("long") + CHUNK - 1 + p["f"]
+        return F.struct((top * UNIT - part(p["there_b"], p["here_b"], F.reverse)).alias("b"), (end * UNIT + part(p["there_f"], p["here_f"], lambda a: a)).alias("e"))
+
+    def stretches(line: Column, marks: Column) -> Column:
+        """(first, pre, last, post) of the stretches that go: places that overlap or touch, put together."""
+
+        def together(b: Column, e: Column) -> Column:
+            opens = F.filter(F.transform(b, lambda x, i: F.when((i == 0) | (first(x) > last(F.get(e, i - 1)) + 1), i)), lambda i: i.isNotNull())
+            whole = lambda o, p, j: _let(F.struct(F.get(b, p).alias("b"), F.get(e, F.coalesce(F.get(o, j + 1), F.size(e)) - 1).alias("e")), lambda z: F.struct(
+                first(z["b"]).alias("first"), pre(z["b"]).alias("pre"), last(z["e"]).alias("last"), post(z["e"]).alias("post")))
+            return _let(opens, lambda o: F.transform(o, lambda p, j: whole(o, p, j)))
+
+        held = F.filter(F.transform(marks, lambda p, i: around(line, marks, p, i)), lambda p: p["same"])
+        spans = F.transform(F.transform(held, ends), span)
+        bounds = lambda z: F.struct(_reach(F.transform(z, lambda x: x["b"]), True).alias("b"), _reach(F.transform(z, lambda x: x["e"]), False).alias("e"))
+        long = lambda x: F.regexp_count(piece(line, x["first"], x["last"] + 1), F.lit(WORD)) + x["pre"] + x["post"] >= LEAST
+        return F.filter(_let(_let(spans, bounds), lambda z: together(z["b"], z["e"])), long)
+
+    def rest(line: Column, cuts: Column) -> Column:
+        """The text without the stretches, and how many lines they were."""
+
+        def gap(j: Column) -> Column:
+            """What stands between the stretches j - 1 and j, and how many of its words go with either."""
+            left, right = F.get(cuts, j - 1), F.get(cuts, j)
+            whole = piece(line, F.coalesce(left["last"] + 1, F.lit(0)), F.coalesce(right["first"], F.size(line)))
+            return F.struct(whole.alias("t"), F.coalesce(left["post"], F.lit(0)).alias("head"), F.coalesce(right["pre"], F.lit(0)).alias("tail"))
+
+        bare = lambda g: _let(_words(g["t"]), lambda w: F.array_join(F.slice(w, g["head"] + 1, F.greatest(F.size(w) - g["head"] - g["tail"], F.lit(0))), ""))
+        kept = F.transform(F.transform(F.sequence(F.lit(0), F.size(cuts)), gap), lambda g: F.when(g["head"] + g["tail"] > 0, bare(g)).otherwise(g["t"]))
+        gone = F.aggregate(cuts, F.lit(0).cast("long"), lambda a, x: a + x["last"] - x["first"] + 1)
+        return F.struct(F.array_join(kept, "").alias("t"), gone.alias("n"))
+
+    def clean(line: Column) -> Column:
+        return _let(stretches(line, F.col("__p")), lambda cuts: F.when(F.size(cuts) > 0, rest(line, cuts)))
+
+    out = out.withColumn("__z", F.when(F.col("__p").isNotNull(), _let(_lines(F.col(text)), clean)))
+    left = F.coalesce("__z.t", text)
+    return out.withColumns({"removed_lines": F.coalesce("__z.n", F.lit(0)).cast("long"), "removed_chars": F.coalesce(F.length(text) - F.length(left), F.lit(0)).cast("long"), text: left})
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
