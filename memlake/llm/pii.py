@@ -4,6 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+#: Signs of an IBAN by country; fixed values.
+IBAN_SIGNS = {
+    15: "NO", 16: "BE", 18: "DK FO FI GL NL SD", 19: "MK SI", 20: "AT BA EE KZ XK LT LU MN", 21: "HR LV LI CH", 22: "BH BG CR GE DE IE ME RS GB VA",
+    23: "TL GI IQ IL OM SO AE", 24: "AD CZ MD PK RO SA SK ES SE TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MR MC SM", 28: "AL AZ BY CY DO SV GT HU LB NI PL",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN = "|".join(f"(?:{'|'.join(c.split())})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_SIGNS.items())
+
 #: (kind, pattern, score once confirmed, words nearby that raise it, words nearby that lower it). The first four are the base
 #: kinds. Runs are taken whole and never given back, so a long text costs one pass: a start inside a run that failed
 #: cannot match either.
@@ -12,13 +20,13 @@ KINDS: tuple[tuple[str, str, float, str, str], ...] = (
     ("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.6, r"ip|address|host|server|adresse", r"version|release|chapter|section"),
     ("card", r"[0-9](?:[\x20-]?[0-9])++", 0.8, r"card|visa|credit|payment|karte|carte|tarjeta", r"isbn|order|serial"),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0.7, r"phone|tel|call|mobile|fax|telefon", r"isbn|score"),
-    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", 0.9, r"iban|bank|account|konto|compte|cuenta", r"part|model"),
+    ("iban", rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{IBAN})(?![A-Za-z0-9])", 0.9, r"iban|bank|account|konto|compte|cuenta", r"part|model"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.3, r"ssn|social security|tax", r"part|model|date"),
     ("key", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])", 0.9, r"aws|key|access", r"example"),
     ("secret", r"(?i)(?<![a-z0-9])(?:api[_-]?key|token|secret|password|passwd)[\x20\"']{0,3}[:=][\x20\"']{0,3}[A-Za-z0-9_/+.=-]{12,}+", 0.8, r"secret|auth|login|token|key", r"example|placeholder"),
 )
 BASE_KINDS = ("email", "ip", "card", "phone")
-#: Characters of context on the left, and the least score of a span that the method adds.
+#: Characters of context on each side, and the least score of a span that the method adds.
 CONTEXT, LEAST = 40, 0.5
 
 
@@ -86,7 +94,8 @@ def _confirmed(kind: str, m: str, at: str, score: float, more: str, less: str) -
 
     def scored(x: Column) -> Column:
         first = F.greatest(x["a"] - CONTEXT, F.lit(0))
-        near = F.substr(F.col("__t"), first + 1, x["a"] - first)
+        after = x["a"] + F.length(x["m"])
+        near = F.concat(F.substr(F.col("__t"), first + 1, x["a"] - first), F.lit(" "), F.substr(F.col("__t"), after + 1, F.lit(CONTEXT)))
         rated = F.lit(score) + F.when(near.rlike(rf"(?i)\b(?:{more})\b"), 0.3).otherwise(0.0) - F.when(near.rlike(rf"(?i)\b(?:{less})\b"), 0.3).otherwise(0.0)
         return F.struct(F.lit(kind).alias("kind"), x["a"].cast("long").alias("start"), (x["a"] + F.length(x["m"])).cast("long").alias("end"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), rated)).alias("score"))
 
