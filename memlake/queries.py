@@ -277,9 +277,9 @@ def change_detection(spark, sf_dir):
     return upkeep.changes(_hashes(c.where("conv_id % 7 <> 0")), _hashes(later))
 
 
-@query("SELECT DISTINCT conv_id FROM conversations WHERE conv_id NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL)")
+@query("SELECT DISTINCT conv_id FROM conversations WHERE conv_id NOT IN (SELECT user_id FROM events WHERE user_id % 3 = 0)")
 def unprocessed_conversations(spark, sf_dir):
-    done = table(spark, sf_dir, "events").select(F.col("user_id").alias("conv_id"))
+    done = table(spark, sf_dir, "events").where("user_id % 3 = 0").select(F.col("user_id").alias("conv_id"))
     return upkeep.unprocessed(table(spark, sf_dir, "conversations").select("conv_id").distinct(), done, "conv_id")
 
 

@@ -47,3 +47,31 @@ def restore(spark: SparkSession, root: str, names: list[str]) -> dict[str, DataF
 def vector_rows(entries: DataFrame) -> DataFrame:
     """What is kept beside each vector; of the sources the first three."""
     return entries.select("entry_id", "entry_type", "state", "updated_at", "context_type", "tier", F.coalesce("archived", F.lit(False)).alias("archived"), F.array_join(F.slice("sources", 1, 3), ",").alias("source"))
+
+
+def archive_full_content(entries: DataFrame, root: str) -> DataFrame:
+    """Entries' whole content, appended as JSON to a table under ``root``; the entries with a reference to it."""
+    columns = [c for c in entries.columns if c != "full_content_ref"]
+    entries.select("entry_id", F.to_json(F.struct(*columns)).alias("content")).write.mode("append").parquet(f"{root}/archive_content")
+    return entries.withColumn("full_content_ref", F.concat(F.lit(f"{root}/archive_content/"), F.col("entry_id").cast("string")))
+
+
+def full_content(spark: SparkSession, root: str, ids: DataFrame) -> DataFrame:
+    return spark.read.parquet(f"{root}/archive_content").join(ids.select("entry_id").distinct(), "entry_id", "left_semi")
+
+
+def reset_store(entries: DataFrame, root: str, version: int) -> DataFrame:
+    """Write an empty version; tell how many entries of each type are gone."""
+    gone = entries.groupBy("entry_type").agg(F.count(F.lit(1)).alias("entries"))
+    told = entries.sparkSession.createDataFrame(gone.collect(), gone.schema)
+    write_version(entries.limit(0), root, version)
+    return told
+
+
+def append_run_report(run: DataFrame, root: str) -> None:
+    """Add a run's row to the table of runs."""
+    run.write.mode("append").json(f"{root}/runs")
+
+
+def runs(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.json(f"{root}/runs")

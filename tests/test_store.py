@@ -1,3 +1,4 @@
+import pytest
 import datetime as dt
 import json
 import random
@@ -256,3 +257,32 @@ def test_change_detection_sees_edits_anywhere_in_a_turn(spark):
     make = lambda r: _hashes(spark.createDataFrame(r, "conv_id long, turn int, text string"))
     got = {r["conv_id"]: r["change"] for r in upkeep.changes(make(rows), make(after)).collect()}
     assert got == {1: "changed", 2: "changed", 3: "unchanged", 4: "unchanged", 5: "deleted", 6: "new"}
+
+
+def test_archive_reset_and_runs(spark, tmp_path):
+    from memlake.sources import store
+
+    e = spark.createDataFrame([(1, "knowledge", "a"), (2, "project", "b"), (3, "project", None)], "entry_id long, entry_type string, view string")
+    root = str(tmp_path)
+    kept = store.archive_full_content(e, root)
+    assert [r["full_content_ref"] for r in kept.orderBy("entry_id").collect()] == [f"{root}/archive_content/{i}" for i in (1, 2, 3)]
+    assert store.full_content(spark, root, e.where("entry_id = 2").select("entry_id")).first()["content"] == '{"entry_id":2,"entry_type":"project","view":"b"}'
+    store.write_version(e, root, 1)
+    assert {r["entry_type"]: r["entries"] for r in store.reset_store(e, root, 2).collect()} == {"knowledge": 1, "project": 2}
+    for i in (1, 2):
+        store.append_run_report(spark.createDataFrame([(f"r{i}", i)], "run_id string, kept long"), root)
+    assert sorted((r["run_id"], r["kept"]) for r in store.runs(spark, root).collect()) == [("r1", 1), ("r2", 2)]
+
+
+def test_migration_gate_and_project_entries(spark):
+    from memlake.operators import views
+
+    e = spark.createDataFrame([(1, None, False), (2, "task_query", False), (3, None, True)], "entry_id long, context_type string, archived boolean")
+    with pytest.raises(ValueError, match="1 entries"):
+        views.complete_migration(e)
+    views.complete_migration(e.where("entry_id <> 1"))
+    kind = "conv_id long, created_at string, updated_at string, n long, label string, view string, confidence string, phase string, points array<struct<text string, message_ids array<string>, snippet string>>"
+    rows = [(1, "c", "u", 1, "tool", "goal", None, "build", [("use it", ["m2", "m1", "m2"], "s" * 300)]), (1, "c", "u", 2, "", "goal", None, "build", []), (2, "c", "u", 1, "other", "goal", "low", "", None)]
+    got = sorted(views.converted(spark.createDataFrame(rows, kind), project=True).collect(), key=lambda r: r["label"], reverse=True)
+    assert [(r["label"], r["history"], r["source_messages"], r["confidence"], len(r["first_evidence"] or "")) for r in got] == [("tool", ["build"], ["m1", "m2"], "medium", 200), ("other", [], [], "low", 0)]
+    assert all(r["entry_id"].startswith("pe_") for r in got)
