@@ -148,17 +148,26 @@ def counts(entries: DataFrame) -> DataFrame:
 
 def cycle(entries: DataFrame, access: DataFrame, now, run_id: str, dry_run: bool = True, promote: int = 25, archive: int = 25) -> dict[str, DataFrame]:
     """The nightly cycle as tables: entries after it, snapshot rows, index and the run's row. A dry run finds the same
-    candidates and changes nothing. Buckets are counted before promotion and archiving."""
+    candidates and changes nothing. Else duplicates are merged and the others archived, contradictions contested, then
+    what is left is promoted or archived. Buckets are counted before any of it."""
     start = with_scores(with_access(entries, access), now)
     live = start.where("not coalesce(archived, false)")
-    up, gone = promotion_candidates(live, promote), archive_candidates(live, archive)
     plan = replay.plans(live)
     run = live.agg(*[F.count_if(bucket(F.col("context_type"), F.col("tier"), F.col("salience")) == b).alias(b) for b in ("stable", "active", "weak", "decay_candidate")])
-    run = run.crossJoin(up.agg(F.count(F.lit(1)).alias("promotion_candidates"))).crossJoin(gone.agg(F.count(F.lit(1)).alias("archive_candidates")))
-    run = run.crossJoin(plan.agg(F.count_if(F.col("plan") == "merge").alias("merge_plans"), F.count_if(F.col("plan") == "contest").alias("contest_plans")))
+    merges = replay.fingerprints(live).select("entry_id", "fp").join(plan.where("plan = 'merge'").select("fp"), "fp")
+    after, others = replay.consolidated(start, merges.select("fp"), run_id, now)
+    # Contests touch other labels than merges, so both come from the same plan.
+    after = with_scores(replay.marked(after, replay.view_pairs(live)), now)
+    after, merged_snaps = archived(after, others, run_id, now, "merged duplicate")
+    left = start if dry_run else after
+    left = left.where("not coalesce(archived, false)")
+    up, gone = promotion_candidates(left, promote), archive_candidates(left, archive)
+    # One-row tables side by side.
+    for part in (up.agg(F.count(F.lit(1)).alias("promotion_candidates")), gone.agg(F.count(F.lit(1)).alias("archive_candidates")), plan.agg(F.count_if(F.col("plan") == "merge").alias("merge_plans"), F.count_if(F.col("plan") == "contest").alias("contest_plans"))):
+        run = run.join(F.broadcast(part))
     run = run.withColumns({"run_id": F.lit(run_id), "dry_run": F.lit(dry_run)})
     if dry_run:
         _, snaps = archived(start, gone.limit(0), run_id, now, "")
         return {"entries": start, "archive": snaps, "index": thin_index(start), "run": run}
-    after, snaps = archived(promoted(start, up, now), gone, run_id, now, "low salience")
-    return {"entries": after, "archive": snaps, "index": thin_index(after), "run": run}
+    after, snaps = archived(promoted(after, up, now), gone, run_id, now, "low salience")
+    return {"entries": after, "archive": merged_snaps.unionByName(snaps), "index": thin_index(after), "run": run}

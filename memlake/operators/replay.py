@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from memlake import policy as P
-from memlake.functions.scoring import comparable, jaccard, opposing
+from memlake.functions.scoring import appended, comparable, jaccard, note, opposing
 
 
 def fingerprints(entries: DataFrame) -> DataFrame:
@@ -96,3 +96,66 @@ def internal_contradiction(views) -> F.Column:
     )
     rows = F.flatten(F.transform(said, lambda a, i: F.transform(F.slice(said, i + 2, F.size(said)), lambda b: pair(a, b))))
     return F.try_element_at(F.filter(rows, lambda r: r.isNotNull()), F.lit(1))
+
+
+#: Lists and texts of entries that a merge unites, where the table has them.
+LISTS = ("sources", "source_messages", "insights", "abilities", "questions", "positions", "evolution", "decisions", "tools", "history", "repos", "links")
+TEXTS = ("goal", "phase", "blocked")
+
+
+def _order(df: DataFrame):
+    """Which of entries that merge comes first: the least, as in ``canonical_rank``."""
+    return F.struct(
+        F.coalesce("tier", F.lit(3)).alias("tier"), (-F.coalesce("mention_count", F.lit(1))).alias("m"), (-F.coalesce("access_count", F.lit(0))).alias("a"), (-F.coalesce("salience", F.lit(0.0))).alias("s"),
+        F.coalesce(-F.unix_micros("updated_at"), F.lit(2**62)).alias("u"), "entry_id",
+    )
+
+
+def consolidated(entries: DataFrame, fps: DataFrame, run_id: str, now) -> tuple[DataFrame, DataFrame]:
+    """(entries, gone): live entries of the labels ``fps`` (fp) put into their first one, and (entry_id, canonical_id) of
+    the others, to be archived. Lists keep each member once, in order of the entries and of their places; counts add up,
+    but mentions are the distinct sources where there are any; the earliest and latest times and the first text that
+    is filled in stay. The others' access counters start anew.
+
+    No group is gathered: the first entry is a grouped minimum, and of a list's members each is kept once before they
+    are put together, so what meets in a row is what the merged entry holds."""
+    live = fingerprints(entries).where(~F.coalesce("archived", F.lit(False)))
+    keyed = live.join(fps.select("fp").distinct(), "fp").withColumn("__o", _order(entries))
+    there = lambda names: [c for c in names if c in entries.columns]
+    filled_in = lambda c: F.min_by(c, F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col("__o")))
+    main = keyed.groupBy("fp").agg(
+        F.min("__o")["entry_id"].alias("__id"), F.count(F.lit(1)).alias("__n"), F.sum("access_count").alias("__access"), F.sum("mention_count").alias("__mentions"),
+        *[F.min(c).alias(f"__{c}") for c in there(("first_seen", "created_at"))], *[F.max(c).alias(f"__{c}") for c in there(("last_seen", "last_accessed", "updated_at"))],
+        *[filled_in(c).alias(f"__{c}") for c in there(TEXTS)],
+    ).where("__n > 1")
+    for c in there(LISTS):
+        each = keyed.select("fp", "__o", F.posexplode(c).alias("at", "v")).groupBy("fp", "v").agg(F.min(F.struct("__o", "at")).alias("at"))
+        main = main.join(each.groupBy("fp").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias(f"__{c}")), "fp", "left")
+    gone = keyed.join(main.select("fp", "__id"), "fp").where("entry_id <> __id").select("entry_id", F.col("__id").alias("canonical_id"))
+    df = entries.join(main.drop("fp"), entries["entry_id"] == main["__id"], "left").join(gone.select(F.col("entry_id").alias("__other")), F.col("entry_id") == F.col("__other"), "left")
+    into, other = F.col("__id").isNotNull(), F.col("__other").isNotNull()
+    put = {c: F.when(into, F.coalesce(f"__{c}", c)).otherwise(F.col(c)) for c in there(("first_seen", "created_at", "last_seen", "last_accessed") + TEXTS + LISTS)}
+    mentions = F.when(F.size("__sources") > 0, F.size("__sources")).otherwise(F.col("__mentions")).cast(entries.schema["mention_count"].dataType) if "sources" in entries.columns else F.col("__mentions")
+    put |= {
+        "mention_count": F.when(into, F.greatest(F.lit(1), mentions)).otherwise(F.col("mention_count")),
+        "access_count": F.when(into, F.col("__access")).when(other, 0).otherwise(F.col("access_count")), "updated_at": F.when(into, F.greatest("__updated_at", now)).otherwise(F.col("updated_at")),
+    }
+    if "last_accessed" in put:
+        put["last_accessed"] = F.when(~other, put["last_accessed"])
+    if "notes" in entries.columns:
+        told = note(now.cast("string"), F.lit("cycle"), F.lit("merge_duplicate_entries"), F.concat(F.lit("merged "), (F.col("__n") - 1).cast("string"), F.lit(f" entries (run {run_id})")))
+        put["notes"] = F.when(into, appended(F.col("notes"), told, 20)).otherwise(F.col("notes"))
+    return df.withColumns(put).select(*entries.columns), gone
+
+
+def marked(entries: DataFrame, pairs: DataFrame) -> DataFrame:
+    """All entries, those in ``pairs`` (a_id, b_id, reason) contested and, where the table has links and notes, linked to
+    what they contradict and with a note of why."""
+    found = contested(entries.select("entry_id", F.lit("").alias("state")), pairs).select(F.col("entry_id").alias("__c"), F.col("links").alias("__links"), F.array_join("reasons", "; ").alias("__why"))
+    df = entries.join(found, F.col("entry_id") == F.col("__c"), "left")
+    put = {"state": F.when(F.col("__c").isNotNull(), "contested").otherwise(F.col("state"))}
+    if "links" in entries.columns:
+        put["links"] = F.when(F.col("__c").isNotNull(), F.array_union(F.coalesce("links", F.col("__links")), "__links")).otherwise(F.col("links"))
+    if "notes" in entries.columns:
+        put["notes"] = F.when(F.col("__c").isNotNull(), appended(F.col("notes"), F.concat(F.lit("contested: "), "__why"), 20)).otherwise(F.col("notes"))
+    return df.withColumns(put).select(*entries.columns)

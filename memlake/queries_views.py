@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from memlake.operators import lifecycle, mail, mutate, parse, upkeep, views
-from memlake.queries import ENTRIES_SQL, NOW, entries, query, raw_entries, table
+from memlake.operators import lifecycle, mail, mutate, parse, replay, upkeep, views
+from memlake.queries import ENTRIES_SQL, NOW, PAIRS_SQL, access, entries, query, raw_entries, table
 
 #: Columns of entries over documents: texts cut from theirs, lists of their sentences and words.
 FACTS_SQL = """facts AS (SELECT doc_id AS entry_id, CASE WHEN doc_id % 5 = 0 THEN 'project' ELSE 'knowledge' END AS entry_type, CASE WHEN doc_id % 7 = 0 THEN '' ELSE substr(text, 1, 30) END AS domain,
@@ -256,3 +256,30 @@ def recent_evolutions(spark, sf_dir):
 @query("""WITH r AS (SELECT user_id, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) SELECT user_id, id FROM r WHERE n <= 20""")
 def trimmed_logs(spark, sf_dir):
     return upkeep.trimmed_log(table(spark, sf_dir, "events").select("user_id", "ts", F.col("event_id").alias("id")), "user_id", 20).select("user_id", "id")
+
+
+@query(f"""{PAIRS_SQL}, g AS (SELECT fp FROM f WHERE fp IS NOT NULL GROUP BY fp HAVING count(*) > 1), s AS (SELECT fp, bool_or(reason IS NOT NULL) AS against, bool_and(compatible) AS agree FROM pairs GROUP BY fp),
+m AS (SELECT g.fp FROM g LEFT JOIN s USING (fp) WHERE NOT coalesce(against, FALSE) AND coalesce(agree, TRUE)),
+x AS (SELECT f.fp, e.*, ['c' || e.entry_id, 'c' || (e.entry_id + 1), 'c' || (e.entry_id + 2)][1:e.n_sources] AS sources, string_split(e.narrative, '. ')[1:3] AS insights,
+  row_number() OVER (PARTITION BY f.fp ORDER BY e.tier, e.mention_count DESC, e.access_count DESC, e.salience DESC, e.last_seen DESC, e.entry_id) AS rank FROM f JOIN m USING (fp) JOIN entries e USING (entry_id) WHERE NOT e.archived),
+k AS (SELECT fp, min_by(entry_id, rank) AS id, count(*) AS n, sum(access_count) AS a FROM x GROUP BY fp HAVING count(*) > 1),
+l AS (SELECT fp, v, min(rank * 1000 + pl) AS pl FROM (SELECT fp, rank, unnest(sources) AS v, generate_subscripts(sources, 1) AS pl FROM x) GROUP BY fp, v),
+i AS (SELECT fp, v, min(rank * 1000 + pl) AS pl FROM (SELECT fp, rank, unnest(insights) AS v, generate_subscripts(insights, 1) AS pl FROM x) GROUP BY fp, v),
+ls AS (SELECT fp, list(v ORDER BY pl) AS v FROM l GROUP BY fp), li AS (SELECT fp, list(v ORDER BY pl) AS v FROM i GROUP BY fp)
+SELECT e.entry_id, CASE WHEN k.id IS NOT NULL THEN len(ls.v) ELSE e.mention_count END::BIGINT AS mention_count, CASE WHEN k.id IS NOT NULL THEN k.a WHEN x.fp IS NOT NULL AND kx.id IS NOT NULL THEN 0 ELSE e.access_count END::BIGINT AS access_count,
+array_to_string(coalesce(ls.v, ['c' || e.entry_id, 'c' || (e.entry_id + 1), 'c' || (e.entry_id + 2)][1:e.n_sources]), ',') AS sources, array_to_string(coalesce(li.v, string_split(e.narrative, '. ')[1:3]), '|') AS insights,
+(e.archived OR (kx.id IS NOT NULL AND k.id IS NULL)) AS archived FROM entries e LEFT JOIN k ON k.id = e.entry_id LEFT JOIN ls ON ls.fp = k.fp LEFT JOIN li ON li.fp = k.fp LEFT JOIN x ON x.entry_id = e.entry_id LEFT JOIN k kx ON kx.fp = x.fp""")
+def consolidated_entries(spark, sf_dir):
+    e = entries(spark, sf_dir).withColumn("insights", F.slice(F.split("narrative", r"\. "), 1, 3))
+    plan = replay.plans(raw_entries(spark, sf_dir)).where("plan = 'merge'")
+    now = F.lit(NOW).cast("timestamp")
+    after, gone = replay.consolidated(e, plan.select("fp"), "r1", now)
+    after, _ = lifecycle.archived(after, gone, "r1", now, "merged duplicate")
+    return after.select("entry_id", F.col("mention_count").cast("long").alias("mention_count"), "access_count", F.array_join("sources", ",").alias("sources"), F.array_join("insights", "|").alias("insights"), "archived")
+
+
+@query(f"""{PAIRS_SQL}, x AS (SELECT a_id AS id FROM pairs WHERE reason IS NOT NULL UNION SELECT b_id FROM pairs WHERE reason IS NOT NULL)
+SELECT entry_id, CASE WHEN x.id IS NOT NULL THEN 'contested' ELSE state END AS state FROM entries LEFT JOIN x ON id = entry_id""")
+def contested_entries(spark, sf_dir):
+    e = raw_entries(spark, sf_dir)
+    return replay.marked(e, replay.view_pairs(e)).select("entry_id", "state")

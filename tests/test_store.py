@@ -1,3 +1,5 @@
+from datetime import datetime
+
 import pytest
 import datetime as dt
 import json
@@ -286,3 +288,31 @@ def test_migration_gate_and_project_entries(spark):
     got = sorted(views.converted(spark.createDataFrame(rows, kind), project=True).collect(), key=lambda r: r["label"], reverse=True)
     assert [(r["label"], r["history"], r["source_messages"], r["confidence"], len(r["first_evidence"] or "")) for r in got] == [("tool", ["build"], ["m1", "m2"], "medium", 200), ("other", [], [], "low", 0)]
     assert all(r["entry_id"].startswith("pe_") for r in got)
+
+
+def test_live_cycle_merges_contests_and_archives(spark):
+    from memlake.operators import lifecycle
+
+    kind = """entry_id long, entry_type string, label string, narrative string, context_type string, confidence string, mention_count long, access_count long, last_accessed timestamp, last_seen timestamp,
+    updated_at timestamp, state string, archived boolean, tier int, sources array<string>, insights array<string>, links array<struct<knowledge_id: bigint, relationship: string>>, notes array<string>"""
+    at = datetime(2024, 1, 1)
+    row = lambda i, label, said, sources, kind="recurring_pattern", conf="high": (i, "knowledge", label, said, kind, conf, len(sources), 0, None, at, at, "active", False, None, sources, [said, "both"], [], [])
+    rows = [
+        row(1, "Rust builds", "use cargo for every build", ["a", "b"]), row(2, "rust builds", "use cargo for every build of it", ["b", "c"]),
+        row(3, "Market view", "prices will increase soon", ["d"]), row(4, "market view", "prices will decrease soon", ["e"]),
+        row(5, "Passing thing", "something small", ["f"], "passing_reference", "low"),
+    ]
+    entries = spark.createDataFrame(rows, kind)
+    access = spark.createDataFrame([(2, 4, at)], "entry_id long, access_count long, last_accessed timestamp")
+    now = F.lit("2024-06-01 00:00:00").cast("timestamp")
+    dry = lifecycle.cycle(entries, access, now, "r0")
+    assert {r["entry_id"]: r["archived"] for r in dry["entries"].collect()} == dict.fromkeys(range(1, 6), False) and dry["archive"].count() == 0
+    live = lifecycle.cycle(entries, access, now, "r1", dry_run=False)
+    got = {r["entry_id"]: r for r in live["entries"].collect()}
+    run = live["run"].first()
+    assert (run["merge_plans"], run["contest_plans"]) == (1, 1)
+    main, other = (got[2], got[1]) if got[1]["archived"] else (got[1], got[2])
+    assert other["archived"] and not main["archived"] and sorted(main["sources"]) == ["a", "b", "c"] and main["mention_count"] == 3 and main["access_count"] == 4 and other["access_count"] == 0
+    assert len(main["insights"]) == 3 and "merge_duplicate_entries" in main["notes"][-1]
+    assert got[3]["state"] == got[4]["state"] == "contested" and got[3]["links"][0]["knowledge_id"] == 4 and got[4]["notes"]
+    assert got[5]["archived"] and {r["entry_id"] for r in live["archive"].collect()} == {other["entry_id"], 5}
