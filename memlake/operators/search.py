@@ -107,3 +107,23 @@ def label_match(asked: Column, label: Column) -> Column:
     a, b = comparable(asked), comparable(label)
     inside = F.forall(F.split(a, " "), lambda w: b.contains(w))
     return F.when(a == b, 1).when(b.contains(a), 2).when(inside, 3)
+
+
+def _gram(said: Column, n: int):
+    return lambda i: F.substr(said, i, F.lit(n))
+
+
+def labels_matching(asked: DataFrame, labels: DataFrame) -> DataFrame:
+    """(item_id, doc_id, rank) of questions (item_id, asked) and labels (doc_id, label) that ``label_match``. Every word
+    asked for stands in the label, so a question meets labels by an equi-join on the first three signs of its longest
+    word, which a label has at some place; a question without words meets every label of its own text only."""
+    words = F.split(comparable(F.col("asked")), " ")
+    longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    questions = asked.withColumn("__g", F.substring(longest, 1, 3))
+    sizes = [r["n"] for r in questions.groupBy(F.length("__g").alias("n")).count().orderBy("n").collect()]
+    said = comparable(F.col("label"))
+    # At most four lengths: of nothing, of one sign, two or three.
+    grams = F.concat(*[F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(said) - n + 1)), _gram(said, n)) for n in sizes]) if sizes else F.array().cast("array<string>")
+    parts = labels.withColumn("__g", F.explode(F.array_distinct(grams)))
+    found = parts.join(questions, "__g").withColumn("rank", label_match(F.col("asked"), F.col("label")))
+    return found.where("rank is not null").select("item_id", "doc_id", "rank")

@@ -365,8 +365,7 @@ def domain_lookup(spark, sf_dir):
     first = F.array_join(F.slice(F.split(S.comparable(F.col("text")), " "), 1, 2), " ")
     asked = table(spark, sf_dir, "benchmark").select("item_id", first.alias("asked"))
     labels = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 60).alias("label"))
-    rank = search.label_match(F.col("asked"), F.col("label"))
-    found = labels.join(asked, rank.isNotNull()).select("item_id", "doc_id", rank.alias("rank"))
+    found = search.labels_matching(asked, labels)
     return found.groupBy("item_id").agg(F.min(F.struct("rank", "doc_id")).alias("m")).select("item_id", "m.doc_id", "m.rank")
 
 
@@ -425,7 +424,13 @@ def clean_mail_body(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", mail.clean_body(F.concat(F.regexp_replace("text", r"\. ", ".\n"), F.lit("\non monday x wrote:\nold"))).alias("body"))
 
 
-@query()
+TRIM_SQL = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+
+
+@query(rf"""WITH a AS (SELECT page_id, regexp_replace(coalesce(html, ''), '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>|<!--.*?-->', '', 'g') AS t FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?i)<(?:br|/?p|/?div|/?li|/?tr|/?h[1-6])\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g') AS t FROM a),
+c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS t FROM b)
+SELECT page_id, {TRIM_SQL.format("regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g')")} AS text FROM c""")
 def html_to_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", mail.html_text(F.col("html")).alias("text"))
 
@@ -444,7 +449,21 @@ def _mutations(spark, sf_dir):
     return e.select(F.concat(F.lit("m"), F.col("event_id").cast("string")).alias("mutation_id"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"), F.col("user_id").alias("entry_id"), F.lit(None).cast("int").alias("expected_revision"), F.col("event_type").alias("view"), F.lit(None).cast("string").alias("confidence"), F.lit(None).cast("string").alias("state"), F.lit(None).cast("string").alias("context_type"), F.col("event_type").alias("insight"))
 
 
-@query()
+#: Mutations one after another: the state of every entry after its n-th, told by what it was after the one before.
+FOLD_SQL = f"""WITH RECURSIVE m AS (SELECT user_id AS entry_id, 'm' || event_id AS mutation_id, ['update', 'insight', 'archive', 'restore', 'create'][event_id % 5 + 1] AS kind, event_type AS insight,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, 'm' || event_id) AS n FROM events),
+e AS (SELECT doc_id AS entry_id, doc_id % 13 = 0 AS archived, [substr(text, 1, 60)] AS insights FROM documents WHERE doc_id % 5 <> 0),
+r AS (SELECT i.entry_id, 0::BIGINT AS n, e.entry_id IS NOT NULL AS there, 0 AS revision, coalesce(archived, FALSE) AS archived, coalesce(insights, []::VARCHAR[]) AS insights, NULL::VARCHAR AS mutation_id, NULL::VARCHAR AS status
+  FROM (SELECT DISTINCT entry_id FROM m) i LEFT JOIN e USING (entry_id)
+UNION ALL SELECT entry_id, n2, there OR (st = 'ok' AND kind = 'create'), CASE WHEN st = 'ok' AND kind = 'create' THEN 1 WHEN st = 'ok' THEN revision + 1 ELSE revision END,
+  CASE WHEN st = 'ok' AND kind = 'archive' THEN TRUE WHEN st = 'ok' AND kind = 'restore' THEN FALSE ELSE archived END, CASE WHEN st = 'ok' AND kind IN ('create', 'insight') AND insight IS NOT NULL THEN list_append(insights, insight) ELSE insights END, mid, st
+  FROM (SELECT r.entry_id, r.there, r.revision, r.archived, r.insights, m.kind, m.insight, m.mutation_id AS mid, m.n AS n2, CASE WHEN kind = 'create' AND there THEN 'exists' WHEN kind <> 'create' AND NOT there THEN 'not_found' WHEN archived AND kind <> 'restore' THEN 'archived'
+    WHEN NOT archived AND kind = 'restore' THEN 'conflict' WHEN kind = 'insight' AND list_contains(list_transform(insights, lambda x: {NORM.format("x")}), {NORM.format("m.insight")}) THEN 'noop' ELSE 'ok' END AS st
+    FROM r JOIN m ON m.entry_id = r.entry_id AND m.n = r.n + 1))
+SELECT entry_id, mutation_id, status, revision FROM r WHERE status IS NOT NULL"""
+
+
+@query(FOLD_SQL)
 def mutation_fold(spark, sf_dir):
     e = raw_entries(spark, sf_dir).where("entry_type = 'knowledge'").select("entry_id", F.lit(0).alias("revision"), "archived", F.substring("narrative", 1, 80).alias("view"), "confidence", "state", "context_type", F.array(F.col("label")).alias("insights"))
     return mutate.fold(e, _mutations(spark, sf_dir))[1]
