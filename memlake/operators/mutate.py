@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
-from memlake.functions.scoring import comparable
+from memlake.plans.tables import stored
 
 STATE = ("revision", "archived", "view", "confidence", "state", "context_type", "insights")
 
@@ -15,47 +20,88 @@ def latest_first(mutations: DataFrame) -> DataFrame:
     return mutations.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
+def _comparable(text: str | None) -> str:
+    return re.sub("[^a-z0-9]+", " ", (text or "").lower()).strip()
+
+
+def _status(kind: str, there: bool, s: dict, m: dict, told: set[str]) -> str:
+    if kind == "create":
+        if there:
+            return "exists"
+    elif not there:
+        return "not_found"
+    elif m["expected_revision"] is not None and m["expected_revision"] != s["revision"]:
+        return "conflict"
+    if s["archived"] and kind != "restore":
+        return "archived"
+    if not s["archived"] and kind == "restore":
+        return "conflict"
+    return "noop" if kind == "insight" and _comparable(m["insight"]) in told else "ok"
+
+
 def fold(entries: DataFrame, mutations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entries, results): mutations (mutation_id, ts, kind, entry_id, expected_revision, view, confidence, state,
     context_type, insight) of kinds create, update, insight, archive and restore, applied to each entry in order of time.
 
     A result is ok, not_found, exists, archived, conflict (another revision was expected) or noop (an insight that is
-    there in other words). Only what is ok counts the revision up. An entry's mutations fold in one row; entries are
-    independent, so the fold is spread by entry."""
-    each = latest_first(mutations)
-    rows = F.array_sort(F.collect_list(F.struct("ts", "mutation_id", "kind", "expected_revision", "view", "confidence", "state", "context_type", "insight")))
-    by = each.groupBy("entry_id").agg(rows.alias("m")).withColumnRenamed("entry_id", "__id")
-    df = entries.join(by, F.col("entry_id") == F.col("__id"), "full").withColumn("entry_id", F.coalesce("entry_id", "__id"))
-    there = F.col("revision").isNotNull()
-    none = F.array().cast("array<string>")
-    start = F.struct(
-        there.alias("there"), F.coalesce("revision", F.lit(0)).cast("int").alias("revision"), F.coalesce("archived", F.lit(False)).alias("archived"), *[F.col(c) for c in ("view", "confidence", "state", "context_type")],
-        F.coalesce("insights", none).alias("insights"), F.array().cast("array<struct<mutation_id:string,status:string,revision:int>>").alias("log"),
-    )
-
-    def step(s, m):
-        told = F.exists(s["insights"], lambda i: comparable(i) == comparable(m["insight"]))
-        status = (
-            F.when((m["kind"] == "create") & s["there"], "exists").when((m["kind"] != "create") & ~s["there"], "not_found")
-            .when(m["expected_revision"].isNotNull() & (m["kind"] != "create") & (m["expected_revision"] != s["revision"]), "conflict")
-            .when(s["archived"] & (m["kind"] != "restore"), "archived").when(~s["archived"] & (m["kind"] == "restore"), "conflict")
-            .when((m["kind"] == "insight") & told, "noop").otherwise("ok")
-        )
-        ok = status == "ok"
-        create, put = ok & (m["kind"] == "create"), ok & m["kind"].isin("create", "update")
-        revision = F.when(create, 1).when(ok, s["revision"] + 1).otherwise(s["revision"]).cast("int")
-        new = lambda c, d=None: F.when(put, F.coalesce(m[c], s[c] if d is None else F.coalesce(s[c], F.lit(d)))).otherwise(s[c]).alias(c)
-        return F.struct(
-            (s["there"] | create).alias("there"), revision.alias("revision"), F.when(ok & (m["kind"] == "archive"), True).when(ok & (m["kind"] == "restore"), False).otherwise(s["archived"]).alias("archived"),
-            new("view"), new("confidence", "medium"), new("state", "active"), new("context_type", "explicit_save"),
-            F.when(ok & m["kind"].isin("create", "insight") & m["insight"].isNotNull(), F.array_append(s["insights"], m["insight"])).otherwise(s["insights"]).alias("insights"),
-            F.array_append(s["log"], F.struct(m["mutation_id"].alias("mutation_id"), status.alias("status"), revision.alias("revision"))).alias("log"),
-        )
-
-    done = df.withColumn("s", F.aggregate(F.coalesce("m", F.array().cast(by.schema["m"].dataType)), start, step))
-    after = done.where("s.there").select("entry_id", *[F.col(f"s.{c}").alias(c) for c in STATE])
-    results = done.select("entry_id", F.explode("s.log").alias("l")).select("entry_id", "l.*")
-    return after, results
+    there in other words). Only what is ok counts the revision up. Entries and mutations are dealt by entry and sorted
+    by time; a task sees them stream by and holds the state of one entry, told in a row each, so that an entry with many
+    mutations takes time but no room."""
+    key = entries.schema["entry_id"].dataType
+    texts = ("view", "confidence", "state", "context_type")
+    none = F.lit(None)
+    before = entries.select("entry_id", F.lit(0).alias("side"), none.cast("timestamp").alias("ts"), none.cast("string").alias("mutation_id"), none.cast("string").alias("kind"), none.cast("int").alias("expected_revision"),
+                            *texts, none.cast("string").alias("insight"), F.col("revision").cast("int").alias("revision"), F.coalesce("archived", F.lit(False)).alias("archived"), "insights")
+    each = latest_first(mutations).select(F.col("entry_id").cast(key).alias("entry_id"), F.lit(1).alias("side"), F.col("ts").cast("timestamp").alias("ts"), "mutation_id", "kind", F.col("expected_revision").cast("int").alias("expected_revision"),
+                                          *texts, "insight", none.cast("int").alias("revision"), none.cast("boolean").alias("archived"), none.cast("array<string>").alias("insights"))
+    both = before.unionByName(each)
+    both = both.repartition("entry_id").sortWithinPartitions("entry_id", "side", "ts", "mutation_id")
+    out = f"entry_id {key.simpleString()}, mutation_id string, status string, revision int, archived boolean, view string, confidence string, state string, context_type string, insights array<string>"
+
+    def run(batches):
+        now, there, s, told = (), False, {}, set()
+
+        def row(mutation_id, status):
+            whole = mutation_id is None
+            return {"entry_id": now[0], "mutation_id": mutation_id, "status": status, "revision": s["revision"], **{c: s[c] if whole else None for c in STATE if c != "revision"}}
+
+        for batch in batches:
+            rows = []
+            for m in batch.to_pylist():
+                if now != (m["entry_id"],):
+                    if now and there:
+                        rows.append(row(None, None))
+                    now, there = (m["entry_id"],), m["side"] == 0
+                    s = {c: m[c] for c in STATE} if there else {**dict.fromkeys(STATE), "revision": 0, "archived": False}
+                    s["insights"] = list(s["insights"] or [])
+                    told = set(map(_comparable, s["insights"]))
+                if m["side"] == 0:
+                    continue
+                status = _status(m["kind"], there, s, m, told)
+                if status == "ok":
+                    s["revision"] = 1 if m["kind"] == "create" else s["revision"] + 1
+                    there = True
+                    if m["kind"] in ("create", "update"):
+                        s["view"] = s["view"] if m["view"] is None else m["view"]
+                        for c, other in (("confidence", "medium"), ("state", "active"), ("context_type", "explicit_save")):
+                            s[c] = m[c] if m[c] is not None else s[c] if s[c] is not None else other
+                    if m["kind"] in ("archive", "restore"):
+                        s["archived"] = m["kind"] == "archive"
+                    if m["kind"] in ("create", "insight") and m["insight"] is not None:
+                        s["insights"].append(m["insight"])
+                        told.add(_comparable(m["insight"]))
+                rows.append(row(m["mutation_id"], status))
+            if rows:
+                yield _batch(rows)
+        if now and there:
+            yield _batch([row(None, None)])
+
+    def _batch(rows):
+        return pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+    arrow = to_arrow_schema(_parse_datatype_string(out))
+    done = stored(both.mapInArrow(run, out), "mutation-fold")
+    return done.where("status is null").select("entry_id", *STATE), done.where("status is not null").select("entry_id", "mutation_id", "status", "revision")
 
 
 def consolidate(entries: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
