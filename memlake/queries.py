@@ -245,9 +245,9 @@ def extract_code_blocks(spark, sf_dir):
 
 
 @query("""WITH w AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM conversations)
-SELECT conv_id, turn, before::BIGINT AS before FROM w WHERE n <= 50 AND before <= 1500""")
+SELECT conv_id, turn, before::BIGINT AS before FROM w WHERE n <= 50 AND before <= 6000""")
 def session_window(spark, sf_dir):
-    return parse.session_window(table(spark, sf_dir, "conversations"), signs=1500).select("conv_id", "turn", F.col("before").cast("long").alias("before"))
+    return parse.session_window(table(spark, sf_dir, "conversations")).select("conv_id", "turn", F.col("before").cast("long").alias("before"))
 
 
 @query("""SELECT conv_id, count(*)::BIGINT AS turns, coalesce(sum(CASE WHEN role = 'user' THEN length(text) END), 0)::BIGINT AS user_chars FROM conversations GROUP BY 1 HAVING count(*) >= 4 AND coalesce(sum(CASE WHEN role = 'user' THEN length(text) END), 0) >= 300""")
@@ -255,9 +255,9 @@ def session_gate(spark, sf_dir):
     return filters.session_gate(table(spark, sf_dir, "conversations"))
 
 
-@query("""SELECT conv_id, string_agg('[' || turn || '] ' || upper(role) || ': ' || CASE WHEN length(text) > 200 THEN substr(text, 1, 150) || chr(10) || '[... truncated ...]' ELSE text END, chr(10) || chr(10) ORDER BY turn) AS prompt FROM conversations GROUP BY 1""")
+@query("""SELECT conv_id, string_agg('[' || turn || '] ' || upper(role) || ': ' || CASE WHEN length(text) > 3000 THEN substr(text, 1, 2900) || chr(10) || '[... truncated ...]' ELSE text END, chr(10) || chr(10) ORDER BY turn) AS prompt FROM conversations GROUP BY 1""")
 def conversation_prompts(spark, sf_dir):
-    return parse.prompt(table(spark, sf_dir, "conversations"), 200, 150)
+    return parse.prompt(table(spark, sf_dir, "conversations"))
 
 
 def _hashes(df: DataFrame) -> DataFrame:

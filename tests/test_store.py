@@ -316,3 +316,13 @@ def test_live_cycle_merges_contests_and_archives(spark):
     assert len(main["insights"]) == 3 and "merge_duplicate_entries" in main["notes"][-1]
     assert got[3]["state"] == got[4]["state"] == "contested" and got[3]["links"][0]["knowledge_id"] == 4 and got[4]["notes"]
     assert got[5]["archived"] and {r["entry_id"] for r in live["archive"].collect()} == {other["entry_id"], 5}
+
+
+def test_long_turns_are_cut(spark):
+    from memlake.operators import parse
+
+    df = spark.createDataFrame([(1, 0, "user", "a" * 3000), (1, 1, "assistant", "b" * 3001), (1, 2, "user", None), (2, 0, "user", "x")], "conv_id long, turn int, role string, text string")
+    got = {r["conv_id"]: r["prompt"] for r in parse.prompt(df).collect()}
+    assert got[1] == "[0] USER: " + "a" * 3000 + "\n\n[1] ASSISTANT: " + "b" * 2900 + "\n[... truncated ...]\n\n[2] USER: " and got[2] == "[0] USER: x"
+    long = spark.createDataFrame([(1, i, "user", "a" * 2001) for i in range(5)], "conv_id long, turn int, role string, text string")
+    assert sorted(r["turn"] for r in parse.session_window(long).collect()) == [0, 1, 2]
