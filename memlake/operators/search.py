@@ -6,34 +6,28 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from memlake.plans.tables import stored
 from memlake.functions.scoring import comparable, final_score, recency, search_tier, source_weight
 
 HIT = "query_id long, vec_id long, similarity double"
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, least: float = -2.0, slices: int = 16, block: int = 2048) -> DataFrame:
-    """(query_id, vec_id, similarity): for each of ``queries`` (query_id, embedding) the ``k`` nearest vectors by cosine
-    of at least ``least``; a vector without length has similarity 0; ties go to the smaller id.
-
-    Queries lie in blocks of ``block``; a slice of the vectors meets one block in a task and leaves k rows a query, so
-    nothing but those rows is shuffled again. Vectors whose length differs from the query's are no candidates."""
-    parts = max(1, -(-queries.count() // block))
-    row = F.monotonically_increasing_id()
-    q = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("s"), F.lit(0).alias("side"), F.col("query_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
-    v = vectors.withColumn("__row", row).select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("b"), F.pmod(F.xxhash64("__row"), F.lit(slices)).cast("int").alias("s"), F.lit(1).alias("side"), F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
-    both = q.unionByName(v.where("v is not null")).repartition(parts * slices, "b", "s").sortWithinPartitions("b", "s", "side")
+def _nearest(asked: pa.Table, k: int, least: float):
+    """The scan of vectors for one block of queries (id, v)."""
+    ask = asked.column("id").to_pylist()
+    rows = [np.array(v, float) for v in asked.column("v").to_pylist()]
 
     def run(batches):
-        at, ask, rows, best = None, [], [], {}
-
-        def add(ids, found):
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            found = [np.array(v.values.to_numpy(zero_copy_only=False), float) for v in batch.column(1)]
             for w in {len(x) for x in found}:
                 qs, vs = [i for i, x in enumerate(rows) if len(x) == w], [i for i, x in enumerate(found) if len(x) == w]
                 if not qs:
                     continue
                 a, b = np.stack([rows[i] for i in qs]), np.stack([found[i] for i in vs])
-                na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
-                size = na[:, None] * nb[None, :]
+                size = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]
                 sim = np.where(size > 0, (a @ b.T) / np.where(size > 0, size, 1), 0.0)
                 them = np.array([ids[i] for i in vs])
                 for r, i in enumerate(qs):
@@ -45,34 +39,29 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, least: float = -
                         s, t = s[s >= edge], t[s >= edge]
                     o = np.lexsort((t, -s))[:k]
                     best[i] = s[o], t[o]
+        for i, (s, t) in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), ask[i])), pa.array(t), pa.array(s)], names=["query_id", "vec_id", "similarity"])
 
-        def told():
-            for i, (s, t) in best.items():
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), ask[i])), pa.array(t), pa.array(s)], names=["query_id", "vec_id", "similarity"])
+    return run
 
-        for batch in batches:
-            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-            side, ids, v = batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4)
-            new_ids, new = [], []
-            for n, key in enumerate(keys):
-                if key != at:
-                    if new:
-                        add(new_ids, new)
-                    yield from told()
-                    at, ask, rows, best, new_ids, new = key, [], [], {}, [], []
-                x = np.array(v[n].values.to_numpy(zero_copy_only=False), float)
-                if side[n] == 0:
-                    ask.append(ids[n])
-                    rows.append(x)
-                else:
-                    new_ids.append(ids[n])
-                    new.append(x)
-            if new and rows:
-                add(new_ids, new)
-        yield from told()
 
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, least: float = -2.0, block: int = 2048) -> DataFrame:
+    """(query_id, vec_id, similarity): for each of ``queries`` (query_id, embedding) the ``k`` nearest vectors by cosine
+    of at least ``least``; a vector without length has similarity 0; ties go to the smaller id.
+
+    Vectors are scanned where they lie, once for each block of about ``block`` queries, which goes to all tasks; k rows a
+    query leave a task. Vectors whose length differs from the query's are no candidates; null ones take no part, be they
+    asked for or looked at."""
+    of = lambda df, key: df.select(F.col(key).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v")).where("id is not null and v is not null")
+    q, v = of(queries, "query_id"), of(vectors, "vec_id")
+    parts = max(1, -(-q.count() // block))
     near = W.partitionBy("query_id").orderBy(F.col("similarity").desc(), "vec_id")
-    return both.mapInArrow(run, HIT).withColumn("r", F.row_number().over(near)).where(F.col("r") <= k).drop("r")
+    out = None
+    for b in range(parts):
+        asked = q.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == b).toArrow()
+        found = v.mapInArrow(_nearest(asked, k, least), HIT).withColumn("r", F.row_number().over(near)).where(F.col("r") <= k).drop("r")
+        out = found if out is None else out.unionByName(stored(found, "nearest"))
+    return out
 
 
 def search(hits: DataFrame, entries: DataFrame, now, limit: int = 5, tier: int | None = None) -> DataFrame:
