@@ -36,23 +36,22 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternates large-star and small-star steps until the edge set is stable; each round is one checkpointed table,
     so lineage stays short and nothing but two counters reaches the driver. Every node of ``edges`` gets a row.
-    A star centre's neighbours are never gathered: both steps are a grouped minimum, stored so that the join with it
-    has exchanges of its own, and an equi-join, whose hot keys adaptive execution splits.
+    A star centre's neighbours are never gathered: both steps are a grouped minimum and an equi-join, whose hot keys
+    adaptive execution splits. The join is on the complement of the node, so that it has exchanges of its own: those of
+    the minimum could not be split.
     """
     e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
     before = None
     for _ in range(rounds):
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "cc-low")
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = stored(large.distinct(), "cc-large")
-        delete_stored(low)
-        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), "cc-low")
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("s")).select("s.*").where("u <> v").distinct()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).select(F.bitwise_not("u").alias("k"), "m")
+        large = both.withColumn("k", F.bitwise_not("u")).join(low, "k").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = large.distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.bitwise_not("u").alias("k"), "m")
+        small = large.withColumn("k", F.bitwise_not("u")).join(low, "k").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("s")).select("s.*").where("u <> v").distinct()
         new = stored(small, "cc")
         state = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        for old in (e, large, low):
-            delete_stored(old)
+        delete_stored(e)
         e = new
         if state == before:
             break
