@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from memlake.operators import lifecycle, mail, mutate, parse, replay, upkeep, views
-from memlake.queries import ENTRIES_SQL, NOW, PAIRS_SQL, access, entries, query, raw_entries, table
+from memlake.queries import ENTRIES_SQL, NOW, PAIRS_SQL, entries, query, raw_entries, table
 
 #: Columns of entries over documents: texts cut from theirs, lists of their sentences and words.
 FACTS_SQL = """facts AS (SELECT doc_id AS entry_id, CASE WHEN doc_id % 5 = 0 THEN 'project' ELSE 'knowledge' END AS entry_type, CASE WHEN doc_id % 7 = 0 THEN '' ELSE substr(text, 1, 30) END AS domain,
