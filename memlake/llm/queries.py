@@ -12,6 +12,7 @@ from memlake.llm.pii import op3_personal_data
 from memlake.llm.quality import OP10_SQL, op10_quality_rules
 from memlake.llm.search import OP1_SQL, op1_exact_top_k
 from memlake.llm.toxicity import op7_toxicity
+from memlake.llm.warc import OP11_SQL, op11_warc
 
 QUERIES = {
     "op1_exact_top_k": op1_exact_top_k,
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_warc": op11_warc,
 }
 ORACLES = {
     "op1_exact_top_k": OP1_SQL,
@@ -31,4 +33,5 @@ ORACLES = {
     "op6_chat_format": OP6_SQL,
     "op8_ngram_join": OP8_SQL,
     "op10_quality_rules": OP10_SQL,
+    "op11_warc": OP11_SQL,
 }
