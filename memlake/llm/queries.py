@@ -7,6 +7,7 @@ from memlake.llm.chat import OP6_SQL, op6_chat_format
 from memlake.llm.licenses import op2_license_scan
 from memlake.llm.line_dedup import op9_line_dedup
 from memlake.llm.mixing import OP5_SQL, op5_source_mix
+from memlake.llm.negatives import OP12_SQL, op12_hard_negatives
 from memlake.llm.ngram_join import OP8_SQL, op8_ngram_join
 from memlake.llm.pii import op3_personal_data
 from memlake.llm.quality import OP10_SQL, op10_quality_rules
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_quality_rules": op10_quality_rules,
     "op11_warc": op11_warc,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 ORACLES = {
     "op1_exact_top_k": OP1_SQL,
@@ -34,4 +36,5 @@ ORACLES = {
     "op8_ngram_join": OP8_SQL,
     "op10_quality_rules": OP10_SQL,
     "op11_warc": OP11_SQL,
+    "op12_hard_negatives": OP12_SQL,
 }
