@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from memlake.plans.tables import clear_stored, delete_stored, shared_dir, stored
+from memlake.plans.tables import CLEANUP, clear_stored, delete_stored, shared_dir, stored
 
-__all__ = ["clear_stored", "connected_components", "delete_stored", "shared_dir", "small_batches", "stored", "where_late", "words_of"]
+__all__ = ["clear_stored", "connected_components", "delete_stored", "saved", "shared_dir", "small_batches", "stored", "where_late", "words_of"]
 
 #: A word of the white-space family: what stands between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -31,6 +31,17 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def saved(df: DataFrame, path: str) -> None:
+    """Write ``df`` as Parquet packed by zstd; the shuffle files of its query go once it is written."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable over undirected ``edges`` (columns a, b).
 

@@ -9,7 +9,7 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from memlake.llm.common import shared_dir, small_batches, stored
+from memlake.llm.common import saved, shared_dir, small_batches, stored
 
 CRLF = "\r\n"
 #: What ends a record in a WARC file.
@@ -69,13 +69,13 @@ def heads(pages: DataFrame, least: int = LEAST, captured: str = CAPTURED) -> Dat
 
 def write_payloads(payloads: DataFrame, root: str) -> None:
     """Each of the bytes of ``payloads`` (payload) once, by address. Copies meet as partial aggregates, one from a task."""
-    payloads.select(address(F.col("payload")).alias("address"), "payload").dropDuplicates(["address"]).write.parquet(f"{root}/payloads")
+    saved(payloads.select(address(F.col("payload")).alias("address"), "payload").dropDuplicates(["address"]), f"{root}/payloads")
 
 
 def archive_pages(pages: DataFrame, root: str, least: int = LEAST, captured: str = CAPTURED) -> None:
     """Archive pages (page_id, url, html) under ``root``: records' heads and, each once, their payloads. A null html is
     empty, a null url has no header; other columns of the pages play no part. An empty table gives an empty archive."""
-    heads(pages, least, captured).write.parquet(f"{root}/heads")
+    saved(heads(pages, least, captured), f"{root}/heads")
     write_payloads(pages.select(F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")), root)
 
 
@@ -83,7 +83,7 @@ def archive_records(records: DataFrame, root: str) -> None:
     """Archive records as ``read_files`` gives them, whatever their kind: head and payload as they are. A record without
     a payload (null) has none; an address is given to every other, the empty one too."""
     kept = F.when(F.col("payload").isNotNull(), address(F.col("payload")))
-    records.select(F.monotonically_increasing_id().alias("place"), "head", kept.alias("address"), F.octet_length("payload").cast("long").alias("size")).write.parquet(f"{root}/heads")
+    saved(records.select(F.monotonically_increasing_id().alias("place"), "head", kept.alias("address"), F.octet_length("payload").cast("long").alias("size")), f"{root}/heads")
     write_payloads(records.where("payload is not null"), root)
 
 
