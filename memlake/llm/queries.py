@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from memlake.llm.alignment import op13_token_alignment
 from memlake.llm.bpe import op4_byte_bpe
 from memlake.llm.chat import OP6_SQL, op6_chat_format
 from memlake.llm.licenses import op2_license_scan
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
     "op11_warc": op11_warc,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_token_alignment": op13_token_alignment,
 }
 ORACLES = {
     "op1_exact_top_k": OP1_SQL,
