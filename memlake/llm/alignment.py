@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
+import os
 import re
+from array import array
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from memlake.llm.common import small_batches, stored
 
 #: Segments and tokens that a worker remembers, and segments that go through the Arrow pipeline at a time.
-KEPT, KEPT_TOKENS, CHUNK = 400_000, 4_000_000, 150_000
+KEPT, KEPT_TOKENS, CHUNK = 1_000_000, 6_000_000, 150_000
 #: Id pairs whose counts are sent to all tasks (16 bytes each); all others meet their counts in an equi-join.
 FREQUENT = 524_288
 #: Pairs that a worker counts before it hands on what it has.
@@ -64,46 +68,57 @@ class Tokenizers:
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.sound: list[bool] = []
-        self.odd: list[bool] = []
-        self.ids_a, self.ids_b, self.off_a, self.off_b = [], [], [0], [0]
+        self.unsound, self.odd = bytearray(), bytearray()
+        self.ids_a, self.ids_b, self.off_a, self.off_b = array("i"), array("i"), array("i", [0]), array("i", [0])
 
     def full(self, kept: int) -> bool:
         return len(self.number) > kept or len(self.ids_a) > KEPT_TOKENS or len(self.ids_b) > KEPT_TOKENS
 
-    def learn(self, parts: list[str]) -> None:
+    def learn(self, new: list[str]) -> None:
         """Encode segments that were not seen yet; each is named by what follows its space."""
-        new = list(dict.fromkeys(p for p in parts if p not in self.number))
-        many = self.a.encode_batch_fast([" " + p for p in new], add_special_tokens=False)
-        for p, a, b in zip(new, many, self.b.encode(new, num_threads=1)):
-            a, b = a.ids, b or [self.space]
-            whole = b" " + p.encode()
-            fits = b"".join(map(self.bytes_a.__getitem__, a)) == whole and b"".join(map(self.bytes_b.__getitem__, b)) == whole
-            self.number[p] = len(self.sound)
-            self.sound.append(fits)
+        many = [[e.ids for e in self.a.encode_batch_fast([" " + p for p in new], add_special_tokens=False)], [ids or [self.space] for ids in self.b.encode(new, num_threads=1)]]
+        whole = [b" " + p.encode() for p in new]
+        sides = [[b"".join(map(of.__getitem__, ids)) for ids in side] for side, of in zip(many, (self.bytes_a, self.bytes_b))]
+        for p, a, b, fits in zip(new, *many, map(lambda w, a, b: w == a == b, whole, *sides)):
+            self.number[p] = len(self.odd)
+            self.unsound.append(not fits)
             self.odd.append(not p or p[0].isspace())
             if fits:
-                self.ids_a += a
-                self.ids_b += b
+                self.ids_a.extend(a)
+                self.ids_b.extend(b)
             self.off_a.append(len(self.ids_a))
             self.off_b.append(len(self.ids_b))
 
-    def _numbers(self, parts: list[str]) -> np.ndarray:
-        found = list(map(self.number.get, parts))
-        if None in found:
-            self.learn(parts)
-            found = list(map(self.number.get, parts))
-        return np.array(found, np.int64)
-
-    def segments(self, text: str) -> np.ndarray | None:
-        """Numbers of the text's segments; None where the text has no tokens."""
-        if not text:
-            return None
-        at = self._numbers(text.split(" ") if self.cut else [text])
-        if self.cut and any(map(self.odd.__getitem__, at)):
+    def _numbers(self, texts: list[list[str]]) -> list[np.ndarray]:
+        look = lambda parts: np.fromiter(map(self.number.get, parts, repeat(-1)), np.int32, len(parts))
+        found = [look(parts) for parts in texts]
+        lacks = [n for n, at in enumerate(found) if (at < 0).any()]
+        if lacks:
+            self.learn(list(dict.fromkeys(texts[n][i] for n in lacks for i in np.flatnonzero(found[n] < 0))))
+            for n in lacks:
+                found[n] = look(texts[n])
+        return found
+
+    def segments(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        """Numbers of each text's segments; None where a text has no tokens."""
+        some = [n for n, text in enumerate(texts) if text]
+        found = self._numbers([texts[n].split(" ") if self.cut else [texts[n]] for n in some])
+        if self.cut:
             # Runs of white space are not cut within.
-            at = self._numbers([p[1:] for p in CUT.split(" " + text)])
-        return at if all(map(self.sound.__getitem__, at)) else None
+            odd = np.frombuffer(bytes(self.odd), bool)
+            again = [k for k, at in enumerate(found) if odd[at].any()]
+            for k, at in zip(again, self._numbers([[p[1:] for p in CUT.split(" " + texts[some[k]])] for k in again])):
+                found[k] = at
+        unsound = np.frombuffer(bytes(self.unsound), bool)
+        out = [None] * len(texts)
+        for n, at in zip(some, found):
+            out[n] = None if unsound[at].any() else at
+        return out
+
+    def lists(self) -> list[pa.ListArray]:
+        """The tokens of all segments, on both sides."""
+        plain = lambda x: pa.array(np.frombuffer(x.tobytes(), np.int32))
+        return [pa.ListArray.from_arrays(plain(self.off_a), plain(self.ids_a)), pa.ListArray.from_arrays(plain(self.off_b), plain(self.ids_b))]
 
 
 _loaded: dict[tuple[str, str], Tokenizers] = {}
@@ -115,7 +130,10 @@ def _tokenizers(path_a: str | None, path_b: str | None) -> Tokenizers:
     key = path_a or public_tokenizers.path("byte_bpe_50k.json"), path_b or public_tokenizers.path("piece_bpe_32k.model")
     if key not in _loaded:
         pa.set_cpu_count(1)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
         _loaded[key] = Tokenizers(*key)
+        gc.freeze()
+        gc.set_threshold(200_000, 20, 100)
     return _loaded[key]
 
 
@@ -213,8 +231,7 @@ def aligned(docs: DataFrame, path_a: str | None = None, path_b: str | None = Non
         def flush(held):
             at = np.concatenate([h[2] for h in held])
             starts = np.cumsum([0, *[len(h[2]) for h in held[:-1]]])
-            lists = [pa.ListArray.from_arrays(pa.array(np.array(off, np.int32)), pa.array(np.array(ids, np.int32))) for off, ids in ((own.off_a, own.ids_a), (own.off_b, own.ids_b))]
-            found = Aligned(*[per_document(x, at, starts) for x in lists], own.size_a, own.size_b)
+            found = Aligned(*[per_document(x, at, starts) for x in own.lists()], own.size_a, own.size_b)
             goes_on = np.array([h[3] for h in held])
             hashes = []
             for (row, *_, more), text in zip(held, found.told(vocabulary, size_a, size_b, goes_on)):
@@ -232,13 +249,13 @@ def aligned(docs: DataFrame, path_a: str | None = None, path_b: str | None = Non
         held, size = [], 0
         for batch in batches:
             blank = []
-            for row, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if own.full(kept):
-                    if held:
-                        yield from flush(held)
-                    held, size = [], 0
-                    own.forget()
-                at = own.segments(text)
+            if own.full(kept):
+                if held:
+                    yield from flush(held)
+                held, size = [], 0
+                own.forget()
+            row_ids, doc_ids, texts = (batch.column(i).to_pylist() for i in range(3))
+            for row, doc_id, at in zip(row_ids, doc_ids, own.segments(texts)):
                 if at is None:
                     blank.append((row, doc_id))
                     continue
