@@ -24,19 +24,46 @@ def _comparable(text: str | None) -> str:
     return re.sub("[^a-z0-9]+", " ", (text or "").lower()).strip()
 
 
-def _status(kind: str, there: bool, s: dict, m: dict, told: set[str]) -> str:
-    if kind == "create":
-        if there:
-            return "exists"
-    elif not there:
-        return "not_found"
-    elif m["expected_revision"] is not None and m["expected_revision"] != s["revision"]:
-        return "conflict"
-    if s["archived"] and kind != "restore":
-        return "archived"
-    if not s["archived"] and kind == "restore":
-        return "conflict"
-    return "noop" if kind == "insight" and _comparable(m["insight"]) in told else "ok"
+class Entry:
+    """An entry as mutations come: whether it is there, its state, and its insights in comparable words."""
+
+    def __init__(self, there: bool, state: dict | None):
+        self.there = there
+        self.state = state or {**dict.fromkeys(STATE), "revision": 0, "archived": False}
+        self.state["insights"] = list(self.state["insights"] or [])
+        self.told = set(map(_comparable, self.state["insights"]))
+
+    def status(self, m: dict) -> str:
+        s = self.state
+        if m["kind"] == "create":
+            if self.there:
+                return "exists"
+        elif not self.there:
+            return "not_found"
+        elif m["expected_revision"] is not None and m["expected_revision"] != s["revision"]:
+            return "conflict"
+        if s["archived"] and m["kind"] != "restore":
+            return "archived"
+        if not s["archived"] and m["kind"] == "restore":
+            return "conflict"
+        return "noop" if m["kind"] == "insight" and _comparable(m["insight"]) in self.told else "ok"
+
+    def take(self, m: dict) -> str:
+        """Apply a mutation if it can be; its status."""
+        s, status = self.state, self.status(m)
+        if status == "ok":
+            s["revision"] = 1 if m["kind"] == "create" else s["revision"] + 1
+            self.there = True
+            if m["kind"] in ("create", "update"):
+                s["view"] = s["view"] if m["view"] is None else m["view"]
+                for c, other in (("confidence", "medium"), ("state", "active"), ("context_type", "explicit_save")):
+                    s[c] = m[c] if m[c] is not None else s[c] if s[c] is not None else other
+            if m["kind"] in ("archive", "restore"):
+                s["archived"] = m["kind"] == "archive"
+            if m["kind"] in ("create", "insight") and m["insight"] is not None:
+                s["insights"].append(m["insight"])
+                self.told.add(_comparable(m["insight"]))
+        return status
 
 
 def fold(entries: DataFrame, mutations: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -59,41 +86,26 @@ def fold(entries: DataFrame, mutations: DataFrame) -> tuple[DataFrame, DataFrame
     out = f"entry_id {key.simpleString()}, mutation_id string, status string, revision int, archived boolean, view string, confidence string, state string, context_type string, insights array<string>"
 
     def run(batches):
-        now, there, s, told = (), False, {}, set()
+        now, entry = (), None
 
         def row(mutation_id, status):
-            whole = mutation_id is None
+            whole, s = mutation_id is None, entry.state
             return {"entry_id": now[0], "mutation_id": mutation_id, "status": status, "revision": s["revision"], **{c: s[c] if whole else None for c in STATE if c != "revision"}}
 
         for batch in batches:
             rows = []
             for m in batch.to_pylist():
                 if now != (m["entry_id"],):
-                    if now and there:
+                    if now and entry.there:
                         rows.append(row(None, None))
                     now, there = (m["entry_id"],), m["side"] == 0
-                    s = {c: m[c] for c in STATE} if there else {**dict.fromkeys(STATE), "revision": 0, "archived": False}
-                    s["insights"] = list(s["insights"] or [])
-                    told = set(map(_comparable, s["insights"]))
-                if m["side"] == 0:
-                    continue
-                status = _status(m["kind"], there, s, m, told)
-                if status == "ok":
-                    s["revision"] = 1 if m["kind"] == "create" else s["revision"] + 1
-                    there = True
-                    if m["kind"] in ("create", "update"):
-                        s["view"] = s["view"] if m["view"] is None else m["view"]
-                        for c, other in (("confidence", "medium"), ("state", "active"), ("context_type", "explicit_save")):
-                            s[c] = m[c] if m[c] is not None else s[c] if s[c] is not None else other
-                    if m["kind"] in ("archive", "restore"):
-                        s["archived"] = m["kind"] == "archive"
-                    if m["kind"] in ("create", "insight") and m["insight"] is not None:
-                        s["insights"].append(m["insight"])
-                        told.add(_comparable(m["insight"]))
-                rows.append(row(m["mutation_id"], status))
+                    entry = Entry(there, {c: m[c] for c in STATE} if there else None)
+                if m["side"] == 1:
+                    status = entry.take(m)
+                    rows.append(row(m["mutation_id"], status))
             if rows:
                 yield _batch(rows)
-        if now and there:
+        if now and entry.there:
             yield _batch([row(None, None)])
 
     def _batch(rows):

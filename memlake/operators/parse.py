@@ -100,28 +100,38 @@ def session_window(turns: DataFrame, key: str = "conv_id", most: int = 50, signs
     return turns.withColumns({"n": F.row_number().over(w), "before": before}).where((F.col("n") <= most) & (F.col("before") <= signs)).drop("n")
 
 
-def session_turns(lines: DataFrame, cap: int = 800) -> DataFrame:
-    """Turns of session logs of either dialect, from (path, line_no, line): role, text of at most ``cap`` signs, and the
-    working folder known so far in the file (in the first dialect: anywhere in it). Bad lines and blank texts go."""
+def session_lines(lines: DataFrame) -> DataFrame:
+    """Session logs of either dialect line by line, from (path, line_no, line): role, whole text, and what the line says
+    of time, folder and session. Bad lines go. Nothing here looks at other lines, so a stream can store the rows."""
     block = "array<struct<type:string,text:string>>"
     j = lambda p: F.get_json_object("line", p)
     text = lambda p, kinds: F.coalesce(
         F.array_join(F.transform(F.filter(F.from_json(j(p), block), lambda b: b["type"].isin(*kinds)), lambda b: b["text"]), "\n"), F.when(~F.coalesce(j(p), F.lit("")).startswith("["), j(p))
     )
     one, two = j("$.message").isNotNull(), j("$.payload").isNotNull()
-    df = lines.where(F.try_parse_json("line").isNotNull()).select(
+    return lines.where(F.try_parse_json("line").isNotNull()).select(
         "path", "line_no", F.when(two, F.lit("second")).when(one, F.lit("first")).alias("dialect"),
         normalized_role(F.when(two, j("$.payload.role")).otherwise(j("$.type"))).alias("role"),
-        F.when(two, text("$.payload.content", ("text", "output_text", "input_text"))).otherwise(text("$.message.content", ("text",))).alias("text"),
+        F.regexp_replace(F.when(two, text("$.payload.content", ("text", "output_text", "input_text"))).otherwise(text("$.message.content", ("text",))), r"^\s+|\s+$", "").alias("text"),
         j("$.timestamp").alias("timestamp"), F.coalesce(j("$.payload.cwd"), j("$.cwd")).alias("cwd"), F.coalesce(j("$.sessionId"), j("$.payload.id")).alias("session_id"),
     )
+
+
+def carried(rows: DataFrame, cap: int = 800) -> DataFrame:
+    """Turns of ``session_lines``: texts of at most ``cap`` signs, with the working folder known so far in the file (in the
+    first dialect: anywhere in it). Blank texts go."""
     w = W.partitionBy("path").orderBy("line_no")
     whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     seen = F.when(F.col("dialect") == "second", F.last("cwd", True).over(w)).otherwise(F.first("cwd", True).over(whole))
-    df = df.withColumns({"cwd": seen, "text": F.substring(F.regexp_replace("text", r"^\s+|\s+$", ""), 1, cap)})
+    df = rows.withColumns({"cwd": seen, "text": F.substring("text", 1, cap)})
     return df.where("role is not null and text <> ''")
 
 
+def session_turns(lines: DataFrame, cap: int = 800) -> DataFrame:
+    """Turns of session logs of either dialect, from (path, line_no, line)."""
+    return carried(session_lines(lines), cap)
+
+
 def chunks(tokens: Column, size: int, overlap: int) -> Column:
     """Windows of ``size`` tokens that overlap; the last one ends with the text."""
     step = max(1, size - overlap)

@@ -4,22 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from memlake.operators.parse import session_turns
+from memlake.operators.parse import carried, session_lines
+from memlake.sources.tailing import follow_logs
+from memlake.streaming import sink
 
 
-def tail(spark: SparkSession, folder: str, pattern: str = "*.jsonl") -> DataFrame:
-    """Lines of log files as they appear. The file source reads a file once: logs must be rolled, not appended to."""
-    df = spark.readStream.format("text").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
-    return df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("offset"), F.col("value").alias("line"))
+TURNS = "path string, line_no long, dialect string, role string, text string, timestamp string, cwd string, session_id string"
+ACCESS = "entry_id {key}, access_count long, last_accessed timestamp"
 
 
-def ingest(spark: SparkSession, folder: str, store: str, checkpoint: str):
-    """Append the turns of new files to a table; each micro-batch is parsed like a batch read."""
-    def save(batch: DataFrame, epoch: int) -> None:
-        lines = batch.withColumn("line_no", F.monotonically_increasing_id()).select("path", "line_no", "line")
-        session_turns(lines).withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(store)
+def ingest(spark: SparkSession, folder: str, root: str, checkpoint: str, pattern: str = "*.jsonl", **trigger):
+    """Append the lines that logs below ``folder`` have got since the last run to a table under ``root``, each once: files
+    are followed by byte, and a micro-batch that is repeated after a failure is not written again."""
+    parsed = lambda batch: session_lines(batch.withColumnRenamed("offset", "line_no"))
+    return sink.start(follow_logs(spark, folder, pattern), parsed, root, checkpoint, **trigger)
 
-    return tail(spark, folder).writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def ingested_turns(spark: SparkSession, root: str, cap: int = 800) -> DataFrame:
+    """The turns of all lines ingested so far, the same as a batch read of the whole logs gives, however they came."""
+    return carried(sink.committed(spark, root, TURNS).drop("query", "epoch"), cap)
+
+
+def count_access(events: DataFrame, root: str, checkpoint: str, **trigger):
+    """Add up a stream of retrievals (entry_id, ts) in a table under ``root``: a row an entry and micro-batch, each
+    micro-batch once, whatever fails in between."""
+    counted = lambda batch: batch.groupBy("entry_id").agg(F.count(F.lit(1)).alias("access_count"), F.max("ts").cast("timestamp").alias("last_accessed"))
+    return sink.start(events, counted, root, checkpoint, **trigger)
+
+
+def access_totals(spark: SparkSession, root: str, key: str = "bigint") -> DataFrame:
+    """(entry_id, access_count, last_accessed) of what ``count_access`` has counted: the side table of the overlay."""
+    parts = sink.committed(spark, root, ACCESS.format(key=key))
+    return parts.groupBy("entry_id").agg(F.sum("access_count").alias("access_count"), F.max("last_accessed").alias("last_accessed"))
 
 
 def access_counts(events: DataFrame) -> DataFrame:

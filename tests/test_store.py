@@ -204,7 +204,7 @@ def test_streams(spark, tmp_path):
     logs.mkdir()
     (logs / "a.jsonl").write_text('{"type":"user","message":{"content":"hello"}}\n')
     streaming.ingest(spark, str(logs), str(tmp_path / "turns"), str(tmp_path / "ck")).awaitTermination(60)
-    assert [r["text"] for r in spark.read.parquet(str(tmp_path / "turns")).collect()] == ["hello"]
+    assert [r["text"] for r in streaming.ingested_turns(spark, str(tmp_path / "turns")).collect()] == ["hello"]
 
 
 def test_abandoned_needs_three_messages(spark):
