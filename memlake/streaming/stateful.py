@@ -23,9 +23,6 @@ def _plain(value):
 class Mutations(StatefulProcessor):
     """One entry's mutations: its state, and what each mutation id gave, until a timer lets it go."""
 
-    def __init__(self, hours: int):
-        self.keep = hours * 3_600_000
-
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.entry = handle.getValueState("entry", HELD)
@@ -58,7 +55,7 @@ class Mutations(StatefulProcessor):
                 status = entry.take(m)
                 stored = (status, entry.state["revision"], int(m["ts"].timestamp() * 1000))
                 self.results.updateValue(mutation, stored)
-                self.handle.registerTimer(stored[2] + self.keep)
+                self.handle.registerTimer(stored[2])  # the watermark gets there when results of its time go
                 replayed = False
             else:
                 replayed = True
@@ -69,7 +66,7 @@ class Mutations(StatefulProcessor):
         yield pd.DataFrame(out, columns=["entry_id", "mutation_id", "status", "revision", "replayed", *blank])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        until = expiredTimerInfo.getExpiryTimeInMs() - self.keep
+        until = expiredTimerInfo.getExpiryTimeInMs()
         for mutation in [k for k, v in self.results.iterator() if v[2] <= until]:
             self.results.removeKey(mutation)
         return iter(())
@@ -78,18 +75,19 @@ class Mutations(StatefulProcessor):
         pass
 
 
-def mutations(stream: DataFrame, entries: DataFrame | None = None, late: str = "10 minutes", hours: int = KEPT_HOURS) -> DataFrame:
+def mutations(stream: DataFrame, entries: DataFrame | None = None, hours: int = KEPT_HOURS) -> DataFrame:
     """Rows of a stream of mutations, columns as in ``mutate.fold``: a result for each, and after each micro-batch the
     state of every entry that it touched (mutation_id and status null).
 
     Mutations are taken in the order of their batches, within one by time and id, against the entry's own state, which
-    begins with ``entries``. A mutation id that comes again within ``hours`` of its time gets its stored result, told as
-    replayed, and changes nothing; ids belong to one entry. Start it in append mode with a RocksDB state store."""
+    begins with ``entries``. A mutation id that comes again gets its stored result, told as replayed, and changes nothing,
+    until the stream is ``hours`` past it; ids belong to one entry. The watermark is that far behind, so a mutation of
+    an older time is too late and goes. Start it in append mode with a RocksDB state store."""
     key = stream.schema["entry_id"].dataType.simpleString()
     names = ("mutation_id", "ts", "kind", "entry_id", "expected_revision", "view", "confidence", "state", "context_type", "insight")
-    by = stream.select(*names).withWatermark("ts", late).groupBy("entry_id")
+    by = stream.select(*names).withWatermark("ts", f"{hours} hours").groupBy("entry_id")
     first = entries.select("entry_id", *STATE).groupBy("entry_id") if entries is not None else None
-    return by.transformWithStateInPandas(Mutations(hours), OUT.format(key=key), "append", "eventTime", first)
+    return by.transformWithStateInPandas(Mutations(), OUT.format(key=key), "append", "eventTime", first)
 
 
 def rocksdb(spark) -> None:
