@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from memlake.plans.tables import stored
+from memlake.plans.tables import delete_stored, stored
 
 FENCED = r"(?s)```(\w*)\n(.*?)```"
 
@@ -32,28 +32,70 @@ def edges(nodes: DataFrame) -> DataFrame:
     return df.withColumn("is_root", F.col("root") & (first == 1)).drop("known", "root")
 
 
-def primary_path(nodes: DataFrame, depth: int = 64) -> DataFrame:
-    """(conv_id, path): ids from the first root down to the latest leaf below it, which is where taking the branch with
-    the latest leaf at each fork ends. Ties go to the smaller child ordinals along the path; a missing time is earliest.
-
-    Paths double each round: after r rounds a node knows its ancestors 2^r up, so a chain of any length takes its
-    logarithm in joins. ``depth`` bounds the rounds at 2^depth nodes."""
-    df = edges(nodes)
-    child = F.row_number().over(W.partitionBy("conv_id", "parent_id").orderBy("ord", "id"))
-    known = df.select("conv_id", F.col("id").alias("parent_id"), F.lit(1).alias("here")).distinct()
-    df = df.withColumn("nth", child).join(known, ["conv_id", "parent_id"], "left")
-    up = df.select("conv_id", "id", F.when(F.col("here") == 1, F.col("parent_id")).alias("top"), F.array("id").alias("path"), F.array("nth").alias("nths"), "is_root", "created_at")
-    for _ in range(depth):
-        if up.where("top is not null").isEmpty():
+def tour(nodes: DataFrame, rounds: int = 64) -> DataFrame:
+    """Nodes (conv_id, id, is_root, created_at) of reply trees with their place on a walk through their tree: ``enter`` and
+    ``leave``, counted from the walk's end, ``depth``, and ``in_main``, whether the tree is that of the conversation's first
+    root. Children come by (ord, id); of rows with one id in a conversation the first by ord counts.
+
+    The walk goes down to the first child, else on to the next sibling, else back up; so every step knows the one after
+    it, and steps learn their distance from the end by jumping: each round a step adds up what its target knows and
+    points where the target pointed. Rows stay of one size, and a chain of any length takes its logarithm in rounds.
+    Steps on a parent cycle never end; when a round brings no step to its end all that are left are such, and their
+    nodes have a null place. Stored."""
+    first = F.row_number().over(W.partitionBy("conv_id", "id").orderBy("ord", "parent_id"))
+    df = edges(nodes.withColumn("__r", first).where("__r = 1").drop("__r"))
+    df = stored(df.select("conv_id", "id", "parent_id", "ord", "is_root", "created_at", F.monotonically_increasing_id().alias("node")), "tour-nodes")
+    df = df.join(df.select("conv_id", F.col("id").alias("parent_id"), F.col("node").alias("up")), ["conv_id", "parent_id"], "left")
+    df = df.withColumn("next", F.when(F.col("up").isNotNull(), F.lead("node").over(W.partitionBy("up").orderBy("ord", "id"))))
+    down = df.where("up is not null").groupBy(F.col("up").alias("node")).agg(F.min(F.struct("ord", "id", "node"))["node"].alias("down"))
+    df = df.join(down, "node", "left")
+    # Steps: 2 * node goes into a node, 2 * node + 1 leaves it. ``rise``: what the steps to the end add to the depth.
+    into = F.struct((F.col("node") * 2).alias("step"), F.coalesce(F.col("down") * 2, F.col("node") * 2 + 1).alias("to"), F.lit(1).cast("long").alias("rise"))
+    out = F.struct((F.col("node") * 2 + 1).alias("step"), F.coalesce(F.col("next") * 2, F.col("up") * 2 + 1).alias("to"), F.lit(-1).cast("long").alias("rise"))
+    steps = df.select(F.explode(F.array(into, out)).alias("s")).select("s.*")
+    steps = stored(steps.select("step", "to", F.lit(1).cast("long").alias("left"), "rise", F.when(F.col("to").isNull(), F.col("step")).alias("end")), "tour-steps")
+    open_before = None
+    for _ in range(rounds):
+        is_open = steps.where("to is not null").count()
+        if is_open in (0, open_before):
             break
-        above = up.select("conv_id", F.col("id").alias("top"), F.col("top").alias("next"), F.col("path").alias("p"), F.col("nths").alias("n"))
-        up = up.join(above, ["conv_id", "top"], "left").select("conv_id", "id", F.col("next").alias("top"), F.coalesce(F.concat("p", "path"), F.col("path")).alias("path"), F.coalesce(F.concat("n", "nths"), F.col("nths")).alias("nths"), "is_root", "created_at")
-        up = stored(up, "paths")
-    roots = df.where("is_root").select("conv_id", F.col("id").alias("root_id"))
-    inner = df.select("conv_id", F.col("parent_id").alias("id")).distinct()
-    leaves = up.join(inner, ["conv_id", "id"], "left_anti").join(roots, "conv_id").where(F.col("path")[0] == F.col("root_id"))
-    best = F.row_number().over(W.partitionBy("conv_id").orderBy(F.col("created_at").desc_nulls_last(), "nths"))
-    return leaves.withColumn("r", best).where("r = 1").select("conv_id", "path")
+        open_before = is_open
+        target = steps.select(F.col("step").alias("to"), F.col("to").alias("to2"), F.col("left").alias("left2"), F.col("rise").alias("rise2"), F.col("end").alias("end2"))
+        more = steps.where("to is not null").join(target, "to").select("step", F.col("to2").alias("to"), (F.col("left") + F.col("left2")).alias("left"), (F.col("rise") + F.col("rise2")).alias("rise"), F.col("end2").alias("end"))
+        new = stored(steps.where("to is null").unionByName(more), "tour-steps")
+        delete_stored(steps)
+        steps = new
+    known = steps.withColumn("left", F.when(F.col("to").isNull(), F.col("left")))
+    ends = known.groupBy(F.shiftright("step", 1).alias("node")).agg(
+        F.max(F.when(F.col("step") % 2 == 0, F.col("left"))).alias("enter"), F.max(F.when(F.col("step") % 2 == 1, F.col("left"))).alias("leave"),
+        F.max(F.when(F.col("step") % 2 == 0, -F.col("rise"))).alias("depth"), F.max("end").alias("end"),
+    )
+    named = df.select("conv_id", "id", "node", "is_root", "created_at").join(ends, "node")
+    main = df.where("is_root").select((F.col("node") * 2 + 1).alias("end"), F.lit(True).alias("main"))
+    return stored(named.join(main, "end", "left").select("conv_id", "id", "is_root", "created_at", "enter", "leave", F.when(F.col("enter").isNotNull(), F.col("depth")).alias("depth"), F.coalesce(F.col("main") & F.col("enter").isNotNull(), F.lit(False)).alias("in_main")), "tour")
+
+
+def cyclic_nodes(walked: DataFrame) -> DataFrame:
+    """(conv_id, id) of nodes of a ``tour`` that stand on a cycle of parents or below one; no path leads to them."""
+    return walked.where("enter is null").select("conv_id", "id")
+
+
+def primary_messages(walked: DataFrame) -> DataFrame:
+    """(conv_id, turn, id): of a ``tour`` the nodes from the first root down to the latest leaf below it, which is where
+    taking the branch with the latest leaf at each fork ends. Ties go to the smaller child ordinals along the path, so
+    to what the walk comes to first; a missing time is earliest. A row a message: no conversation is gathered."""
+    main = walked.where("in_main")
+    late = F.struct(F.col("created_at").isNotNull().alias("known"), "created_at", "enter")
+    best = main.where("enter - leave = 1").groupBy(F.struct("conv_id").alias("key")).agg(F.max(late)["enter"].alias("goal"))
+    on = main.withColumn("key", F.struct("conv_id")).join(best, "key").where("enter >= goal and leave < goal")
+    return on.select("conv_id", F.col("depth").cast("int").alias("turn"), "id")
+
+
+def primary_path(nodes: DataFrame) -> DataFrame:
+    """(conv_id, path): ids of ``primary_messages`` in order, an array a conversation. A conversation whose nodes are all on
+    cycles has none."""
+    rows = F.array_sort(F.collect_list(F.struct("turn", "id")))
+    return primary_messages(tour(nodes)).groupBy("conv_id").agg(F.transform(rows, lambda r: r["id"]).alias("path"))
 
 
 def branch_counts(nodes: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from memlake.plans.tables import stored
 
 def linearized(nodes: DataFrame) -> DataFrame:
     """Messages (conv_id, turn, role, text) along the primary path of each conversation."""
-    path = parse.primary_path(nodes).select("conv_id", F.posexplode("path").alias("turn", "id"))
+    path = parse.primary_messages(parse.tour(nodes))
     return parse.messages(path.join(nodes.select("conv_id", "id", "role", "text"), ["conv_id", "id"]).select("conv_id", "turn", "role", "text"))
 
 
