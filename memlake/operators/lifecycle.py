@@ -131,6 +131,42 @@ def budgeted(index: DataFrame, budget: int, floor: int = 100, keep: float = 0.8)
     return index.where(F.col("place") <= max(fits, default=min(sizes))).withColumn("over_budget", F.lit(not fits))
 
 
+def budgeted_index(rows: DataFrame, budget: int, topics: int = 100, projects: int = 50, evolutions: int = 10, keep: float = 0.8) -> DataFrame:
+    """The index within a token budget, from ranked rows (kind, place, tokens, short_tokens) of the kinds topic, project
+    and evolution: rows that stay, with ``shortened`` and ``over_budget``.
+
+    While it is over the budget, topics lose their last fifth as long as there are more than ``topics``, then projects as
+    long as there are more than ``projects``, then evolutions go down to ``evolutions``; in the end all texts are cut
+    to their short form, and over_budget tells whether even that is too long. So lengths go through short sequences
+    known from the counts, and one grouped sum by the next length above each place tells the tokens of all of them."""
+    n = {r["kind"]: r["n"] for r in rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+    lengths = {}
+    for kind, floor in (("topic", topics), ("project", projects)):
+        lengths[kind] = [n.get(kind, 0)]
+        while lengths[kind][-1] > floor:
+            lengths[kind].append(int(lengths[kind][-1] * keep))
+    lengths["evolution"] = [n.get("evolution", 0)] + [evolutions] * (n.get("evolution", 0) > evolutions)
+    step = F.coalesce(*[F.when(F.col("kind") == k, F.array_min(F.filter(F.array(*[F.lit(x).cast("long") for x in of]), lambda x: x >= F.col("place")))) for k, of in lengths.items()])
+    used = {k: dict.fromkeys(sorted(of), (0, 0)) for k, of in lengths.items()}
+    for r in rows.groupBy("kind", step.alias("step")).agg(F.sum("tokens").alias("t"), F.sum("short_tokens").alias("s")).collect():
+        used[r["kind"]][r["step"]] = (r["t"] or 0, r["s"] or 0)
+    for of in used.values():
+        total = (0, 0)
+        for size in sorted(of):
+            total = of[size] = (total[0] + of[size][0], total[1] + of[size][1])
+    last = {k: 0 for k in lengths}
+    states = [dict(last)]
+    for kind in ("topic", "project", "evolution"):
+        for i in range(1, len(lengths[kind])):
+            last = last | {kind: i}
+            states.append(last)
+    cost = lambda state, short: sum(used[k][lengths[k][i]][short and k != "evolution"] for k, i in state.items())
+    fit = next((s for s in states if cost(s, False) <= budget), None)
+    state, short = fit or states[-1], fit is None
+    stays = F.coalesce(*[F.when(F.col("kind") == k, F.col("place") <= lengths[k][i]) for k, i in state.items()])
+    return rows.where(stays).withColumns({"shortened": F.lit(short), "over_budget": F.lit(short and cost(state, True) > budget)})
+
+
 def recent_evolutions(evolutions: DataFrame, now, days: int = 30, most: int = 10) -> DataFrame:
     """The newest changes (entry_id, date, delta) within ``days``, deltas cut to 60."""
     start = F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(days))
@@ -157,7 +193,8 @@ def cycle(entries: DataFrame, access: DataFrame, now, run_id: str, dry_run: bool
     merges = replay.fingerprints(live).select("entry_id", "fp").join(plan.where("plan = 'merge'").select("fp"), "fp")
     after, others = replay.consolidated(start, merges.select("fp"), run_id, now)
     # Contests touch other labels than merges, so both come from the same plan.
-    after = with_scores(replay.marked(after, replay.view_pairs(live)), now)
+    against = replay.fingerprints(live).join(plan.where("plan = 'contest'").select("fp"), "fp", "left_semi")
+    after = with_scores(replay.marked(after, replay.view_pairs(against)), now)
     after, merged_snaps = archived(after, others, run_id, now, "merged duplicate")
     left = start if dry_run else after
     left = left.where("not coalesce(archived, false)")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from memlake import policy as P
 from memlake.functions.scoring import appended, comparable, jaccard, note, opposing
+from memlake.plans.tables import stored
 
 
 def fingerprints(entries: DataFrame) -> DataFrame:
@@ -24,7 +25,10 @@ def _views(entries: DataFrame) -> DataFrame:
 
 def view_pairs(entries: DataFrame) -> DataFrame:
     """Pairs of different views of one fp: whether they are compatible duplicates, and why they contradict."""
-    v = _views(entries).withColumn("words", F.array_distinct(F.array_remove(F.split("narrative", " "), "")))
+    return _pairs(_views(entries).withColumn("words", F.array_distinct(F.array_remove(F.split("narrative", " "), ""))))
+
+
+def _pairs(v: DataFrame) -> DataFrame:
     a, b = v.select(*[F.col(c).alias(f"a_{c}") for c in v.columns]), v.select(*[F.col(c).alias(f"b_{c}") for c in v.columns])
     df = a.join(b, (F.col("a_fp") == F.col("b_fp")) & (F.struct("a_narrative", "a_low") < F.struct("b_narrative", "b_low")))
     sides = F.col("a_narrative"), F.col("b_narrative")
@@ -42,13 +46,74 @@ def view_pairs(entries: DataFrame) -> DataFrame:
     )
 
 
+def _decided(facts: DataFrame) -> DataFrame:
+    """Add ``against`` and ``agree``, each true, false or null for unknown, to what a label's views say: ``opposed`` (the
+    first pair of markers they hold on different sides), and for views that can diverge (e_) and that have a text (t_)
+    their count, word counts, Jaccard with the pivot, and whether one is known to be unlike it; ``core`` words are in all.
+
+    Of two sets the Jaccard is at most the ratio of their sizes, and at most 1 less the difference of their values with
+    a third set; it is at least the sum of those values less 1, and at least the core's share of both."""
+    sure, t, c = 1e-9, P.CONTRADICTION_SIMILARITY, P.COMPATIBLE_SIMILARITY
+    core = lambda high: F.coalesce(F.col("core") / (2 * F.col(high) - F.col("core")), F.lit(0.0))
+    apart = F.col("e_unlike") | (F.col("e_least") / F.col("e_most") <= t) | (F.col("e_high") - F.col("e_low") >= 1 - t + sure)
+    near = (2 * F.col("e_low") - 1 > t + sure) | (core("e_most") > t + sure)
+    diverge = F.when(F.col("project") | (F.col("e_n") < 2), False).when(apart, True).when(near, False)
+    against = F.when(F.col("opposed").isNotNull(), True).otherwise(diverge)
+    alike = (2 * F.col("t_low") - 1 >= c + sure) | (core("t_most") >= c + sure)
+    agree = F.when(F.col("project") | (F.col("t_n") < 2), True).when(F.col("t_unlike"), False).when(alike, True)
+    return facts.withColumns({"against": against, "agree": F.when(F.col("opposed").isNotNull(), False).otherwise(agree)})
+
+
+def _facts(views: DataFrame) -> DataFrame:
+    """What the views of each label say about all pairs of them, in one pass: markers, word counts, and values with one
+    view, the pivot. A label's views are summed up where they are; only the pivot is sent to them."""
+    pivot = views.groupBy(F.struct("fp").alias("key")).agg(F.min(F.struct("first_id", "low", "narrative", "words")).alias("p"))
+    v = views.withColumn("key", F.struct("fp")).join(pivot, "key")
+    own = (F.col("narrative") == F.col("p.narrative")) & (F.col("low") == F.col("p.low"))
+    text, pivotal = F.col("narrative") != "", F.col("p.narrative") != ""
+    free = text & ~F.col("low")
+    v = v.withColumn("j", jaccard(F.col("words"), F.col("p.words")))
+    within = F.col("narrative").contains(F.col("p.narrative")) | F.col("p.narrative").contains(F.col("narrative"))
+    has = lambda m: F.col("narrative").contains(m)
+    sides = lambda p, n: (F.count_if(has(p)) > 0) & (F.count_if(has(n)) > 0) & (F.count_if(has(p) | has(n)) > 1)
+    opposed = F.coalesce(*[F.when(sides(p, n), F.lit(f"opposing markers ({p} vs {n})")) for p, n in P.OPPOSING])
+    size, when = F.size("words"), lambda ok, x: F.when(ok, x)
+    unlike = lambda ok, cond: F.coalesce(F.bool_or(ok & ~own & cond), F.lit(False))
+    return v.groupBy("fp").agg(
+        F.bool_or(F.col("entry_type") == "project").alias("project"), opposed.alias("opposed"), F.count(F.lit(1)).alias("views"),
+        F.count_if(free).alias("e_n"), F.min(when(free, size)).alias("e_least"), F.max(when(free, size)).alias("e_most"), F.min(when(free, F.col("j"))).alias("e_low"), F.max(when(free, F.col("j"))).alias("e_high"),
+        unlike(free & pivotal & ~F.col("p.low"), F.col("j") <= P.CONTRADICTION_SIMILARITY).alias("e_unlike"),
+        F.count_if(text).alias("t_n"), F.max(when(text, size)).alias("t_most"), F.min(when(text, F.col("j"))).alias("t_low"),
+        unlike(text & pivotal, (F.col("j") < P.COMPATIBLE_SIMILARITY) & ~within).alias("t_unlike"),
+    ).withColumn("opposed", F.when(~F.col("project"), F.col("opposed")))
+
+
+def _open(known: DataFrame) -> F.Column:
+    return F.col("against").isNull() | (~F.col("against") & F.col("agree").isNull())
+
+
 def plans(entries: DataFrame) -> DataFrame:
-    """(fp, n_entries, plan): contest where any pair contradicts, merge where all pairs are compatible, else nothing.
-    Equal views are compatible, so a group of copies is a merge."""
+    """(fp, n_entries, plan, reason): contest where any pair contradicts, merge where all pairs are compatible, else
+    nothing. Equal views are compatible, so a group of copies is a merge. ``reason`` is null where it took no pair to
+    know that views diverge.
+
+    Pairs are looked at only where bounds leave a doubt: one pass over a label's views with a pivot settles most, the
+    words that all of its views share settle most others, and what is left is compared pair by pair."""
     groups = fingerprints(entries).where("fp is not null").groupBy("fp").agg(F.count(F.lit(1)).alias("n_entries")).where("n_entries > 1")
-    said = view_pairs(entries).groupBy("fp").agg(F.bool_or(F.col("reason").isNotNull()).alias("against"), F.bool_and("compatible").alias("agree"), F.min("reason").alias("reason"))
+    views = _views(entries).withColumn("words", F.array_distinct(F.array_remove(F.split("narrative", " "), "")))
+    many = views.groupBy(F.struct("fp").alias("key")).agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
+    views = stored(views.withColumn("key", F.struct("fp")).join(many, "key", "left_semi").drop("key"), "replay-views")
+    facts = stored(_decided(_facts(views).withColumn("core", F.lit(0).cast("long"))), "replay-facts")
+    doubt = facts.where(_open(facts)).select("fp", "views")
+    words = views.where("narrative <> ''").join(doubt, "fp").select("fp", F.explode("words").alias("word")).groupBy("fp", "word").agg(F.count(F.lit(1)).alias("n"))
+    held = facts.where(_open(facts)).drop("core", "against", "agree")
+    core = words.join(held.select("fp", "t_n"), "fp").where("n = t_n").groupBy("fp").agg(F.count(F.lit(1)).alias("core"))
+    again = stored(_decided(held.join(core, "fp", "left").withColumn("core", F.coalesce("core", F.lit(0).cast("long")))), "replay-core")
+    left = again.where(_open(again)).select("fp")
+    exact = _pairs(views.join(left, "fp", "left_semi")).groupBy("fp").agg(F.bool_or(F.col("reason").isNotNull()).alias("against"), F.bool_and("compatible").alias("agree"), F.min("reason").alias("reason"))
+    told = facts.where(~_open(facts)).unionByName(again.where(~_open(again)).select(facts.columns)).select("fp", "against", "agree", F.col("opposed").alias("reason")).unionByName(exact)
     plan = F.when(F.coalesce("against", F.lit(False)), "contest").when(F.coalesce("agree", F.lit(True)), "merge").otherwise("none")
-    return groups.join(said, "fp", "left").select("fp", "n_entries", plan.alias("plan"), "reason")
+    return groups.join(told, "fp", "left").select("fp", "n_entries", plan.alias("plan"), "reason")
 
 
 CANONICAL = ("tier", "-mention_count", "-access_count", "-salience")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from memlake.operators import lifecycle, mail, mutate, parse, replay, upkeep, views
+from memlake.operators import consolidate, lifecycle, mail, mutate, parse, replay, upkeep, views
+from memlake.plans.tables import numbered
 from memlake.queries import ENTRIES_SQL, NOW, PAIRS_SQL, entries, query, raw_entries, table
 
 #: Columns of entries over documents: texts cut from theirs, lists of their sentences and words.
@@ -283,3 +284,88 @@ SELECT entry_id, CASE WHEN x.id IS NOT NULL THEN 'contested' ELSE state END AS s
 def contested_entries(spark, sf_dir):
     e = raw_entries(spark, sf_dir)
     return replay.marked(e, replay.view_pairs(e)).select("entry_id", "state")
+
+
+# ---------------------------------------------------------------- consolidation in order, whole budget
+
+CHAIN_SQL = f"""WITH {{E}}, d AS (SELECT entry_id, entry_type, archived, label, n_sources, mention_count, entry_id // 4 AS g, entry_id % 4 AS i FROM base),
+w AS (SELECT g, count_if(i = 0) > 0 AS h0, count_if(i = 1) > 0 AS h1, count_if(i = 2) > 0 AS h2, count_if(i = 3) > 0 AS h3, coalesce(bool_or(archived) FILTER (i = 0), FALSE) AS x0, coalesce(bool_or(archived) FILTER (i = 1), FALSE) AS x1,
+  coalesce(bool_or(archived) FILTER (i = 2), FALSE) AS x2, coalesce(bool_or(archived) FILTER (i = 3), FALSE) AS x3, count(DISTINCT entry_type) FILTER (i < 3) AS k1, count(DISTINCT entry_type) FILTER (i IN (0, 3)) AS k2 FROM d GROUP BY g),
+u AS (SELECT *, g % 2 = 0 AND h0 AND NOT x0 AS up, (g % 2 = 0)::INT AS want FROM w),
+a AS (SELECT *, CASE WHEN k1 > 1 THEN 'mixed_entry_types' WHEN NOT (h0 AND h1 AND h2) THEN 'not_found' WHEN x0 OR x1 OR x2 THEN 'archived' WHEN up::INT <> want OR g % 7 = 0 THEN 'conflict' ELSE 'ok' END AS s1 FROM u),
+b AS (SELECT *, h1 AND NOT x1 AND s1 <> 'ok' AS late, CASE WHEN k2 > 1 THEN 'mixed_entry_types' WHEN NOT (h3 AND h0) THEN 'not_found' WHEN x3 OR x0 THEN 'archived' WHEN up::INT + (s1 = 'ok')::INT <> want + 1 THEN 'conflict' ELSE 'ok' END AS s2 FROM a)"""
+
+
+def _chain(spark, sf_dir) -> dict[str, DataFrame]:
+    """Documents by four: an update of the first, its consolidation with the next two, an insight on the second, and then
+    the first goes into the fourth. Expected revisions are right but for every seventh group and what happens before."""
+    d, g = F.col("entry_id"), F.floor(F.col("entry_id") / 4)
+    base = raw_entries(spark, sf_dir)
+    e = base.select("entry_id", "entry_type", F.lit(0).alias("revision"), "archived", F.col("narrative").alias("view"), "confidence", "state", "context_type", F.array("label").alias("insights"), "sources", "mention_count", "access_count", F.array(F.struct((d + 1).alias("knowledge_id"), F.lit("contradicts").alias("relationship"))).alias("links"))
+    at = lambda h: F.lit(f"2024-01-01 0{h}:00:00").cast("timestamp")
+    none = F.lit(None).cast("string")
+    move = lambda name, kind, h: [F.concat(F.lit(name), d.cast("string")).alias("mutation_id"), at(h).alias("ts"), F.lit(kind).alias("kind"), "entry_id", F.lit(None).cast("int").alias("expected_revision"), (F.lit("updated") if kind == "update" else none).alias("view"), none.alias("confidence"), none.alias("state"), none.alias("context_type"), (F.lit("a later insight") if kind == "insight" else none).alias("insight")]
+    moves = base.where((d % 4 == 0) & (g % 2 == 0)).select(*move("u", "update", 1)).unionByName(base.where(d % 4 == 1).select(*move("i", "insight", 3)))
+    groups = base.select((g * 4).alias("k")).distinct()
+    want = F.when(F.floor(F.col("k") / 4) % 2 == 0, 1).otherwise(0)
+    k = F.col("k")
+    first = groups.select(F.concat(F.lit("a"), k.cast("string")).alias("mutation_id"), at(2).alias("ts"), k.alias("keep_id"), F.array(k + 1, k + 2).alias("archive_ids"), F.create_map(k, F.when(F.floor(k / 4) % 7 == 0, 5).otherwise(want), k + 1, F.lit(0), k + 2, F.lit(0)).alias("expected_revisions"))
+    second = groups.select(F.concat(F.lit("b"), k.cast("string")).alias("mutation_id"), at(4).alias("ts"), (k + 3).alias("keep_id"), F.array(k).alias("archive_ids"), F.create_map(k + 3, F.lit(0), k, want + 1).alias("expected_revisions"))
+    return consolidate.consolidate_in_order(e, moves, first.unionByName(second))
+
+
+@query(CHAIN_SQL.replace("{E}", ENTRIES_SQL) + """, m(p) AS (VALUES (1), (2)) SELECT CASE WHEN p = 1 THEN 'a' ELSE 'b' END || (g * 4) AS mutation_id, CASE WHEN p = 1 THEN g * 4 ELSE g * 4 + 3 END AS keep_id, CASE WHEN p = 1 THEN s1 ELSE s2 END AS status FROM b, m""")
+def consolidation_results(spark, sf_dir):
+    return _chain(spark, sf_dir)["consolidations"].select("mutation_id", "keep_id", "status")
+
+
+IN_ORDER = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+
+
+@query(CHAIN_SQL.replace("{E}", ENTRIES_SQL) + f""", c AS (SELECT d.*, list_transform(range(0, n_sources), lambda j: 'c' || (entry_id + j)) AS src, [label] AS ins FROM d),
+q AS (SELECT c.*, b.* EXCLUDE (g), max(CASE WHEN c.i = 0 THEN c.src END) OVER w AS s_0, max(CASE WHEN c.i = 1 THEN c.src END) OVER w AS s_1, max(CASE WHEN c.i = 2 THEN c.src END) OVER w AS s_2,
+  max(CASE WHEN c.i = 0 THEN c.label END) OVER w AS l_0, max(CASE WHEN c.i = 1 THEN c.label END) OVER w AS l_1, max(CASE WHEN c.i = 2 THEN c.label END) OVER w AS l_2 FROM c JOIN b USING (g) WINDOW w AS (PARTITION BY c.g)),
+t AS (SELECT *, CASE WHEN s1 = 'ok' THEN {IN_ORDER.format("(s_0 || s_1 || s_2)")} ELSE s_0 END AS t_0, CASE WHEN s1 = 'ok' THEN {IN_ORDER.format("[l_0, l_1, l_2]")} ELSE [l_0] END AS u_0,
+  CASE WHEN s1 <> 'ok' THEN [(g * 4 + 1) || ' contradicts'] WHEN entry_type = 'project' THEN [(g * 4 + 1) || ' contradicts', (g * 4 + 2) || ' contradicts', (g * 4 + 3) || ' contradicts']
+    ELSE [(g * 4 + 3) || ' contradicts', (g * 4 + 1) || ' supersedes', (g * 4 + 2) || ' supersedes'] END AS v_0 FROM q)
+SELECT entry_id, CASE i WHEN 0 THEN up::INT + (s1 = 'ok')::INT + (s2 = 'ok')::INT WHEN 1 THEN (s1 = 'ok')::INT + late::INT WHEN 2 THEN (s1 = 'ok')::INT ELSE (s2 = 'ok')::INT END AS revision,
+  archived OR (i IN (1, 2) AND s1 = 'ok') OR (i = 0 AND s2 = 'ok') AS archived,
+  array_to_string(CASE WHEN i = 0 THEN t_0 WHEN i = 3 AND s2 = 'ok' THEN {IN_ORDER.format("(src || t_0)")} ELSE src END, ',') AS sources,
+  array_to_string(CASE WHEN i = 0 THEN u_0 WHEN i = 1 AND late THEN [label, 'a later insight'] WHEN i = 3 AND s2 = 'ok' THEN {IN_ORDER.format("([label] || u_0)")} ELSE [label] END, '|') AS insights,
+  array_to_string(CASE WHEN i = 0 THEN v_0 WHEN i = 3 AND s2 = 'ok' THEN list_filter([(entry_id + 1) || ' contradicts'] || v_0, lambda x: entry_type = 'project' OR x <> (g * 4) || ' contradicts') || CASE WHEN entry_type = 'project' THEN [] ELSE [(g * 4) || ' supersedes'] END
+    ELSE [(entry_id + 1) || ' contradicts'] END, ',') AS links FROM t""")
+def consolidated_in_order(spark, sf_dir):
+    after = _chain(spark, sf_dir)["entries"]
+    links = F.array_join(F.transform("links", lambda x: F.concat_ws(" ", x["knowledge_id"].cast("string"), x["relationship"])), ",")
+    return after.select("entry_id", "revision", "archived", F.array_join("sources", ",").alias("sources"), F.array_join("insights", "|").alias("insights"), links.alias("links"))
+
+
+BUDGETED_SQL = """WITH RECURSIVE {E}, r AS (SELECT CASE WHEN entry_type = 'project' THEN 'project' ELSE 'topic' END AS kind, entry_id, round(length(narrative) / 4.0)::BIGINT AS tokens, salience, tier FROM entries WHERE NOT archived
+  UNION ALL SELECT 'evolution', entry_id, 15, 0, entry_id FROM entries WHERE state = 'contested'),
+s AS (SELECT kind, entry_id, tokens, CASE WHEN kind = 'evolution' THEN tokens ELSE least(tokens, 12) END AS short, row_number() OVER (PARTITION BY kind ORDER BY tier, salience DESC, entry_id) AS place FROM r),
+n AS (SELECT count_if(kind = 'topic')::BIGINT AS nt, count_if(kind = 'project')::BIGINT AS np, count_if(kind = 'evolution')::BIGINT AS ne FROM s),
+t AS (SELECT 0 AS i, nt AS size FROM n UNION ALL SELECT i + 1, floor(size * 0.8)::BIGINT FROM t WHERE size > 100), p AS (SELECT 0 AS i, np AS size FROM n UNION ALL SELECT i + 1, floor(size * 0.8)::BIGINT FROM p WHERE size > 50),
+st AS (SELECT i AS step, size AS a, np AS b, ne AS c FROM t, n UNION ALL SELECT 1000 + p.i, (SELECT min(size) FROM t), p.size, ne FROM p, n WHERE p.i > 0 UNION ALL SELECT 2000, (SELECT min(size) FROM t), (SELECT min(size) FROM p), 10 FROM n WHERE ne > 10),
+cost AS (SELECT st.step, a, b, c, sum(tokens) AS used, sum(short) AS cut FROM st JOIN s ON (kind = 'topic' AND place <= a) OR (kind = 'project' AND place <= b) OR (kind = 'evolution' AND place <= c) GROUP BY ALL),
+f AS (SELECT coalesce(min(step) FILTER (used <= {B}), max(step)) AS step, count_if(used <= {B}) = 0 AS shortened FROM cost)
+SELECT kind, place::BIGINT AS place, entry_id, shortened, shortened AND cut > {B} AS over_budget FROM s, f JOIN cost USING (step) WHERE (kind = 'topic' AND place <= a) OR (kind = 'project' AND place <= b) OR (kind = 'evolution' AND place <= c)"""
+
+
+def _index_rows(spark, sf_dir) -> DataFrame:
+    e = entries(spark, sf_dir)
+    tokens = parse.token_estimate(F.col("narrative"))
+    part = lambda kind, df, order: numbered(df, order).withColumns({"kind": F.lit(kind)}).select("kind", "place", "entry_id", "tokens", "short_tokens")
+    live = e.where("not archived").select("entry_id", "entry_type", "tier", "salience", tokens.alias("tokens"), F.least(tokens, F.lit(12)).alias("short_tokens"))
+    order = [F.col("tier"), F.col("salience").desc(), F.col("entry_id")]
+    changed = e.where("state = 'contested'").select("entry_id", F.lit(15).cast("long").alias("tokens"), F.lit(15).cast("long").alias("short_tokens"))
+    return part("topic", live.where("entry_type <> 'project'"), order).unionByName(part("project", live.where("entry_type = 'project'"), order)).unionByName(part("evolution", changed, [F.col("entry_id")]))
+
+
+@query(BUDGETED_SQL.replace("{E}", ENTRIES_SQL).replace("{B}", "150000"))
+def budgeted_index(spark, sf_dir):
+    return lifecycle.budgeted_index(_index_rows(spark, sf_dir), 150_000).select("kind", "place", "entry_id", "shortened", "over_budget")
+
+
+@query(BUDGETED_SQL.replace("{E}", ENTRIES_SQL).replace("{B}", "1500"))
+def over_budget_index(spark, sf_dir):
+    return lifecycle.budgeted_index(_index_rows(spark, sf_dir), 1500).select("kind", "place", "entry_id", "shortened", "over_budget")
