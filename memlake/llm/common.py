@@ -2,17 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from memlake.plans.tables import CLEANUP, clear_stored, delete_stored, shared_dir, stored
 
-__all__ = ["clear_stored", "connected_components", "delete_stored", "saved", "shared_dir", "small_batches", "stored", "where_late", "words_of"]
+__all__ = ["clear_stored", "connected_components", "delete_stored", "names_kept", "quoted", "saved", "shared_dir", "small_batches", "stored", "where_late", "words_of"]
 
 #: A word of the white-space family: what stands between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+def quoted(name: str):
+    """The column of that name, whatever signs are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def names_kept(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator on documents whose helper columns begin with two underscores: columns of the documents that begin so
+    too are put by under other names, and come back under their own."""
+
+    @wraps(operator)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        taken = set(docs.columns)
+        held = {c: next(n for i in range(len(taken) + 1) if (n := f"held{i}{c.rstrip('_')}") not in taken) for c in docs.columns if c.startswith("__")}
+        out = operator(docs.withColumnsRenamed(held) if held else docs, *args, **options)
+        return out.withColumnsRenamed({v: k for k, v in held.items()}) if held else out
+
+    return run
+
+
 def where_late(df: DataFrame, condition: str) -> DataFrame:
     """``df.where(condition)`` evaluated above the projections that make its columns. Pushed below them, a condition
     over columns derived in many steps would repeat all of those steps once for every use."""

@@ -6,6 +6,8 @@ from re import _parser as sre_parser
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from memlake.llm.common import names_kept
+
 #: A word: a run of letters, digits and all beyond ASCII; A-Z lowered where words are compared.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -231,6 +233,7 @@ def _places(phrase: list[str], label: str) -> Column:
     return F.transform(ends, lambda x: F.struct((x["i"] - n).cast("long").alias("at"), F.lit(label).alias("label")))
 
 
+@names_kept
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` plus n_words, base places, and ``detections``: an array of (first_word, last_word, label, priority).
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from memlake.llm.common import WORD, delete_stored, stored
+from memlake.llm.common import WORD, delete_stored, names_kept, quoted, stored
 
 #: A line ends at a line feed, and at white space after a word that does not end in one of these letters. Such lines
 #: hold two or three words, whatever stands before them: a passage may lie within one written line.
@@ -84,7 +84,8 @@ def _reach(values: Column, least: bool, by: int = 1) -> Column:
     return _let(values, lambda v: _reach(F.transform(v, lambda x, i: best(x, F.get(v, i + by if least else i - by))), least, 2 * by))
 
 
-def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+@names_kept
+def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", least: int = LEAST) -> DataFrame:
     """``docs`` with repeated stretches cut out of ``text`` but at their first place, by key and then place in the text;
     plus removed_lines and removed_chars.
 
@@ -92,12 +93,12 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     from the hash's first place to the others, where they are compared. Between two chunks that follow each other at
     both places the lines are compared too, and at the ends of such a run lines and then words up to ``AROUND`` lines
     away, beyond which equal text would hold another chunk. Places that overlap or touch make a stretch; one of
-    ``LEAST`` words or more goes. Bytes are compared with their white space, but for that before a stretch's outermost words.
+    ``least`` words or more goes. Bytes are compared with their white space, but for that before a stretch's outermost words.
 
     Nothing of a hot chunk is gathered: its first place is a grouped minimum, its places an equi-join that adaptive
     execution splits. A text's work grows with its length. Documents of equal key and text are one document and
     cleaned alike; a null key comes first; null text stays null; an empty table gives an empty table. Result columns
-    that ``docs`` has already are replaced.
+    that ``docs`` has already are replaced; others may be of any type and name.
     """
     own = ["removed_lines", "removed_chars"]
     docs = docs.drop(*[c for c in own if c in docs.columns])
@@ -135,7 +136,7 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     docs = docs.withColumn("__d", doc("__k", "__t"))
     others = [c for c in docs.columns if not c.startswith("__") and c != text]
     # Always true; it asks for the columns that the result needs, so that one shuffle of the texts serves both uses.
-    same = F.xxhash64(*others, F.size("__r")) >= F.lit(-(2**63))
+    same = F.xxhash64(*[quoted(c).isNull() for c in others], F.size("__r")) >= F.lit(-(2**63))
     asked = docs.join(sent.hint("shuffle_hash"), F.col("__d") == F.col("__w")).where(same)
     none = F.array().cast("array<string>")
     told = lambda line, x: F.struct(
@@ -144,18 +145,20 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     )
     said = _let(_lines(F.col(text)), lambda line: F.transform("__r", lambda x: told(line, x)))
     bodies = asked.select(F.explode(said).alias("p")).select("p.*").dropDuplicates(["h"])
-    got = away.select(F.col("d").alias("__g"), "s", "g", "h", "back", "forth").join(bodies, "h")
+    # On the complement of the hash, for the exchange of an aggregate could not be split.
+    bodies = bodies.select(F.bitwise_not("h").alias("u"), "body", "before", "after")
+    got = away.select(F.col("d").alias("__g"), "s", "g", F.bitwise_not("h").alias("u"), "back", "forth").join(bodies, "u")
     after = F.when(F.col("forth"), F.col("after")).otherwise(F.slice("after", F.lit(1), F.greatest(F.col("g") - CHUNK, F.lit(0))))
     got = got.groupBy("__g").agg(F.array_sort(F.collect_list(F.struct("s", "body", F.when(F.col("back"), F.col("before")).alias("before"), after.alias("after")))).alias("__p"))
     out = docs.join(got, F.col("__d") == F.col("__g"), "left")
-    return _cut(out, text).select(*[c for c in docs.columns if not c.startswith("__")], *own)
+    return _cut(out, text, least).select(*[quoted(c) for c in docs.columns if not c.startswith("__")], *own)
 
 
 def _before(line: Column, s: Column) -> Column:
     return F.slice(line, F.greatest(s - AROUND, F.lit(0)) + 1, F.least(s, F.lit(AROUND)))
 
 
-def _cut(out: DataFrame, text: str) -> DataFrame:
+def _cut(out: DataFrame, text: str, least: int) -> DataFrame:
     """Cut from ``text`` what the first places' bytes in __p, sorted by line, say again."""
     first, pre = (lambda b: F.floor((b + (UNIT - 1)) / UNIT).cast("int")), (lambda b: F.pmod(-b, F.lit(UNIT)).cast("int"))
     last, post = (lambda e: F.shiftright(e, 31).cast("int")), (lambda e: e.bitwiseAND(UNIT - 1).cast("int"))
@@ -196,7 +199,7 @@ def _cut(out: DataFrame, text: str) -> DataFrame:
         held = F.filter(F.transform(marks, lambda p, i: around(line, marks, p, i)), lambda p: p["same"])
         spans = F.transform(F.transform(held, ends), span)
         bounds = lambda z: F.struct(_reach(F.transform(z, lambda x: x["b"]), True).alias("b"), _reach(F.transform(z, lambda x: x["e"]), False).alias("e"))
-        long = lambda x: F.regexp_count(piece(line, x["first"], x["last"] + 1), F.lit(WORD)) + x["pre"] + x["post"] >= LEAST
+        long = lambda x: F.regexp_count(piece(line, x["first"], x["last"] + 1), F.lit(WORD)) + x["pre"] + x["post"] >= least
         return F.filter(_let(_let(spans, bounds), lambda z: together(z["b"], z["e"])), long)
 
     def rest(line: Column, cuts: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from memlake.llm.common import SPACE, WORD, stored, words_of
+from memlake.llm.common import SPACE, WORD, names_kept, stored, words_of
 
 #: Weights that the sources take in turn, in code point order.
 WEIGHTS = (3, 1, 2)
@@ -63,6 +63,7 @@ def seeded(*cols, seed: int = SEED) -> F.Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
+@names_kept
 def mix(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, block: int = BLOCK, shard_docs: int = SHARD_DOCS, seed: int = SEED) -> DataFrame:
     """Mix documents given as (doc_id, source, size) and, if there, ``print``, a hash of the text: add source_size,
     target, taken and ``picks``, an array of (first word, end, times) of the document's words that the mix takes.

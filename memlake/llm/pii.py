@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from memlake.llm.common import names_kept
+
 #: Signs of an IBAN by country; fixed values.
 IBAN_SIGNS = {
     15: "NO", 16: "BE", 18: "DK FO FI GL NL SD", 19: "MK SI", 20: "AT BA EE KZ XK LT LU MN", 21: "HR LV LI CH", 22: "BH BG CR GE DE IE ME RS GB VA",
@@ -62,6 +64,7 @@ def _valid(kind: str, m: Column) -> Column:
 HINTS = {"email": "@", "phone": "+", "ip": ".", "ssn": "-"}
 
 
+@names_kept
 def spans(docs: DataFrame, text: str = "text", kinds=KINDS) -> DataFrame:
     """``docs`` plus ``spans``: an array of (kind, start, end, score), by kind as listed, then start.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from memlake.llm.common import SPACE
+from memlake.llm.common import SPACE, names_kept
 
 #: Function words of the four languages, as lower-case words.
 STOP_WORDS = (
@@ -31,6 +31,7 @@ RULES: tuple[tuple[str, str, str | None, str, float], ...] = (
 )
 
 
+@names_kept
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add the measures of every whole text. Word windows are compared by 64-bit hashes within one text."""
     own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_pipes", "n_upper", "n_exclaims", "n_stop_words", "n_stutter"]

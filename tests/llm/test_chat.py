@@ -3,7 +3,7 @@ import random
 
 from hypothesis import given, settings, strategies as st
 
-from memlake.llm.chat import EVENTS, digests, escape, formatted, from_turns, read, render, unescape
+from memlake.llm.chat import EVENTS, digests, escape, formatted, from_turns, read, render, streamed, unescape
 
 TRICKY = ["</s>", "<s>", "[INST]", "[/INST]", "[OUT]", "[/OUT]", "\\", " ", "\n", "ok", "[/TURN]", "é😀", "[", "]", "/"]
 
@@ -38,6 +38,10 @@ def test_digests_of_turns(spark):
     df = spark.createDataFrame([(*r, "k") for r in rows], "conv_id long, turn long, role string, text string, seq string")
     got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in digests(from_turns(df)).collect()}
     assert got == brute(rows)
+    kinds = {r["kind"] for r in streamed(df).select("kind").distinct().collect()}
+    assert kinds == {"message", "delta", "edit", "regenerate"}
+    got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in digests(streamed(df)).collect()}
+    assert got == brute(rows)
     whole = {}
     for r in formatted(from_turns(df)).collect():
         whole.setdefault(r["conv_id"], []).append((r["turn"], r["piece"]))
@@ -63,3 +67,40 @@ def test_fold_of_events(spark):
     random.Random(1).shuffle(rows)
     got = [read(r["piece"]) for r in formatted(spark.createDataFrame(rows, EVENTS)).orderBy("turn").collect()]
     assert got == [("user", "hi there"), ("assistant", "hello")]
+
+
+def test_null_and_unknown_kinds(spark):
+    """A null kind is a message of its own, an unknown one nothing at all."""
+    rows = [(1, 0, 0, "message", "user", "a"), (1, 0, 1, None, "user", "b"), (1, 1, 0, "reaction", "user", "thumb"), (1, 2, 0, "message", "assistant", "c"), (1, 2, 1, "typing", None, "x"), (1, 2, 2, "delta", None, "d")]
+    got = [read(r["piece"]) for r in formatted(spark.createDataFrame(rows, EVENTS)).orderBy("turn").collect()]
+    assert got == [("user", "a"), ("user", "b"), ("assistant", "cd")]
+
+
+def plain_fold(rows):
+    """Messages of one conversation from its events, by the words of the contract."""
+    out, places = [], {}
+    for _, target, _, kind, role, text in sorted(rows, key=lambda r: tuple((x is not None, x) for x in r)):
+        if kind not in ("message", None, "delta", "edit", "regenerate", "delete"):
+            continue
+        if kind in ("message", None) or target not in places:
+            places[target] = [None, "", False, target]
+            out.append(places[target])
+        m = places[target]
+        m[0] = m[0] if role is None else role
+        if kind == "delete":
+            m[2] = True
+        elif kind == "delta":
+            m[1] += text or ""
+        else:
+            m[1], m[2] = text or "", m[2] and kind == "regenerate"
+    return [(m[0] or "", m[1]) for m in sorted(out, key=lambda m: m[3]) if not m[2]]
+
+
+def test_random_event_logs(spark):
+    rng = random.Random(6)
+    rows = [(c, rng.randrange(4), n, rng.choice(["message", None, "delta", "delta", "edit", "regenerate", "delete", "odd"]), rng.choice([None, "user", "assistant"]), rng.choice([None, "x", "</s>", "yz"])) for c in range(60) for n in range(rng.randint(1, 12))]
+    got = {}
+    for r in formatted(spark.createDataFrame(rows, EVENTS).repartition(5)).orderBy("conv_id", "turn").collect():
+        got.setdefault(r["conv_id"], []).append(read(r["piece"]))
+    want = {c: plain_fold([r for r in rows if r[0] == c]) for c in range(60)}
+    assert got == {c: m for c, m in want.items() if m}
