@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from memlake.llm import bpe, line_dedup, mixing, ngram_join, quality
-from memlake.llm.common import stored, where_late
+from memlake.llm.common import delete_stored, stored, where_late
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -50,6 +50,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
+    before = None
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            delete_stored(before)
+        before = docs
     return docs
