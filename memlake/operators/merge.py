@@ -2,32 +2,126 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from memlake.functions.scoring import cosine, filled, tokens
-
-
-def matches(new: DataFrame, old: DataFrame, near: float = 0.85) -> DataFrame:
+from memlake.plans.tables import stored
+
+
+#: Pairs of entries that one key may bring together in a join; keys beyond it are compared in blocks.
+PAIRS = 1_000_000
+#: Stored entries that a task holds of such a key, and new ones that it compares with them at a time.
+HELD, ASKED = 4096, 256
+
+
+def _keys(df: DataFrame) -> DataFrame:
+    """(id, key): pairs of words of each label, and its repositories."""
+    words = F.array_sort(tokens(F.col("label")))
+    pairs = F.flatten(F.transform(words, lambda a, i: F.transform(F.slice(words, i + 2, F.size(words)), lambda b: F.concat_ws(" ", F.lit("w"), a, b))))
+    repos = F.transform(F.filter(F.coalesce("repos", F.array().cast("array<string>")), lambda r: r.isNotNull()), lambda r: F.concat(F.lit("r "), F.lower(r)))
+    return df.select(F.col("entry_id").alias("id"), F.explode(F.array_distinct(F.concat(pairs, repos))).alias("key"))
+
+
+def _incidence(lists: list[list[str]], names: dict[str, int]) -> np.ndarray:
+    out = np.zeros((len(lists), len(names)), np.float32)
+    for row, items in enumerate(lists):
+        out[row, [names[i] for i in items if i in names]] = 1
+    return out
+
+
+def _shared(left: list[list[str]], right: list[list[str]]) -> np.ndarray:
+    """How many items each list of the left has in common with each of the right."""
+    names = {w: n for n, w in enumerate(dict.fromkeys(w for items in left for w in items))}
+    return _incidence(left, names) @ _incidence(right, names).T
+
+
+def _unit(vectors: list, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of one width made one long, and which of them have that width and a length."""
+    out, known = np.zeros((len(vectors), width)), np.zeros(len(vectors), bool)
+    for row, v in enumerate(vectors):
+        if v is not None and len(v) == width and None not in v:
+            size = float(np.sqrt(np.dot(v, v)))
+            known[row] = size > 0
+            out[row] = np.array(v) / size if size > 0 else 0.0
+    return out, known
+
+
+def _blocks(near: float, schema: pa.Schema):
+    """Over rows sorted by key, split and side, stored entries first: of each new one the best match in the split."""
+
+    def best(asked: list[dict], held: list[dict]):
+        rows = []
+        for width in {len(a["v"]) for a in asked if a["v"] is not None}:
+            mine = [a for a in asked if a["v"] is not None and len(a["v"]) == width]
+            (a, ok_a), (b, ok_b) = _unit([x["v"] for x in mine], width), _unit([x["v"] for x in held], width)
+            cos = np.where(ok_a[:, None] & ok_b[None, :], a @ b.T, 0.0)
+            n = (_shared([x["words"] for x in mine], [x["words"] for x in held]) >= 2).astype(int) + (_shared([x["repos"] for x in mine], [x["repos"] for x in held]) >= 1) + (cos > near)
+            fit = np.where((n >= 2) & (cos > 0), cos, -1.0)
+            at = fit.argmax(1)
+            rows += [{"new_id": x["id"], "old_id": held[j]["id"], "similarity": float(fit[i, j]), "signals": int(n[i, j])} for i, (x, j) in enumerate(zip(mine, at)) if fit[i, j] > 0]
+        return rows
+
+    def run(batches):
+        now, held, asked = None, [], []
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if (row["key"], row["split"]) != now:
+                    out += best(asked, held) if asked and held else []
+                    now, held, asked = (row["key"], row["split"]), [], []
+                if row["side"] == 0:
+                    held.append(row)
+                    continue
+                asked.append(row)
+                if len(asked) == ASKED:
+                    out += best(asked, held) if held else []
+                    asked = []
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
+        out = best(asked, held) if asked and held else []
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return run
+
+
+def matches(new: DataFrame, old: DataFrame, near: float = 0.85, pairs: int = PAIRS, rows: int = HELD) -> DataFrame:
     """(new_id, old_id, similarity, signals): for each new entry (entry_id, label, repos, embedding) the stored entry with
     at least two of three signals: cosine above ``near``, two words of the label in common, a repository in common; the
     nearest of them, with a similarity above 0.
 
-    Two signals always include words or a repository, so candidates come from two equi-joins on pairs of words and on
-    repositories, and vectors are compared only for those."""
-    def keys(df: DataFrame, side: str) -> DataFrame:
-        words = F.array_sort(tokens(F.col("label")))
-        pairs = F.flatten(F.transform(words, lambda a, i: F.transform(F.slice(words, i + 2, F.size(words)), lambda b: F.concat_ws(" ", F.lit("w"), a, b))))
-        repos = F.transform(F.coalesce("repos", F.array().cast("array<string>")), lambda r: F.concat(F.lit("r "), F.lower(r)))
-        return df.select(F.col("entry_id").alias(f"{side}_id"), F.explode(F.array_distinct(F.concat(pairs, repos))).alias("key"))
-
-    shared = keys(new, "new").join(keys(old, "old"), "key").groupBy("new_id", "old_id").agg(F.bool_or(F.col("key").startswith("w ")).alias("words"), F.bool_or(F.col("key").startswith("r ")).alias("repo"))
-    a = new.select(F.col("entry_id").alias("new_id"), F.col("embedding").alias("a"))
-    b = old.select(F.col("entry_id").alias("old_id"), F.col("embedding").alias("b"))
-    df = shared.join(a, "new_id").join(b, "old_id").withColumn("similarity", cosine(F.col("a"), F.col("b")))
-    df = df.withColumn("signals", F.col("words").cast("int") + F.col("repo").cast("int") + (F.col("similarity") > near).cast("int"))
+    Two signals always include words or a repository, so candidates come from equi-joins on pairs of words and on
+    repositories, and vectors are compared only for those. A key that would bring more than ``pairs`` pairs together, as
+    a repository of all entries does, makes none: its stored entries are dealt into splits of about ``rows``, its new
+    ones go to each, and one best match for each of them leaves a split, found by matrix products."""
+    a, b = stored(_keys(new), "match-new"), stored(_keys(old), "match-old")
+    count = lambda df, name: df.groupBy("key").agg(F.count(F.lit(1)).alias(name))
+    met = count(a, "n").join(count(b, "m"), "key")
+    hot = stored(met.where(F.col("n") * F.col("m") > pairs).select(F.struct("key").alias("k"), F.ceil(F.col("m") / rows).cast("long").alias("splits")), "match-hot")
+    keyed = lambda df: df.withColumn("k", F.struct("key"))
+    cold = lambda df, side: keyed(df).join(hot, "k", "left_anti").select("key", F.col("id").alias(f"{side}_id"))
+    shared = cold(a, "new").join(cold(b, "old"), "key").groupBy("new_id", "old_id").agg(F.bool_or(F.col("key").startswith("w ")).alias("words"))
+    facts = lambda df, side: df.select(F.col("entry_id").alias(f"{side}_id"), F.col("embedding").alias(f"{side}_v"), F.transform(F.coalesce("repos", F.array().cast("array<string>")), F.lower).alias(f"{side}_r"), tokens(F.col("label")).alias(f"{side}_w"))
+    df = shared.join(facts(new, "new"), "new_id").join(facts(old, "old"), "old_id").withColumn("similarity", cosine(F.col("new_v"), F.col("old_v")))
+    # A pair may share a hot key besides the one that it met by, so signals are told from the entries.
+    two, repo = F.size(F.array_intersect("new_w", "old_w")) >= 2, F.arrays_overlap("new_r", "old_r")
+    df = df.withColumn("signals", two.cast("int") + F.coalesce(repo, F.lit(False)).cast("int") + (F.col("similarity") > near).cast("int"))
+    df = df.where("signals >= 2 and similarity > 0").select("new_id", "old_id", "similarity", "signals")
+
+    id_type = new.schema["entry_id"].dataType
+    told = lambda df, side: df.select(F.col("entry_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), F.filter(F.transform(F.coalesce("repos", F.array().cast("array<string>")), F.lower), lambda r: r.isNotNull()).alias("repos"), tokens(F.col("label")).alias("words"), F.lit(side).alias("side"))
+    hot_keys = lambda keys: keyed(keys).join(hot, "k").select("key", "id", "splits")
+    held = hot_keys(b).select("key", "id", F.pmod(F.xxhash64("id"), F.col("splits")).alias("split")).join(told(old, 0), "id")
+    asked = hot_keys(a).select("key", "id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("splits") - 1)).alias("split")).join(told(new, 1), "id")
+    both = held.unionByName(asked).repartition("key", "split").sortWithinPartitions("key", "split", "side", "id").select("key", "split", "side", "id", "v", "repos", "words")
+    out = f"new_id {id_type.simpleString()}, old_id {id_type.simpleString()}, similarity double, signals int"
+    found = both.mapInArrow(_blocks(near, to_arrow_schema(_parse_datatype_string(out))), out)
     order = W.partitionBy("new_id").orderBy(F.col("similarity").desc(), "old_id")
-    df = df.where("signals >= 2 and similarity > 0").withColumn("r", F.row_number().over(order))
-    return df.where("r = 1").select("new_id", "old_id", "similarity", "signals")
+    return df.unionByName(found).withColumn("r", F.row_number().over(order)).where("r = 1").select("new_id", "old_id", "similarity", "signals")
 
 
 def project_matches(new: DataFrame, old: DataFrame) -> DataFrame:

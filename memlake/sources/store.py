@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import json
+
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+
+from memlake.plans.tables import stored
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str = "entry_id") -> DataFrame:
@@ -23,6 +27,64 @@ def read_latest(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/v={last:06d}")
 
 
+#: Hash partitions of a store that is kept in parts.
+PARTS = 64
+
+
+def _manifest(spark: SparkSession, root: str, version: int | None = None) -> tuple[int, dict[int, int]]:
+    """(version, {part: the version that wrote it}) of the newest version that is complete, or of a given one: a row a
+    part, of which there are as many as the store was made with."""
+    rows = spark.read.schema("version int, part int, written int").parquet(f"{root}/manifest").where(F.lit(True) if version is None else F.col("version") == version)
+    last = rows.groupBy("version").agg(F.collect_list(F.struct("part", "written")).alias("parts")).orderBy(F.col("version").desc()).first()
+    if last is None:
+        raise ValueError(f"no such version of {root}")
+    return last["version"], {p["part"]: p["written"] for p in last["parts"]}
+
+
+def _write_parts(entries: DataFrame, root: str, version: int, before: dict[int, int], parts: int, key: str) -> None:
+    """Write the entries' parts, then the manifest that names them: readers see a version whole or not at all."""
+    spark, part = entries.sparkSession, F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+    dealt = entries.withColumn("part", part).repartition("part")
+    dealt.write.mode("overwrite").partitionBy("part").parquet(f"{root}/parts/written={version}")
+    now = {**before, **{r["part"]: version for r in spark.read.schema(dealt.schema).parquet(f"{root}/parts/written={version}").select("part").distinct().collect()}}
+    rows = [(version, p, w) for p, w in sorted(now.items())]
+    spark.createDataFrame(rows, "version int, part int, written int").coalesce(1).write.mode("append").parquet(f"{root}/manifest")
+
+
+def create_parts(entries: DataFrame, root: str, parts: int = PARTS, key: str = "entry_id") -> None:
+    """Version 1 of a store in ``parts`` hash partitions by ``key``, which rows of one key share. An empty part has no files,
+    but for one that says what the columns are."""
+    spark = entries.sparkSession
+    spark.createDataFrame([(parts, key, entries.schema.json())], "parts int, key string, schema string").coalesce(1).write.parquet(f"{root}/layout")
+    _write_parts(entries, root, 1, {p: 0 for p in range(parts)}, parts, key)
+
+
+def _layout(spark: SparkSession, root: str) -> tuple[int, str, T.StructType]:
+    row = spark.read.parquet(f"{root}/layout").first()
+    return row["parts"], row["key"], T.StructType.fromJson(json.loads(row["schema"]))
+
+
+def read_parts(spark: SparkSession, root: str, version: int | None = None, only: set[int] | None = None) -> DataFrame:
+    """A version of a store in parts, by default the newest; its files stay as they are while later ones are written."""
+    _, _, schema = _layout(spark, root)
+    _, named = _manifest(spark, root, version)
+    paths = [f"{root}/parts/written={w}/part={p}" for p, w in sorted(named.items()) if w and (only is None or p in only)]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def upsert_parts(new: DataFrame, root: str) -> int:
+    """The next version with ``new`` rows over those of their keys; only the parts that they fall into are read and
+    written, all others are named again. Returns its number. One writer at a time."""
+    spark = new.sparkSession
+    parts, key, schema = _layout(spark, root)
+    version, named = _manifest(spark, root)
+    fresh = stored(new.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema]), "upsert")
+    touched = {r["p"] for r in fresh.select(F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("p")).distinct().collect()}
+    if touched:
+        _write_parts(upserted(read_parts(spark, root, version, touched), fresh, key), root, version + 1, named, parts, key)
+    return version + bool(touched)
+
+
 def point_lookup(entries: DataFrame, ids: DataFrame) -> DataFrame:
     """Entries by id; an id that begins with pe_ asks for a project."""
     asked = ids.select("entry_id", F.when(F.col("entry_id").startswith("pe_"), "project").otherwise("knowledge").alias("entry_type"))
