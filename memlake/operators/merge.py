@@ -111,6 +111,10 @@ def matches(new: DataFrame, old: DataFrame, near: float = 0.85, pairs: int = PAI
     two, repo = F.size(F.array_intersect("new_w", "old_w")) >= 2, F.arrays_overlap("new_r", "old_r")
     df = df.withColumn("signals", two.cast("int") + F.coalesce(repo, F.lit(False)).cast("int") + (F.col("similarity") > near).cast("int"))
     df = df.where("signals >= 2 and similarity > 0").select("new_id", "old_id", "similarity", "signals")
+    order = W.partitionBy("new_id").orderBy(F.col("similarity").desc(), "old_id")
+    best = lambda found: found.withColumn("r", F.row_number().over(order)).where("r = 1").select("new_id", "old_id", "similarity", "signals")
+    if hot.isEmpty():
+        return best(df)
 
     id_type = new.schema["entry_id"].dataType
     told = lambda df, side: df.select(F.col("entry_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), F.filter(F.transform(F.coalesce("repos", F.array().cast("array<string>")), F.lower), lambda r: r.isNotNull()).alias("repos"), tokens(F.col("label")).alias("words"), F.lit(side).alias("side"))
@@ -120,8 +124,7 @@ def matches(new: DataFrame, old: DataFrame, near: float = 0.85, pairs: int = PAI
     both = held.unionByName(asked).repartition("key", "split").sortWithinPartitions("key", "split", "side", "id").select("key", "split", "side", "id", "v", "repos", "words")
     out = f"new_id {id_type.simpleString()}, old_id {id_type.simpleString()}, similarity double, signals int"
     found = both.mapInArrow(_blocks(near, to_arrow_schema(_parse_datatype_string(out))), out)
-    order = W.partitionBy("new_id").orderBy(F.col("similarity").desc(), "old_id")
-    return df.unionByName(found).withColumn("r", F.row_number().over(order)).where("r = 1").select("new_id", "old_id", "similarity", "signals")
+    return best(df.unionByName(found))
 
 
 def project_matches(new: DataFrame, old: DataFrame) -> DataFrame:

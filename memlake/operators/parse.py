@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window as W, functions as F
 
 from memlake.plans.tables import delete_stored, stored
 
@@ -53,16 +53,15 @@ def tour(nodes: DataFrame, rounds: int = 64) -> DataFrame:
     into = F.struct((F.col("node") * 2).alias("step"), F.coalesce(F.col("down") * 2, F.col("node") * 2 + 1).alias("to"), F.lit(1).cast("long").alias("rise"))
     out = F.struct((F.col("node") * 2 + 1).alias("step"), F.coalesce(F.col("next") * 2, F.col("up") * 2 + 1).alias("to"), F.lit(-1).cast("long").alias("rise"))
     steps = df.select(F.explode(F.array(into, out)).alias("s")).select("s.*")
-    steps = stored(steps.select("step", "to", F.lit(1).cast("long").alias("left"), "rise", F.when(F.col("to").isNull(), F.col("step")).alias("end")), "tour-steps")
+    steps, is_open = _told_open(steps.select("step", "to", F.lit(1).cast("long").alias("left"), "rise", F.when(F.col("to").isNull(), F.col("step")).alias("end")))
     open_before = None
     for _ in range(rounds):
-        is_open = steps.where("to is not null").count()
         if is_open in (0, open_before):
             break
         open_before = is_open
         target = steps.select(F.col("step").alias("to"), F.col("to").alias("to2"), F.col("left").alias("left2"), F.col("rise").alias("rise2"), F.col("end").alias("end2"))
         more = steps.where("to is not null").join(target, "to").select("step", F.col("to2").alias("to"), (F.col("left") + F.col("left2")).alias("left"), (F.col("rise") + F.col("rise2")).alias("rise"), F.col("end2").alias("end"))
-        new = stored(steps.where("to is null").unionByName(more), "tour-steps")
+        new, is_open = _told_open(steps.where("to is null").unionByName(more))
         delete_stored(steps)
         steps = new
     known = steps.withColumn("left", F.when(F.col("to").isNull(), F.col("left")))
@@ -75,6 +74,13 @@ def tour(nodes: DataFrame, rounds: int = 64) -> DataFrame:
     return stored(named.join(main, "end", "left").select("conv_id", "id", "is_root", "created_at", "enter", "leave", F.when(F.col("enter").isNotNull(), F.col("depth")).alias("depth"), F.coalesce(F.col("main") & F.col("enter").isNotNull(), F.lit(False)).alias("in_main")), "tour")
 
 
+def _told_open(steps: DataFrame) -> tuple[DataFrame, int]:
+    """Steps as stored, and how many of them have not come to an end, counted as they were written."""
+    seen = Observation()
+    table = stored(steps.observe(seen, F.count_if(F.col("to").isNotNull()).alias("open")), "tour-steps")
+    return table, seen.get["open"]
+
+
 def cyclic_nodes(walked: DataFrame) -> DataFrame:
     """(conv_id, id) of nodes of a ``tour`` that stand on a cycle of parents or below one; no path leads to them."""
     return walked.where("enter is null").select("conv_id", "id")

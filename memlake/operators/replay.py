@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Observation, Window as W, functions as F
 
 from memlake import policy as P
 from memlake.functions.scoring import appended, comparable, jaccard, note, opposing
@@ -88,7 +88,7 @@ def _facts(views: DataFrame) -> DataFrame:
     ).withColumn("opposed", F.when(~F.col("project"), F.col("opposed")))
 
 
-def _open(known: DataFrame) -> F.Column:
+def _open() -> F.Column:
     return F.col("against").isNull() | (~F.col("against") & F.col("agree").isNull())
 
 
@@ -103,17 +103,22 @@ def plans(entries: DataFrame) -> DataFrame:
     views = _views(entries).withColumn("words", F.array_distinct(F.array_remove(F.split("narrative", " "), "")))
     many = views.groupBy(F.struct("fp").alias("key")).agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
     views = stored(views.withColumn("key", F.struct("fp")).join(many, "key", "left_semi").drop("key"), "replay-views")
-    facts = stored(_decided(_facts(views).withColumn("core", F.lit(0).cast("long"))), "replay-facts")
-    doubt = facts.where(_open(facts)).select("fp", "views")
+    plan = F.when(F.coalesce("against", F.lit(False)), "contest").when(F.coalesce("agree", F.lit(True)), "merge").otherwise("none")
+    with_plans = lambda told: groups.join(told, "fp", "left").select("fp", "n_entries", plan.alias("plan"), "reason")
+    doubts = Observation()
+    facts = _decided(_facts(views).withColumn("core", F.lit(0).cast("long")))
+    facts = stored(facts.observe(doubts, F.count_if(_open()).alias("n")), "replay-facts")
+    if doubts.get["n"] == 0:
+        return with_plans(facts.select("fp", "against", "agree", F.col("opposed").alias("reason")))
+    doubt = facts.where(_open()).select("fp", "views")
     words = views.where("narrative <> ''").join(doubt, "fp").select("fp", F.explode("words").alias("word")).groupBy("fp", "word").agg(F.count(F.lit(1)).alias("n"))
-    held = facts.where(_open(facts)).drop("core", "against", "agree")
+    held = facts.where(_open()).drop("core", "against", "agree")
     core = words.join(held.select("fp", "t_n"), "fp").where("n = t_n").groupBy("fp").agg(F.count(F.lit(1)).alias("core"))
     again = stored(_decided(held.join(core, "fp", "left").withColumn("core", F.coalesce("core", F.lit(0).cast("long")))), "replay-core")
-    left = again.where(_open(again)).select("fp")
+    left = again.where(_open()).select("fp")
     exact = _pairs(views.join(left, "fp", "left_semi")).groupBy("fp").agg(F.bool_or(F.col("reason").isNotNull()).alias("against"), F.bool_and("compatible").alias("agree"), F.min("reason").alias("reason"))
-    told = facts.where(~_open(facts)).unionByName(again.where(~_open(again)).select(facts.columns)).select("fp", "against", "agree", F.col("opposed").alias("reason")).unionByName(exact)
-    plan = F.when(F.coalesce("against", F.lit(False)), "contest").when(F.coalesce("agree", F.lit(True)), "merge").otherwise("none")
-    return groups.join(told, "fp", "left").select("fp", "n_entries", plan.alias("plan"), "reason")
+    told = facts.where(~_open()).unionByName(again.where(~_open()).select(facts.columns)).select("fp", "against", "agree", F.col("opposed").alias("reason")).unionByName(exact)
+    return with_plans(told)
 
 
 CANONICAL = ("tier", "-mention_count", "-access_count", "-salience")

@@ -8,6 +8,8 @@ import email.policy
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from memlake.sources.json_array import read_elements
+
 TREE = "uuid string, name string, created_at string, updated_at string, chat_messages array<struct<uuid:string,sender:string,text:string,created_at:string,parent_message_uuid:string>>"
 MAPPING = "title string, create_time double, update_time double, mapping map<string,struct<id:string,parent:string,children:array<string>,message:struct<author:struct<role:string>,content:struct<parts:array<string>>,create_time:double>>>"
 
@@ -25,6 +27,17 @@ def read_tree_export(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.schema(f"{TREE}, conversations array<struct<{_struct(TREE)}>>").json(path, multiLine=True, mode="PERMISSIVE")
     inner = raw.where("conversations is not null").select(F.inline("conversations"))
     all_of = raw.where("conversations is null").drop("conversations").unionByName(inner).where("uuid is not null")
+    return _tree_nodes(all_of)
+
+
+def read_tree_array(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
+    """The same nodes of exports that are one huge list each, read by many tasks. A conversation that is not as the schema
+    says is left out."""
+    one = F.from_json("element", TREE)
+    return _tree_nodes(read_elements(spark, folder, pattern).select(one.alias("c")).select("c.*").where("uuid is not null"))
+
+
+def _tree_nodes(all_of: DataFrame) -> DataFrame:
     m = all_of.select(F.col("uuid").alias("conv_id"), "name", "created_at", "updated_at", F.posexplode("chat_messages").alias("ord", "m"))
     return m.select("conv_id", F.col("m.uuid").alias("id"), F.nullif("m.parent_message_uuid", F.lit("")).alias("parent_id"), "ord", F.col("m.sender").alias("role"), F.col("m.text").alias("text"), F.nullif("m.created_at", F.lit("")).alias("created_at"), "name", "updated_at")
 
@@ -32,6 +45,15 @@ def read_tree_export(spark: SparkSession, path: str) -> DataFrame:
 def read_mapping_export(spark: SparkSession, path: str) -> DataFrame:
     """The same nodes of an export whose conversations map ids to nodes; text parts are joined by line feeds."""
     raw = spark.read.schema(MAPPING).json(path, multiLine=True, mode="PERMISSIVE").where("mapping is not null")
+    return _mapping_nodes(raw)
+
+
+def read_mapping_array(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
+    """The same nodes of exports with mappings, as ``read_tree_array`` reads them."""
+    return _mapping_nodes(read_elements(spark, folder, pattern).select(F.from_json("element", MAPPING).alias("c")).select("c.*").where("mapping is not null"))
+
+
+def _mapping_nodes(raw: DataFrame) -> DataFrame:
     n = raw.select(F.concat(F.lit("gpt_"), F.col("create_time").cast("long").cast("string")).alias("conv_id"), F.col("title").alias("name"), F.posexplode(F.map_values("mapping")).alias("ord", "n"))
     return n.select("conv_id", F.col("n.id").alias("id"), F.col("n.parent").alias("parent_id"), "ord", F.col("n.message.author.role").alias("role"), F.array_join(F.filter("n.message.content.parts", lambda p: p.isNotNull()), "\n").alias("text"), F.timestamp_seconds("n.message.create_time").cast("string").alias("created_at"), "name")
 
