@@ -88,6 +88,20 @@ FAMILIES: tuple[tuple[str, str, str], ...] = (
     ("llama", r"llama(?: 2| 3)?(?: community)?", r""),
 )
 
+#: Titles, or forms of titles, that name nothing but a license, and so need not be followed by the word.
+CLEAR = frozenset((
+    r"(?:gnu )?affero general public", "agpl", r"(?:gnu )?(?:lesser|library) general public", "lgpl", r"(?:gnu )?general public", "gnu gpl", "gpl", "gfdl",
+    r"(?:cc|creative commons) by nc sa", r"creative commons attribution non ?commercial share ?alike", r"(?:cc|creative commons) by nc nd",
+    r"creative commons attribution non ?commercial no ?deriv(?:ative)?s?(?: works)?", r"(?:cc|creative commons) by nc", r"creative commons attribution non ?commercial",
+    r"(?:cc|creative commons) by sa", r"creative commons attribution share ?alike", r"(?:cc|creative commons) by nd",
+    r"creative commons attribution no ?deriv(?:ative)?s?(?: works)?", r"(?:cc|creative commons) by", "creative commons attribution", "cc0", "creative commons zero", "cc zero", "creative commons",
+    "bsd 4 clause", "4 clause bsd", "four clause bsd", "bsd 3 clause", "3 clause bsd", "three clause bsd", "bsd 2 clause", "2 clause bsd", "two clause bsd", "bsd zero clause", "zero clause bsd", "0bsd",
+    "mpl", "cddl", "cpal", "eupl", "busl", "sspl", "unlicense", "unlicence", "wtfpl", "odbl", "odc by", "pddl", "ms pl", "ms rl", "cecill b", "cecill c", "cecill", "lppl", "apsl", "beer ?ware", "same terms as perl",
+    r"(?:creative ml |bigscience )?open ?rail(?: m)?",
+))
+#: Titles that name a license where a version follows; without one they also name a body, a league or a language.
+VERSIONED = frozenset((r"apache(?: software)?", "asl", "apl", "epl", "edl", "cpl", "osl", "afl", "ecl", r"(?:perl )?artistic", "bsl", "ofl", "upl", "rpl", "qpl", "nosa", "npl", "spl"))
+
 #: (label, gate word, what stands before it, what stands after it): sentences of notices and license texts, by hand, in
 #: order of priority. The gate is a word that other texts seldom have.
 BODIES: tuple[tuple[str, str, str, str], ...] = (
@@ -147,6 +161,27 @@ BODIES: tuple[tuple[str, str, str, str], ...] = (
     ("beerware", "stuff", r"you can do whatever you want with this ", r""),
     ("curl", "curl", r"copyright (?:[^ ]+ ){0,4}daniel stenberg (?:[^ ]+ ){0,3}", r""),
     ("vim", "uganda", r"(?:charityware|encouraged to make a donation for needy children in) ", r""),
+    ("agpl", "license", r"you should have received a copy of the gnu affero general public ", r" along with this program"),
+    ("lgpl", "license", r"you should have received a copy of the gnu (?:lesser|library) general public ", r" along with this library"),
+    ("gpl", "license", r"you should have received a copy of the gnu general public ", r" along with this program"),
+    ("lgpl", "distributed", r"this library is ", r" in the hope that it will be useful but without any warranty"),
+    ("gpl", "distributed", r"this program is ", r" in the hope that it will be useful but without any warranty"),
+    ("apache", "distributed", r"", r" on an as is basis without warranties or conditions of any kind"),
+    ("mpl", "distributed", r"if a copy of the mpl was not ", r" with this file you can obtain one"),
+    ("epl", "available", r"this program and the accompanying materials are made ", r" under the terms of the eclipse public license"),
+    ("boost", "distributed", r"", r" under the boost software license version 1 0 see accompanying file"),
+    ("zlib", "distribution", r"this notice may not be removed or altered from any source ", r""),
+    ("unlicense", "distribute", r"anyone is free to copy modify publish use compile sell or ", r" this software either in source code form or as a compiled binary"),
+    ("cc0", "domain", r"dedicated the work to the public ", r" by waiving all of (?:his or her|their) rights"),
+    ("mit", "merchantability", r"including but not limited to the warranties of ", r" fitness for a particular purpose and noninfringement"),
+    ("isc", "merchantability", r"including all implied warranties of ", r" and fitness in no event shall the author be liable"),
+    ("bsd", "merchantability", r"the implied warranties of ", r" and fitness for a particular purpose are disclaimed"),
+    ("postgresql", "hereby", r"for any purpose without fee and without a written agreement is ", r" granted"),
+    ("x11", "advertising", r"shall not be used in ", r" or otherwise to promote the sale use or other dealings in this software"),
+    ("w3c", "licensee", r"by obtaining using and or copying this (?:work|software) you the ", r" agree"),
+    ("sleepycat", "obtain", r"redistributions in any form must be accompanied by information on how to ", r" complete source code"),
+    ("mit", "license", r"mit (?:style|like) ", r""),
+    ("bsd", "license", r"bsd (?:style|like) ", r""),
     ("public-domain", "disclaims", r"the author ", r" copyright to this source code"),
 )
 
@@ -156,7 +191,7 @@ GENERAL: tuple[tuple[str, str, str, str], ...] = (
     ("public-domain", "domain", r"(?:is|are|was) (?:in |into )?(?:the )?public ", r""),
     ("proprietary", "unauthorized", r"", r" copying of (?:this file|this software) via any medium is strictly prohibited"),
     ("proprietary", "confidential", r"", r" and proprietary"),
-    ("proprietary", "license", r"(?:proprietary|commercial) ", r""),
+    ("proprietary", "license", r"(?:proprietary|(?:a|our|your|paid|separate) commercial) ", r""),
     ("all-rights-reserved", "reserved", r"all rights ", r""),
 )
 
@@ -171,19 +206,29 @@ STEMS = ("licens", "licenc", "distrib", "releas", *[g for g in GATES if not any(
 
 def rules() -> list[tuple[int, str, str, str, str]]:
     """The ordered signature rules: (priority, label, gate words, regex before the gate, regex after it). Sentences come
-    before titles, and of alternatives that begin alike the longer stands first."""
+    before titles, and of alternatives that begin alike the longer stands first. After "licensed under" any title counts;
+    after "released", "distributed", "available" or "terms" one that names other things too ("released by MIT",
+    "distributed with Python") needs the word "license", or a version where that settles it."""
     out = list(BODIES)
     for label, title, version in FAMILIES:
-        title = _longer_first(title)
+        forms = _alternatives(title)
+        title = "|".join(forms)
         v = f"(?: {version})?" if version else ""
+        clear, versioned = ("|".join(f for f in forms if f in some) for some in (CLEAR, VERSIONED))
+        named = f"(?:{title}) (?:license|licence){v}"
+        if version and versioned:
+            named += f"|(?:{versioned}) {version}"
+        if clear:
+            named += f"|(?:{clear}){v}"
         out.append((label, "license|licence", f"(?:the )?(?:{title})(?: {version})? " if version else f"(?:the )?(?:{title}) ", v))
-        out.append((label, "licensed|licenced|released|distributed|available", "", f" (?:under|with|by)(?: the)?(?: terms of)?(?: the)? (?:{title})(?: license| licence)?{v}"))
+        out.append((label, "licensed|licenced", "", f" under(?: the)?(?: terms of)?(?: the)? (?:{title})(?: license| licence)?{v}"))
+        out.append((label, "released|distributed|available", "", f" (?:under|with)(?: the)?(?: terms of)?(?: the)? (?:{named})"))
         out.append((label, "spdx", "", f" license identifier (?:{title}){v}(?: only| or later)?"))
-        out.append((label, "terms", "", f" (?:and conditions )?of the (?:{title})(?: license| licence)?{v}"))
+        out.append((label, "terms", "", f" (?:and conditions )?of the (?:{named})"))
     return [(i, *r) for i, r in enumerate(out + list(GENERAL))]
 
 
-def _longer_first(title: str) -> str:
+def _alternatives(title: str) -> list[str]:
     """The alternatives of a regex, those of more words first."""
     parts, depth = [""], 0
     for c in title:
@@ -192,7 +237,7 @@ def _longer_first(title: str) -> str:
             parts.append("")
         else:
             parts[-1] += c
-    return "|".join(sorted(parts, key=lambda p: -longest(p)))
+    return sorted(parts, key=lambda p: -longest(p))
 
 
 def longest(regex: str) -> int:

@@ -116,3 +116,17 @@ def test_long_titles_and_versions(spark):
     got = scan(spark.createDataFrame([(1, "the creative commons attribution non commercial no derivatives works 4.0 license"), (2, "under the lesser general public license version 2.1 only"), (3, "mit license " * 3000)], "doc_id int, text string")).collect()
     found = {r["doc_id"]: [(d["first_word"], d["last_word"], d["label"]) for d in r["detections"]] for r in got}
     assert found[1] == [(0, 11, "cc-by-nc-nd")] and found[2][0][1] == 8 and len(found[3]) == 3000
+
+
+def test_prose_is_left_alone(spark):
+    prose = [
+        "released by MIT", "The study was released by Elastic last week.", "distributed with Python", "distributed by Apache helicopters", "available under curl", "in terms of the json format",
+        "a non commercial license", "a noncommercial licence", "available under Python 3", "Tickets are available with EPL clubs", "distributed with PHP 3.0", "terms of the Ruby community", "under the terms of the open data policy",
+        "available under artistic direction", "released with boost 1.0", "licensed by the city", "licensed with Perl modules", "the terms of the bsd camp", "released under ISC supervision", "available by llama",
+    ]
+    assert labels(spark, prose) == [[]] * len(prose)
+    said = [
+        "released under Apache 2.0", "licensed under MIT", "available under the GPL", "released under the Python license", "distributed with the curl license", "terms of the JSON license", "available under EPL 2.0", "a commercial license",
+        "available under CC BY-SA 4.0", "under the terms of the 3-clause BSD", "subject to the terms and conditions of the GNU Lesser General Public License 2.1", "an MIT-style license",
+    ]
+    assert labels(spark, said) == [["apache"], ["mit"], ["gpl"], ["python"], ["curl"], ["json"], ["epl"], ["proprietary"], ["cc-by-sa"], ["bsd-3"], ["lgpl"], ["mit"]]
