@@ -14,6 +14,9 @@ STOP_WORDS = (
     "el", "los", "las", "y", "del", "se", "por", "con", "no", "una", "su", "para", "al", "lo", "como", "es",
 )
 
+#: Letters of those languages, and what is counted among the signs that are no white space.
+LATIN = r"\p{IsLatin}"
+
 #: (rule, measure, what it is divided by, a document fails when the ratio is ..., threshold); measures are columns of
 #: ``measured``. A ratio over nothing passes.
 RULES: tuple[tuple[str, str, str | None, str, float], ...] = (
@@ -26,15 +29,20 @@ RULES: tuple[tuple[str, str, str | None, str, float], ...] = (
     ("bullets", "n_pipes", "n_words", ">", 0.2),
     ("shouting", "n_upper", "word_chars", ">", 0.5),
     ("exclaims", "n_exclaims", "n_words", ">", 0.5),
-    ("stop_words", "n_stop_words", "n_words", "<", 0.01),
+    ("stop_words", "n_stop_words", "n_stop_base", "<", 0.01),
     ("stutter", "n_stutter", "n_words", ">", 0.5),
 )
 
 
 @names_kept
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add the measures of every whole text. Word windows are compared by 64-bit hashes within one text."""
-    own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_pipes", "n_upper", "n_exclaims", "n_stop_words", "n_stutter"]
+    """Add the measures of every whole text. Word windows are compared by 64-bit hashes within one text.
+
+    ``n_stop_base`` are the words among which function words are expected: all, but none in a text in which Latin letters
+    are fewer than half of what is no white space, for the function words are of languages written in them. The letters
+    are counted only where function words are few.
+    """
+    own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_pipes", "n_upper", "n_exclaims", "n_stop_words", "n_stop_base", "n_stutter"]
     clash = [c for c in docs.columns if c in own]
     body = F.coalesce(F.col(text), F.lit(""))
     df = docs.drop(*clash).withColumn("__t", body).withColumn("__w", F.array_remove(F.split("__t", SPACE), ""))
@@ -61,6 +69,8 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_stop_words": size(F.filter("__w", lambda w: F.lower(w).isin(*STOP_WORDS))),
         "n_stutter": size(F.filter("__w", lambda w, i: w == F.get("__w", i - 1))),
     })
+    latin = (F.length("__t") - F.length(F.regexp_replace("__t", LATIN, ""))).cast("long")
+    df = df.withColumn("n_stop_base", F.when(100 * F.col("n_stop_words") >= F.col("n_words"), F.col("n_words")).when(2 * latin >= F.col("word_chars"), F.col("n_words")).otherwise(F.lit(0).cast("long")))
     return df.drop("__t", "__w", "__h", "__l", "__s", "__p")
 
 
@@ -111,6 +121,7 @@ cov AS (SELECT rid, sum(least(8, coalesce(n - i, 8))) AS n FROM (SELECT rid, i,
 m AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, {_LEFT.format('[#*$%&|<>]')} AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
   coalesce(cov.n, 0) AS n_repeat_words, len(l) AS n_lines, {_LEFT.format('[|]')} AS n_pipes, {_LEFT.format('[[:upper:]]').replace('[[:upper:]]', chr(92) + 'p{Lu}')} AS n_upper, {_LEFT.format('!!')} AS n_exclaims,
   len(list_filter(w, lambda x: lower(x) IN ({", ".join(f"'{x}'" for x in sorted(set(STOP_WORDS)))}))) AS n_stop_words,
+  CASE WHEN 2 * ({_LEFT.format('[[:latin:]]').replace('[[:latin:]]', chr(92) + 'p{Latin}')}) >= length(array_to_string(w, '')) THEN len(w) ELSE 0 END AS n_stop_base,
   len(list_filter(w, lambda x, i: i > 1 AND x = w[i - 1])) AS n_stutter
   FROM w LEFT JOIN cov USING (rid)),
 r AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {_rules_sql()} AS f FROM m)

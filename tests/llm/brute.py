@@ -8,6 +8,7 @@ import re
 import struct
 from collections import Counter, defaultdict
 
+import regex
 import xxhash
 
 from memlake.llm import line_dedup as ld, mixing as mx
@@ -29,7 +30,7 @@ def quality(text):
     chars = sum(map(len, w))
     return not (
         len(re.findall(r"[#*$%&|<>]", text)) > 0.5 * n or chars < 2 * n or chars > 20 * n or len(lines) - len(set(lines)) > 0.5 * len(lines) or text.count("|") > 0.2 * n
-        or sum(ch.isupper() for ch in text) > 0.5 * chars or len(re.findall("!!", text)) * 2 > 0.5 * n or sum(x.lower() in STOP_WORDS for x in w) < 0.01 * n or sum(a == b for a, b in zip(w, w[1:])) > 0.5 * n
+        or sum(ch.isupper() for ch in text) > 0.5 * chars or len(re.findall("!!", text)) * 2 > 0.5 * n or (sum(x.lower() in STOP_WORDS for x in w) < 0.01 * n and 2 * len(regex.findall(r"\p{Script=Latin}", text)) >= chars) or sum(a == b for a, b in zip(w, w[1:])) > 0.5 * n
     )
 
 

@@ -39,3 +39,12 @@ def test_verdicts(spark):
     got = {r["doc_id"]: r["kept"] for r in apply_rules(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
     assert got == {"clean": True, "short": False, "shout": False, "bullets": False, "symbols": False, "stutter": False}
     assert apply_rules(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_function_words_are_asked_of_their_languages_only(spark):
+    rng = random.Random(3)
+    made = lambda letters, n=40: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(n))
+    russian, chinese, noise = made("абвгдежзиклмнопрст"), made("的一是不了人我在有他这为之大来"), made("bcdfghjkl")
+    rows = [("russian", russian), ("chinese", chinese), ("names", russian + " Spark Hadoop"), ("noise", noise), ("mostly noise", noise + " " + made("абвг", 10)), ("french", "le chat et la souris " + noise), ("empty", "")]
+    got = {r["doc_id"]: (r["fails_stop_words"], r["kept"]) for r in apply_rules(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {"russian": (False, True), "chinese": (False, True), "names": (False, True), "noise": (True, False), "mostly noise": (True, False), "french": (False, True), "empty": (False, False)}
