@@ -57,8 +57,9 @@ def classify(rows: DataFrame, classifier: Callable[[list[dict]], dict], batch: i
     return rows.mapInPandas(run, f"entry_id {rows.schema['entry_id'].dataType.simpleString()}, context_type string")
 
 
-def extract(prompts: DataFrame, extractor: Callable[[str], str], parallel: int = 8) -> DataFrame:
-    """``prompts`` (conv_id, prompt) with the model's answer, null where it failed."""
+def extract(prompts: DataFrame, extractor: Callable[[str], str], parallel: int | None = None) -> DataFrame:
+    """``prompts`` (conv_id, prompt) with the model's answer, null where it failed. ``parallel`` bounds how many calls go
+    out at once; without it there are as many as tasks that run."""
     def one(p: str):
         try:
             return extractor(p)
@@ -69,4 +70,5 @@ def extract(prompts: DataFrame, extractor: Callable[[str], str], parallel: int =
         for f in frames:
             yield f.assign(answer=[one(p) for p in f["prompt"]])
 
-    return prompts.repartition(parallel).mapInPandas(run, "conv_id long, prompt string, answer string".replace("conv_id long", f"conv_id {prompts.schema['conv_id'].dataType.simpleString()}"))
+    spread = prompts if parallel is None else prompts.repartition(parallel)
+    return spread.mapInPandas(run, "conv_id long, prompt string, answer string".replace("conv_id long", f"conv_id {prompts.schema['conv_id'].dataType.simpleString()}"))

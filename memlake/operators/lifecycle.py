@@ -88,30 +88,33 @@ def _live(entries: DataFrame) -> DataFrame:
     return entries.where(~F.coalesce("archived", F.lit(False)) & ~((F.col("entry_type") == "knowledge") & F.coalesce(F.col("state") == "deprecated", F.lit(False))))
 
 
-def ranked(entries: DataFrame) -> DataFrame:
-    """Live entries with their place by type: tier, salience, last change, id."""
-    order = W.partitionBy("entry_type").orderBy("tier", F.col("salience").desc(), F.col("updated_at").desc_nulls_last(), "entry_id")
-    return _live(entries).withColumn("place", F.row_number().over(order))
+def first_places(rows: DataFrame, order: list[Column], topics: int, projects: int) -> DataFrame:
+    """The first topics and projects of ``rows`` in that order, with their place by type. Each kind is a sorted limit, of
+    which every task keeps its own best rows only; places are then given to those few."""
+    best = rows.where("entry_type <> 'project'").orderBy(*order).limit(topics).unionByName(rows.where("entry_type = 'project'").orderBy(*order).limit(projects))
+    return best.withColumn("place", F.row_number().over(W.partitionBy("entry_type").orderBy(*order)))
+
+
+def ranked(entries: DataFrame, topics: int = P.TOPIC_CAP, projects: int = P.PROJECT_CAP) -> DataFrame:
+    """The first live topics and projects, with their place: tier, salience, last change, id."""
+    order = [F.asc("tier"), F.desc("salience"), F.desc_nulls_last("updated_at"), F.asc("entry_id")]
+    return first_places(_live(entries), order, topics, projects)
 
 
 def thin_index(entries: DataFrame, topics: int = P.TOPIC_CAP, projects: int = P.PROJECT_CAP) -> DataFrame:
-    """The first topics and projects, summaries cut to 80. Each kind is a sorted limit, of which every task keeps its
-    own best rows only; places are then given to those few."""
-    live = _live(entries)
-    order = ["tier", F.col("salience").desc(), F.col("updated_at").desc_nulls_last(), "entry_id"]
-    best = live.where("entry_type <> 'project'").orderBy(*order).limit(topics).unionByName(live.where("entry_type = 'project'").orderBy(*order).limit(projects))
-    df = best.withColumn("place", F.row_number().over(W.partitionBy("entry_type").orderBy(*order)))
+    """The ranked entries, summaries cut to 80."""
     state = F.when(F.col("state").isin("active", "contested", "stale"), F.col("state")).otherwise("active")
-    return df.select("entry_id", "entry_type", "place", "tier", "salience", shortened(F.col("narrative"), 80).alias("summary"), state.alias("state"), "label")
+    return ranked(entries, topics, projects).select("entry_id", "entry_type", "place", "tier", "salience", shortened(F.col("narrative"), 80).alias("summary"), state.alias("state"), "label")
 
 
 def patched_index(index: DataFrame, changed: DataFrame, topics: int = P.TOPIC_CAP, projects: int = P.PROJECT_CAP) -> DataFrame:
-    """The index with ``changed`` entries replaced or put in, ranked and capped anew."""
+    """The index with ``changed`` entries replaced or put in, ranked and capped anew. Entries that are archived, and
+    topics that are deprecated, leave it. The index holds no time of change, so of equal tiers and salience the smaller id
+    stands first. What falls out of a full index is not known to it: rebuild where many entries leave."""
     old = index.join(changed.select("entry_id").distinct(), "entry_id", "left_anti")
-    new = changed.where("not coalesce(archived, false)").select(*[c for c in index.columns if c != "place"])
-    both = old.drop("place").unionByName(new)
-    order = W.partitionBy("entry_type").orderBy("tier", F.col("salience").desc(), "entry_id")
-    return both.withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.when(F.col("entry_type") == "project", projects).otherwise(topics)).select(*index.columns)
+    new = _live(changed).select(*[c for c in index.columns if c != "place"])
+    order = [F.asc("tier"), F.desc("salience"), F.asc("entry_id")]
+    return first_places(old.drop("place").unionByName(new), order, topics, projects).select(*index.columns)
 
 
 def budgeted(index: DataFrame, budget: int, floor: int = 100, keep: float = 0.8) -> DataFrame:

@@ -80,7 +80,7 @@ def summary(told: Column, most: int = 160) -> Column:
 
 def compact_index(entries: DataFrame, topics: int = P.TOPIC_CAP, projects: int = P.PROJECT_CAP) -> DataFrame:
     """The ranked index as a client gets it: texts cut, dates as days, a missing tier as the last one."""
-    top = lifecycle.ranked(entries).where(F.col("place") <= F.when(F.col("entry_type") == "project", projects).otherwise(topics))
+    top = lifecycle.ranked(entries, topics, projects)
     project = F.col("entry_type") == "project"
     told = F.when(project, F.substring(F.coalesce("narrative", F.lit("")), 1, PROJECT_GOAL)).otherwise(F.substring(F.coalesce("narrative", F.lit("")), 1, TOPIC_SUMMARY))
     return top.select(

@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from memlake.operators import lifecycle, replay
+from memlake.operators import lifecycle, replay, views
 
 ENTRY = "entry_id string, entry_type string, label string, narrative string, confidence string"
 
@@ -78,3 +78,51 @@ def test_budgeted_index_equals_the_loop(spark):
             t, p, e, short, over = budget_loop(lists, budget)
             assert tuple(got) == (t, p, e, short, over) or (sum(got[:3]) == t + p + e == 0)
         df.unpersist()
+
+
+INDEXED = "entry_id string, entry_type string, tier int, salience double, updated_at string, narrative string, state string, label string, archived boolean"
+
+
+def indexed(spark, n, rng):
+    rows = [(f"e{i:04}", rng.choice(["knowledge", "project"]), rng.randint(1, 3), rng.choice([0.1, 0.5, 0.9]), rng.choice([None, "2024", "2025"]), f"text {i}", rng.choice(["active", "deprecated", None]), f"l{i}", rng.choice([None, False, True])) for i in range(n)]
+    return rows, spark.createDataFrame(rows, INDEXED)
+
+
+def first_by_hand(rows, topics, projects, timed=True):
+    """Entry ids by place, of live rows in the stated order."""
+    live = [r for r in rows if not r[8] and not (r[1] == "knowledge" and r[6] == "deprecated")]
+    live.sort(key=lambda r: r[0])
+    if timed:
+        live.sort(key=lambda r: r[4] or "", reverse=True)
+    live.sort(key=lambda r: (r[2], -r[3]))
+    return {kind: [r[0] for r in live if r[1] == kind][:most] for kind, most in (("knowledge", topics), ("project", projects))}
+
+
+def places(df):
+    rows = sorted(df.collect(), key=lambda r: r["place"])
+    assert all([r["place"] for r in rows if r["entry_type"] == kind] == list(range(1, sum(r["entry_type"] == kind for r in rows) + 1)) for kind in ("knowledge", "project"))
+    return {kind: [r["entry_id"] for r in rows if r["entry_type"] == kind] for kind in ("knowledge", "project")}
+
+
+def test_indexes_rank_by_sorted_limits(spark):
+    rng = random.Random(8)
+    rows, df = indexed(spark, 120, rng)
+    wide = df.withColumns({"phase": F.lit("p"), "last_seen": F.lit("2024-01-01").cast("timestamp"), "context_type": F.lit("task_query"), "mention_count": F.lit(1)})
+    want = first_by_hand(rows, 7, 5)
+    assert places(lifecycle.thin_index(df, 7, 5)) == places(views.compact_index(wide, 7, 5)) == want
+    for made in (lifecycle.thin_index(df, 7, 5), views.compact_index(wide, 7, 5)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("TakeOrderedAndProject") == 2
+    assert lifecycle.thin_index(df.limit(0)).count() == 0
+
+
+def test_patched_index_replaces_and_drops(spark):
+    rng = random.Random(9)
+    rows, df = indexed(spark, 90, rng)
+    rows = [r for r in rows if not r[8] and r[6] == "active"]
+    index = lifecycle.thin_index(spark.createDataFrame(rows, INDEXED), 100, 50)
+    changed = [(r[0], r[1], rng.randint(1, 3), 0.7, r[4], r[5], rng.choice(["active", "deprecated"]), r[7], rng.choice([False, True, None])) for r in rows[::3]] + [("new", "knowledge", 1, 0.95, None, "n", "active", "l", None)]
+    patch = spark.createDataFrame(changed, INDEXED).withColumnRenamed("narrative", "summary")
+    told = {r[0]: r for r in rows} | {r[0]: r for r in changed}
+    got = lifecycle.patched_index(index, patch, 6, 4)
+    assert got.columns == index.columns and places(got) == first_by_hand(list(told.values()), 6, 4, timed=False)
