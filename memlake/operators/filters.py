@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 # Phrases that mark what a conversation is worth, as lower-case regular expressions between word borders.
 DECISION = (
@@ -41,26 +41,58 @@ def phrase(words: tuple[str, ...]) -> str:
     return EDGE.replace("WORDS", "|".join(words))
 
 
+def _neighbours(turns: DataFrame, reach: int) -> DataFrame:
+    """Each turn with what of the turns before a phrase of fewer than ``reach`` signs could begin in: of all turns (``t``)
+    and of the user's (``u``), else the turn alone. A turn adds at least the space before the next, so no more than
+    ``reach`` turns are looked back at, and of each no more than its last ``reach`` signs."""
+    order = ("turn", "role", "x")
+    side = W.partitionBy("conv_id", "by_user").orderBy(*order)
+    whole = W.partitionBy("conv_id").orderBy(*order)
+
+    def led(w) -> Column:
+        # The sign before hides where the text was cut, so that no phrase begins there.
+        before = F.array_join(F.collect_list(F.right("x", F.lit(reach))).over(w.rowsBetween(-reach, -1)), " ")
+        return F.concat(F.lit("_"), F.right(F.concat(F.lit(" "), before), F.lit(reach)), F.lit(" "), F.col("x"))
+
+    before = whole.rowsBetween(W.unboundedPreceding, -1)
+    filled = F.col("x").rlike(r"\S")
+    ends = lambda rx: F.coalesce(F.last(F.when(filled, F.col("x").rlike(rx + r"\s*\z")), True).over(before), F.lit(False))
+    x = F.lower(F.coalesce("text", F.lit("")))
+    df = turns.select("conv_id", "turn", "role", x.alias("x"), F.coalesce(F.col("role") == "user", F.lit(False)).alias("by_user")).repartition("conv_id")
+    return df.withColumn("u", F.when(F.col("by_user"), led(side))).withColumns({
+        "t": led(whole), "place": F.row_number().over(whole), "last": F.lead(F.lit(1), 3).over(whole).isNull(),
+        "after_word": ends(r"[\p{L}\p{N}_]"), "after_path": ends(r"[a-z0-9_-]/[a-z0-9_-]+"),
+    })
+
+
 def scored(turns: DataFrame, threshold: int = THRESHOLD, projects: tuple[str, ...] = ()) -> DataFrame:
     """One row a conversation of (conv_id, turn, role, text): signals, value_score, decision and skip_reason. Kept and
-    skipped conversations both stay. One shuffle by conversation; texts are joined in order of turn. ``projects`` are
-    names, in lower case, that count as a reference to a project besides the general pattern."""
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text"))))
-    df = turns.groupBy("conv_id").agg(ordered.alias("m"))
-    df = df.select(
-        "conv_id", "m", F.lower(F.array_join(F.transform("m", lambda x: x["text"]), " ")).alias("t"),
-        F.lower(F.array_join(F.transform(F.filter("m", lambda x: x["role"] == "user"), lambda x: x["text"]), " ")).alias("u"),
-        F.slice("m", F.greatest(F.size("m") - 2, F.lit(1)), F.lit(3)).alias("last"),
+    skipped conversations both stay. ``projects`` are names, in lower case, that count as a reference to a project besides
+    the general pattern.
+
+    Signals are those of a conversation's texts joined by spaces in order of turn (ties: role, then text; a null text is
+    empty), but a conversation is never joined: it streams through its task in order, each turn is looked at with as much
+    of those before as a phrase could begin in, and what the turns show is added up. Only the last three turns, and the
+    first five, for a rule about conversations under six, are held. One shuffle by conversation."""
+    fixed = [p for words in (DECISION, LEARNING, CONCLUSION, TROUBLE, META) for alternatives in words for p in alternatives.split("|")]
+    df = _neighbours(turns, max(map(len, [*fixed, *projects])) + 1)
+    has = lambda c, words: F.coalesce(F.bool_or(F.col(c).rlike(phrase(words))), F.lit(False))
+    count = lambda role: F.count_if(F.col("role") == role)
+    held = lambda condition: F.sort_array(F.collect_list(F.when(condition, F.struct("place", "role", "x"))))
+    # A name and the word that tells its kind may stand in two turns, with blank ones between.
+    led_project = F.col("after_word") & F.col("x").rlike(r"^\s*(?:project|repo|repository|codebase)(?:\z|[^\p{L}\p{N}_])")
+    led_repository = F.col("after_path") & F.col("x").rlike(r"^\s*repo")
+    df = df.groupBy("conv_id").agg(
+        F.count(F.lit(1)).cast("int").alias("n_messages"), F.least(count("user"), count("assistant")).cast("int").alias("exchanges"), F.bool_or(F.col("x").contains("```")).alias("has_code"),
+        has("t", DECISION).alias("decided"), has("u", LEARNING).alias("learned"), (has("t", PROJECT + projects) | F.bool_or(led_project)).alias("project"),
+        F.bool_or(F.col("x").rlike(REPOSITORY) | led_repository).alias("repository"), has("t", TROUBLE).alias("troubled"), has("t", CONCLUSION).alias("ever_concluded"), has("t", META).alias("about"),
+        held(F.col("last")).alias("end"), held(F.col("place") <= 5).alias("start"),
     )
-    df = df.withColumn("l", F.lower(F.array_join(F.transform("last", lambda x: x["text"]), " ")))
-    has = lambda c, words: F.col(c).rlike(phrase(words))
-    count = lambda role: F.size(F.filter("m", lambda x: x["role"] == role))
+    joined = lambda c: F.array_join(F.transform(c, lambda m: m["x"]), " ")
     df = df.withColumns({
-        "n_messages": F.size("m"), "exchanges": F.least(count("user"), count("assistant")), "has_code": F.col("t").contains("```"), "decided": has("t", DECISION),
-        "learned": has("u", LEARNING), "project": has("t", PROJECT + projects), "repository": F.col("t").rlike(REPOSITORY), "concluded": has("l", CONCLUSION),
-        "trouble": has("t", TROUBLE) & ~has("t", DECISION) & ~has("t", CONCLUSION),
-        "meta": has("t", META) & (F.regexp_count("t", F.lit(phrase(AI_WORDS))) > 3) & (F.size("m") < 6),
-        "abandoned": (F.size("m") >= 3) & F.forall("last", lambda x: F.coalesce(x["role"] == "assistant", F.lit(False))),
+        "concluded": joined("end").rlike(phrase(CONCLUSION)), "trouble": F.col("troubled") & ~F.col("decided") & ~F.col("ever_concluded"),
+        "meta": F.col("about") & (F.col("n_messages") < 6) & (F.regexp_count(joined("start"), F.lit(phrase(AI_WORDS))) > 3),
+        "abandoned": (F.col("n_messages") >= 3) & F.forall("end", lambda m: F.coalesce(m["role"] == "assistant", F.lit(False))),
     })
     points = (("has_code", 3), ("decided", 3), ("learned", 2), ("project", 2), ("repository", 2), ("concluded", 2), ("trouble", -2), ("meta", -3), ("abandoned", -2))
     score = F.least(F.floor(F.col("exchanges") / 5), F.lit(3)).cast("int")
@@ -69,7 +101,7 @@ def scored(turns: DataFrame, threshold: int = THRESHOLD, projects: tuple[str, ..
     df = df.withColumn("value_score", score).withColumn("decision", F.when(F.col("value_score") >= threshold, "keep").otherwise("skip"))
     reason = F.when(F.col("decision") == "keep", None).when(F.col("trouble"), "pure_troubleshooting").when(F.col("meta"), "meta_about_ai").when(F.col("abandoned"), "abandoned_thread")
     df = df.withColumn("skip_reason", reason.when(F.col("value_score") <= 0, "no_value_signals").otherwise("below_threshold"))
-    return df.drop("m", "t", "u", "l", "last")
+    return df.drop("troubled", "ever_concluded", "about", "end", "start")
 
 
 def score_distribution(scores: DataFrame) -> DataFrame:
