@@ -45,22 +45,22 @@ def _neighbours(turns: DataFrame, reach: int) -> DataFrame:
     """Each turn with what of the turns before a phrase of fewer than ``reach`` signs could begin in: of all turns (``t``)
     and of the user's (``u``), else the turn alone. A turn adds at least the space before the next, so no more than
     ``reach`` turns are looked back at, and of each no more than its last ``reach`` signs."""
-    order = ("turn", "role", "x")
+    x = F.lower("said")
+    order = ("turn", "role", "said")
     side = W.partitionBy("conv_id", "by_user").orderBy(*order)
     whole = W.partitionBy("conv_id").orderBy(*order)
 
     def led(w) -> Column:
         # The sign before hides where the text was cut, so that no phrase begins there.
-        before = F.array_join(F.collect_list(F.right("x", F.lit(reach))).over(w.rowsBetween(-reach, -1)), " ")
-        return F.concat(F.lit("_"), F.right(F.concat(F.lit(" "), before), F.lit(reach)), F.lit(" "), F.col("x"))
+        before = F.array_join(F.collect_list(F.right(x, F.lit(reach))).over(w.rowsBetween(-reach, -1)), " ")
+        return F.concat(F.lit("_"), F.right(F.concat(F.lit(" "), before), F.lit(reach)), F.lit(" "), x)
 
     before = whole.rowsBetween(W.unboundedPreceding, -1)
-    filled = F.col("x").rlike(r"\S")
-    ends = lambda rx: F.coalesce(F.last(F.when(filled, F.col("x").rlike(rx + r"\s*\z")), True).over(before), F.lit(False))
-    x = F.lower(F.coalesce("text", F.lit("")))
-    df = turns.select("conv_id", "turn", "role", x.alias("x"), F.coalesce(F.col("role") == "user", F.lit(False)).alias("by_user")).repartition("conv_id")
+    ends = lambda rx: F.coalesce(F.last(F.when(x.rlike(r"\S"), x.rlike(rx + r"\s*\z")), True).over(before), F.lit(False))
+    by_user = F.coalesce(F.col("role") == "user", F.lit(False))
+    df = turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("said"), by_user.alias("by_user")).repartition("conv_id")
     return df.withColumn("u", F.when(F.col("by_user"), led(side))).withColumns({
-        "t": led(whole), "place": F.row_number().over(whole), "last": F.lead(F.lit(1), 3).over(whole).isNull(),
+        "t": led(whole), "x": x, "place": F.row_number().over(whole), "last": F.lead(F.lit(1), 3).over(whole).isNull(),
         "after_word": ends(r"[\p{L}\p{N}_]"), "after_path": ends(r"[a-z0-9_-]/[a-z0-9_-]+"),
     })
 
@@ -82,9 +82,10 @@ def scored(turns: DataFrame, threshold: int = THRESHOLD, projects: tuple[str, ..
     # A name and the word that tells its kind may stand in two turns, with blank ones between.
     led_project = F.col("after_word") & F.col("x").rlike(r"^\s*(?:project|repo|repository|codebase)(?:\z|[^\p{L}\p{N}_])")
     led_repository = F.col("after_path") & F.col("x").rlike(r"^\s*repo")
+    named = has("t", projects) if projects else F.lit(False)
     df = df.groupBy("conv_id").agg(
         F.count(F.lit(1)).cast("int").alias("n_messages"), F.least(count("user"), count("assistant")).cast("int").alias("exchanges"), F.bool_or(F.col("x").contains("```")).alias("has_code"),
-        has("t", DECISION).alias("decided"), has("u", LEARNING).alias("learned"), (has("t", PROJECT + projects) | F.bool_or(led_project)).alias("project"),
+        has("t", DECISION).alias("decided"), has("u", LEARNING).alias("learned"), (has("x", PROJECT) | F.bool_or(led_project) | named).alias("project"),
         F.bool_or(F.col("x").rlike(REPOSITORY) | led_repository).alias("repository"), has("t", TROUBLE).alias("troubled"), has("t", CONCLUSION).alias("ever_concluded"), has("t", META).alias("about"),
         held(F.col("last")).alias("end"), held(F.col("place") <= 5).alias("start"),
     )

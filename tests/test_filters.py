@@ -69,8 +69,8 @@ def test_nulls_and_empty_tables(spark):
 
 
 def test_no_conversation_is_gathered(spark):
-    """A conversation of 2 * 10^5 turns: one shuffle by conversation, and rows of bounded size."""
-    df = spark.range(200_000).selectExpr("1 conv_id", "id turn", "case when id % 2 = 0 then 'user' else 'assistant' end role", "case when id = 100000 then 'so I' when id = 100001 then 'decided' else repeat('y ', 100) end text")
+    """A conversation of 4 * 10^4 turns: one shuffle by conversation, and rows of bounded size."""
+    df = spark.range(40_000).selectExpr("id div 1000000 conv_id", "id turn", "case when id % 2 = 0 then 'user' else 'assistant' end role", "case when id = 20000 then 'so I' when id = 20001 then 'decided' else repeat('y ', 100) end text")
     got = filters.scored(df)
-    assert [(r["n_messages"], r["exchanges"], r["decided"], r["value_score"]) for r in got.collect()] == [(200_000, 100_000, True, 6)]
+    assert [(r["n_messages"], r["exchanges"], r["decided"], r["value_score"]) for r in got.collect()] == [(40_000, 20_000, True, 6)]
     assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
