@@ -9,6 +9,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from memlake.functions.scoring import cosine, filled, tokens
+from memlake.plans.pieces import meetings
 from memlake.plans.tables import stored
 
 
@@ -129,18 +130,19 @@ def matches(new: DataFrame, old: DataFrame, near: float = 0.85, pairs: int = PAI
 
 def project_matches(new: DataFrame, old: DataFrame) -> DataFrame:
     """(new_id, old_id) of projects (entry_id, label) whose names are equal or one holds the other, in any case; the
-    stored one of least id. Names that hold one another share the shorter one's first three signs somewhere, so names
-    meet on those; names under three signs only on equality; empty names match nothing."""
-    name = F.lower(F.trim(F.coalesce("label", F.lit(""))))
-
-    def grams(side: str, df: DataFrame) -> DataFrame:
-        df = df.select(F.col("entry_id").alias(f"{side}_id"), name.alias(f"{side}_name")).where(F.col(f"{side}_name") != "")
-        all_of = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(f"{side}_name") - 2)), lambda i: F.substr(F.col(f"{side}_name"), i, F.lit(3)))
-        return df.withColumn("gram", F.explode(F.array_distinct(all_of))).withColumn(f"{side}_first", F.substring(f"{side}_name", 1, 3) == F.col("gram"))
+    stored one of least id. Names under three signs match on equality only; empty names match nothing.
 
-    a, b = grams("new", new), grams("old", old)
-    met = a.join(b, "gram").where("new_first or old_first").where("contains(new_name, old_name) or contains(old_name, new_name)")
-    return met.groupBy("new_id").agg(F.min("old_id").alias("old_id"))
+    Names are compared, not entries, so a name that many projects share is one row. What holds a name holds all of its
+    three-sign pieces, so each name meets others by the one of its pieces that the fewest of them hold."""
+    name = F.lower(F.trim(F.coalesce("label", F.lit(""))))
+    a = stored(new.select(F.col("entry_id").alias("new_id"), name.alias("name")).where("name <> ''"), "project-names-new")
+    b = stored(old.groupBy(name.alias("name")).agg(F.min("entry_id").alias("old_id")).where("name <> ''"), "project-names-old")
+    asked = a.select("name").distinct()
+    within = meetings(asked.select("name"), b.select("name"))
+    around = meetings(b.select("name"), asked).select(F.col("held").alias("name"), F.col("name").alias("held"))
+    same = asked.select("name", F.col("name").alias("held"))
+    met = within.unionByName(around).unionByName(same).join(b.withColumnRenamed("name", "held"), "held").groupBy("name").agg(F.min("old_id").alias("old_id"))
+    return a.join(met, "name").select("new_id", "old_id")
 
 
 def action(similarity: Column, update: float = 0.85, evolve: float = 0.5) -> Column:
@@ -183,14 +185,6 @@ def applied(old: DataFrame, new: DataFrame, log: DataFrame) -> DataFrame:
     return kept.unionByName(made.select(*old.columns))
 
 
-def compressed(entries: DataFrame) -> DataFrame:
-    """The short form: view of 200, three insights of 150, evolution as one record of the first and last view."""
-    e = F.col("evolution")
-    one = F.when(F.size(e) > 1, F.array(F.struct(F.concat(F.size(e).cast("string"), F.lit(" stages")).alias("delta"), e[0]["trigger"].alias("trigger"), e[0]["from_view"].alias("from_view"), F.element_at(e, -1)["to_view"].alias("to_view")))).otherwise(e)
-    short = F.transform(F.slice("insights", 1, 3), lambda i: F.struct(F.substring(i["insight"], 1, 150).alias("insight"), i["snippet"].alias("snippet")))
-    return entries.withColumns({"view": F.substring("view", 1, 200), "insights": short, "evolution": one, "detail_level": F.lit("compressed")})
-
-
 def mention_links(entries: DataFrame, repos: DataFrame) -> DataFrame:
     """Entries linked to repositories whose name stands in their view as a word, with confidence 1."""
     words = entries.select("entry_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("view"), F.lit("[a-z0-9_.-]+"), F.lit(0)))).alias("repo"))

@@ -6,8 +6,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from memlake.plans.tables import stored
 from memlake.functions.scoring import comparable, final_score, recency, search_tier, source_weight
+from memlake.plans.pieces import pieces, rarest
+from memlake.plans.tables import stored
 
 HIT = "query_id long, vec_id long, similarity double"
 
@@ -98,21 +99,21 @@ def label_match(asked: Column, label: Column) -> Column:
     return F.when(a == b, 1).when(b.contains(a), 2).when(inside, 3)
 
 
-def _gram(said: Column, n: int):
-    return lambda i: F.substr(said, i, F.lit(n))
-
-
 def labels_matching(asked: DataFrame, labels: DataFrame) -> DataFrame:
-    """(item_id, doc_id, rank) of questions (item_id, asked) and labels (doc_id, label) that ``label_match``. Every word
-    asked for stands in the label, so a question meets labels by an equi-join on the first three signs of its longest
-    word, which a label has at some place; a question without words meets every label of its own text only."""
-    words = F.split(comparable(F.col("asked")), " ")
-    longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    questions = asked.withColumn("__g", F.substring(longest, 1, 3))
-    sizes = [r["n"] for r in questions.groupBy(F.length("__g").alias("n")).count().orderBy("n").collect()]
-    said = comparable(F.col("label"))
-    # At most four lengths: of nothing, of one sign, two or three.
-    grams = F.concat(*[F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(said) - n + 1)), _gram(said, n)) for n in sizes]) if sizes else F.array().cast("array<string>")
-    parts = labels.withColumn("__g", F.explode(F.array_distinct(grams)))
-    found = parts.join(questions, "__g").withColumn("rank", label_match(F.col("asked"), F.col("label")))
-    return found.where("rank is not null").select("item_id", "doc_id", "rank")
+    """(item_id, doc_id, rank) of questions (item_id, asked) and labels (doc_id, label) that ``label_match``; a question
+    without words meets labels without words only.
+
+    Questions and labels are compared as comparable texts, each once however many rows have it. Every word asked for
+    stands in the label, so a question meets labels by that piece of its words, of three signs or as many as its longest
+    word has, that the fewest labels hold."""
+    questions = stored(asked.select("item_id", comparable(F.col("asked")).alias("q")), "questions")
+    said = stored(labels.select("doc_id", comparable(F.col("label")).alias("l")), "labels")
+    all_of = lambda text: F.concat(pieces(text, 1), pieces(text, 2), pieces(text, 3))
+    words = F.split("q", " ")
+    longest = F.least(F.lit(3), F.array_max(F.transform(words, F.length)))
+    own = F.array_distinct(F.flatten(F.transform(words, all_of)))
+    mine = questions.select("q").distinct().where("q <> ''").select("q", F.explode(F.filter(own, lambda p: F.length(p) == longest)).alias("piece"))
+    held = said.select("l").distinct().select("l", F.explode(all_of(F.col("l"))).alias("piece"))
+    met = held.join(rarest(mine, held, "q"), "piece").withColumn("rank", label_match(F.col("q"), F.col("l"))).where("rank is not null").select("q", "l", "rank")
+    bare = questions.where("q = ''").select("q").distinct().select("q", F.col("q").alias("l"), F.lit(1).alias("rank"))
+    return questions.join(met.unionByName(bare), "q").join(said, "l").select("item_id", "doc_id", "rank")

@@ -28,10 +28,15 @@ def _folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/memlake/{spark.sparkContext.applicationId}"
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A folder of the application's own in the shared folder, that nothing else has."""
+    return f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: a cut in the lineage that outlives executors."""
     spark = df.sparkSession
-    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_folder(spark, name)
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
