@@ -69,9 +69,11 @@ def unprocessed(items: DataFrame, processed: DataFrame, key: str) -> DataFrame:
 
 
 def latest_run(runs: DataFrame) -> DataFrame:
-    """(kind, run): the last run that counts as such, and the last attempt."""
+    """(last_run, last_attempt): ids of the last run that counts as such and of the last at all; of equal times the
+    greater id."""
     good = F.col("set_as_latest") & ~F.col("status").isin("skipped_locked", "failed")
-    return runs.agg(F.max_by("run_id", F.when(good, F.col("run_at"))).alias("last_run"), F.max_by("run_id", "run_at").alias("last_attempt"))
+    at = F.struct("run_at", "run_id")
+    return runs.agg(F.max(F.when(good, at))["run_id"].alias("last_run"), F.max(at)["run_id"].alias("last_attempt"))
 
 
 def run_issues(runs: DataFrame, now, hour: int = 7, minute: int = 10, late_minutes: int = 60) -> DataFrame:

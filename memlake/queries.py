@@ -266,14 +266,14 @@ def _hashes(df: DataFrame) -> DataFrame:
     return df.groupBy("conv_id").agg(F.sha2(F.array_join(F.transform(said, lambda s: s["t"]), "|"), 256).alias("hash"))
 
 
-HASH_SQL = "SELECT conv_id, sha256(string_agg(substr(text, 1, 100), '|' ORDER BY turn)) AS hash FROM {} GROUP BY conv_id"
+HASH_SQL = "SELECT conv_id, sha256(string_agg(coalesce(sha256(text), ''), '|' ORDER BY turn)) AS hash FROM {} GROUP BY conv_id"
 
 
-@query(f"""WITH b AS ({HASH_SQL.format("(SELECT * FROM conversations WHERE conv_id % 7 <> 0)")}), a AS ({HASH_SQL.format("(SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 AND turn = 0 THEN 'edited' ELSE text END AS text FROM conversations WHERE conv_id % 11 <> 0)")})
+@query(f"""WITH b AS ({HASH_SQL.format("(SELECT * FROM conversations WHERE conv_id % 7 <> 0)")}), a AS ({HASH_SQL.format("(SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 AND turn = 0 THEN text || ' edited' ELSE text END AS text FROM conversations WHERE conv_id % 11 <> 0)")})
 SELECT conv_id, CASE WHEN b.hash IS NULL THEN 'new' WHEN a.hash IS NULL THEN 'deleted' WHEN a.hash <> b.hash THEN 'changed' ELSE 'unchanged' END AS change FROM b FULL JOIN a USING (conv_id)""")
 def change_detection(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
-    later = c.where("conv_id % 11 <> 0").withColumn("text", F.when((F.col("conv_id") % 5 == 0) & (F.col("turn") == 0), "edited").otherwise(F.col("text")))
+    later = c.where("conv_id % 11 <> 0").withColumn("text", F.when((F.col("conv_id") % 5 == 0) & (F.col("turn") == 0), F.concat("text", F.lit(" edited"))).otherwise(F.col("text")))
     return upkeep.changes(_hashes(c.where("conv_id % 7 <> 0")), _hashes(later))
 
 

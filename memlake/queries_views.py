@@ -279,13 +279,6 @@ def consolidated_entries(spark, sf_dir):
     return after.select("entry_id", F.col("mention_count").cast("long").alias("mention_count"), "access_count", F.array_join("sources", ",").alias("sources"), F.array_join("insights", "|").alias("insights"), "archived")
 
 
-@query(f"""{PAIRS_SQL}, x AS (SELECT a_id AS id FROM pairs WHERE reason IS NOT NULL UNION SELECT b_id FROM pairs WHERE reason IS NOT NULL)
-SELECT entry_id, CASE WHEN x.id IS NOT NULL THEN 'contested' ELSE state END AS state FROM entries LEFT JOIN x ON id = entry_id""")
-def contested_entries(spark, sf_dir):
-    e = raw_entries(spark, sf_dir)
-    return replay.marked(e, replay.view_pairs(e)).select("entry_id", "state")
-
-
 # ---------------------------------------------------------------- consolidation in order, whole budget
 
 CHAIN_SQL = f"""WITH {{E}}, d AS (SELECT entry_id, entry_type, archived, label, n_sources, mention_count, entry_id // 4 AS g, entry_id % 4 AS i FROM base),

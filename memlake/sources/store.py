@@ -92,9 +92,10 @@ def point_lookup(entries: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def by_key(entries: DataFrame, key: str) -> DataFrame:
-    """Secondary sets: ids by a field in lower case with underscores."""
+    """Secondary sets as rows (key, entry_id): ids by a field in lower case with underscores; unfilled fields have none.
+    A set may hold most of the store, so none is gathered."""
     name = F.replace(F.lower(F.col(key)), F.lit(" "), F.lit("_"))
-    return entries.groupBy(name.alias(key)).agg(F.array_sort(F.collect_set("entry_id")).alias("ids"))
+    return entries.select(name.alias(key), "entry_id").where(F.col(key) != "").distinct()
 
 
 def snapshot(tables: dict[str, DataFrame], root: str) -> None:

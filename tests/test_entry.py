@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from memlake import queries as own, queries_views
+from memlake import queries as own, queries_merge, queries_views
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
