@@ -12,6 +12,8 @@ ON = "aehinorst"
 LINE_END = rf"(?=[\x20\x09-\x0D])(?:(?<=[^\x20\x09-\x0D{ON}])|(?=\n))"
 #: Where a word ends within a line; each word has the white space before it.
 WORD_END = r"(?=[\x20\x09-\x0D])(?:(?<=[^\x20\x09-\x0D])|(?=\n))"
+#: The white space of both.
+SIGNS = " \t\n\x0b\x0c\r"
 #: A chunk of CHUNK lines begins at the least rolling hash (over two lines) of every WINDOW successive ones, so any
 #: WINDOW + CHUNK - 1 lines hold a whole chunk, whatever stands around them.
 WINDOW, CHUNK = 8, 3
@@ -41,19 +43,22 @@ def chunked(docs: DataFrame, text: str = "text") -> DataFrame:
         """The rolling hashes above their line numbers, so that a minimum tells its place; null after an equal line."""
         starts = F.slice(h, F.lit(1), F.greatest(F.size(h) - (CHUNK - 1), F.lit(0)))
         rolling = lambda x, i: F.shiftleft(F.xxhash64(x, F.get(h, i + 1)), 31) + i
-        return F.transform(starts, lambda x, i: F.when((i == 0) | (x != F.get(h, i - 1)), rolling(x, i)))
+        return F.transform(starts, lambda x, i: F.when(~x.eqNullSafe(F.get(h, i - 1)), rolling(x, i)))
 
     def least(m: Column, wide: int = 1) -> Column:
+        """The places of the least of every window. A window further on has its least no earlier, so equal ones are
+        neighbours and the places come in order."""
         if wide == WINDOW:
-            return F.array_sort(F.transform(F.array_compact(F.array_distinct(m)), lambda x: x.bitwiseAND(UNIT - 1).cast("int")))
+            return F.transform(F.filter(m, lambda x, i: x.isNotNull() & ~x.eqNullSafe(F.get(m, i - 1))), lambda x: x.bitwiseAND(UNIT - 1).cast("int"))
         step = min(wide, WINDOW - wide)
         return _let(F.zip_with(m, F.slice(m, F.lit(step + 1), F.size(m)), lambda x, y: F.least(x, y)), lambda w: least(w, wide + step))
 
-    def chunks(line: Column, e: Column) -> Column:
-        return F.transform(e, lambda s, i: F.struct(s.alias("s"), F.coalesce(F.get(e, i + 1) - s, F.lit(0)).alias("g"), F.xxhash64(_body(line, s)).alias("h")))
+    def chunks(h: Column, e: Column) -> Column:
+        """Where a line ends is told by its own signs and the next one, so chunks of equal bytes are of equal lines."""
+        return F.transform(e, lambda s, i: F.struct(s.alias("s"), F.coalesce(F.get(e, i + 1) - s, F.lit(0)).alias("g"), F.xxhash64(*[F.get(h, s + j) for j in range(CHUNK)]).alias("h")))
 
-    hashes = lambda line: F.transform(line, lambda x: F.xxhash64(x))
-    found = _let(_lines(F.col(text)), lambda line: _let(_let(_let(hashes(line), marked), lambda m: least(m)), lambda e: chunks(line, e)))
+    hashes = F.transform(_lines(F.col(text)), lambda x: F.xxhash64(x))
+    found = _let(hashes, lambda h: _let(_let(marked(h), lambda m: least(m)), lambda e: chunks(h, e)))
     return docs.select(F.col("__k").alias("k"), F.col("__t").alias("t"), F.explode(found).alias("c")).select("k", "t", "c.*")
 
 
@@ -72,14 +77,29 @@ def _words(line: Column) -> Column:
 
 
 def _bare(line: Column) -> Column:
-    return F.transform(_words(line), lambda w: F.ltrim(w, F.lit(" \t\n\x0b\x0c\r")))
+    return F.transform(_words(line), lambda w: F.ltrim(w, F.lit(SIGNS)))
+
+
+def _part(x: Column, y: Column, back: bool) -> Column:
+    """How many words two lines have in common at the beginning, or at the end, but for the white space before them; 0 for
+    null. Lines are taken apart only where their outermost signs, of white space any, are the same."""
+    sign = (lambda a: F.translate(F.substring(a, -1, 1), SIGNS, " " * len(SIGNS))) if back else (lambda a: F.substring(F.ltrim(a, F.lit(SIGNS)), 1, 1))
+    turn = F.reverse if back else (lambda a: a)
+    return F.when(sign(x) == sign(y), _run(turn(_bare(x)), turn(_bare(y)))).otherwise(F.lit(0))
 
 
 def _reach(values: Column, least: bool, by: int = 1) -> Column:
-    """Each value of an array becomes the least from its place on, or the greatest up to it. Those more than ``AROUND``
-    places away are no less, or no greater: every mark begins a line or more after the one before."""
+    """Each value of an array becomes the least from its place on, or the greatest up to it; of a sorted one it is that
+    already. Those more than ``AROUND`` places away are no less, or no greater: every mark begins a line or more after the
+    one before."""
     if by > AROUND:
         return values
+    if by == 1:
+        return _let(values, lambda v: F.when(F.sort_array(v) == v, v).otherwise(_reached(v, least, by)))
+    return _reached(values, least, by)
+
+
+def _reached(values: Column, least: bool, by: int) -> Column:
     best = F.least if least else F.greatest
     return _let(values, lambda v: _reach(F.transform(v, lambda x, i: best(x, F.get(v, i + by if least else i - by))), least, 2 * by))
 
@@ -115,7 +135,7 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", least: int =
     # Equal where both parts are equal or null; of one type in all tables, so that joins keep the partitions.
     kind = f"struct<k:{docs.schema['__k'].dataType.simpleString()},t:bigint>"
     doc = lambda k, t: F.struct(F.col(k).alias("k"), F.col(t).alias("t")).cast(kind)
-    marks = twice.groupBy(doc("k", "t").alias("d")).agg(F.array_sort(F.collect_set(F.struct("s", "g", "h", F.when(~itself, F.col("o")).alias("o")))).alias("r"))
+    marks = twice.groupBy(doc("k", "t").alias("d")).agg(F.sort_array(F.collect_set(F.struct("s", "g", "h", F.when(~itself, F.col("o")).alias("o")))).alias("r"))
 
     def follows(x: Column, y: Column) -> Column:
         a, b = x["o"], y["o"]
@@ -149,7 +169,7 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", least: int =
     bodies = bodies.select(F.bitwise_not("h").alias("u"), "body", "before", "after")
     got = away.select(F.col("d").alias("__g"), "s", "g", F.bitwise_not("h").alias("u"), "back", "forth").join(bodies, "u")
     after = F.when(F.col("forth"), F.col("after")).otherwise(F.slice("after", F.lit(1), F.greatest(F.col("g") - CHUNK, F.lit(0))))
-    got = got.groupBy("__g").agg(F.array_sort(F.collect_list(F.struct("s", "body", F.when(F.col("back"), F.col("before")).alias("before"), after.alias("after")))).alias("__p"))
+    got = got.groupBy("__g").agg(F.sort_array(F.collect_list(F.struct("s", "body", F.when(F.col("back"), F.col("before")).alias("before"), after.alias("after")))).alias("__p"))
     out = docs.join(got, F.col("__d") == F.col("__g"), "left")
     return _cut(out, text, least).select(*[quoted(c) for c in docs.columns if not c.startswith("__")], *own)
 
@@ -175,7 +195,8 @@ def _cut(out: DataFrame, text: str, least: int) -> DataFrame:
 
     def ends(p: Column) -> Column:
         """How many lines are equal on both sides, and the lines that come next."""
-        runs = F.struct(_run(p["before"], p["back"]).alias("b"), _run(p["after"], p["forth"]).alias("f"))
+        alike = lambda a, b: F.when(a == b, F.size(a)).otherwise(_run(a, b))
+        runs = F.struct(alike(p["before"], p["back"]).alias("b"), alike(p["after"], p["forth"]).alias("f"))
         return _let(runs, lambda r: F.struct(
             p["s"].alias("s"), r["b"].alias("b"), r["f"].alias("f"), F.get(p["before"], r["b"]).alias("there_b"), F.get(p["back"], r["b"]).alias("here_b"),
             F.get(p["after"], r["f"]).alias("there_f"), F.get(p["forth"], r["f"]).alias("here_f"),
@@ -183,9 +204,8 @@ def _cut(out: DataFrame, text: str, least: int) -> DataFrame:
 
     def span(p: Column) -> Column:
         """(b, e): the first line less the words before it, and the last line plus the words after it, in UNITs."""
-        part = lambda x, y, turn: F.when(x.isNotNull() & y.isNotNull(), _run(turn(_bare(x)), turn(_bare(y)))).otherwise(F.lit(0))
         top, end = p["s"].cast("long") - p["b"], p["s"].cast("long") + CHUNK - 1 + p["f"]
-        return F.struct((top * UNIT - part(p["there_b"], p["here_b"], F.reverse)).alias("b"), (end * UNIT + part(p["there_f"], p["here_f"], lambda a: a)).alias("e"))
+        return F.struct((top * UNIT - _part(p["there_b"], p["here_b"], True)).alias("b"), (end * UNIT + _part(p["there_f"], p["here_f"], False)).alias("e"))
 
     def stretches(line: Column, marks: Column) -> Column:
         """(first, pre, last, post) of the stretches that go: places that overlap or touch, put together."""
@@ -199,20 +219,26 @@ def _cut(out: DataFrame, text: str, least: int) -> DataFrame:
         held = F.filter(F.transform(marks, lambda p, i: around(line, marks, p, i)), lambda p: p["same"])
         spans = F.transform(F.transform(held, ends), span)
         bounds = lambda z: F.struct(_reach(F.transform(z, lambda x: x["b"]), True).alias("b"), _reach(F.transform(z, lambda x: x["e"]), False).alias("e"))
-        long = lambda x: F.regexp_count(piece(line, x["first"], x["last"] + 1), F.lit(WORD)) + x["pre"] + x["post"] >= least
+        count = lambda x, e: F.regexp_count(piece(line, x["first"], e), F.lit(WORD)) + x["pre"] + x["post"] >= least
+        # A line has a word but for white space alone, so the first lines nearly always tell.
+        long = lambda x: count(x, F.least(x["first"] + least, x["last"] + 1)) | ((x["last"] - x["first"] >= least) & count(x, x["last"] + 1))
         return F.filter(_let(_let(spans, bounds), lambda z: together(z["b"], z["e"])), long)
 
     def rest(line: Column, cuts: Column) -> Column:
         """The text without the stretches, and how many lines they were."""
 
         def gap(j: Column) -> Column:
-            """What stands between the stretches j - 1 and j, and how many of its words go with either."""
+            """What stands between the stretches j - 1 and j, less the words of its first and last line that go with either."""
             left, right = F.get(cuts, j - 1), F.get(cuts, j)
-            whole = piece(line, F.coalesce(left["last"] + 1, F.lit(0)), F.coalesce(right["first"], F.size(line)))
-            return F.struct(whole.alias("t"), F.coalesce(left["post"], F.lit(0)).alias("head"), F.coalesce(right["pre"], F.lit(0)).alias("tail"))
-
-        bare = lambda g: _let(_words(g["t"]), lambda w: F.array_join(F.slice(w, g["head"] + 1, F.greatest(F.size(w) - g["head"] - g["tail"], F.lit(0))), ""))
-        kept = F.transform(F.transform(F.sequence(F.lit(0), F.size(cuts)), gap), lambda g: F.when(g["head"] + g["tail"] > 0, bare(g)).otherwise(g["t"]))
+            a, b = F.coalesce(left["last"] + 1, F.lit(0)), F.coalesce(right["first"], F.size(line))
+            head, tail = F.coalesce(left["post"], F.lit(0)), F.coalesce(right["pre"], F.lit(0))
+            signs = lambda words: F.length(F.array_join(words, ""))
+            top = F.when(head > 0, signs(F.slice(_words(F.get(line, a)), F.lit(1), head))).otherwise(F.lit(0))
+            end = F.when(tail > 0, signs(F.slice(F.reverse(_words(F.get(line, b - 1))), F.lit(1), tail))).otherwise(F.lit(0))
+            return F.struct(piece(line, a, b).alias("t"), top.alias("top"), end.alias("end"))
+
+        bare = lambda g: F.substring(g["t"], g["top"] + 1, F.greatest(F.length(g["t"]) - g["top"] - g["end"], F.lit(0)))
+        kept = F.transform(F.transform(F.sequence(F.lit(0), F.size(cuts)), gap), lambda g: F.when(g["top"] + g["end"] > 0, bare(g)).otherwise(g["t"]))
         gone = F.aggregate(cuts, F.lit(0).cast("long"), lambda a, x: a + x["last"] - x["first"] + 1)
         return F.struct(F.array_join(kept, "").alias("t"), gone.alias("n"))
 

@@ -3,7 +3,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from memlake.llm.line_dedup import _lines, dedup
+from memlake.llm.line_dedup import _lines, _part, _reach, chunked, dedup
 from tests.llm import brute
 
 
@@ -102,3 +102,54 @@ def test_a_very_long_repeated_text(spark):
     began = time.time()
     got = {r["doc_id"]: r["removed_chars"] for r in dedup(spark.createDataFrame([(1, text), (2, text), (3, "own")], "doc_id long, text string")).collect()}
     assert got == {1: 0, 2: len(text), 3: 0} and time.time() - began < 120
+
+
+def test_chunks_need_no_sort_and_no_bytes(spark):
+    docs = spark.createDataFrame([(1, 2, "some text")], "__k long, __t long, text string")
+    plan = chunked(docs)._jdf.queryExecution().analyzed().toString()
+    assert "array_sort" not in plan and "array_join" not in plan
+
+
+def test_chunks_are_those_of_brute_force(spark):
+    rng = random.Random(9)
+    texts = [rng.choice(["", "\n", " "]).join(rng.choice(["same", "same.", "a b.", "\n", "x, y", prose(rng, 1)]) + rng.choice([" ", "\n", " \t"]) for _ in range(rng.randint(0, 90))) for _ in range(150)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "__k long, text string").withColumn("__t", F.lit(0))
+    got = {}
+    for r in chunked(rows).collect():
+        got.setdefault(r["k"], []).append((r["s"], r["g"]))
+    for k, text in enumerate(texts):
+        starts = brute.chunk_starts(brute.lines(text))
+        assert sorted(got.get(k, [])) == [(s, e - s if e else 0) for s, e in zip(starts, starts[1:] + [None])], k
+
+
+def test_common_words_of_lines(spark):
+    rng = random.Random(10)
+    line = lambda: "".join(rng.choice(["a", "b", "é", " ", "\t"]) for _ in range(rng.randint(1, 5)))
+    pairs = [(line(), line()) for _ in range(400)] + [("a ", "b\t"), ("\n", "\n a"), ("a", None)]
+    got = spark.createDataFrame(pairs, "x string, y string").select("x", "y", _part(F.col("x"), F.col("y"), False).alias("top"), _part(F.col("x"), F.col("y"), True).alias("end"))
+    for r in got.collect():
+        a, b = ([], []) if r["y"] is None else (brute._bare(r["x"]), brute._bare(r["y"]))
+        assert (r["top"], r["end"]) == (brute._same(a, b), brute._same(a[::-1], b[::-1])), r
+
+
+def test_reach_is_that_of_all_before_or_after(spark):
+    rng = random.Random(11)
+    # As bounds are: each within some lines of its place.
+    rows = [([i + rng.choice([0, 0, rng.randint(0, 5)]) for i in range(rng.randint(0, 30))],) for _ in range(100)] + [([1, 2, 3],)]
+    got = spark.createDataFrame(rows, "v array<long>").select("v", _reach(F.col("v"), True).alias("low"), _reach(F.col("v"), False).alias("high")).collect()
+    for r in got:
+        n = len(r["v"])
+        assert r["low"] == [min(r["v"][i:]) for i in range(n)] and r["high"] == [max(r["v"][: i + 1]) for i in range(n)]
+
+
+def test_few_words_on_many_lines_and_words_at_both_ends(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    blank = ["".join(word() + "\n" * 2 for _ in range(n)) for n in (30, 45)]
+    p, q = (" ".join(word() for _ in range(70)) for _ in range(2))
+    rows = [(0, blank[0]), (1, blank[1]), (2, blank[0]), (3, blank[1]), (4, p + " \n" + q), (5, q + " " + p)]
+    for i in range(6, 40):
+        rows.append((i, " ".join([word() for _ in range(rng.randint(0, 3))] + [p] + [word() for _ in range(rng.randint(0, 3))] + [q] + [word() for _ in range(rng.randint(0, 3))])))
+    got = {r["doc_id"]: r["text"] for r in dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k] for k, _ in rows] == brute.line_dedup(rows)
+    assert got[2] == blank[0] and got[3] != blank[1]
