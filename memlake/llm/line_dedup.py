@@ -9,9 +9,9 @@ from memlake.llm.common import WORD, delete_stored, names_kept, quoted, stored
 #: A line ends at a line feed, and at white space after a word that does not end in one of these letters. Such lines
 #: hold two or three words, whatever stands before them: a passage may lie within one written line.
 ON = "aehinorst"
-LINE_END = rf"(?=[\x20\x09-\x0D])(?:(?<=[^\x20\x09-\x0D{ON}])|(?=\n))"
+LINE_END = rf"(?=[\x20\t\n\x0B\f\r])(?:(?<=[^\x20\t\n\x0B\f\r{ON}])|(?=\n))"
 #: Where a word ends within a line; each word has the white space before it.
-WORD_END = r"(?=[\x20\x09-\x0D])(?:(?<=[^\x20\x09-\x0D])|(?=\n))"
+WORD_END = r"(?=[\x20\t\n\x0B\f\r])(?:(?<=[^\x20\t\n\x0B\f\r])|(?=\n))"
 #: The white space of both.
 SIGNS = " \t\n\x0b\x0c\r"
 #: A chunk of CHUNK lines begins at the least rolling hash (over two lines) of every WINDOW successive ones, so any
@@ -247,7 +247,7 @@ def _cut(out: DataFrame, text: str, least: int) -> DataFrame:
 
     out = out.withColumn("__z", F.when(F.col("__p").isNotNull(), _let(_lines(F.col(text)), clean)))
     left = F.coalesce("__z.t", text)
-    return out.withColumns({"removed_lines": F.coalesce("__z.n", F.lit(0)).cast("long"), "removed_chars": F.coalesce(F.length(text) - F.length(left), F.lit(0)).cast("long"), text: left})
+    return out.withColumns({"removed_lines": F.coalesce("__z.n", F.lit(0)).cast("long"), "removed_chars": F.coalesce(F.when(F.col("__z").isNotNull(), F.length(text) - F.length("__z.t")), F.lit(0)).cast("long"), text: left})
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
