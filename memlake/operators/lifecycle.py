@@ -197,7 +197,8 @@ def cycle(entries: DataFrame, access: DataFrame, now, run_id: str, dry_run: bool
     after, others = replay.consolidated(start, merges.select("fp"), run_id, now)
     # Contests touch other labels than merges, so both come from the same plan.
     against = replay.fingerprints(live).join(plan.where("plan = 'contest'").select("fp"), "fp", "left_semi")
-    after = with_scores(replay.marked(after, replay.view_pairs(against)), now)
+    if not dry_run:  # what contradicts is looked for at once
+        after = with_scores(replay.marked(after, replay.contradictions(against)), now)
     after, merged_snaps = archived(after, others, run_id, now, "merged duplicate")
     left = start if dry_run else after
     left = left.where("not coalesce(archived, false)")
