@@ -127,7 +127,7 @@ def one_label(spark, tmp_path_factory):
     return documents(spark, tmp_path_factory.mktemp("one") / "label", texts), near
 
 
-@pytest.mark.parametrize("name", ["contested_entries"])
+@pytest.mark.parametrize("name", ["contested_entries", "contradiction_plans"])
 def test_a_label_of_many_long_views(spark, one_label, name):
     path, near = one_label
     began = time.time()
