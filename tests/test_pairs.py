@@ -110,6 +110,14 @@ def documents(spark, path, texts):
     return str(path)
 
 
+def test_near_is_rounded_as_sql_does(spark, tmp_path):
+    """41 of 640 words: 0.0640625, of which SQL makes 0.064062."""
+    label = " ".join(f"label{i:05}" for i in range(6))
+    texts = [" ".join([label, *[f"c{i}" for i in range(35)], *[f"{x}{i}" for i in range(n)]]) for x, n in (("a", 300), ("b", 299))]
+    row = QUERIES["view_pairs"](spark, documents(spark, tmp_path, texts)).first()
+    assert row["near"] == 0.064062
+
+
 @pytest.fixture(scope="module")
 def one_label(spark, tmp_path_factory):
     """2,500 long texts that begin alike: 3 million pairs of some 300 words."""
@@ -127,7 +135,7 @@ def one_label(spark, tmp_path_factory):
     return documents(spark, tmp_path_factory.mktemp("one") / "label", texts), near
 
 
-@pytest.mark.parametrize("name", ["contested_entries", "contradiction_plans"])
+@pytest.mark.parametrize("name", ["contested_entries", "contradiction_plans", "view_pairs"])
 def test_a_label_of_many_long_views(spark, one_label, name):
     path, near = one_label
     began = time.time()
